@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .sharding import MULTIPLIER, SALTS
+from .spotsigs import ANCHORS, CHAIN, FLOOR, REACH
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,3 +55,31 @@ s AS (SELECT h.doc_id, strlen(text) + 1 AS size,
   FROM h JOIN {last8} b8 ON h.doc_id = b8.doc_id JOIN {last9} b9 ON h.doc_id = b9.doc_id JOIN j8_1 o ON h.doc_id = o.doc_id, crc)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY salt, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+
+
+def _signatures(table: str, text: str, name: str) -> str:
+    anchors = ", ".join(f"'{w}'" for w in ANCHORS)
+    ahead = " || ".join(f"coalesce(tails[i + {k}], '')" for k in range(1, REACH + 2))
+    return f"""
+{name}_w AS (SELECT *, list_filter(string_split_regex(lower({text}), '[^\\p{{L}}]+'), lambda w: w <> '') AS words FROM {table}),
+{name}_m AS (SELECT * EXCLUDE (words), array_to_string(list_transform(words, lambda w: CASE WHEN w IN ({anchors}) THEN '#' || w ELSE w END), ' ') || ' ' AS marked FROM {name}_w),
+{name}_p AS (SELECT *, string_split(marked, '#') AS parts FROM {name}_m),
+{name}_t AS (SELECT *, list_transform(parts, lambda s: substr(s, instr(s, ' ') + 1)) AS tails FROM {name}_p),
+{name} AS (SELECT * EXCLUDE (marked, parts, tails), coalesce(list_sort(list_distinct(list_transform(CASE WHEN len(parts) > 1
+  THEN list_transform(range(1, len(parts)), lambda i: string_split(parts[i + 1], ' ')[1] || ':' || array_to_string(string_split({ahead}, ' ')[1:{CHAIN}], ' '))
+  WHEN {text} = '' THEN [] ELSE [CASE WHEN trim(marked) = '' THEN {text} ELSE marked END] END, lambda s: substr(md5(s), 1, 8)))), []) AS sigs FROM {name}_t)"""
+
+
+def spotsigs() -> str:
+    def near(a: str, b: str) -> str:
+        both = f"len(list_intersect({a}, {b}))"
+        return (f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) < greatest(len({a}), len({b})) * {FLOOR}::DOUBLE "
+                f"THEN 0.0 ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END::DOUBLE")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{_signatures("d", "text", "a")},
+n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
+  coalesce(lead(sigs) OVER w, first_value(sigs) OVER w) AS next_sigs FROM a WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text DESC)),
+e AS (SELECT doc_id, n_chars, sigs AS own, next_sigs, left(text, n_chars - n_chars // 3) || CASE WHEN n_chars // 3 > 0 THEN left(next_text, n_chars // 3) ELSE '' END AS edited FROM n),
+{_signatures("e", "edited", "f")}
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(sigs, '') AS edited_fingerprint,
+  {near("own", "sigs")} AS near_edited, {near("own", "next_sigs")} AS near_next, len(own) AS n_signatures FROM f"""
