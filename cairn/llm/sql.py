@@ -83,3 +83,13 @@ e AS (SELECT doc_id, n_chars, sigs AS own, next_sigs, left(text, n_chars - n_cha
 {_signatures("e", "edited", "f")}
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(sigs, '') AS edited_fingerprint,
   {near("own", "sigs")} AS near_edited, {near("own", "next_sigs")} AS near_next, len(own) AS n_signatures FROM f"""
+
+
+def warc() -> str:
+    """Base-32 from the hex digest: five hex digits make four letters."""
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * i + 1}, 5))::INT >> {15 - 5 * k}) % 32 + 1, 1)" for i in range(8) for k in range(4))
+    return f"""
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)"""
