@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, sharding, simple8b, spotsigs, sql, warc
+from . import bpe, langid, mixing, ngramjoin, quality, sharding, simple8b, spotsigs, sql, topk, warc
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,10 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -54,9 +58,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(RANKS))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": sql.warc(), "op3_spotsigs": sql.spotsigs(), "op5_mixing": sql.mixing(), "op6_sharding": sql.sharding()}
+    return {"op4_topk": sql.topk(), "op10_ngram_join": sql.ngram_join(), "op2_warc": sql.warc(), "op3_spotsigs": sql.spotsigs(), "op5_mixing": sql.mixing(), "op6_sharding": sql.sharding()}

@@ -93,3 +93,28 @@ WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT page_id, payload_bytes, {letters} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)"""
+
+
+def topk() -> str:
+    return """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def ngram_join() -> str:
+    lower = f"translate(text, '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '{WORD}') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, hash(list_sort(s)) AS h, s FROM g),
+c AS (SELECT h, min(doc_id) AS a, any_value(n) AS n, any_value(s) AS s FROM t WHERE n > 0 GROUP BY h),
+e AS (SELECT a, n, unnest(s) AS x FROM c),
+p AS (SELECT l.a, r.a AS b FROM e l JOIN e r ON l.x = r.x AND l.a < r.a GROUP BY l.a, r.a, l.n, r.n HAVING 100 * count(*) >= 75 * (l.n + r.n - count(*))),
+u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+k AS (SELECT a, a AS b FROM c UNION SELECT k.a, u.b FROM k JOIN u ON k.b = u.a),
+m AS (SELECT a, min(b) AS least FROM k GROUP BY a)
+SELECT t.doc_id, t.n AS n_shingles, coalesce(m.least, t.doc_id) AS component_id FROM t LEFT JOIN c ON t.h = c.h AND t.n > 0 LEFT JOIN m ON c.a = m.a"""
