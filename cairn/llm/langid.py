@@ -188,8 +188,8 @@ def _workers_model(samples: dict[str, str], kept: dict = {}) -> Model:  # noqa:
     return kept[key]
 
 
-def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """``docs`` with lang_pred and lang_score (replacing columns of these names).
+def predict(docs: DataFrame, samples: dict[str, str], label: str = "lang_pred", share: str = "lang_score") -> DataFrame:
+    """``docs`` with the predicted language and its score as columns ``label`` and ``share`` (replacing columns of these names).
 
     A null text or one without a letter is ``und`` with score 0; so is every text if nothing was
     learned. Equal texts have equal results, and ties go to the first label in order.
@@ -197,8 +197,8 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])
-    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (label, share)])
+    shape = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(share, T.DoubleType())])
 
     def run(batches):
         model = _workers_model(samples)
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                     labels += a
                     scores += b.tolist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-                                                 names=[*batch.schema.names, "lang_pred", "lang_score"])
+                                                 names=[*batch.schema.names, label, share])
 
     return docs.mapInArrow(run, shape)
 

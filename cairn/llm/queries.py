@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -51,11 +51,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simple8b.round_trip(_table(spark, sf_dir, "documents"), _vocabulary(TOKENIZER), END_ID)
+    return simple8b.round_trip(_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), END_ID)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(RANKS))
+    return bpe.encode(_table(spark, sf_dir, "documents"), vocabulary(RANKS))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
