@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -183,50 +184,73 @@ def read(source, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space: each distinct word is encoded once."""
+    """Ids of whole texts by a lower-casing tokenizer that cuts at white space, between letters, numbers and
+    others, and before contractions (as word_bpe files do): each distinct piece is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.path = Tokenizer.from_file(path), path
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.values, self.ends, self.used = np.empty(1 << 16, np.uint32), [0], 0
+        # hashes of the pieces learned, in order, with their rows; the rows' ids
+        self.seen, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.values, self.used = np.empty(1 << 16, np.uint32), 0
+        self.ends, self.n = np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, new: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32)
-        while self.used + len(flat) > len(self.values):
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(lens.sum())
+        while self.used + total > len(self.values):
             self.values = np.concatenate((self.values, np.empty_like(self.values)))
-        self.values[self.used: self.used + len(flat)] = flat
-        self.used += len(flat)
-        n, end = len(self.slot), self.ends[-1]
-        for i, (w, ids) in enumerate(zip(new, got, strict=True)):
-            self.slot[w] = n + i
-            end += len(ids)
-            self.ends.append(end)
+        while self.n + len(got) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.values[self.used: self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.ends[self.n + 1: self.n + 1 + len(got)] = self.used + np.cumsum(lens)
+        self.used += total
+        self.n += len(got)
 
     def __call__(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts one after the other, each with ``end_id`` at its end, and where each ends."""
-        if len(self.slot) > MEMO_WORDS:
+        """Ids of the texts one after the other, each with ``end_id`` at its end, and where each ends.
+
+        Words are cut and A-Z lower-cased as the tokenizer itself does first, unless a text holds one of
+        its special tokens, which would be cut too; then its block goes by white space alone.
+        """
+        if self.n > MEMO_WORDS:
             self._forget()
         joined = "".join(texts)
         cps, bounds = vectext.points(texts)
-        starts, ends, text_first = vectext.words(cps, bounds)
-        _, at, inverse = np.unique(vectext.hashes(cps, starts, ends), return_index=True, return_inverse=True)
-        distinct = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        if new := [w for w in distinct if w not in self.slot]:
-            self._learn(new)
-        rows = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[inverse]
-        ids, word_ends = vectext.gather(self.values, np.array(self.ends), rows)
+        if any(t in joined for t in self.special):
+            starts, ends, text_first = vectext.words(cps, bounds)
+            lower = str
+        else:
+            cps = np.where((cps - np.uint32(65)) <= 25, cps + np.uint32(32), cps)
+            starts, ends, text_first = vectext.fine_spans(cps, bounds)
+            lower = lambda w: w.lower() if w.isascii() else w.translate(_LOWER)
+        found, at, inverse = np.unique(vectext.hashes(cps, starts, ends), return_index=True, return_inverse=True)
+        where = np.searchsorted(self.seen, found)
+        known = self.seen[np.minimum(where, len(self.seen) - 1)] == found if len(self.seen) else np.zeros(len(found), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            first = self.n
+            self._learn([lower(joined[a:b]) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            self.seen = np.insert(self.seen, where[new], found[new])
+            self.row = np.insert(self.row, where[new], np.arange(first, self.n))
+            where = np.searchsorted(self.seen, found)
+        rows = self.row[where][inverse] if len(found) else inverse
+        ids, word_ends = vectext.gather(self.values, self.ends, rows)
         text_ends = np.concatenate(([0], word_ends))[text_first[1:]]
         if end_id is None:
             return ids, text_ends
         return np.insert(ids, text_ends, end_id), text_ends + np.arange(1, len(texts) + 1)
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _workers_encoder(path: str, kept: dict = {}) -> WordEncoder:  # noqa: B006  one per Python worker
     if path not in kept:
         import os

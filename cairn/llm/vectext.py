@@ -154,3 +154,48 @@ def pretokens(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
             start[nxt + took] = True
     at = np.flatnonzero(start)
     return at[:-1], at[1:]
+
+
+#: The characters whose neighbours a normalizer never changes end before this code point.
+PLAIN = 0x300
+
+
+def fine_spans(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where the class changes: runs of letters, single numbers, runs of others, contractions.
+
+    As words(), starts, ends and each text's first. A word with a character that normalizing may join to
+    its neighbours or change in class (from PLAIN on, unusual white space, dotted capital I) stays whole.
+    """
+    starts, ends, _ = words(cps, bounds)
+    if not len(starts):
+        return starts, ends, np.searchsorted(starts, bounds)
+    kind = classes()[cps]
+    glue = (cps >= PLAIN) | (cps == 0x130) | ((kind == SPACE) & ~is_space(cps)) | ((cps >= 28) & (cps < 32))
+    so_far = np.concatenate(([0], np.cumsum(glue)))
+    whole = so_far[ends] > so_far[starts]
+    cut = np.concatenate(([True], (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)))
+    inside = np.zeros(len(cps) + 1, np.int8)
+    inside[starts[~whole]] += 1
+    inside[ends[~whole]] -= 1
+    cut &= np.cumsum(inside[:-1]) > 0
+    cut[starts] = True
+    at = np.flatnonzero(cut)
+    to = np.minimum(np.append(at[1:], len(cps)), ends[np.searchsorted(ends, at, "right")])
+    begins = np.zeros(len(cps) + 1, bool)
+    begins[starts] = True
+    quote = np.flatnonzero((cps[at] == 39) & (to - at == 1) & ~begins[to])
+    moved = {}
+    for q in quote.tolist():
+        if q + 1 < len(at) and at[q + 1] == to[q] and kind[at[q + 1]] == LETTER:
+            a, size = int(at[q + 1]), int(to[q + 1] - at[q + 1])
+            text = "".join(map(chr, cps[a: a + min(2, size)])).lower()
+            took = 1 if text[0] in "stmd" else 2 if text in ("re", "ve", "ll") else 0
+            if took:
+                moved[q] = took
+    if moved:
+        q = np.array(list(moved))
+        to[q] += list(moved.values())
+        at[q + 1] = to[q]
+        keep = at < to
+        at, to = at[keep], to[keep]
+    return at, to, np.searchsorted(at, bounds)
