@@ -21,7 +21,7 @@ from . import vectext
 
 #: Code points of the documents of a block; a longer document is a block of its own.
 BLOCK_CHARS = 1 << 24
-PART_CHARS = 1 << 20
+PART_CHARS, GROUP = 1 << 20, 1 << 18
 MEMO_WORDS = 1 << 18
 
 
@@ -54,6 +54,19 @@ def pack(x: np.ndarray) -> bytes:
     return bytes([used]) + len(x).to_bytes(4, "little") + pa.compress(planes[:used].tobytes(), codec="zstd", asbytes=True)
 
 
+def squeeze(b: bytes) -> bytes:
+    import pyarrow as pa
+
+    return len(b).to_bytes(8, "little") + (pa.compress(b, codec="zstd", asbytes=True) if b else b"")
+
+
+def stretch(b: bytes) -> bytes:
+    import pyarrow as pa
+
+    n = int.from_bytes(b[:8], "little")
+    return pa.decompress(b[8:], n, codec="zstd", asbytes=True) if n else b""
+
+
 def unpack(b: bytes) -> np.ndarray:
     import pyarrow as pa
 
@@ -71,6 +84,7 @@ class Block:
         self.number = np.empty(0, np.int64)
         self.seen = np.empty(0, np.uint64)  # hashes in order, with their numbers in the same order
         self.words: list[str] = []
+        self.hashes: list[np.ndarray] = []  # of the words, by number
         self.parts: list[np.ndarray] = []
         self.lens: list[np.ndarray] = []
         self.keys: list = []
@@ -91,6 +105,7 @@ class Block:
         new = new[np.argsort(at[new])]  # numbered as they appear: frequent ones come early and are small
         numbers[new] = np.arange(len(self.words), len(self.words) + len(new))
         self.words += [joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+        self.hashes.append(found[new])
         fresh = np.sort(new)
         self.seen, self.number = np.insert(self.seen, where[fresh], found[fresh]), np.insert(self.number, where[fresh], numbers[fresh])
         self.parts.append(numbers[inverse].astype(np.uint32))
@@ -131,23 +146,28 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int =
     ``vectors`` also ids (array<int>) and decoded (binary). A null text is an empty text, with no ids.
     Repeated rows give a row each; an empty table gives none; other columns play no part.
 
-    A frequent word is one row for each block that has it, so a word's rows are few however often it
-    occurs. The two passes over the documents must cut the same blocks; each word row and each block
+    A block sends its words in one row for each of as many buckets as there are shuffle partitions; a
+    word is in it once however often it occurs, and all blocks' copies of it meet in one bucket's task. The two passes over the documents must cut the same blocks; each word row and each block
     carries a digest of the block, and a difference (an input whose rows change between reads) raises.
     """
     import pyarrow as pa
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    word_schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("number", pa.int32()), ("word", pa.string())])
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    word_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("words", pa.binary())])
     seq_schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("words", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("seq", pa.binary())])
-    id_schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("number", pa.int32()), ("ids", pa.binary())])
+    id_schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
 
     def distinct(batches):
         for i, block in enumerate(blocks(batches, block_chars)):
             key, digest = _named(block, i)
-            for lo in range(0, len(block.words), 50_000):
-                part = block.words[lo: lo + 50_000]
-                yield pa.record_batch([[key] * len(part), [digest] * len(part), list(range(lo, lo + len(part))), part], schema=word_schema)
+            bucket = (np.concatenate(block.hashes) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for at in np.split(order, cuts[1:]) if len(order) else []:
+                raw = [block.words[k].encode() for k in at.tolist()]
+                yield pa.record_batch([[int(bucket[at[0]])], [key], [digest], [pack(np.diff(at, prepend=0))], [pack(np.array(list(map(len, raw))))],
+                                       [squeeze(b"".join(raw))]], schema=word_schema)
 
     def sequences(batches):
         for i, block in enumerate(blocks(batches, block_chars)):
@@ -157,35 +177,38 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int =
     def merge(batches):
         piece, memo = _tables(path)[0], {}
         for batch in batches:
-            out = []
-            for w in batch.column(3).to_pylist():
-                if w not in memo:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[w] = np.array(piece(w.encode()), "<u4").tobytes()
-                out.append(memo[w])
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], schema=id_schema)
+            for row in batch.to_pylist():
+                raw, got, a = stretch(row["words"]), [], 0
+                for size in unpack(row["lens"]).tolist():
+                    w = raw[a: a + size]
+                    a += size
+                    if (ids := memo.get(w)) is None:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
+                        ids = memo[w] = piece(w)
+                    got.append(ids)
+                flat = np.fromiter((i for ids in got for i in ids), np.uint32)
+                yield pa.record_batch([[row["block"]], [row["digest"]], [row["numbers"]], [pack(np.fromiter(map(len, got), np.uint32, len(got)))], [pack(flat)]], schema=id_schema)
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
                             *([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if vectors else [])])
 
     def reassemble(seqs: pa.Table, words: pa.Table) -> pa.Table:
         _, token_bytes, token_ends = _tables(path)
+        parts = words.to_pylist()
+        numbers = np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpack(r["numbers"]).astype(np.int64)) for r in parts)])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *(unpack(r["lens"]).astype(np.int64) for r in parts)]))]).astype(np.int64)
+        values = np.concatenate([np.empty(0, np.uint32), *(unpack(r["ids"]) for r in parts)])
+        order = np.argsort(numbers)
         made: list[tuple] = []
         for row in seqs.to_pylist():
-            if words.num_rows != row["words"] or words.num_rows and (set(words.column("digest").unique().to_pylist()) != {row["digest"]}):
+            if len(numbers) != row["words"] or any(r["digest"] != row["digest"] for r in parts):
                 raise ValueError("the documents changed between two reads; write them to a table first")
-            order = np.argsort(words.column("number").to_numpy())
-            flat = words.column("ids").combine_chunks() if words.num_rows else pa.array([], pa.binary())
-            flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-            offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset: flat.offset + len(flat) + 1].astype(np.int64) if len(flat) else np.zeros(1, np.int64)
-            values = np.frombuffer(flat.buffers()[2], "<u4") if len(flat) else np.empty(0, "<u4")
-            offsets //= 4
-            seq, doc_ends = order[unpack(row["seq"]).astype(np.int64)] if words.num_rows else np.empty(0, np.int64), np.cumsum(unpack(row["lens"]).astype(np.int64))
-            # documents in groups of about PART_CHARS pre-tokens
+            seq, doc_ends = order[unpack(row["seq"]).astype(np.int64)], np.cumsum(unpack(row["lens"]).astype(np.int64))
+            # documents in groups of about GROUP pre-tokens
             begin, d = 0, 0
             while d < len(doc_ends):
-                e = max(d + 1, int(np.searchsorted(doc_ends, begin + PART_CHARS, "right")))
+                e = max(d + 1, int(np.searchsorted(doc_ends, begin + GROUP, "right")))
                 ids, ends = vectext.gather(values, offsets, seq[begin: doc_ends[e - 1]])
                 id_ends = np.concatenate(([0], ends))[doc_ends[d:e] - begin]
                 text, text_ends = vectext.gather(token_bytes, token_ends, ids.astype(np.int64))
@@ -199,9 +222,8 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int =
         columns = list(map(list, zip(*made, strict=True))) if made else [[] for _ in out_schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = rows.mapInArrow(distinct, "block long, digest long, number int, word string").repartition(n, "word").mapInArrow(
-        merge, "block long, digest long, number int, ids binary")
+    merged = rows.mapInArrow(distinct, "bucket int, block long, digest long, numbers binary, lens binary, words binary").repartition(n, "bucket").mapInArrow(
+        merge, "block long, digest long, numbers binary, lens binary, ids binary")
     seqs = rows.mapInArrow(sequences, "block long, digest long, words int, doc_ids array<long>, lens binary, seq binary")
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * vectors
     return seqs.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, shape)
