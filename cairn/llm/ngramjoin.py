@@ -25,9 +25,11 @@ WORDS = 5
 #: Two sets link if 100 * shared >= THRESHOLD * union.
 THRESHOLD = 75
 #: Tokens buffered by a task, tokens of a bucket, members of a side of a tile.
-BUFFER, BUCKET_TOKENS, TILE = 1 << 22, 1 << 22, 1024
+BUFFER, BUCKET_TOKENS, TILE = 1 << 21, 1 << 21, 1024
 #: A token of more than this share of the sets is ordered after all others by its approximate count.
 HOT_SHARE, HOT_LEAST, HOT_ORDER = 1000, 1000, 1 << 40
+#: Low bits of tokens that needn't travel: 56 tell the tokens of two sets apart.
+DROPPED = np.uint64(8)
 _RATES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -132,9 +134,7 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, place: np.ndarray, total: i
     schema = pa.schema([("bucket", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("owners", pa.binary()), ("at", pa.binary())])
 
     def run(batches):
-        from pyspark import TaskContext
-
-        owners, held, size, turn = [], [], 0, TaskContext.get().partitionId()
+        owners, held, size = [], [], 0
 
         def row(bucket: int, token: np.ndarray, at: np.ndarray, names: np.ndarray):
             used, at = np.unique(at, return_inverse=True)
@@ -142,18 +142,22 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, place: np.ndarray, total: i
             back = np.empty(len(used), np.int64)
             back[order] = np.arange(len(used))
             steps = np.diff(names[used][order], prepend=0)
+            if bucket >= 0:
+                token = token >> DROPPED
             wide = np.concatenate((steps & 0xFFFFFFFF, steps >> 32))
             return pa.record_batch([[bucket], [pack((token >> np.uint64(32)).astype(np.uint32))], [pack((token & np.uint64(0xFFFFFFFF)).astype(np.uint32))], [pack(wide)], [pack(back[at])]], schema=schema)
 
         def flush():
-            nonlocal owners, held, size, turn
+            nonlocal owners, held, size
             if not held:
                 return
             token, at, names = np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), np.array(owners, np.int64)
             found = np.searchsorted(hot, token)
             warm = hot[np.minimum(found, len(hot) - 1)] == token if len(hot) else np.zeros(len(token), bool)
-            if warm.any():
-                yield row(-1 - turn % buckets, token[warm], at[warm], names)
+            # rows of an owner keep to one bucket: repeated documents' tokens meet there
+            own = names[at[warm]] % buckets
+            for b in np.unique(own).tolist():
+                yield row(-1 - b, token[warm][own == b], at[warm][own == b], names)
             token, at = token[~warm], at[~warm]
             order = np.argsort(token)
             token, at = token[order], at[order]
@@ -161,7 +165,7 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, place: np.ndarray, total: i
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     yield row(b, token[cuts[b]: cuts[b + 1]], at[cuts[b]: cuts[b + 1]], names)
-            owners, held, size, turn = [], [], 0, turn + 1
+            owners, held, size = [], [], 0
 
         for owner, tokens, node in _sets(batches, words):
             if node_of(tokens) != node:  # another text under the same doc_id
@@ -183,11 +187,14 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, place: np.ndarray, total: i
             token.append(unpack(high).astype(np.uint64) << np.uint64(32) | unpack(low))
             owner.append(names[unpack(at)])
         token, owner = np.concatenate(token), np.concatenate(owner)
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
+        token, owner = token[fresh], owner[fresh]
         if table.column("bucket")[0].as_py() < 0:
             rank = HOT_ORDER + place[np.searchsorted(hot, token)]
+            token = token >> DROPPED
         else:
-            order = np.argsort(token)
-            token, owner = token[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             n = np.diff(np.append(first, len(token)))
             rank = np.repeat(n, n)
@@ -213,18 +220,17 @@ def prefixes(owned: DataFrame, sizes: DataFrame, threshold: int = THRESHOLD) ->
 
     Tokens of one set only come first under every order and link nothing, so a prefix is cut by their number.
     """
-    whole = owned.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("ranks", "tokens")))).alias("own"))
+    whole = owned.groupBy("owner").agg(F.flatten(F.collect_list("ranks")).alias("ranks"), F.flatten(F.collect_list("tokens")).alias("tokens"))
     n = F.col("n")
     # the ceiling of t n, in whole numbers
-    room = n - F.floor((n * threshold + 99) / 100) + 1 - (n - F.size("own"))
+    room = n - F.floor((n * threshold + 99) / 100) + 1 - (n - F.size("tokens"))
     kept = whole.join(sizes, "owner").withColumn("room", room.cast("int")).where("room > 0")
 
     def under(rank, tie) -> Column:
-        keyed = F.transform("own", lambda x: F.struct(rank(x["ranks"]).alias("rank"), tie(x["tokens"]).alias("tie"), x["tokens"].alias("token")))
+        keyed = F.transform(F.arrays_zip("ranks", "tokens"), lambda x: F.struct(rank(x["ranks"]).alias("rank"), tie(x["tokens"]).alias("tie"), x["tokens"].alias("token")))
         return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("room")), lambda x: x["token"])
 
-    return kept.select("owner", "n", F.transform("own", lambda x: x["tokens"]).alias("tokens"),
-                       under(lambda r: r, lambda t: t).alias("p1"), under(lambda r: r, lambda t: F.xxhash64(t, F.lit(2))).alias("p2"),
+    return kept.select("owner", "n", "tokens", under(lambda r: r, lambda t: t).alias("p1"), under(lambda r: r, lambda t: F.xxhash64(t, F.lit(2))).alias("p2"),
                        under(lambda r: F.floor(F.log2(r.cast("double"))), lambda t: F.xxhash64(t, F.lit(3))).alias("p3"))
 
 
