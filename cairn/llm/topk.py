@@ -153,8 +153,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         whole = [list(map(int, r)) for r in x.tolist()]
         for me, vector in zip(own.tolist(), q.tolist(), strict=True):
             vector = list(map(int, vector))
-            scored = sorted((-sum(a * b for a, b in zip(vector, r, strict=True)), i) for r, i in zip(whole, ids.tolist(), strict=True) if i != me)[:k]
-            made += [(me, i, max(-(1 << 63), min(FAR, -s))) for s, i in scored]
+            held = ((max(-(1 << 63), min(FAR, sum(a * b for a, b in zip(vector, r, strict=True)))), i) for r, i in zip(whole, ids.tolist(), strict=True) if i != me)
+            made += [(me, i, s) for s, i in sorted(held, key=lambda x: (-x[0], x[1]))[:k]]
         return pa.table([pa.array([m[c] for m in made], pa.int64()) for c in range(3)], schema=schema)
 
     def round_of(asking: DataFrame, tag: str) -> DataFrame:

@@ -66,8 +66,8 @@ def capture(row: dict) -> list[bytes]:
 def write(pages: DataFrame, where: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write a capture for each row of (page_id, url, html); returns the manifest (uri, captures), a committed table.
 
-    Of captures with equal payloads of at least ``min_bytes`` bytes, those of the smallest page_id
-    (nulls last) and then smallest url are responses and the others revisits. A null html is an
+    Of captures with equal payloads of at least ``min_bytes`` bytes, that of the smallest page_id
+    (nulls last) and then smallest url is a response, as are rows that repeat it in full; the others are revisits. A null html is an
     empty payload. Rows repeated in full get record ids of their own. Payloads meet by digest in a
     join against one row a digest, which the engine splits if one digest has very many rows.
     """
@@ -85,7 +85,7 @@ def write(pages: DataFrame, where: str | None = None, min_bytes: int = 0) -> Dat
     known = rows.join(first, "digest", "left").select(
         "page_id", "url", "html", "digest", "nth",
         F.when(F.col("first.k") < far, F.col("first.k")).alias("first_id"), F.col("first.u").alias("first_url"),
-        F.coalesce((F.coalesce("page_id", far) != F.col("first.k")) | ~F.col("url").eqNullSafe(F.col("first.u")), F.lit(False)).alias("revisit"))
+        (F.col("first").isNotNull() & ((F.coalesce("page_id", far) != F.col("first.k")) | ~F.col("url").eqNullSafe(F.col("first.u")))).alias("revisit"))
 
     def run(batches):
         import pyarrow as pa
