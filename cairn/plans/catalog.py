@@ -410,3 +410,25 @@ def incremental_plan(old: DataFrame, new: DataFrame, disabled) -> DataFrame:
     a, b = old.select(F.col("id").alias("a"), F.col("content_hash").alias("ah")), new.select(F.col("id").alias("b"), F.col("content_hash").alias("bh"), disabled.alias("off"))
     return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias("path"), F.when(F.col("b").isNull(), "delete").when(F.col("off"), "drop").when(
         F.col("a").isNull() | (F.col("ah") != F.col("bh")), "parse").otherwise("skip").alias("action"))
+
+
+# --- streams, over whole tables -----------------------------------------------
+
+from ..streaming import jobs as S  # noqa: E402
+from .router import ontology  # noqa: E402
+
+_outcomes = lambda g: g.events.select(F.concat(F.lit("j"), F.col("user_id")).alias("job_id"), (F.col("event_id") % 3 == 0).alias("ok"), F.col("ts").alias("at"))
+query("t04_retry_states", """WITH e AS (SELECT concat('j', user_id) AS job_id, event_id % 3 = 0 AS ok, ts AS at_ FROM {events}), w AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY job_id ORDER BY at_) AS f, coalesce(sum((NOT ok)::INT) OVER (PARTITION BY job_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fb,
+    coalesce(max(ok::INT) OVER (PARTITION BY job_id ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS won FROM e)
+    SELECT job_id, (f + ok::INT)::INT AS attempt, CASE WHEN ok THEN 'done' WHEN f >= 3 THEN 'failed' ELSE 'retrying' END AS state, CASE WHEN ok OR f >= 3 THEN 0.0 ELSE least(30.0, pow(2, f - 1)) END::DOUBLE AS pause_s FROM w WHERE won = 0 AND fb < 3""")(
+    lambda g: S.states(_outcomes(g)))
+query("t01_conflicts", "SELECT concat('j', o_custkey) AS job_id, count(DISTINCT o_orderpriority) AS payloads FROM {orders} GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")(
+    lambda g: S.conflicts(g.orders.select(F.concat(F.lit("j"), "o_custkey").alias("job_id"), F.col("o_orderpriority").alias("digest"))))
+query("t05_quarantine", "SELECT props AS value FROM {events} WHERE CAST(json_extract_string(props, '$.k') AS INT) IS NULL")(
+    lambda g: S.quarantined(S.decoded(g.events.select(F.col("props").alias("value")), "k int", "k")))
+query("t07_trace_evaluation", """SELECT concat('t', user_id) AS key, count(*) AS total, count(*) FILTER (event_id % 3000 >= (SELECT count(*) FROM {part})) AS missing,
+    round(count(*) FILTER (event_id % 3000 >= (SELECT count(*) FROM {part}))::DOUBLE / count(*), 4) AS share FROM {events} GROUP BY 1""")(
+    lambda g: S.evaluate_traces(g.events.select(F.concat(F.lit("t"), "user_id").alias("trace_id"), F.array(F.concat(F.lit("p."), F.col("event_id") % 3000)).alias("results")), g.symbol))
+query("t11_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2")(lambda g: S.event_windows(g.events))
+query("g11_ontology", """SELECT '1.0.0' AS version, * FROM (VALUES ('CONTAINS', 'repository', 'path', 'file', 'path', []), ('DEFINES', 'file', 'path', 'symbol', 'qualified_name', []), ('IMPORTS', 'file', 'path', 'file', 'path', []), ('CALLS', 'symbol', 'qualified_name', 'symbol', 'qualified_name', []),
+    ('USES_VARIABLE', 'symbol', 'qualified_name', 'variable', 'qualified_name', []), ('FLOWS_TO', 'variable', 'qualified_name', 'variable', 'qualified_name', ['scope_qname', 'line_number', 'flow_type'])) t(relation, source, source_key, target, target_key, evidence)""")(lambda g: ontology(g.spark))
