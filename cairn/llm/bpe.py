@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import vectext
 
 #: Code points of the documents of a block; a longer document is a block of its own.
-BLOCK_CHARS = 1 << 24
-PART_CHARS, GROUP = 1 << 20, 1 << 18
+BLOCK_CHARS = 6 << 20
+PART_CHARS, GROUP = 1 << 19, 1 << 17
 MEMO_WORDS = 1 << 18
 
 
@@ -139,11 +139,11 @@ def _named(block: Block, i: int) -> tuple[bytes, int]:
     return TaskContext.get().partitionId() << 32 | i, int.from_bytes(digest.digest(), "little", signed=True)
 
 
-def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, vectors: bool = False, decoded: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Ids of every whole text by the ranks in the file ``path``, and their decoding.
 
-    Columns: doc_id, n_tokens, ids_sha256 (of unsigned 32-bit little-endian ids), decoded_sha256, and with
-    ``vectors`` also ids (array<int>) and decoded (binary). A null text is an empty text, with no ids.
+    Columns: doc_id, n_tokens, ids_sha256 (of unsigned 32-bit little-endian ids), decoded_sha256, with
+    ``vectors`` also ids (array<int>), and with ``decoded`` also the decoded bytes. A null text is an empty text, with no ids.
     Repeated rows give a row each; an empty table gives none; other columns play no part.
 
     A block sends its words in one row for each of as many buckets as there are shuffle partitions; a
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int =
                 yield pa.record_batch([[row["block"]], [row["digest"]], [row["numbers"]], [pack(np.fromiter(map(len, got), np.uint32, len(got)))], [pack(flat)]], schema=id_schema)
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-                            *([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] if vectors else [])])
+                            *[("ids", pa.list_(pa.int32()))] * vectors, *[("decoded", pa.binary())] * decoded])
 
     def reassemble(seqs: pa.Table, words: pa.Table) -> pa.Table:
         _, token_bytes, token_ends = _tables(path)
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int =
                 raw, shown, a, x = ids.astype("<u4").tobytes(), text.tobytes(), 0, 0
                 for k, b, y in zip(range(d, e), id_ends.tolist(), byte_ends.tolist(), strict=True):
                     made.append((row["doc_ids"][k], b - a, hashlib.sha256(raw[4 * a: 4 * b]).hexdigest(), hashlib.sha256(shown[x:y]).hexdigest(),
-                                 *([ids[a:b].astype(np.int32), shown[x:y]] if vectors else [])))
+                                 *[ids[a:b].astype(np.int32)] * vectors, *[shown[x:y]] * decoded))
                     a, x = b, y
                 begin, d = int(doc_ends[e - 1]), e
         columns = list(map(list, zip(*made, strict=True))) if made else [[] for _ in out_schema]
@@ -225,5 +225,5 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, block_chars: int =
     merged = rows.mapInArrow(distinct, "bucket int, block long, digest long, numbers binary, lens binary, words binary").repartition(n, "bucket").mapInArrow(
         merge, "block long, digest long, numbers binary, lens binary, ids binary")
     seqs = rows.mapInArrow(sequences, "block long, digest long, words int, doc_ids array<long>, lens binary, seq binary")
-    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * vectors
+    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * vectors + ", decoded binary" * decoded
     return seqs.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, shape)

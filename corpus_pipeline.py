@@ -53,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document of the mix."""
-    return bpe.encode(docs, vocabulary(RANKS), vectors=True).drop("decoded")
+    return bpe.encode(docs, vocabulary(RANKS), vectors=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
