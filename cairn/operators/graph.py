@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
+from . import small
 from .joins import callees, callers
 
 MOST_ROUNDS = 10_000
+#: Steps of a loop between two tables in the shared folder.
+STEPS = 3
 
 
 def call_graph(calls: DataFrame, symbols: DataFrame, name: str, limit: int = 50) -> DataFrame:
@@ -64,7 +67,9 @@ def core(edges: DataFrame) -> DataFrame:
     """Edges left after nodes without a way in or out are taken away again and again: all cycles are among them."""
     now, n = edges.select("src", "dst").distinct(), None
     for _ in range(MOST_ROUNDS):
-        now = materialise(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+        for _ in range(STEPS):
+            now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        now = materialise(now, "core")
         m = now.count()
         if m == n or not m:
             break
@@ -74,21 +79,27 @@ def core(edges: DataFrame) -> DataFrame:
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Greatest label (node, label) that reaches each node along edges."""
-    changed = None
-    while changed != 0:
-        sent = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("label").alias("got"))
-        new = materialise(labels.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"), (F.col("got") > F.col("label")).alias("moved")), "labels")
-        changed = new.where("moved").count()
+    while True:
+        new = labels
+        for _ in range(STEPS):
+            sent = edges.join(new, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("label").alias("got"))
+            new = new.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"))
+        old = labels.select(F.col("node").alias("was_node"), F.col("label").alias("was"))
+        new = materialise(new.join(old, F.col("node") == F.col("was_node")).select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
         labels = new.drop("moved")
-    return labels
+        if new.where("moved").isEmpty():
+            return labels
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
+def on_cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
     """(symbol, component) of every node on a cycle, a self-loop included; component is the greatest node of its strongly connected component.
 
     After the core is cut out, the greatest label is sent forward; the nodes of a label that reach
-    its owner back are the owner's component. Components found leave, the rest is cut anew.
+    its owner back are the owner's component. Components found leave, the rest is cut anew. A graph of
+    up to ``at_once`` edges is one task's work instead.
     """
+    if small.fits(edges, at_once):
+        return small.at_once(edges, small.cycle_members, "symbol string, component string")
     loops = edges.where("src = dst").select(F.col("src").alias("symbol"), F.col("src").alias("component")).distinct()
     now, found = core(edges.where("src <> dst")), None
     while not now.isEmpty():
@@ -97,11 +108,14 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         tagged = now.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
         back = materialise(tagged.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
         owner = colour.select("node", "label", F.when(F.col("node") == F.col("label"), 1).otherwise(0).alias("here"))
-        reached = materialise(owner.where("here = 1").select("node", "label"), "reached")
-        front = reached
+        reached = front = materialise(owner.where("here = 1").select("node", "label"), "reached")
         while not front.isEmpty():
-            front = materialise(front.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct().join(reached.select("node"), "node", "left_anti").select("node", "label"), "front")
-            reached = materialise(reached.union(front), "reached")
+            step = front
+            for _ in range(STEPS):
+                step = step.union(step.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label")).distinct()
+            front = materialise(step.join(reached.select("node"), "node", "left_anti").select("node", "label"), "front")
+            reached = reached.union(front)
+        reached = materialise(reached, "reached")
         sizes = reached.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         part = materialise(reached.join(sizes, "label", "left_semi").select(F.col("node").alias("symbol"), F.col("label").alias("component")), "cycles")
         found = part if found is None else found.union(part)
@@ -112,8 +126,13 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return found.union(loops.join(found.select("symbol"), "symbol", "left_anti").select("symbol", "component"))
 
 
-def depths(edges: DataFrame) -> DataFrame:
-    """Steps of the shortest way to each node from any node without a way in; 0 for those that none reaches."""
+def depths(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
+    """Steps of the shortest way to each node from any node without a way in; 0 for those that none reaches.
+
+    A graph of up to ``at_once`` edges is one task's work, a larger one goes level by level.
+    """
+    if small.fits(edges, at_once):
+        return small.at_once(edges, small.levels, "symbol string, depth int")
     pairs = edges.select("src", "dst").distinct()
     nodes = pairs.select(F.col("src").alias("symbol")).union(pairs.select(F.col("dst").alias("symbol"))).distinct()
     front = nodes.join(pairs.select(F.col("dst").alias("symbol")).distinct(), "symbol", "left_anti").withColumn("depth", F.lit(0))

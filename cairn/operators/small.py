@@ -1,0 +1,95 @@
+"""The same as the loops of ``graph`` for graphs that one task holds: behind a check of their size, never instead of them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame
+
+#: Edges that one task may hold.
+EDGES = 1_000_000
+
+
+def fits(edges: DataFrame, most: int) -> bool:
+    """Whether there are at most ``most`` edges; counts no further than that."""
+    return most > 0 and edges.limit(most + 1).count() <= most
+
+
+def at_once(edges: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(sources, targets)`` yields a data frame; it sees all edges in one task."""
+    def whole(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        held = list(frames)
+        rows = pd.concat(held) if held else pd.DataFrame({"src": [], "dst": []})
+        found = run(rows["src"].tolist(), rows["dst"].tolist())
+        if len(found):
+            yield found
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(whole, schema)
+
+
+def cycle_members(sources: list, targets: list):
+    """Symbols on cycles with the greatest symbol of their strongly connected component (two orders of finishing)."""
+    import pandas as pd
+
+    out: dict = {}
+    back: dict = {}
+    for a, b in zip(sources, targets, strict=True):
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+        out.setdefault(b, [])
+        back.setdefault(a, [])
+    finished, seen = [], set()
+    for root in out:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(out[root]))]
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                finished.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(out[nxt])))
+    placed, rows = set(), []
+    loops = {a for a, b in zip(sources, targets, strict=True) if a == b}
+    for root in reversed(finished):
+        if root in placed:
+            continue
+        placed.add(root)
+        part, todo = [root], [root]
+        while todo:
+            for x in back[todo.pop()]:
+                if x not in placed:
+                    placed.add(x)
+                    part.append(x)
+                    todo.append(x)
+        if len(part) > 1 or root in loops:
+            rows += [(x, max(part)) for x in part]
+    return pd.DataFrame(rows, columns=["symbol", "component"])
+
+
+def levels(sources: list, targets: list):
+    """Steps from the nodes without a way in, first visit first; 0 for those that none reaches."""
+    import pandas as pd
+
+    out: dict = {}
+    for a, b in zip(sources, targets, strict=True):
+        out.setdefault(a, set()).add(b)
+    entered = set(targets)
+    depth = {a: 0 for a in sources if a not in entered}
+    front = list(depth)
+    d = 0
+    while front:
+        d += 1
+        nxt = {b for a in front for b in out.get(a, ()) if b not in depth}
+        depth.update(dict.fromkeys(nxt, d))
+        front = list(nxt)
+    nodes = set(sources) | entered
+    return pd.DataFrame({"symbol": list(nodes), "depth": [depth.get(x, 0) for x in nodes]})
+
+

@@ -432,3 +432,58 @@ query("t07_trace_evaluation", """SELECT concat('t', user_id) AS key, count(*) AS
 query("t11_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2")(lambda g: S.event_windows(g.events))
 query("g11_ontology", """SELECT '1.0.0' AS version, * FROM (VALUES ('CONTAINS', 'repository', 'path', 'file', 'path', []), ('DEFINES', 'file', 'path', 'symbol', 'qualified_name', []), ('IMPORTS', 'file', 'path', 'file', 'path', []), ('CALLS', 'symbol', 'qualified_name', 'symbol', 'qualified_name', []),
     ('USES_VARIABLE', 'symbol', 'qualified_name', 'variable', 'qualified_name', []), ('FLOWS_TO', 'variable', 'qualified_name', 'variable', 'qualified_name', ['scope_qname', 'line_number', 'flow_type'])) t(relation, source, source_key, target, target_key, evidence)""")(lambda g: ontology(g.spark))
+
+# --- sources, extraction and routing over generated files ---------------------
+
+from ..extract import tables as P  # noqa: E402
+from ..sources import files as Z  # noqa: E402
+from . import router as R  # noqa: E402
+
+query("s02_language_catalogue", """SELECT page_id, path, CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' WHEN 3 THEN 'cmake' WHEN 4 THEN 'rust' END AS language
+    FROM (SELECT page_id, 'src/d' || page_id || '/' || (['m.py', 'm.tsx', 'm.go', 'CMakeLists.txt', 'm.rs', 'm.unknown'])[1 + page_id % 6] AS path FROM {pages})""")(
+    lambda g: g.pages.select("page_id", F.concat(F.lit("src/d"), "page_id", F.lit("/"), F.element_at(F.array(*map(F.lit, ("m.py", "m.tsx", "m.go", "CMakeLists.txt", "m.rs", "m.unknown"))), (F.col("page_id") % 6 + 1).cast("int"))).alias("path")).withColumn(
+        "language", Z.language(F.col("path"))))
+query("s08_query_batch", """SELECT event_id + 1 AS line, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'find_symbol' END AS tool, event_id % 4 < 2 AS valid FROM {events} WHERE event_id % 4 < 3""")(
+    lambda g: Z.query_items(g.events.select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"tool": "'), "event_type", F.lit('"}'))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"query": "'), "event_type", F.lit('"}'))).when(
+        F.col("event_id") % 4 == 2, F.lit("no json")).otherwise(F.lit("  ")).alias("value"))).select("line", "tool", "valid"))
+query("s11_status_changes", """WITH e AS (SELECT event_id AS pos, event_id % 4 AS k, concat('f', event_id % 90) AS f FROM {events}), x AS (SELECT pos, f AS path, CASE WHEN k IN (1, 2) THEN 'destructive' ELSE 'changed' END AS change FROM e UNION ALL SELECT pos, f || '.new', 'changed' FROM e WHERE k = 2)
+    SELECT path, change, min(pos) AS pos FROM x GROUP BY 1, 2""")(
+    lambda g: Z.status_changes(g.events.select(F.col("event_id").alias("pos"), F.concat(F.element_at(F.array(*map(F.lit, (" M ", " D ", "R  ", "?? "))), (F.col("event_id") % 4 + 1).cast("int")), F.concat(F.lit("f"), F.col("event_id") % 90),
+                                                                                             F.when(F.col("event_id") % 4 == 2, F.concat(F.lit(" -> f"), F.col("event_id") % 90, F.lit(".new"))).otherwise("")).alias("value"))).select("path", "change", "pos"))
+query("s13_markdown_notes", """SELECT 'd/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'Title ' || doc_id END AS title, CASE WHEN doc_id % 5 > 0 THEN 'para ' || source || ' end' END AS summary, CASE WHEN doc_id % 5 = 0 THEN 'no summary paragraph' END AS reason FROM {documents}""")(
+    lambda g: Z.markdown_notes(g.documents.select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("---\nk: v\n---\n"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("# Title "), "doc_id", F.lit("\n"))).otherwise(""), F.lit("\n- item\n```\ncode\n```\n\n"),
+                                                            F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("para  "), "source", F.lit("\nend\n\nmore"))).otherwise("")).alias("text"))))
+query("s17_csv_safe", "SELECT id, CASE WHEN id % 3 = 0 THEN '''=' || title ELSE title END AS title FROM {activity}")(
+    lambda g: Z.csv_safe(g.activity.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("="), "title")).otherwise(F.col("title")).alias("title"))))
+query("s18_batch_rejects", """SELECT batch_id, CASE WHEN n > 12 THEN 'too many items' WHEN wrong > 0 THEN 'content does not match its digest' WHEN n > k THEN 'conflicting path' END AS reason FROM (SELECT o_custkey AS batch_id, count(*) AS n, count(*) FILTER (o_orderkey % 40 = 3) AS wrong, count(DISTINCT o_orderkey % 50) AS k
+    FROM {orders} GROUP BY 1) WHERE n > 12 OR wrong > 0 OR n > k""")(
+    lambda g: Z.batch_rejects(g.orders.select(F.col("o_custkey").alias("batch_id"), (F.col("o_orderkey") % 50).cast("string").alias("path"), F.col("o_orderpriority").alias("content"),
+                                              F.when(F.col("o_orderkey") % 40 == 3, "0").otherwise(F.sha2(F.col("o_orderpriority").cast("binary"), 256)).alias("sha256"), F.octet_length("o_orderpriority").cast("long").alias("bytes"), F.lit(False).alias("tombstone")), 12))
+query("s19_batch_plan", None)(lambda g: Z.plan_batches(g.documents.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.lit(False).alias("tombstone")), 500, 100_000))
+query("f13_safe_learning", """SELECT event_id FROM {events} WHERE event_type IN ('view', 'click') AND value / 100 <= 1 AND event_id % 7 <> 0""")(
+    lambda g: L.safe_learning(g.events.select("event_id", F.when(F.col("event_type") == "view", "lesson").when(F.col("event_type") == "click", "decision").otherwise(F.col("event_type")).alias("category"), F.lit("t").alias("title"),
+                                              F.when(F.col("event_id") % 7 == 0, F.lit("use api_key=abc")).otherwise("use it").alias("lesson"), (F.col("value") / 100).alias("confidence"))).select("event_id"))
+query("f14_redaction", """SELECT n_nationkey, k AS key, CASE WHEN k = 'api_token' THEN '***' ELSE n_name END AS value FROM {nation}, (VALUES ('name'), ('api_token')) t(k)""")(
+    lambda g: g.nation.select("n_nationkey", F.explode(L.redacted(F.create_map(F.lit("name"), F.col("n_name"), F.lit("api_token"), F.col("n_name")))).alias("key", "value")))
+_FILES_PY = lambda g: g.part.select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("from m"), F.col("p_partkey") + 1, F.lit(" import f"), F.col("p_partkey") + 1, F.lit("\n\ndef f"), "p_partkey", F.lit("(a):\n    b = f"), F.col("p_partkey") + 1, F.lit("(a)\n    return b\n")).alias("text"))
+query("p01_python_symbols", "SELECT concat('m', p_partkey, '.f', p_partkey) AS qualified_name, 'function' AS symbol_type, concat('src/m', p_partkey, '.py') AS file_path, 3 AS line_start, 5 AS line_end FROM {part}")(
+    lambda g: P.tables(P.evidence(_FILES_PY(g)))["symbol"].select("qualified_name", "symbol_type", "file_path", "line_start", "line_end"))
+query("p10_python_calls", "SELECT concat('m', p_partkey, '.f', p_partkey) AS src, concat('m', p_partkey + 1, '.f', p_partkey + 1) AS dst FROM {part} WHERE p_partkey + 1 IN (SELECT p_partkey FROM {part})")(
+    lambda g: P.resolve(P.tables(P.evidence(_FILES_PY(g))))["calls"])
+query("p11_python_flows", """WITH n AS (SELECT concat('m', p_partkey, '.f', p_partkey) AS f, concat('m', p_partkey + 1, '.f', p_partkey + 1) AS h, concat('f', p_partkey + 1) AS imported, p_partkey + 1 IN (SELECT p_partkey FROM {part}) AS has FROM {part})
+    SELECT f || ':a' AS src, f || ':b' AS dst, 'assignment' AS flow_type FROM n UNION ALL SELECT f || ':b', f || ':__return__', 'return' FROM n UNION ALL SELECT f || ':a', h || ':a', 'argument' FROM n WHERE has UNION ALL SELECT h || ':__return__', f || ':b', 'call_return' FROM n WHERE has""")(
+    lambda g: P.resolve(P.tables(P.evidence(_FILES_PY(g))))["flows_to"].where(~F.col("src").rlike(":f[0-9]+$")).select("src", "dst", "flow_type"))
+query("p04_typescript_calls", "SELECT concat('t', p_partkey, '.run', p_partkey) AS caller, concat('go', p_partkey) AS callee FROM {part}")(
+    lambda g: P.tables(P.evidence(g.part.select(F.concat(F.lit("src/t"), "p_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("export function run"), "p_partkey", F.lit("(a) {\n  go"), "p_partkey", F.lit("(a)\n}\n")).alias("text"))))["raw_call"].select(
+        F.col("caller_qname").alias("caller"), F.col("callee_name").alias("callee")))
+query("g12_routed_lookup", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 21")(lambda g: R.plan(g, "calls", "p.10", "incoming", 20)[0])
+query("g13_strategy", None)(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400))
+query("g06_cycle_sizes", """WITH RECURSIVE e AS (SELECT src, dst FROM {raw_call} WHERE call_id % 2 = 0 GROUP BY 1, 2), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
+    s AS (SELECT x.a, max(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT component, count(*) AS n FROM s GROUP BY 1""")(
+    lambda g: G.on_cycles(g.raw_call.where("call_id % 2 = 0")).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+query("e09_greedy_expansion", None)(lambda g: E.greedy_expansion(g.chunk.select("case_id", (F.col("pos") % 3).alias("depth"), "pos", X.tokens_simple(F.col("text")).alias("tokens")), 12, 4000))
+query("e11_improvement", "SELECT o_orderkey, round(o_totalprice / (2 * o_custkey + 1), 2) AS factor FROM {orders}")(lambda g: g.orders.select("o_orderkey", X.improvement(F.col("o_totalprice"), 2 * F.col("o_custkey") + 1).alias("factor")))
+query("x12_uuid5", """SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
+    FROM (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name || p_partkey)) AS h FROM {part})""")(lambda g: g.part.select("p_partkey", X.uuid5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("id")))
+query("x15_json_values", """SELECT event_id, list_sort([event_type, 'deny']) AS effects FROM {events}""")(
+    lambda g: g.events.select("event_id", X.json_values(F.concat(F.lit('{"if": {"effect": "deny"}, "then": [{"effect" : "'), "event_type", F.lit('"}, {"effect":"deny"}]}')), "effect").alias("effects")))

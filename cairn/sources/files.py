@@ -65,9 +65,14 @@ def query_batch(spark: SparkSession, path: str) -> DataFrame:
 
     ``query`` alone asks find_symbol for 5; ``__line`` overrides the line's number.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value")).where(F.trim("value") != "")
-    parsed = lines.withColumn("x", F.from_json("value", "tool string, arguments map<string,string>, query string, `__line` int, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    valid = F.col("x").isNotNull() & F.col("x._bad").isNull() & (F.col("x.tool").isNotNull() | F.col("x.query").isNotNull())
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    return query_items(lines)
+
+
+def query_items(lines: DataFrame) -> DataFrame:
+    """The same of lines (pos, value)."""
+    parsed = lines.where(F.trim("value") != "").withColumn("x", F.from_json("value", "tool string, arguments map<string,string>, query string, `__line` int, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    valid = F.coalesce(F.col("x").isNotNull() & F.col("x._bad").isNull() & (F.col("x.tool").isNotNull() | F.col("x.query").isNotNull()), F.lit(False))
     return parsed.select(F.coalesce("x.__line", F.col("pos") + 1).alias("line"), F.when(valid, F.coalesce("x.tool", F.lit("find_symbol"))).alias("tool"),
                          F.when(valid, F.coalesce("x.arguments", F.create_map(F.lit("name"), F.col("x.query"), F.lit("limit"), F.lit("5")))).alias("arguments"), valid.alias("valid"))
 

@@ -59,3 +59,25 @@ def test_scalars(spark):
     assert one(X.slug(F.lit(" A  b! "))) == "a-b" and one(X.fnv1a(F.lit("a"))) == 0xE40C292C and one(X.fnv1a(F.lit(""))) == 0x811C9DC5
     assert one(E.simple_name(F.lit("a::b:c.d"))) == "d" and one(X.widened(F.lit("/a/b"), F.lit("/a"))) is True
     assert one(X.snippet(F.lit("1\n2\n3\n4\n5"), F.lit(3), F.lit(3), 1)) == "2\n3\n4"
+
+
+def test_uuid5(spark):
+    import uuid
+
+    for name in ("a", "ключ", ""):
+        assert spark.range(1).select(X.uuid5(F.lit(name))).first()[0] == str(uuid.uuid5(uuid.NAMESPACE_DNS, name))
+
+
+def test_cache():
+    from cairn.plans.cache import ResultCache
+
+    now, made = [0.0], []
+    cache = ResultCache(60, 2, lambda: now[0])
+    get = lambda g: cache.get(cache.key("t", {"b": 1, "a": 2}, "g", "p", g), lambda: made.append(g) or g)
+    assert get("1") == get("1") == "1" and made == ["1"]
+    assert get("2") == "2" and made == ["1", "2"]
+    now[0] = 61
+    get("1")
+    get("3")
+    get("2")
+    assert made == ["1", "2", "1", "3", "2"] and len(cache.held) == 2 and cache.clear() == 2
