@@ -17,8 +17,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders made by this process; results read them until they are written, so only a caller knows when they may go.
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path := f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return path
+
+
+def drop_made(spark: SparkSession) -> int:
+    """Delete all folders made so far, once the results that read them have been written; returns how many."""
+    n = len(_made)
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

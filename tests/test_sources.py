@@ -94,3 +94,15 @@ def test_plans_agree(spark):
     full, _ = router.plan(g, "calls", "p.3", "incoming", 20, intent="audit")
     assert {r["qualified_name"] for r in light.collect()} == {r["source"] for r in full.collect()}
     assert router.strategy(g.symbol, g.file, g.calls, "ring", 200).count() > 0
+
+
+def test_tables_in_the_shared_folder(spark):
+    from pathlib import Path
+
+    from cairn import shared
+
+    shared.drop_made(spark)
+    kept = shared.materialise(spark.range(5), "test")
+    folder = Path(shared._made[0].removeprefix("file://"))
+    assert kept.count() == 5 and folder.exists() and shared._made[0].startswith(shared.shared_dir(spark))
+    assert shared.drop_made(spark) == 1 and not folder.exists()
