@@ -24,6 +24,7 @@ from .shared import fresh_dir, materialise, open_uri
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 ROLL_BYTES = 256 << 20
+SALTS = 32
 RECORDS = ("kind string, record_id string, concurrent_to array<string>, refers_to string, uri string, "
            "payload_digest string, payload_bytes long, page_id long, http string")
 
@@ -210,9 +211,12 @@ def assemble(found: DataFrame) -> DataFrame:
         return named.groupBy("capture_id").agg(F.min(kind).alias(kind))
 
     whole = main.join(beside("request", "uri", "http"), "capture_id", "left").join(beside("metadata", "page_id"), "capture_id", "left")
-    pages = found.where(F.col("kind") == "response").select(F.col("record_id").alias("capture_id")).join(
-        beside("metadata", "page_id"), "capture_id").select(F.col("capture_id").alias("first"), F.col("metadata.page_id").alias("refers_to_page"))
-    return whole.join(pages, F.col("response.refers_to") == F.col("first"), "left").drop("first")
+    # many captures may refer to one: each page is copied to SALTS places and a capture asks one of them
+    asked = found.where(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("capture_id")).distinct()
+    pages = asked.join(beside("metadata", "page_id"), "capture_id").select(
+        F.col("capture_id").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("metadata.page_id").alias("refers_to_page"))
+    salted = whole.withColumn("own_salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(pages, (F.col("response.refers_to") == F.col("first")) & (F.col("own_salt") == F.col("salt")), "left").drop("first", "salt", "own_salt")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
