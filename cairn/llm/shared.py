@@ -1,32 +1,10 @@
-"""The folder that the driver and all executors share, and committed side files in it."""
+"""The folder that the driver and all executors share, and files of any store."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..shared import drop_made, fresh_dir, materialise, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of ``spark.checkpoint.dir``; a fresh local folder is set only where the session has none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and losing executors costs nothing."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_made", "fresh_dir", "materialise", "open_uri", "shared_dir"]
 
 
 def open_uri(uri: str):
