@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one source and size are numbered in so many parts at once.
 SALTS = 64
@@ -61,20 +63,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     documents of their own. An empty table gives an empty result. ``targets`` keeps every
     target at ``most`` times its source's size, so a document has at most ``most`` copies.
 
-    Rows are shuffled once, by (source, size, salt), so no source is one task's work;
-    places of these parts come from their counts.
+    Rows are shuffled once, by (source, size, salt), so no source is one task's work; places of
+    these parts come from their counts, summed within bands of size and over a source's bands.
+    Texts are read once, with ``carry`` twice; what is kept of them meanwhile is four numbers a row.
     """
     rows = docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
         F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALTS)).cast("int").alias("salt"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    cells = docs.select(
-        "source", word_count(F.col("text")).alias("size"),
-        F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALTS)).cast("int").alias("salt")).groupBy("source", "size", "salt").agg(
-        F.count(F.lit(1)).alias("n"))
+    rows = rows if carry else materialise(rows, "mixing-sizes")
+    cells = materialise(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mixing-cells")
     goal = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
-    upto = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    places = cells.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    # a source's cells are summed by bands of size, the bands of a source being few
+    band = F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bands = cells.groupBy("source", band.alias("band")).agg(F.sum("n").alias("n")).select(
+        F.col("source").alias("b_source"), F.col("band").alias("b_band"), F.coalesce(F.sum("n").over(before.partitionBy("source").orderBy("band")), F.lit(0)).alias("b_start"))
+    inner = F.coalesce(F.sum("n").over(before.partitionBy("source", "band").orderBy("size", "salt")), F.lit(0))
+    places = cells.withColumn("band", band).withColumn("inner", inner).join(
+        bands, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("band") == F.col("b_band"))).select("source", "size", "salt", (F.col("b_start") + F.col("inner")).alias("start"))
     places = places.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), "start", "source_size", "target")
     order = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first())
