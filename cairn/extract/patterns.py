@@ -131,4 +131,4 @@ def extract(path: str, text: str, language: str) -> dict:
             calls.append({"caller_qname": caller["qualified_name"], "callee_name": m[2], "callee_qualifier": re.sub(r"\s", "", m[1]) + m[2], "arguments": [], "line_number": i + 1,
                           "result_var_qname": None, "shadowed": False})
     imports = [m[1] for line in lines for p in spec.imports for m in re.finditer(p, line, spec.flags)]
-    return {"path": path, "language": language, "error": None, "symbols": symbols, "imports": imports, "calls": calls, "variables": [], "flows": []}
+    return {"path": path, "language": language, "error": None, "symbols": symbols, "imports": imports, "bindings": [], "calls": calls, "variables": [], "flows": []}

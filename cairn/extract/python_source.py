@@ -112,9 +112,19 @@ def scopes(tree: ast.Module, table: symtable.SymbolTable, module: str) -> Iterat
     yield from children(top)
 
 
+def absolute(module: str, path: str, node: ast.ImportFrom) -> str:
+    """Module of a from-import; leading dots count from the file's package."""
+    if not node.level:
+        return node.module or ""
+    parts = module.split(".")
+    package = parts if path.endswith("__init__.py") and parts[-1:] != ["__init__"] else parts[:-1]
+    kept = package[: len(package) - node.level + 1]
+    return ".".join([*kept, *([node.module] if node.module else [])])
+
+
 def extract(path: str, text: str) -> dict:
     """symbols, imports, calls, variables and flows of a file; a file that can't be parsed has an error and nothing else."""
-    out: dict = {"path": path, "language": "python", "error": None, "symbols": [], "imports": [], "calls": [], "variables": [], "flows": []}
+    out: dict = {"path": path, "language": "python", "error": None, "symbols": [], "imports": [], "bindings": [], "calls": [], "variables": [], "flows": []}
     try:
         tree, table = ast.parse(text), symtable.symtable(text, path, "exec")
     except (SyntaxError, ValueError, RecursionError) as e:
@@ -151,8 +161,11 @@ def extract(path: str, text: str) -> dict:
                     parents.setdefault(child, node)
                 if isinstance(node, ast.Import):
                     out["imports"] += [a.name for a in node.names]
-                elif isinstance(node, ast.ImportFrom) and node.module:
-                    out["imports"].append(node.module)
+                    out["bindings"] += [{"scope_qname": scope.qname, "name": a.asname or a.name.split(".")[0], "target": a.name if a.asname else a.name.split(".")[0]} for a in node.names]
+                elif isinstance(node, ast.ImportFrom):
+                    base = absolute(module_name(path), path, node)
+                    out["imports"] += [base] if base else []
+                    out["bindings"] += [{"scope_qname": scope.qname, "name": a.asname or a.name, "target": f"{base}.{a.name}" if base else a.name} for a in node.names if a.name != "*"]
                 if not isinstance(scope.node, FUNCTION):
                     continue
                 role = lambda name: "parameter" if variables.get(scope.variable(name), {}).get("role") == "parameter" else "local"  # noqa: E731, B023

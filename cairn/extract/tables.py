@@ -13,6 +13,7 @@ from . import patterns, python_source
 EVIDENCE = """path string, language string, error string, content_hash string,
 symbols array<struct<qualified_name:string,name:string,symbol_type:string,line_start:int,line_end:int,parameters:array<struct<name:string,kind:string,has_default:boolean>>>>,
 imports array<string>,
+bindings array<struct<scope_qname:string,name:string,target:string>>,
 calls array<struct<caller_qname:string,callee_name:string,callee_qualifier:string,arguments:array<struct<dependencies:array<string>,position:int,keyword:string,unpacked:boolean>>,line_number:int,result_var_qname:string,shadowed:boolean>>,
 variables array<struct<qualified_name:string,name:string,scope_qname:string,line_number:int,role:string,parameter_index:int>>,
 flows array<struct<src:string,dst:string,scope_qname:string,line_number:int,flow_type:string>>"""
@@ -51,14 +52,14 @@ def tables(found: DataFrame) -> dict[str, DataFrame]:
         "file": found.select("path", "language", "content_hash"),
         "symbol": each("symbols").select("x.qualified_name", "x.name", "x.symbol_type", F.col("path").alias("file_path"), "x.line_start", "x.line_end", "x.parameters").dropDuplicates(["qualified_name"]),
         "raw_import": each("imports").select(F.col("path").alias("src"), "language", F.col("x").alias("module")).distinct(),
-        "raw_call": each("calls").select("path", "x.*"), "variable": each("variables").select("path", "x.*"), "flows_to": each("flows").select("x.*").distinct()}
+        "binding": each("bindings").select("path", "x.*").distinct(), "raw_call": each("calls").select("path", "x.*"), "variable": each("variables").select("path", "x.*"), "flows_to": each("flows").select("x.*").distinct()}
 
 
 def resolve(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Adds imports (file to file), calls (symbol to symbol) and the flows between scopes.
 
-    A call's candidates are, in order of preference: a symbol nested in the caller or a scope around it,
-    one of the caller's file, one of an imported file, and outside Python one anywhere. The first
+    A call's candidates are, in order of preference: what an import binds its qualifier to, a symbol nested in the
+    caller or a scope around it, one of the caller's file, one of an imported file, and outside Python one anywhere. The first
     kind with any candidate decides; several candidates of it, or a shadowed name, give no edge.
     """
     modules = parts["file"].select(F.col("path").alias("dst"), F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.(py|pyi|ts|tsx|js|jsx|go|rs|java|ps1|psm1)$", ""), r"(^|/)src/", "$1"), "/", ".").alias("module"))
@@ -70,9 +71,13 @@ def resolve(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     at_home = open_calls.join(named, (open_calls["callee_name"] == named["callee_name"]) & (open_calls["path"] == named["to_path"])).select(
         "call_id", "target", F.when(F.col("target") == F.concat("caller_qname", F.lit("."), open_calls["callee_name"]), 0).when(F.startswith("caller_qname", F.concat(F.regexp_replace("target", r"\.[^.]*$", ""), F.lit("."))), 1).otherwise(2).alias("tier"))
     via = open_calls.join(imports.select(F.col("src").alias("path"), F.col("dst").alias("to_path")), "path").join(named, ["callee_name", "to_path"]).select("call_id", "target", F.lit(3).alias("tier"))
+    first, rest = F.substring_index("callee_qualifier", ".", 1), F.regexp_extract("callee_qualifier", r"^[^.]*(.*)$", 1)
+    bound = calls.where("NOT shadowed").select("call_id", "path", "caller_qname", first.alias("name"), rest.alias("rest")).join(parts["binding"], ["path", "name"]).where(
+        (F.col("caller_qname") == F.col("scope_qname")) | F.startswith("caller_qname", F.concat("scope_qname", F.lit("."))))
+    through = bound.select("call_id", F.concat("target", "rest").alias("target")).join(parts["symbol"].select(F.col("qualified_name").alias("target")), "target").select("call_id", "target", F.lit(-1).alias("tier"))
     lone = named.groupBy("callee_name").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")).where("n = 1")
     anywhere = open_calls.where(~F.col("path").rlike(r"\.pyi?$")).join(lone, "callee_name").select("call_id", "target", F.lit(4).alias("tier"))
-    tiers = at_home.union(via).union(anywhere).groupBy("call_id", "tier").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    tiers = at_home.union(via).union(anywhere).union(through).groupBy("call_id", "tier").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
     best = tiers.groupBy("call_id").agg(F.min_by(F.struct("n", "target"), "tier").alias("b")).where("b.n = 1").select("call_id", F.col("b.target").alias("callee"))
     linked = calls.join(best, "call_id")
     between = cross_flows(linked.join(parts["symbol"].select(F.col("qualified_name").alias("callee"), "parameters"), "callee"))

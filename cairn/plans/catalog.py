@@ -487,3 +487,13 @@ query("x12_uuid5", """SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4
     FROM (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name || p_partkey)) AS h FROM {part})""")(lambda g: g.part.select("p_partkey", X.uuid5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("id")))
 query("x15_json_values", """SELECT event_id, list_sort([event_type, 'deny']) AS effects FROM {events}""")(
     lambda g: g.events.select("event_id", X.json_values(F.concat(F.lit('{"if": {"effect": "deny"}, "then": [{"effect" : "'), "event_type", F.lit('"}, {"effect":"deny"}]}')), "effect").alias("effects")))
+_TEXTS = {"go": "package m\nimport \"fmt\"\nfunc Do(a int) {\n\tfmt.Println(a)\n}\n", "rs": "use std::fs;\npub fn Do(a: u8) {\n  call(a)\n}\n", "java": "import a.B;\npublic class Do {\n}\n", "ps1": "function Do {\n  call(1)\n}\n",
+          "vb": "Public Class Do\nEnd Class\n", "adb": "with Text;\nprocedure Do is\nend Do;\n", "mojo": "fn Do(a):\n    call(a)\n", "cmake": "function(Do a)\nendfunction()\n", "vy": "def Do(a):\n    pass\n", "move": "module Do {\n}\n", "cairo": "fn Do() {\n}\n", "clar": "(define-public (Do) x)\n", "cdc": "pub fun Do() {\n}\n", "cbl": "       PROGRAM-ID. Do.\n"}
+query("p05_other_languages", "SELECT concat('d', page_id, '/m.', (" + str(list(_TEXTS)) + ")[1 + page_id % " + str(len(_TEXTS)) + "]) AS path, 'Do' AS name FROM {pages}")(
+    lambda g: P.tables(P.evidence(g.pages.select(F.concat(F.lit("d"), "page_id", F.lit("/m."), F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("page_id") % len(_TEXTS) + 1).cast("int"))).alias("path"),
+                                                 F.element_at(F.array(*map(F.lit, _TEXTS.values())), (F.col("page_id") % len(_TEXTS) + 1).cast("int")).alias("text"))))["symbol"].select(F.col("file_path").alias("path"), "name"))
+query("a08_fan_out_of", "SELECT DISTINCT dst AS neighbour FROM {calls} WHERE src = 'p.3'")(lambda g: A.neighbours(g.calls, "p.3", False))
+query("a33_cluster_counts", "SELECT kind, count(*) AS n FROM {node} WHERE kind <> 'Repository' GROUP BY kind")(lambda g: A.kind_counts(g.node.where("kind <> 'Repository'")))
+query("w10_recent_decisions", "SELECT id FROM {audit} ORDER BY created_at DESC, id DESC LIMIT 100")(lambda g: W.page_at(g.audit, [F.desc("created_at"), F.desc("id")], 0, 100).select("id"))
+query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM {pages} WHERE page_id % 3 = 0")(
+    lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))

@@ -21,16 +21,20 @@ def discover(spark: SparkSession, root: str, disabled: tuple[str, ...] = (), mos
 
     Pruned folders, larger files, and files with a NUL or that aren't UTF-8 are left out.
     """
-    suffixes = [x for s in SPECS.values() if s.language not in disabled for x in s.suffixes] + ([".py", ".pyi"] if "python" not in disabled else [])
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.removeprefix("file://").rstrip("/")) + "/", "")
-    wanted = "(" + "|".join(re.escape(s) for s in suffixes) + ")$"
-    pruned = r"(^|/)(\.[^/]+|" + "|".join(map(re.escape, PRUNED)) + ")/"
-    rows = raw.where(F.col("length") <= most_bytes).select(relative.alias("path"), "content").where(F.col("path").rlike(wanted) & ~F.col("path").rlike(pruned))
+    rows = raw.where(F.col("length") <= most_bytes).select(relative.alias("path"), "content").where(wanted(F.col("path"), disabled))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return rows.select("path", text.alias("text")).where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\0"))).withColumn("language", language(F.col("path")))
 
 
+def wanted(path: Column, disabled: tuple[str, ...] = ()) -> Column:
+    """Whether a relative path is in no pruned folder and has a language that isn't disabled."""
+    suffixes = [x for s in SPECS.values() if s.language not in disabled for x in s.suffixes] + ([".py", ".pyi"] if "python" not in disabled else [])
+    inside = r"(^|/)(\.[^/]+|" + "|".join(map(re.escape, PRUNED)) + ")/"
+    return path.rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$") & ~path.rlike(inside)
+
+
 def language(path: Column) -> Column:
     """Language of a path by the catalogue: a whole name counts before a suffix."""
     name = F.substring_index(path, "/", -1)

@@ -32,6 +32,14 @@ def test_scopes():
     assert next(c for c in got["calls"] if c["callee_name"] == "y")["shadowed"]
 
 
+def test_bindings(spark):
+    got = python_source.extract("src/pkg/sub/m.py", "import a.b\nimport c.d as e\nfrom ..x import y as z\nfrom . import w\n")
+    assert {(b["name"], b["target"]) for b in got["bindings"]} == {("a", "a"), ("e", "c.d"), ("z", "pkg.x.y"), ("w", "pkg.sub.w")} and got["imports"] == ["a.b", "c.d", "pkg.x", "pkg.sub"]
+    files = spark.createDataFrame([("u.py", "def go(): pass\n"), ("v.py", "def go(): pass\n"), ("w.py", "from v import go as run\nimport u\n\ndef f():\n    run()\n\ndef g():\n    u.go()\n\ndef h(u):\n    other.go()\n")], "path string, text string")
+    calls = tables.resolve(tables.tables(tables.evidence(files)))["calls"]
+    assert {tuple(r) for r in calls.collect()} == {("w.f", "v.go"), ("w.g", "u.go")}
+
+
 def test_bad_files():
     assert python_source.extract("m.py", "def (")["error"]
     assert python_source.extract("m.py", "")["symbols"] == []
