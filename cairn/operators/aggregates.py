@@ -66,21 +66,23 @@ def neighbours(edges: DataFrame, symbol: str, incoming: bool) -> DataFrame:
     return edges.where(F.col(here) == symbol).select(F.col(there).alias("neighbour")).distinct()
 
 
-def _most(column: str) -> Column:
-    return F.max(column).over(Window.partitionBy())
+def _with_most(edges: DataFrame) -> DataFrame:
+    """Fans with the greatest of each (at least 1), a single row that is broadcast: no window gathers all symbols in a task."""
+    fans = fan(edges)
+    most = fans.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"most_{c}") for c in ("fan_in", "fan_out")])
+    return fans.crossJoin(F.broadcast(most))
 
 
 def critical(edges: DataFrame, limit: int = 10) -> DataFrame:
     """0.6 * fan_in + 0.4 * fan_out / greatest fan_out, as rounded percent."""
-    top = fan(edges).withColumn("score", F.round((F.col("fan_in") * 0.6 + F.col("fan_out") / F.greatest(_most("fan_out"), F.lit(1)) * 0.4) * 100).cast("long"))
-    return top.orderBy(F.desc("score"), "symbol").limit(limit)
+    score = F.round((F.col("fan_in") * 0.6 + F.col("fan_out") / F.col("most_fan_out") * 0.4) * 100).cast("long")
+    return _with_most(edges).select("symbol", "fan_in", "fan_out", score.alias("score")).orderBy(F.desc("score"), "symbol").limit(limit)
 
 
 def critical_normalised(edges: DataFrame, limit: int = 10) -> DataFrame:
     """Both fans over their greatest, the second at half weight; percent cut to a whole number."""
-    share = lambda c: F.col(c) / F.greatest(_most(c), F.lit(1))
-    raw = share("fan_in") * 0.6 + share("fan_out") * 0.5 * 0.4
-    top = fan(edges).withColumn("raw", raw)
+    raw = F.col("fan_in") / F.col("most_fan_in") * 0.6 + F.col("fan_out") / F.col("most_fan_out") * 0.5 * 0.4
+    top = _with_most(edges).select("symbol", raw.alias("raw"))
     return top.select("symbol", "raw", F.floor(F.round(F.col("raw") * 100, 9)).cast("long").alias("score")).orderBy(F.desc("raw"), "symbol").limit(limit).drop("raw")
 
 
@@ -177,11 +179,15 @@ def precision_at(hits: DataFrame, k: int = 5) -> DataFrame:
 
 
 def odd_percentile(rows: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """The value at place max(0, floor(n p / 100) - 1) of the sorted values, found by row number: no group is collected."""
-    order = Window.partitionBy(by).orderBy(value)
-    numbered = rows.select(by, value, F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("n"))
+    """The value at place max(0, floor(n p / 100) - 1) of the sorted values.
+
+    Values are counted before they are ordered, so a group's window runs over its distinct values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("k"))
+    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.select(by, value, F.sum("k").over(upto).alias("last"), F.sum("k").over(Window.partitionBy(by)).alias("n"))
     at = lambda p: F.greatest(F.lit(1), F.floor(F.col("n") * p / 100))
-    return numbered.groupBy(by).agg(*[F.max(F.when(F.col("r") == at(p), F.col(value))).alias(f"p{p}") for p in percents])
+    return placed.groupBy(by).agg(*[F.min(F.when(F.col("last") >= at(p), F.col(value))).alias(f"p{p}") for p in percents])
 
 
 def means(rows: DataFrame, by: list[str], columns: list[str], places: int = 2) -> DataFrame:
