@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
+from .workers import releasing, releasing_group
 
 #: Code points of the documents of a block; a longer document is a block of its own.
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 4 << 20
 PART_CHARS, GROUP = 1 << 19, 1 << 17
 MEMO_WORDS = 1 << 18
 
@@ -222,8 +223,8 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, decoded: bool = Fa
         columns = list(map(list, zip(*made, strict=True))) if made else [[] for _ in out_schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-    merged = rows.mapInArrow(distinct, "bucket int, block long, digest long, numbers binary, lens binary, words binary").repartition(n, "bucket").mapInArrow(
-        merge, "block long, digest long, numbers binary, lens binary, ids binary")
-    seqs = rows.mapInArrow(sequences, "block long, digest long, words int, doc_ids array<long>, lens binary, seq binary")
+    merged = rows.mapInArrow(releasing(distinct), "bucket int, block long, digest long, numbers binary, lens binary, words binary").repartition(n, "bucket").mapInArrow(
+        releasing(merge), "block long, digest long, numbers binary, lens binary, ids binary")
+    seqs = rows.mapInArrow(releasing(sequences), "block long, digest long, words int, doc_ids array<long>, lens binary, seq binary")
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * vectors + ", decoded binary" * decoded
-    return seqs.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, shape)
+    return seqs.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(releasing_group(reassemble), shape)

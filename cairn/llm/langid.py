@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import releasing
+
 #: Bounds of the sample that is learned from: texts of a language, characters of a text, characters of a language.
 TEXTS, TEXT_CHARS, LANG_CHARS = 400, 400, 24_000
 #: Letters told apart, the most frequent ones; all others count as one that matches nothing.
@@ -216,7 +218,7 @@ def predict(docs: DataFrame, samples: dict[str, str], label: str = "lang_pred",
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                                                  names=[*batch.schema.names, label, share])
 
-    return docs.mapInArrow(run, shape)
+    return docs.mapInArrow(releasing(run), shape)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from . import vectext
 from .bpe import pack, unpack
 from .components import components
 from .shared import materialise
+from .workers import releasing, releasing_group
 
 WORDS = 5
 #: Two sets link if 100 * shared >= THRESHOLD * union.
@@ -28,6 +29,8 @@ THRESHOLD = 75
 BUFFER, BUCKET_TOKENS, TILE = 1 << 21, 1 << 21, 1024
 #: A token of more than this share of the sets is ordered after all others by its approximate count.
 HOT_SHARE, HOT_LEAST, HOT_ORDER = 1000, 1000, 1 << 40
+#: Most tokens treated so, the most frequent ones; others are counted like any token.
+MOST_HOT = 1 << 20
 #: Low bits of tokens that needn't travel: 56 tell the tokens of two sets apart.
 DROPPED = np.uint64(8)
 _RATES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -103,7 +106,7 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, doc_id long, n long, node long")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), "kind int, doc_id long, n long, node long")
 
 
 #: Stands for a null doc_id; larger than all others, so a null is no component's name where an id can be.
@@ -206,8 +209,8 @@ def shared_tokens(texts: DataFrame, hot: np.ndarray, place: np.ndarray, total: i
         ends = pa.array(np.append(first, len(owner)).astype(np.int32))
         return pa.table([pa.array(names), pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(rank))], schema=out)
 
-    return texts.select("owner", "text", "node").mapInArrow(run, "bucket int, high binary, low binary, owners binary, at binary").groupBy("bucket").applyInArrow(
-        count, "owner long, tokens array<long>, ranks array<long>")
+    return texts.select("owner", "text", "node").mapInArrow(releasing(run), "bucket int, high binary, low binary, owners binary, at binary").groupBy("bucket").applyInArrow(
+        releasing_group(count), "owner long, tokens array<long>, ranks array<long>")
 
 
 def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
@@ -355,7 +358,7 @@ def links(sets: DataFrame, groups: DataFrame, threshold: int = THRESHOLD, tile:
         pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
 
-    return members.groupBy("tile").applyInArrow(compare, "a long, b long")
+    return members.groupBy("tile").applyInArrow(releasing_group(compare), "a long, b long")
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -370,8 +373,8 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
     rows = found.where("kind = 0").withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
     nodes = materialise(number(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"))), "ngram-nodes")
     sums = nodes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    # a token counted here is in HOT_LEAST sets and in one of HOT_SHARE: at most HOT_SHARE times the mean size of a set
-    often = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, sums["sets"] // HOT_SHARE))
+    # frequent tokens only save work: what MOST_HOT leaves out is counted with all others
+    often = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, sums["sets"] // HOT_SHARE)).orderBy(F.desc("n"), "node").limit(MOST_HOT)
     named = np.array(sorted((r["n"], r["node"]) for r in often.collect()), np.int64).reshape(-1, 2)
     hot = named[:, 1].copy().view(np.uint64)
     place = np.argsort(hot)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .shared import fresh_dir, materialise, open_uri
+from .workers import releasing
 
 MAGIC = b"S8B1\0\0\0\0"
 #: Ids in a word, by selector; each has 60 // count bits. Selector 15 escapes.
@@ -299,7 +300,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None, where: str | None
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
         .repartitionByRange(n, "doc_id", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(run, "part int, uri string, bytes long, ids long, documents long"), "simple8b-manifest")
+    return materialise(ordered.mapInArrow(releasing(run), "part int, uri string, bytes long, ids long, documents long"), "simple8b-manifest")
 
 
 #: Stands for a null id in files and in the order.
@@ -332,7 +333,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return files.select("uri", "bytes", "base").repartition(n, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("uri", "bytes", "base").repartition(n, "uri").mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 2) -> DataFrame:

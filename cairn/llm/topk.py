@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
+from .workers import releasing_group
 
 SCALE = 1024
 LEAF, SHARD_ROWS, QUERY_BLOCK = 128, 16_384, 4_096
@@ -161,7 +162,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         """asking: queries with ``shard`` and ``bound``."""
         keys = ["dim", "shard", "block"]
         held = rows.withColumn("shard", where).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return materialise(held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(ask, shape), tag)
+        return materialise(held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(releasing_group(ask), shape), tag)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     first = round_of(queries.withColumn("shard", where).withColumn("bound", F.lit(NONE)), "topk-first")

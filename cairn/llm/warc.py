@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_dir, materialise, open_uri
+from .workers import releasing
 
 #: Fixed value: the profile of a revisit whose payload is identical.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,7 +120,7 @@ def write(pages: DataFrame, where: str | None = None, min_bytes: int = 0) -> Dat
         if out is not None:
             yield done()
 
-    return materialise(known.mapInArrow(run, "uri string, captures long"), "warc-manifest")
+    return materialise(known.mapInArrow(releasing(run), "uri string, captures long"), "warc-manifest")
 
 
 def parse(stream) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -193,7 +194,7 @@ def records(manifest: DataFrame, payload: bool = False) -> DataFrame:
                     yield pa.record_batch(list(map(list, zip(*held, strict=True))), schema=schema)
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("uri").repartition(n, "uri").mapInArrow(run, RECORDS + ", payload binary" * payload)
+    return manifest.select("uri").repartition(n, "uri").mapInArrow(releasing(run), RECORDS + ", payload binary" * payload)
 
 
 def assemble(found: DataFrame) -> DataFrame:
