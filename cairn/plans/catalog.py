@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -199,7 +199,7 @@ query("a23_precision_at_5", """WITH h AS (SELECT o_custkey AS case_id, row_numbe
     e AS (SELECT case_id, count(*) FILTER (hit) AS expected FROM h GROUP BY 1) SELECT h.case_id, count(*) FILTER (hit) AS hits, count(*) FILTER (hit)::DOUBLE / least(5, greatest(1, any_value(expected))) AS precision
     FROM h JOIN e ON h.case_id = e.case_id WHERE rank <= 5 GROUP BY 1""")(
     lambda g: (lambda h: A.precision_at(h.join(h.groupBy("case_id").agg(F.count(F.when(F.col("hit"), 1)).alias("expected")), "case_id")))(W.first_seen(g.orders.select(F.col("o_custkey").alias("case_id"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("hit")), ["case_id"], ["o_orderkey"]).withColumn(
-        "rank", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("case_id").orderBy("o_orderkey")))))
+        "rank", F.row_number().over(Window.partitionBy("case_id").orderBy("o_orderkey")))))
 query("a24_percentiles", """WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events})
     SELECT event_type, max(value) FILTER (r = greatest(1, floor(n * 50 / 100.0))) AS p50, max(value) FILTER (r = greatest(1, floor(n * 95 / 100.0))) AS p95, max(value) FILTER (r = greatest(1, floor(n * 99 / 100.0))) AS p99 FROM n GROUP BY 1""")(
     lambda g: A.odd_percentile(g.events, "event_type", "value"))
