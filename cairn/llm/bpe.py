@@ -114,6 +114,14 @@ class Block:
         self.keys += keys
         self.chars += len(joined)
 
+    def add_long(self, key, text: str) -> None:
+        """One document in pieces; their pre-tokens are the document's."""
+        before = len(self.lens)
+        for piece in vectext.pieces(text, PART_CHARS):
+            self.add([], [piece])
+        self.lens[before:] = [np.sum(self.lens[before:], axis=0)]
+        self.keys.append(key)
+
 
 def blocks(batches, chars: int) -> Iterator[Block]:
     block = Block()
@@ -122,7 +130,10 @@ def blocks(batches, chars: int) -> Iterator[Block]:
         for lo in range(0, len(keys), 256):
             own = batch.column(1).slice(lo, 256).to_pylist()
             for first, texts in vectext.blocks(own, PART_CHARS):
-                block.add(keys[lo + first: lo + first + len(texts)], texts)
+                if len(texts[0]) > 2 * PART_CHARS:
+                    block.add_long(keys[lo + first], texts[0])
+                else:
+                    block.add(keys[lo + first: lo + first + len(texts)], texts)
                 if block.chars >= chars:
                     yield block
                     block = Block()

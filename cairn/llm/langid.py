@@ -27,6 +27,7 @@ TEXTS, TEXT_CHARS, LANG_CHARS = 400, 400, 24_000
 ALPHABET = 250
 RUN = 256
 LANES = 1 << 14
+LONG = 1 << 22
 UNDETERMINED = "und"
 
 
@@ -174,8 +175,9 @@ class Model:
         """Label and score of each text: the share of 2^-bits that the shortest code has."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        found, _ = self.phrases(texts)
-        bits = found * np.array(self.bits)
+        # a very long text is parsed in pieces of fixed length, like runs
+        found = np.array([sum(self.phrases([t[i: i + LONG]])[0][0] for i in range(0, max(1, len(t)), LONG)) for t in texts]) if any(len(t) > LONG for t in texts) else self.phrases(texts)[0]
+        bits = found.reshape(len(texts), -1) * np.array(self.bits)
         best = bits.argmin(axis=1)
         score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
         has = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)

@@ -40,11 +40,19 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's n-grams of words, A-Z lower-cased; all words as one if there are fewer."""
     rates = _RATES if words == WORDS else vectext.mix(np.arange(1, words + 1, dtype=np.uint64) * _RATES[0]) | np.uint64(1)
     out: list[np.ndarray] = []
-    for _, part in vectext.blocks(texts):
+
+    def hashed(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cps, bounds = vectext.points(part)
         cps = np.where((cps - np.uint32(65)) <= 25, cps + np.uint32(32), cps)
         starts, ends, first = vectext.words(cps, bounds)
-        h = vectext.hashes(cps, starts, ends)
+        return vectext.hashes(cps, starts, ends), first
+
+    for _, part in vectext.blocks(texts):
+        if len(part[0]) > vectext.PIECE_CHARS:
+            h = np.concatenate([hashed([piece])[0] for piece in vectext.pieces(part[0], vectext.BLOCK_CHARS)])
+            first = np.array([0, len(h)])
+        else:
+            h, first = hashed(part)
         grams = np.zeros(max(0, len(h) - words + 1), np.uint64)
         for k in range(words if len(grams) else 0):
             grams += h[k: k + len(grams)] * rates[k]

@@ -220,6 +220,9 @@ class WordEncoder:
         Words are cut and A-Z lower-cased as the tokenizer itself does first, unless a text holds one of
         its special tokens, which would be cut too; then its block goes by white space alone.
         """
+        if len(texts) == 1 and len(texts[0]) > vectext.PIECE_CHARS and (cut := list(vectext.pieces(texts[0], vectext.PIECE_CHARS // 2)))[1:]:
+            ids = np.concatenate([self([piece], None)[0] for piece in cut] + ([] if end_id is None else [np.array([end_id], np.uint32)]))
+            return ids, np.array([len(ids)])
         if self.n > MEMO_WORDS:
             self._forget()
         joined = "".join(texts)

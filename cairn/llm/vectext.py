@@ -30,6 +30,27 @@ def blocks(texts: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[
         yield first, held
 
 
+#: Texts beyond this many code points are worked on in pieces.
+PIECE_CHARS = 1 << 22
+
+
+def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
+    """A text in pieces of at least ``chars`` code points, but for the last, each beginning with a single space between two words.
+
+    No word, pre-token or contraction crosses such a place. A text without one stays whole.
+    """
+    start, n = 0, len(text)
+    while n - start > chars:
+        at = text.find(" ", start + chars)
+        while 0 <= at < n - 1 and (text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.find(" ", at + 1)
+        if at < 0 or at >= n - 1:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in one array, and where each text begins (and the last ends)."""
     bounds = np.zeros(len(texts) + 1, np.int64)

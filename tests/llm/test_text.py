@@ -135,3 +135,30 @@ def test_quality_threshold_is_the_quantile():
     raw = (x - model.mean) / model.scale @ model.weights
     assert (raw < model.cut).sum() == (y == 0).sum() and ((raw >= model.cut) == y).mean() > 0.95
     assert np.isfinite(quality.features(["", " ", "a", "!!|<>", "\n\n"])).all()
+
+
+def test_very_long_texts_in_pieces(monkeypatch):
+    """Small pieces give what whole texts give."""
+    from cairn.llm import ngramjoin
+
+    rng = random.Random(9)
+    text = "".join(rng.choices(ALPHABET + [" word", " It's", "  "], k=4000))
+    assert "".join(vectext.pieces(text, 100)) == text and len(list(vectext.pieces(text, 100))) > 10 and list(vectext.pieces("x" * 500, 100)) == ["x" * 500]
+    e = simple8b.WordEncoder(queries.vocabulary(queries.TOKENIZER))
+    want_ids, want_set = e([text], 2)[0].tolist(), ngramjoin.shingle_sets([text])[0].tolist()
+    whole = bpe.Block()
+    whole.add([1], [text])
+    parts = bpe.Block()
+    monkeypatch.setattr(vectext, "PIECE_CHARS", 200)
+    monkeypatch.setattr(bpe, "PART_CHARS", 100)
+    parts.add_long(1, text)
+    assert e([text], 2)[0].tolist() == want_ids and ngramjoin.shingle_sets([text])[0].tolist() == want_set
+    show = lambda b: [b.words[i] for i in np.concatenate(b.parts).tolist()]
+    assert show(parts) == show(whole) and np.concatenate(parts.lens).tolist() == np.concatenate(whole.lens).tolist() and parts.keys == [1]
+    model = langid.Model({"a": "word its it the and", "b": "mot le la et"})
+    labels = model.predict([text, "word", ""])[0]
+    monkeypatch.setattr(langid, "LONG", 500)
+    monkeypatch.setattr(quality, "LONG", 500)
+    assert model.predict([text, "word", ""])[0] == labels
+    got = quality.features([text, "short", ""])
+    assert got.shape == (3, len(quality.FEATURES)) and np.isfinite(got).all() and got[0, 0] == pytest.approx(np.log1p(len(text)))
