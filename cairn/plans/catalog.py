@@ -476,6 +476,11 @@ query("p11_python_flows", """WITH n AS (SELECT concat('m', p_partkey, '.f', p_pa
 query("p04_typescript_calls", "SELECT concat('t', p_partkey, '.run', p_partkey) AS caller, concat('go', p_partkey) AS callee FROM {part}")(
     lambda g: P.tables(P.evidence(g.part.select(F.concat(F.lit("src/t"), "p_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("export function run"), "p_partkey", F.lit("(a) {\n  go"), "p_partkey", F.lit("(a)\n}\n")).alias("text"))))["raw_call"].select(
         F.col("caller_qname").alias("caller"), F.col("callee_name").alias("callee")))
+_REACH = "r AS (SELECT src AS a, dst AS b FROM {calls} UNION SELECT r.a, e.dst FROM r JOIN {calls} e ON r.b = e.src)"
+# g05 and g06 take every second call, as their SQL does; these take all of them
+query("g14_on_cycles_whole", f"WITH RECURSIVE {_REACH} SELECT a AS symbol FROM r WHERE a = b")(lambda g: G.on_cycles(g.calls).select("symbol"))
+query("g15_cycle_sizes_whole", f"""WITH RECURSIVE {_REACH}, s AS (SELECT x.a, max(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+    SELECT component, count(*) AS n FROM s GROUP BY 1""")(lambda g: G.on_cycles(g.calls).groupBy("component").agg(F.count(F.lit(1)).alias("n")))
 query("g12_routed_lookup", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 21")(lambda g: R.plan(g, "calls", "p.10", "incoming", 20)[0])
 query("g13_strategy", None)(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400))
 query("g06_cycle_sizes", """WITH RECURSIVE e AS (SELECT src, dst FROM {raw_call} WHERE call_id % 2 = 0 GROUP BY 1, 2), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
