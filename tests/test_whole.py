@@ -37,3 +37,18 @@ def test_cycles_of_all_calls(spark):
         top = max(b for b in reached[a] if a in reached[b])
         sizes[top] = sizes.get(top, 0) + 1
     assert {r["component"]: r["n"] for r in run(spark, "g15_cycle_sizes_whole")} == sizes
+
+
+def test_depths_and_metrics_of_all_calls(spark):
+    out, reached = whole_graph(spark)
+    entered = {b for to in out.values() for b in to}
+    depth, front, d = {}, set(out) - entered, 0
+    while front:
+        depth |= dict.fromkeys(front, d)
+        front, d = {b for a in front for b in out[a]} - set(depth), d + 1
+    rows = run(spark, "g16_call_depth_whole")
+    assert len(rows) == len(out) and {r["symbol"]: r["depth"] for r in rows} == {a: depth.get(a, 0) for a in out}
+    got = run(spark, "a39_metrics_whole")[0]
+    assert (got["symbols"], got["calls"]) == (len(out), sum(map(len, out.values())))
+    assert got["in_cycles"] == sum(a in reached[a] for a in out) > 100 and got["max_depth"] == max(depth.values())
+    assert got["max_fan_out"] == max(map(len, out.values()))
