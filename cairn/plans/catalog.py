@@ -488,6 +488,11 @@ query("g16_call_depth_whole", f"WITH RECURSIVE {_LEVELS} SELECT n.symbol, coales
 query("a39_metrics_whole", f"""WITH RECURSIVE {_LEVELS}, m AS (SELECT symbol, min(depth) AS depth FROM d GROUP BY 1), {_REACH}, f AS ({_FAN})
     SELECT count(*) AS symbols, sum(fan_out)::BIGINT AS calls, round(avg(fan_in), 2) AS avg_fan_in, round(avg(fan_out), 2) AS avg_fan_out, max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out,
     (SELECT count(*) FROM r WHERE a = b) AS in_cycles, (SELECT max(depth) FROM m) AS max_depth FROM f""")(lambda g: A.metrics(g.calls, G.on_cycles(g.calls), G.depths(g.calls)))
+# l06 and l07 end after 100 and 30 rows, as their SQL does; these give all rows
+query("l11_severity_order_whole", "SELECT id, CASE WHEN value > 300 THEN 'critical' WHEN value > 100 THEN 'medium' ELSE 'info' END AS worst FROM {activity}")(
+    lambda g: (lambda r: W.by_severity(r, A.severity_rank(F.col("worst")), "id"))(g.activity.select("id", F.when(F.col("value") > 300, "critical").when(F.col("value") > 100, "medium").otherwise("info").alias("worst"))))
+query("l12_versions_whole", "SELECT DISTINCT concat(p_size % 4, '.', p_size, '.', p_partkey % 12) AS v FROM {part}")(
+    lambda g: W.versions(g.part.select(F.concat_ws(".", F.col("p_size") % 4, "p_size", F.col("p_partkey") % 12).alias("v")).distinct(), "v"))
 query("g12_routed_lookup", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 21")(lambda g: R.plan(g, "calls", "p.10", "incoming", 20)[0])
 query("g13_strategy", None)(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400))
 query("g06_cycle_sizes", """WITH RECURSIVE e AS (SELECT src, dst FROM {raw_call} WHERE call_id % 2 = 0 GROUP BY 1, 2), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),

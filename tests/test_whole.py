@@ -52,3 +52,14 @@ def test_depths_and_metrics_of_all_calls(spark):
     assert (got["symbols"], got["calls"]) == (len(out), sum(map(len, out.values())))
     assert got["in_cycles"] == sum(a in reached[a] for a in out) > 100 and got["max_depth"] == max(depth.values())
     assert got["max_fan_out"] == max(map(len, out.values()))
+
+
+def test_sorts_give_all_rows_in_order(spark):
+    g = Graph(spark, SF)
+    rank = {"critical": 4, "medium": 2, "info": 0}
+    worst = {r["event_id"]: "critical" if (v := r["value"] or 0) > 300 else "medium" if v > 100 else "info" for r in g.events.collect()}
+    got = [(r["id"], r["worst"]) for r in run(spark, "l11_severity_order_whole")]
+    assert len(got) > 100 and got == sorted(worst.items(), key=lambda x: (-rank[x[1]], x[0]))
+    versions = {(r["p_size"] % 4, r["p_size"], r["p_partkey"] % 12) for r in g.part.collect()}
+    got = [tuple(map(int, r["v"].split("."))) for r in run(spark, "l12_versions_whole")]
+    assert len(got) > 30 and got == sorted(versions, reverse=True)
