@@ -493,6 +493,9 @@ query("l11_severity_order_whole", "SELECT id, CASE WHEN value > 300 THEN 'critic
     lambda g: (lambda r: W.by_severity(r, A.severity_rank(F.col("worst")), "id"))(g.activity.select("id", F.when(F.col("value") > 300, "critical").when(F.col("value") > 100, "medium").otherwise("info").alias("worst"))))
 query("l12_versions_whole", "SELECT DISTINCT concat(p_size % 4, '.', p_size, '.', p_partkey % 12) AS v FROM {part}")(
     lambda g: W.versions(g.part.select(F.concat_ws(".", F.col("p_size") % 4, "p_size", F.col("p_partkey") % 12).alias("v")).distinct(), "v"))
+# a16 takes signups of owners under 20, as its SQL does; this takes all activity
+query("a40_dense_days_whole", """WITH d AS (SELECT CAST(occurred_at AS DATE) AS day, count(*) AS n FROM {activity} GROUP BY 1) SELECT CAST(r.day AS DATE) AS day, coalesce(d.n, 0) AS n
+    FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) r LEFT JOIN d ON CAST(r.day AS DATE) = d.day""")(lambda g: A.dense_days(g.activity))
 query("g12_routed_lookup", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 21")(lambda g: R.plan(g, "calls", "p.10", "incoming", 20)[0])
 query("g13_strategy", None)(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400))
 query("g06_cycle_sizes", """WITH RECURSIVE e AS (SELECT src, dst FROM {raw_call} WHERE call_id % 2 = 0 GROUP BY 1, 2), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),

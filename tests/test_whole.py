@@ -1,5 +1,8 @@
 """Queries over whole inputs against brute force: nothing is left out by ids, limits or rounds."""
 
+import datetime
+
+from cairn.operators import aggregates as A
 from cairn.plans import catalog
 from cairn.views import Graph
 
@@ -63,3 +66,10 @@ def test_sorts_give_all_rows_in_order(spark):
     versions = {(r["p_size"] % 4, r["p_size"], r["p_partkey"] % 12) for r in g.part.collect()}
     got = [tuple(map(int, r["v"].split("."))) for r in run(spark, "l12_versions_whole")]
     assert len(got) > 30 and got == sorted(versions, reverse=True)
+
+
+def test_days_of_all_activity(spark):
+    assert sum(r["n"] for r in run(spark, "a40_dense_days_whole")) == Graph(spark, SF).events.count()
+    at = [datetime.datetime(2024, 1, d, 12, tzinfo=datetime.UTC) for d in (1, 1, 4)]
+    got = A.dense_days(spark.createDataFrame([(x,) for x in at], "occurred_at timestamp")).orderBy("day").collect()
+    assert [(r["day"].day, r["n"]) for r in got] == [(1, 2), (2, 0), (3, 0), (4, 1)]
