@@ -6,6 +6,8 @@ plans stay short and a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from ..shared import materialise
 from . import small
 from .joins import callees, callers
 
-MOST_ROUNDS = 10_000
 #: Steps of a loop between two tables in the shared folder.
 STEPS = 3
 
@@ -35,23 +36,22 @@ def dependency_chain(defines: DataFrame, calls: DataFrame, source: str, target:
     return paths[0].union(paths[1]).union(paths[2]).groupBy("hops").agg(F.count(F.lit(1)).alias("paths")).orderBy("hops")
 
 
-def return_influence(variables: DataFrame, flows: DataFrame, most: int = 16) -> DataFrame:
+def return_influence(variables: DataFrame, flows: DataFrame) -> DataFrame:
     """Node-simple flow paths from each parameter to its scope's return: (scope_qname, parameter, path, hops).
 
-    Parallel flows count once. Paths that can't go on are dropped at each hop; none is longer than ``most``.
+    Parallel flows count once. Paths that can't go on are dropped at each hop, until none goes on.
     """
     edges = flows.select("src", "dst").distinct()
     ends = variables.where("role = 'return'").select(F.col("qualified_name").alias("end"), F.col("scope_qname").alias("end_scope"))
     now = variables.where("role = 'parameter'").select("scope_qname", F.col("qualified_name").alias("parameter"), F.col("qualified_name").alias("at"), F.array("qualified_name").alias("path"))
     found = None
-    for hop in range(1, most + 1):
+    for hop in count(1):  # simple paths end
         now = materialise(now.join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(
             "scope_qname", "parameter", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")), "paths")
+        if found is not None and now.isEmpty():
+            return found
         hits = now.join(ends, (F.col("at") == F.col("end")) & (F.col("scope_qname") == F.col("end_scope"))).select("scope_qname", "parameter", "path", F.lit(hop).alias("hops"))
         found = hits if found is None else found.union(hits)
-        if now.isEmpty():
-            break
-    return found
 
 
 def flow_narrative(variables: DataFrame, flows: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -66,15 +66,14 @@ def flow_narrative(variables: DataFrame, flows: DataFrame, metrics: DataFrame) -
 def core(edges: DataFrame) -> DataFrame:
     """Edges left after nodes without a way in or out are taken away again and again: all cycles are among them."""
     now, n = edges.select("src", "dst").distinct(), None
-    for _ in range(MOST_ROUNDS):
+    while True:
         for _ in range(STEPS):
             now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         now = materialise(now, "core")
         m = now.count()
         if m == n or not m:
-            break
+            return now
         n = m
-    return now
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,7 +136,7 @@ def depths(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
     nodes = pairs.select(F.col("src").alias("symbol")).union(pairs.select(F.col("dst").alias("symbol"))).distinct()
     front = nodes.join(pairs.select(F.col("dst").alias("symbol")).distinct(), "symbol", "left_anti").withColumn("depth", F.lit(0))
     seen = front = materialise(front, "depths")
-    for d in range(1, MOST_ROUNDS):
+    for d in count(1):  # each round sees new nodes
         front = materialise(front.join(pairs, F.col("symbol") == F.col("src")).select(F.col("dst").alias("symbol")).distinct().join(seen, "symbol", "left_anti").withColumn("depth", F.lit(d)), "depths")
         if front.isEmpty():
             break

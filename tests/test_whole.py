@@ -3,6 +3,7 @@
 import datetime
 
 from cairn.operators import aggregates as A
+from cairn.operators import graph as G
 from cairn.plans import catalog
 from cairn.views import Graph
 
@@ -73,3 +74,12 @@ def test_days_of_all_activity(spark):
     at = [datetime.datetime(2024, 1, d, 12, tzinfo=datetime.UTC) for d in (1, 1, 4)]
     got = A.dense_days(spark.createDataFrame([(x,) for x in at], "occurred_at timestamp")).orderBy("day").collect()
     assert [(r["day"].day, r["n"]) for r in got] == [(1, 2), (2, 0), (3, 0), (4, 1)]
+
+
+def test_paths_of_any_length(spark):
+    names = ["p", *(f"x{i}" for i in range(18)), "r"]
+    variables = spark.createDataFrame([(f"s:{n}", "s", {"p": "parameter", "r": "return"}.get(n, "local")) for n in names], "qualified_name string, scope_qname string, role string")
+    flows = spark.createDataFrame([(f"s:{a}", f"s:{b}") for a, b in zip(names, names[1:])], "src string, dst string")
+    got = G.return_influence(variables, flows).collect()
+    assert [(r["hops"], r["path"]) for r in got] == [(19, [f"s:{n}" for n in names])]
+    assert G.return_influence(variables, flows.limit(0)).count() == 0
