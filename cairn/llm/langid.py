@@ -23,7 +23,7 @@ from .workers import releasing
 
 #: Bounds of the sample that is learned from: texts of a language, characters of a text, characters of a language.
 TEXTS, TEXT_CHARS, LANG_CHARS = 400, 400, 24_000
-#: Letters told apart, the most frequent ones; all others count as one that matches nothing.
+#: Letters told apart in each language, its most frequent ones; all others count as one that matches nothing.
 ALPHABET = 250
 RUN = 256
 LANES = 1 << 14
@@ -40,15 +40,16 @@ def training_text(docs: DataFrame) -> dict[str, str]:
     """For each label, a bounded text of its labelled rows that aren't held out.
 
     Rows are chosen by a hash of their text, so the choice depends on no order or partition;
-    the chance to be read is set from a count so that few more rows than TEXTS reach the driver.
+    the chance to be read is set from the number of distinct texts, so that few more than TEXTS reach
+    the driver and a label whose rows are copies isn't lost.
     """
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     out: dict[str, str] = {}
     if not counts:
         return out
     key = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil((1 << 20) * min(1.0, 2 * TEXTS / n)))]), F.col("lang"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil((1 << 20) * min(1.0, 2 * TEXTS / max(1, n))))]), F.col("lang"))
     rows = usable.withColumn("key", key).where(F.col("key") < limit).select("lang", "key", F.substring("text", 1, TEXT_CHARS).alias("text")).distinct().collect()
     for lang in sorted(counts):
         own = sorted((r["key"], r["text"]) for r in rows if r["lang"] == lang)
@@ -107,26 +108,33 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         lowered = {k: v.lower() for k, v in samples.items()}
-        freq: dict[str, int] = {}
-        for text in lowered.values():
+        own = {}
+        for lang, text in lowered.items():
+            freq: dict[str, int] = {}
             for c in text:
                 if c.isalpha():
                     freq[c] = freq.get(c, 0) + 1
-        kept = sorted(freq, key=lambda c: (-freq[c], c))[:ALPHABET]
-        self.table = letters().astype(np.uint8)
-        self.table[[ord(c) for c in kept]] = np.arange(2, 2 + len(kept), dtype=np.uint8)
-        self.width = 2 + len(kept)
+            own[lang] = sorted(freq, key=lambda c: (-freq[c], c))[:ALPHABET]
+        kept = sorted(set().union(*own.values()))
+        self.table = letters().astype(np.uint16 if len(kept) < 1 << 15 else np.uint32)
+        self.table[[ord(c) for c in kept]] = np.arange(2, 2 + len(kept), dtype=self.table.dtype)
+        self.own = []  # for each language, its own code of each code
         self.moves, self.bits = [], []
         for lang in self.langs:
-            codes, _ = self.codes([lowered[lang]])
+            width = 2 + len(own[lang])
+            to = np.ones(2 + len(kept), np.int32)
+            to[0] = 0
+            to[self.table[[ord(c) for c in own[lang]]]] = np.arange(2, width)
+            self.own.append(to)
+            codes = to[self.codes([lowered[lang]])[0]]
             # rows: what follows in a state; a phrase ends where nothing does, and the character begins the next
-            nxt = np.array(suffix_automaton(codes.tolist(), self.width), np.int32)
+            nxt = np.array(suffix_automaton(codes.tolist(), width), np.int32)
             nxt[:, 1] = -1
             begin = np.where(nxt[0] >= 0, nxt[0], 0)
             alone = (nxt[0] < 0).astype(np.int32)  # a character that no phrase has is a phrase itself
             ends = np.ones((len(nxt), 1), np.int32)
             ends[0] = 0
-            moves = np.where(nxt >= 0, nxt, begin) * np.int32(self.width) | np.where(nxt >= 0, 0, (ends + alone)) << self.SHIFT
+            moves = np.where(nxt >= 0, nxt, begin) * np.int32(width) | np.where(nxt >= 0, 0, (ends + alone)) << self.SHIFT
             self.moves.append(np.ascontiguousarray(moves, np.int32).ravel())
             self.bits.append(math.log2(max(2, len(codes))))
 
@@ -155,16 +163,17 @@ class Model:
         size = np.minimum(RUN, starts[1:][owner] - begin)
         order = np.argsort(-size, kind="stable")
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        padded = np.concatenate((codes, np.zeros(RUN, np.uint8)))
+        padded = np.concatenate((codes, np.zeros(RUN, codes.dtype)))
         for lo in range(0, len(order), LANES):
             own = order[lo: lo + LANES]
-            block = padded[begin[own][None, :] + np.arange(size[own[0]])[:, None]].astype(np.int32)
+            block = padded[begin[own][None, :] + np.arange(size[own[0]])[:, None]]
             active = np.searchsorted(-size[own], -np.arange(1, len(block) + 1), "right")
-            for k, moves in enumerate(self.moves):
+            for k, (moves, to) in enumerate(zip(self.moves, self.own, strict=True)):
+                local = to[block]
                 state, count = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
                 for t in range(len(block)):
                     n = active[t]
-                    v = moves[state[:n] + block[t, :n]]
+                    v = moves[state[:n] + local[t, :n]]
                     count[:n] += v >> self.SHIFT
                     state[:n] = v & self.MASK
                 count += state > 0
