@@ -4,13 +4,21 @@ A pair can reach the threshold only if it shares a token among the first
 n - ceil(t n) + 1 of both sets, under any order of all tokens. Three orders are used, all
 rarest first so that tokens of a single set drop out at once, with different ties and
 grains. Sets that could meet under the first order form groups, which the second and
-third order split again; the members of a group are then compared in tiles, where a
-pair must pass all three filters before its overlap is counted.
+third order split again; within a group a pair must pass all three filters before its
+overlap is counted.
+
+Texts are read once. A task writes its sets to files of bounded size in the shared folder
+and asks for the frequency of each of a file's tokens once; a token that many sets of a
+file have is one number on its way, so a frequent token is counted in parts. Groups are
+cut into bins of bounded size, by size band and hash, and bins are compared from their
+files: no set is copied for a pair of bins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -19,21 +27,21 @@ from pyspark.sql import functions as F
 from . import vectext
 from .bpe import pack, unpack
 from .components import components
-from .shared import materialise
+from .shared import drop, fresh_dir, get, materialise, put
 from .workers import releasing, releasing_group
 
 WORDS = 5
 #: Two sets link if 100 * shared >= THRESHOLD * union.
 THRESHOLD = 75
-#: Tokens buffered by a task, tokens of a bucket, members of a side of a tile.
-BUFFER, BUCKET_TOKENS, TILE = 1 << 21, 1 << 21, 1024
-#: A token of more than this share of the sets is ordered after all others by its approximate count.
-HOT_SHARE, HOT_LEAST, HOT_ORDER = 1000, 1000, 1 << 40
-#: Most tokens treated so, the most frequent ones; others are counted like any token.
-MOST_HOT = 1 << 20
-#: Low bits of tokens that needn't travel: 56 tell the tokens of two sets apart.
-DROPPED = np.uint64(8)
+#: Tokens and sets of a file, tokens of a bucket that is counted at once, tokens of a bin (a set counts as SET_TOKENS more).
+BUFFER, FILE_SETS, BUCKET_TOKENS, BIN_TOKENS, SET_TOKENS = 1 << 21, 1 << 16, 1 << 21, 1 << 20, 1 << 10
+#: Sets that a task remembers in order to write copies once.
+MEMO_SETS = 1 << 18
+#: Rows of a group that is looked up are dealt to so many parts.
+SALTS = 64
 _RATES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -67,158 +75,88 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def least_linking(threshold: int) -> int:
+    """Sets of fewer tokens link only with equal sets: one token more makes too large a union."""
+    return 1 << 62 if threshold >= 100 else -(-threshold // (100 - threshold))
 
 
-def _sets(batches, words: int):
-    """(first column, set of the second column's text, further column) of each row."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            key, text, *more = (c.slice(lo, 256).to_pylist() for c in batch.columns)
-            yield from zip(key, shingle_sets(text, words), more[0] if more else key, strict=True)
+def node_of(tokens: np.ndarray, text: str, words: int = WORDS) -> bytes:
+    """128-bit name of a set. Names of one or two tokens are made of the words themselves, as a single 64-bit hash could be met by chance."""
+    if len(tokens) > 2:
+        return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    w = _WORD.findall(text.translate(_LOWER))
+    grams = sorted({"\n".join(w[i: i + words]) for i in range(max(1, len(w) - words + 1))})
+    return hashlib.blake2b("\n\n".join(grams).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows of kind 0: doc_id, n (size of its set), node (name of its set); of kind 1: a token that several sets of a task share, and how many.
+def framed(sets: list[np.ndarray]) -> bytes:
+    """Sets as the content of a file."""
+    return np.concatenate([np.array([len(sets)], np.int64), np.cumsum([len(x) for x in sets]).astype(np.int64), *(x.view(np.int64) for x in sets)]).tobytes()
 
-    Only tokens of four or more of the sets that a task holds at a time are named, so kind 1 is
-    a small fraction of all tokens; a token of one set in HOT_SHARE is named by most tasks.
-    """
-    import pyarrow as pa
-
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
-
-    def run(batches):
-        rows, seen, held, size = [], set(), [], 0
-
-        def flush():
-            nonlocal rows, seen, held, size
-            if rows:
-                yield pa.record_batch([pa.array([0] * len(rows), pa.int32()), *map(list, zip(*rows, strict=True))], schema=schema)
-            if held:
-                token, n = np.unique(np.concatenate(held), return_counts=True)
-                token, n = token[n >= 4], n[n >= 4]
-                yield pa.record_batch([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(n.astype(np.int64)), pa.array(token.view(np.int64))], schema=schema)
-            rows, seen, held, size = [], set(), [], 0
 
-        for key, tokens, _ in _sets(batches, words):
-            node = node_of(tokens)
-            rows.append((key, len(tokens), node))
-            if len(tokens) and node not in seen:
-                seen.add(node)
-                held.append(tokens)
-                size += len(tokens)
-            if size >= BUFFER or len(rows) >= 1 << 16:
-                yield from flush()
-        yield from flush()
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(releasing(run), "kind int, doc_id long, n long, node long")
+def unframed(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all sets of a file, and the size of each set."""
+    x = np.frombuffer(content, np.int64)
+    n = int(x[0])
+    return x[1 + n:].view(np.uint64), np.diff(x[1: 1 + n], prepend=0)
 
 
 #: Stands for a null doc_id; larger than all others, so a null is no component's name where an id can be.
 NULL_ID = (1 << 63) - 1
 
 
-def number(nodes: DataFrame) -> DataFrame:
-    """Adds ``owner``, gapless from 0: nodes are counted in parts by their own bits, and each part starts where those before it end."""
-    part = F.pmod(F.col("node"), F.lit(1024))
-    parts = nodes.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    # 1024 rows at most
-    return nodes.withColumn("part", part).join(F.broadcast(parts), "part").withColumn(
-        "owner", F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).drop("part", "start")
-
-
-def shared_tokens(texts: DataFrame, hot: np.ndarray, place: np.ndarray, total: int, words: int = WORDS) -> DataFrame:
-    """(owner, tokens, ranks): the tokens of (owner, text, node) that several owners have, with the number of sets that have each.
+def written(docs: DataFrame, where: str, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """Writes the sets of all texts to files below ``where`` and returns a row for each document and for each file.
 
-    Tokens go to buckets of about BUCKET_TOKENS; a row holds one task's tokens for a bucket as
-    compressed byte planes. Tokens in ``hot`` (sorted; ``place`` has their places by count) aren't counted again: their rows go to
-    buckets by task, so no bucket gathers a frequent token.
+    Documents: key (its id), mark (hash of the text), n (size of its set), node (name of its set), and the place of the
+    set, (flush, at), where it is large enough to link with another set. Files: flush, uri, tokens.
     """
     import pyarrow as pa
 
-    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(2 * n, -(-total // BUCKET_TOKENS))
-    schema = pa.schema([("bucket", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("owners", pa.binary()), ("at", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("flush", pa.int64()), ("at", pa.int32()), ("uri", pa.string()), ("tokens", pa.int64())])
+    least = least_linking(threshold)
 
     def run(batches):
-        owners, held, size = [], [], 0
-
-        def row(bucket: int, token: np.ndarray, at: np.ndarray, names: np.ndarray):
-            used, at = np.unique(at, return_inverse=True)
-            order = np.argsort(names[used], kind="stable")
-            back = np.empty(len(used), np.int64)
-            back[order] = np.arange(len(used))
-            steps = np.diff(names[used][order], prepend=0)
-            if bucket >= 0:
-                token = token >> DROPPED
-            wide = np.concatenate((steps & 0xFFFFFFFF, steps >> 32))
-            return pa.record_batch([[bucket], [pack((token >> np.uint64(32)).astype(np.uint32))], [pack((token & np.uint64(0xFFFFFFFF)).astype(np.uint32))], [pack(wide)], [pack(back[at])]], schema=schema)
-
-        def flush():
-            nonlocal owners, held, size
-            if not held:
-                return
-            token, at, names = np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), np.array(owners, np.int64)
-            found = np.searchsorted(hot, token)
-            warm = hot[np.minimum(found, len(hot) - 1)] == token if len(hot) else np.zeros(len(token), bool)
-            # rows of an owner keep to one bucket: repeated documents' tokens meet there
-            own = names[at[warm]] % buckets
-            for b in np.unique(own).tolist():
-                yield row(-1 - b, token[warm][own == b], at[warm][own == b], names)
-            token, at = token[~warm], at[~warm]
-            order = np.argsort(token)
-            token, at = token[order], at[order]
-            cuts = np.searchsorted(bucket_of(token, buckets), np.arange(buckets + 1))
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    yield row(b, token[cuts[b]: cuts[b + 1]], at[cuts[b]: cuts[b + 1]], names)
-            owners, held, size = [], [], 0
-
-        for owner, tokens, node in _sets(batches, words):
-            if node_of(tokens) != node:  # another text under the same doc_id
-                continue
-            owners.append(owner)
-            held.append(tokens)
-            size += len(tokens)
-            if size >= BUFFER:
-                yield from flush()
-        yield from flush()
-
-    out = pa.schema([("owner", pa.int64()), ("tokens", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int64()))])
+        from pyspark import TaskContext
 
-    def count(table: pa.Table) -> pa.Table:
-        token, owner = [], []
-        for high, low, owners, at in zip(*(table.column(c).to_pylist() for c in ("high", "low", "owners", "at")), strict=True):
-            wide = unpack(owners).astype(np.int64)
-            names = np.cumsum(wide[: len(wide) // 2] | wide[len(wide) // 2:] << 32)
-            token.append(unpack(high).astype(np.uint64) << np.uint64(32) | unpack(low))
-            owner.append(names[unpack(at)])
-        token, owner = np.concatenate(token), np.concatenate(owner)
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
-        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
-        token, owner = token[fresh], owner[fresh]
-        if table.column("bucket")[0].as_py() < 0:
-            rank = HOT_ORDER + place[np.searchsorted(hot, token)]
-            token = token >> DROPPED
-        else:
-            first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            n = np.diff(np.append(first, len(token)))
-            rank = np.repeat(n, n)
-            some = rank > 1
-            token, owner, rank = token[some], owner[some], rank[some]
-        order = np.argsort(owner, kind="stable")
-        token, owner, rank = token[order], owner[order], rank[order].astype(np.int64)
-        names, first = np.unique(owner, return_index=True)
-        ends = pa.array(np.append(first, len(owner)).astype(np.int32))
-        return pa.table([pa.array(names), pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(rank))], schema=out)
+        first = TaskContext.get().partitionId() << 19
+        flush, rows, held, size, memo = first, [], [], 0, {}
 
-    return texts.select("owner", "text", "node").mapInArrow(releasing(run), "bucket int, high binary, low binary, owners binary, at binary").groupBy("bucket").applyInArrow(
-        releasing_group(count), "owner long, tokens array<long>, ranks array<long>")
+        def out():
+            nonlocal flush, rows, held, size
+            if held:
+                uri = f"{where}/{uuid.uuid4().hex}.sets"
+                put(uri, framed(held))
+                rows.append((None, None, None, None, flush, None, uri, size))
+                flush, held, size = flush + 1, [], 0
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rows = []
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                keys, marks, texts = (c.slice(lo, 256).to_pylist() for c in batch.columns)
+                for key, mark, text, tokens in zip(keys, marks, texts, shingle_sets(texts, words), strict=True):
+                    place = node = None
+                    if len(tokens):
+                        node = node_of(tokens, text, words)
+                    if len(tokens) >= least:
+                        place = memo.get(node)
+                        if place is None:
+                            if len(memo) >= MEMO_SETS:
+                                memo.clear()
+                            place = memo[node] = flush, len(held)
+                            held.append(tokens)
+                            size += len(tokens)
+                    rows.append((key, mark, len(tokens), node, *(place or (None, None)), None, None))
+                    if size >= BUFFER or len(held) >= FILE_SETS:
+                        yield from out()
+                if len(rows) >= 1 << 14 and not held:
+                    yield from out()
+        if rows:
+            yield from out()
+
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(releasing(run), "key long, mark long, n long, node binary, flush long, at int, uri string, tokens long")
 
 
 def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
@@ -226,23 +164,93 @@ def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
     return (token >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
 
 
-def prefixes(owned: DataFrame, sizes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(owner, n, tokens, p1, p2, p3) of the sets whose prefix holds a token that another set has.
+def frequencies(files: DataFrame, total: int) -> DataFrame:
+    """(flush, bucket, ranks): for the distinct tokens of each file in order, bucket by bucket, how many sets have each.
 
-    Tokens of one set only come first under every order and link nothing, so a prefix is cut by their number.
+    Tokens go to buckets of about BUCKET_TOKENS, sorted and as compressed byte planes, each with its number within the file.
     """
-    whole = owned.groupBy("owner").agg(F.flatten(F.collect_list("ranks")).alias("ranks"), F.flatten(F.collect_list("tokens")).alias("tokens"))
-    n = F.col("n")
-    # the ceiling of t n, in whole numbers
-    room = n - F.floor((n * threshold + 99) / 100) + 1 - (n - F.size("tokens"))
-    kept = whole.join(sizes, "owner").withColumn("room", room.cast("int")).where("room > 0")
+    import pyarrow as pa
+
+    n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(2 * n, -(-total // BUCKET_TOKENS))
+    asked = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("many", pa.binary())])
+    said = pa.schema([("flush", pa.int64()), ("bucket", pa.int32()), ("ranks", pa.binary())])
+
+    def ask(batches):
+        for batch in batches:
+            for flush, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                token, many = np.unique(unframed(get(uri))[0], return_counts=True)
+                cuts = np.searchsorted(bucket_of(token, buckets), np.arange(buckets + 1))
+                high, low = (token >> np.uint64(32)).astype(np.uint32), (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = slice(cuts[b], cuts[b + 1])
+                    yield pa.record_batch([[b], [flush], [pack(high[own])], [pack(low[own])], [pack(many[own])]], schema=asked)
+
+    def count(table: pa.Table) -> pa.Table:
+        high, low, many = ([unpack(x) for x in table.column(c).to_pylist()] for c in ("high", "low", "many"))
+        sizes = [len(x) for x in low]
+        token = np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
+        order = np.argsort(token, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(token[order]) > 0)))
+        sums = np.add.reduceat(np.concatenate(many).astype(np.int64)[order], first)
+        rank = np.empty(len(token), np.uint32)
+        # beyond 32 bits frequencies are equal, and ties have an order of their own
+        rank[order] = np.repeat(np.minimum(sums, (1 << 32) - 1), np.diff(np.append(first, len(token)))).astype(np.uint32)
+        return pa.table([table.column("flush"), table.column("bucket"), [pack(x) for x in np.split(rank, np.cumsum(sizes)[:-1])]], schema=said)
+
+    many_files = max(1, min(4 * n, files.count()))
+    return files.select("flush", "uri").repartition(many_files, "uri").mapInArrow(releasing(ask), "bucket int, flush long, high binary, low binary, many binary").groupBy("bucket").applyInArrow(
+        releasing_group(count), "flush long, bucket int, ranks binary")
 
-    def under(rank, tie) -> Column:
-        keyed = F.transform(F.arrays_zip("ranks", "tokens"), lambda x: F.struct(rank(x["ranks"]).alias("rank"), tie(x["tokens"]).alias("tie"), x["tokens"].alias("token")))
-        return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("room")), lambda x: x["token"])
 
-    return kept.select("owner", "n", "tokens", under(lambda r: r, lambda t: t).alias("p1"), under(lambda r: r, lambda t: F.xxhash64(t, F.lit(2))).alias("p2"),
-                       under(lambda r: F.floor(F.log2(r.cast("double"))), lambda t: F.xxhash64(t, F.lit(3))).alias("p3"))
+SETS = "owner long, n long, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
+
+
+def prefixes(files: DataFrame, firsts: DataFrame, ranks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """SETS rows of those of the sets at ``firsts`` (flush, at) whose prefix holds a token that another set has; tokens of that set alone are left out.
+
+    Tokens of one set come first under every order and link nothing, so a prefix is cut by their number.
+    """
+    import pyarrow as pa
+
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("owner", pa.int64()), ("n", pa.int64()), *((c, longs) for c in ("tokens", "p1", "p2", "p3"))])
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        uri = next((u for u in table.column("uri").to_pylist() if u), None)
+        chosen = np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in table.column("ats").to_pylist() if x is not None)])
+        if uri is None or not len(chosen):
+            return schema.empty_table()
+        tokens, sizes = unframed(get(uri))
+        _, inverse = np.unique(tokens, return_inverse=True)
+        rank = np.concatenate([unpack(x) for x in table.column("ranks").to_pylist() if x is not None])[inverse].astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        shared = np.bincount(owner[rank > 1], minlength=len(sizes))
+        # the ceiling of t n, in whole numbers
+        room = sizes - (sizes * threshold + 99) // 100 + 1 - (sizes - shared)
+        wanted = np.zeros(len(sizes), bool)
+        wanted[chosen] = True
+        wanted &= room > 0
+        keep = wanted[owner] & (rank > 1)
+        token, rank, owner = tokens[keep], rank[keep], owner[keep]
+        sets = np.flatnonzero(wanted)
+        ends = np.concatenate(([0], np.cumsum(shared[sets])))
+        nth = np.arange(len(token)) - np.repeat(ends[:-1], shared[sets])
+        flush = table.column("flush")[0].as_py()
+        columns = [pa.array(flush << 20 | sets), pa.array(sizes[sets]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token.view(np.int64)))]
+        coarse = np.floor(np.log2(np.maximum(rank, 1))).astype(np.int64)
+        for by, tie in ((rank, token), (rank, vectext.mix(token ^ _RATES[1])), (coarse, vectext.mix(token ^ _RATES[2]))):
+            order = np.lexsort((tie, by, owner))
+            head = nth < np.repeat(room[sets], shared[sets])
+            at = np.concatenate(([0], np.cumsum(np.minimum(room[sets], shared[sets]))))
+            columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(token[order][head].view(np.int64))))
+        return pa.table(columns, schema=schema)
+
+    rows = ranks.select("flush", "bucket", "ranks", F.lit(None).cast("array<int>").alias("ats"), F.lit(None).cast("string").alias("uri")).union(
+        firsts.groupBy("flush").agg(F.collect_list("at").alias("ats")).select("flush", F.lit(-1), F.lit(None).cast("binary"), "ats", F.lit(None).cast("string"))).union(
+        files.select("flush", F.lit(-2), F.lit(None).cast("binary"), F.lit(None).cast("array<int>"), "uri"))
+    return rows.groupBy("flush").applyInArrow(releasing_group(cut), SETS)
 
 
 def meeting(sets: DataFrame) -> DataFrame:
@@ -305,68 +313,182 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def links(sets: DataFrame, groups: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of linked owners that connect what all links connect.
+def band_of(n: Column, threshold: int) -> Column:
+    """Sets two bands apart differ too much in size to link."""
+    return F.floor(F.log(n.cast("double")) / F.lit(np.log(100 / threshold) * 1.001 if threshold < 100 else 1e-9)).cast("long")
 
-    A group's members are laid in order of size and cut into runs of ``tile``; runs whose sizes
-    allow a link are compared as tiles, each a task's work of fixed size. Small groups share a tile.
-    """
-    import pyarrow as pa
 
-    order = Window.partitionBy("group").orderBy("n", "owner")
-    placed = groups.join(sets.select("owner", "n"), "owner").withColumn("run", F.floor((F.row_number().over(order) - 1) / tile).cast("int"))
-    placed = materialise(placed, "ngram-runs")
-    runs = placed.groupBy("group", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = runs.alias("x"), runs.alias("y")
-    tiles = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.run") <= F.col("y.run")) & (F.col("x.high") * 100 >= F.col("y.low") * threshold)).select(
-        F.col("x.group").alias("group"), F.col("x.run").alias("i"), F.col("y.run").alias("j"))
-    # groups of a single run share tiles: about as many sets to each as a run has
-    alone = runs.groupBy("group").agg(F.max("run").alias("last")).where("last = 0")
-    n = max(1, placed.count())
-    shares = max(1, -(-n // tile)) * 4
-    keys = tiles.join(alone, "group", "left").select(
-        "group", "i", "j", F.when(F.col("last") == 0, F.pmod(F.xxhash64("group"), F.lit(shares))).otherwise(F.xxhash64("group", "i", "j")).alias("tile"))
-    sides = keys.select("tile", "group", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.col("i"))).otherwise(F.array("i", "j"))).alias("run"))
-    members = placed.join(sides, ["group", "run"]).select("tile", "group", "i", "j", "run", "owner").join(sets, "owner")
-
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def ragged(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = rows.column(name).combine_chunks()
-        lens = np.diff(column.offsets.to_numpy())
-        return np.repeat(np.arange(len(column)), lens), column.flatten().to_numpy()
-
-    def one(rows: pa.Table, i: int, j: int):
-        run, owner, n = (rows.column(c).to_numpy() for c in ("run", "owner", "n"))
-        left, right = np.flatnonzero(run == i), np.flatnonzero(run == j)
-        a, b = rows.take(pa.array(left)), rows.take(pa.array(right))
-        met = None
-        for name in ("p1", "p2", "p3"):
-            passed = overlaps(*ragged(a, name), len(left), *ragged(b, name), len(right)) > 0
-            met = passed if met is None else met & passed
-        if i == j:
-            met = np.triu(met, 1)
-        na, nb = n[left], n[right]
-        met &= (np.minimum.outer(na, nb) * 100 >= np.maximum.outer(na, nb) * threshold)
+def salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows join few on ``keys`` and a salt, so that no key's rows meet in one task; ``rows`` has ``owner``, ``few`` one row a key."""
+    a = rows.withColumn("salt", F.pmod(F.xxhash64("owner", F.lit(5)), F.lit(SALTS)).cast("int"))
+    b = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return a.join(b, [*keys, "salt"], how).drop("salt")
+
+
+def _ragged(rows, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = rows.column(name).combine_chunks()
+    lens = np.diff(column.offsets.to_numpy())
+    return np.repeat(np.arange(len(column)), lens), column.flatten().to_numpy()
+
+
+def matched(a, b, same: bool, threshold: int, most: int = 1024) -> np.ndarray:
+    """Pairs of owners that connect what the links between the rows of ``a`` and ``b`` (SETS tables of one group) connect."""
+    found = [np.empty((0, 2), np.int64)]
+    for i in range(0, a.num_rows, most):
+        for j in range(i if same else 0, b.num_rows, most):
+            found.append(_matched(a.slice(i, most), b.slice(j, most), same and i == j, threshold))
+    return np.concatenate(found)
+
+
+def _matched(a, b, same: bool, threshold: int) -> np.ndarray:
+    na, nb = a.column("n").to_numpy(), b.column("n").to_numpy()
+    own_a, own_b = a.column("owner").to_numpy(), b.column("owner").to_numpy()
+    met = np.minimum.outer(na, nb) * 100 >= np.maximum.outer(na, nb) * threshold
+    met = np.triu(met, 1) if same else met & (own_a[:, None] != own_b[None, :])
+    for name in ("p1", "p2", "p3"):
         if not met.any():
             return np.empty((0, 2), np.int64)
-        shared = overlaps(*ragged(a, "tokens"), len(left), *ragged(b, "tokens"), len(right))
-        u, v = np.nonzero(met & (100 * shared >= threshold * (np.add.outer(na, nb) - shared)))
-        names, at = np.unique(np.concatenate((owner[left][u], owner[right][v])), return_inverse=True)
-        label = forest(at[: len(u)], at[len(u):], len(names))
-        far = label != np.arange(len(names))
-        return np.column_stack((names[far], names[label[far]]))
+        met &= overlaps(*_ragged(a, name), len(na), *_ragged(b, name), len(nb)) > 0
+    if not met.any():
+        return np.empty((0, 2), np.int64)
+    shared = overlaps(*_ragged(a, "tokens"), len(na), *_ragged(b, "tokens"), len(nb))
+    u, v = np.nonzero(met & (100 * shared >= threshold * (np.add.outer(na, nb) - shared)))
+    names, at = np.unique(np.concatenate((own_a[u], own_b[v])), return_inverse=True)
+    label = forest(at[: len(u)], at[len(u):], len(names))
+    far = label != np.arange(len(names))
+    return np.column_stack((names[far], names[label[far]]))
+
+
+def _table(content: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(content).read_all().combine_chunks()
 
-    def compare(rows: pa.Table) -> pa.Table:
-        order = np.lexsort(tuple(rows.column(c).to_numpy() for c in ("j", "i", "group")))
-        rows = rows.take(pa.array(order)).combine_chunks()
-        key = np.column_stack([rows.column(c).to_numpy() for c in ("group", "i", "j")])
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-        found = [one(rows.slice(a, b - a), int(key[a, 1]), int(key[a, 2])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
 
-    return members.groupBy("tile").applyInArrow(releasing_group(compare), "a long, b long")
+BIN = "a long, b long, group long, band long, slice int, uri string"
+
+
+def binned(sets: DataFrame, where: str, threshold: int) -> DataFrame:
+    """``sets``: SETS with group, band and slice. Compares the sets of each bin; a bin of one group alone (group >= 0) is also written to a file.
+
+    Returns rows of linked pairs (a, b) and of files (group, band, slice, uri).
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64()), ("band", pa.int64()), ("slice", pa.int32()), ("uri", pa.string())])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["owner", "n", "tokens", "p1", "p2", "p3", "of"]).combine_chunks()
+        uri = None
+        group, band, part = (table.column(c)[0].as_py() for c in ("group", "band", "slice"))
+        if group >= 0:
+            uri = f"{where}/{uuid.uuid4().hex}.bin"
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            put(uri, sink.getvalue().to_pybytes())
+            pairs = matched(rows, rows, True, threshold)
+        else:
+            of = rows.column("of").to_numpy()
+            order = np.argsort(of, kind="stable")
+            rows, of = rows.take(pa.array(order)).combine_chunks(), of[order]
+            cuts = [*np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist(), len(of)]
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *(matched(own, own, True, threshold) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1 for own in [rows.slice(i, j - i)])])
+        n = len(pairs)
+        none = lambda k, t: pa.nulls(k, t)
+        links = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.string())], schema=schema)
+        if uri is None:
+            return links
+        return pa.concat_tables([links, pa.table([none(1, pa.int64()), none(1, pa.int64()), [group], [band], pa.array([part], pa.int32()), [uri]], schema=schema)])
+
+    return sets.groupBy("group", "band", "slice").applyInArrow(releasing_group(run), BIN)
+
+
+def tiled(tiles: DataFrame, threshold: int) -> DataFrame:
+    """Linked pairs (a, b) between the two files of each of ``tiles`` (left, right)."""
+    import pyarrow as pa
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        held = None, None
+        for batch in batches:
+            for left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held[0] != left:
+                    held = left, _table(get(left))
+                pairs = matched(held[1], _table(get(right)), False, threshold)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    n = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return tiles.select("left", "right").repartition(max(n, min(1 << 16, tiles.count() // 8)), "left", F.pmod(F.xxhash64("right"), F.lit(8))).sortWithinPartitions("left").mapInArrow(releasing(run), "a long, b long")
+
+
+def links(sets: DataFrame, groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of linked owners that connect what all links connect; ``sets``: SETS, ``groups``: (owner, group).
+
+    Groups of less than half a bin share bins. A larger group is dealt to bins of its own, by
+    band of size and hash; each is compared with itself and with the next. Most sets of a group
+    of near copies are one component then; what isn't, the strays, is compared with all bins of the group
+    whose sizes allow a link. Two sets that are linked and not yet connected have a stray among them, so no link is
+    missed; the work is that of strays times members, not of members squared.
+    """
+    spark = sets.sparkSession
+    where = fresh_dir(spark, "ngram-bins")
+    weight = F.size("tokens") + SET_TOKENS
+    placed = materialise(groups.join(sets.select("owner", band_of(F.col("n"), threshold).alias("band"), weight.cast("long").alias("weight")), "owner"), "ngram-placed")
+    cells = placed.groupBy("group", "band").agg(F.sum("weight").alias("weight"))
+    # a group's bands are few, whatever its size
+    large = materialise(cells.join(cells.groupBy("group").agg(F.sum("weight").alias("whole")).where(F.col("whole") > BIN_TOKENS // 2), "group").select(
+        "group", "band", F.ceil(F.col("weight") / BIN_TOKENS).cast("int").alias("slices")), "ngram-large")
+    bins = max(1, -(-(placed.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // BIN_TOKENS))
+    own = F.col("slices").isNotNull()
+    put_in = salted(placed, large, ["group", "band"], "left").select(
+        "owner", F.col("group").alias("of"), F.when(own, F.col("group")).otherwise(F.lit(-1)).alias("group"), F.when(own, F.col("band")).otherwise(F.lit(0)).alias("band"),
+        F.when(own, F.pmod(F.xxhash64("owner", F.lit(7)), F.col("slices"))).otherwise(F.pmod(F.xxhash64("group"), F.lit(bins))).cast("int").alias("slice"))
+    found = materialise(binned(put_in.join(sets, "owner"), where, threshold), "ngram-links")
+    pairs, files = found.where("uri IS NULL").select("a", "b"), found.where("uri IS NOT NULL").select("group", "band", "slice", "uri")
+    if files.isEmpty():
+        return pairs
+    # rows of windows and tiles are files, not sets
+    chain = files.select(F.col("uri").alias("left"), F.lead("uri").over(Window.partitionBy("group").orderBy("band", "slice")).alias("right")).where("right IS NOT NULL")
+    pairs = pairs.union(materialise(tiled(chain, threshold), "ngram-links"))
+    parts = components(pairs, "ngram-near")
+    members = salted(placed, large.select("group").distinct(), ["group"], "left_semi")
+    named = materialise(members.join(parts.withColumnRenamed("node", "owner"), "owner", "left").select("owner", "group", "band", "weight", F.coalesce("component", "owner").alias("part")), "ngram-named")
+    main = named.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    strays = materialise(salted(named, main, ["group"], "inner").where("part <> main").select("owner", "group", "band", "weight"), "ngram-strays")
+    some = strays.groupBy("group", "band").agg(F.ceil(F.sum("weight") / BIN_TOKENS).cast("int").alias("slices"))
+    dealt = salted(strays, some, ["group", "band"], "inner").select("owner", F.col("group").alias("of"), "group", "band", F.pmod(F.xxhash64("owner", F.lit(11)), F.col("slices")).cast("int").alias("slice"))
+    again = materialise(binned(dealt.join(sets, "owner"), where, threshold), "ngram-links")
+    x, y = again.where("uri IS NOT NULL").alias("x"), files.alias("y")
+    tiles = materialise(x.join(y, (F.col("x.group") == F.col("y.group")) & F.col("y.band").between(F.col("x.band") - 1, F.col("x.band") + 1)).select(F.col("x.uri").alias("left"), F.col("y.uri").alias("right")), "ngram-tiles")
+    far = materialise(tiled(tiles, threshold), "ngram-links")
+    drop(spark, where, placed, large, named, strays, tiles)
+    return pairs.union(again.where("uri IS NULL").select("a", "b")).union(far)
+
+
+def labelled(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """(key, mark, n, part, least) of every row of (doc_id, text): its id or NULL_ID, a hash of its text, the size of its set, its component and the least key of that (null for an empty set)."""
+    spark = docs.sparkSession
+    where = fresh_dir(spark, "ngram-files")
+    found = materialise(written(docs, where, words, threshold), "ngram-documents")
+    rows, files = found.where("uri IS NULL"), found.where("uri IS NOT NULL").select("flush", "uri", "tokens")
+    # copies are one node from here on, named by the first of their places
+    nodes = materialise(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min(F.struct("flush", "at")).alias("place")).select(
+        "node", "key", "place.*", F.shiftleft("place.flush", 20).bitwiseOR(F.col("place.at")).alias("owner")), "ngram-nodes")
+    total = files.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    ranks = frequencies(files, total)
+    sets = materialise(prefixes(files, nodes.where("flush IS NOT NULL").select("flush", "at"), ranks, threshold), "ngram-sets")
+    drop(spark, where)
+    groups = meeting(sets)
+    linked = materialise(links(sets, groups, threshold), "ngram-linked")
+    drop(spark, sets, groups)
+    parts = components(linked, "ngram-parts").withColumnRenamed("node", "owner")
+    named = nodes.join(parts, "owner", "left").select(F.col("node").alias("set"), "key", F.coalesce("component", "owner").alias("component"))
+    # a set too small to link has no place: it is a component itself
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("key").alias("least"))
+    whole = named.join(least, "component", "left").select("set", F.coalesce(F.col("component").cast("string").cast("binary"), "set").alias("part"), F.coalesce("least", "key").alias("least"))
+    return rows.join(whole, F.col("node") == F.col("set"), "left").select("key", "mark", "n", "part", "least")
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -376,35 +498,24 @@ def join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
     words, or null, has an empty set and links with nothing: its component is its own id. Rows of
     one doc_id get a row each; a null doc_id names a component only if all its members are null.
     An empty table gives an empty result; other columns of the input play no part.
+
+    Tokens are 64-bit hashes; sets that can link with an unequal set share three of them at least at the
+    usual threshold, and smaller sets are named by their words.
     """
-    found = materialise(profile(docs, words), "ngram-profile")
-    rows = found.where("kind = 0").withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
-    nodes = materialise(number(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"))), "ngram-nodes")
-    sums = nodes.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    # frequent tokens only save work: what MOST_HOT leaves out is counted with all others
-    often = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, sums["sets"] // HOT_SHARE)).orderBy(F.desc("n"), "node").limit(MOST_HOT)
-    named = np.array(sorted((r["n"], r["node"]) for r in often.collect()), np.int64).reshape(-1, 2)
-    hot = named[:, 1].copy().view(np.uint64)
-    place = np.argsort(hot)
-    hot = hot[place]
-    chosen = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(
-        nodes.select("key", "owner", F.col("node")), "key").select("owner", "node", "text")
-    own = shared_tokens(chosen, hot, place, sums["tokens"], words)
-    sets = materialise(prefixes(own, nodes.select("owner", "n"), threshold), "ngram-sets")
-    linked = materialise(links(sets, meeting(sets), threshold), "ngram-links")
-    parts = components(linked, "ngram-parts")
-    named = nodes.join(parts, F.col("owner") == parts["node"], "left").select(
-        nodes["node"].alias("set"), nodes["key"], F.coalesce("component", "owner").alias("component"))
-    least = named.groupBy("component").agg(F.min("key").alias("least"))
-    whole = named.join(least, "component").select("set", "least")
-    return rows.join(whole, F.col("node") == F.col("set"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least", F.lit(NULL_ID))).alias("component_id"))
+    own = F.nullif("key", F.lit(NULL_ID))
+    return labelled(docs, words, threshold).select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, own).otherwise(F.nullif("least", F.lit(NULL_ID))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with the columns of ``docs``; of repeated rows one stays."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    first = join(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("key")).distinct()
-    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = Window.partitionBy("key", F.sha2(F.col("row.text").cast("binary"), 256)).orderBy(F.xxhash64("row"))
-    return rows.join(first, "key", "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")
+    """One row of each component of ``docs``, with the columns of ``docs``: that of the least doc_id, of those the least hash of the text.
+
+    Texts without words link with nothing and stay; of rows with the same id and text one stays.
+    """
+    spare = lambda name: name if name not in docs.columns else spare(name + "_")
+    key, mark, nth = spare("key"), spare("mark"), spare("nth")
+    found = materialise(labelled(docs, words, threshold), "ngram-labels")
+    first = found.where("n > 0 AND key = least").groupBy("part").agg(F.min("key").alias("key"), F.min("mark").alias("mark")).select("key", "mark")
+    first = first.union(found.where("n = 0").select("key", "mark")).select(F.col("key").alias(key), F.col("mark").alias(mark)).distinct()
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn(mark, F.xxhash64("text"))
+    same = Window.partitionBy(key, mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rows.join(first, [key, mark], "left_semi").withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

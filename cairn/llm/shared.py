@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..shared import drop_made, fresh_dir, materialise, shared_dir
+from ..shared import drop, drop_made, fresh_dir, materialise, shared_dir
 
-__all__ = ["drop_made", "fresh_dir", "materialise", "open_uri", "shared_dir"]
+__all__ = ["drop", "drop_made", "fresh_dir", "get", "materialise", "open_uri", "put", "shared_dir"]
 
 
 def open_uri(uri: str):
@@ -12,3 +12,17 @@ def open_uri(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def put(uri: str, content: bytes) -> None:
+    """Write a file whole."""
+    fs, path = open_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(content)
+
+
+def get(uri: str) -> bytes:
+    fs, path = open_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()

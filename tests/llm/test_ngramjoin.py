@@ -59,19 +59,28 @@ def test_join_equals_brute_force(spark, docs, seed):
     assert got == brute(texts)
 
 
-def test_hot_tokens_and_large_groups(spark, docs, monkeypatch):
-    """Tiny bounds send everything through the hot path, many tiles and many buckets."""
-    monkeypatch.setattr(ngramjoin, "HOT_LEAST", 5)
-    monkeypatch.setattr(ngramjoin, "HOT_SHARE", 50)
-    monkeypatch.setattr(ngramjoin, "BUFFER", 3000)
-    monkeypatch.setattr(ngramjoin.links, "__defaults__", (75, 8))
+@pytest.mark.parametrize("share", [(0.004, 0.02, 0.06), (0.004,), (0.04, 0.08)])
+def test_large_groups(spark, docs, monkeypatch, share):
+    """Tiny bounds: many files, buckets and bins, with few strays, none, and many."""
+    for name, most in (("BUFFER", 3000), ("FILE_SETS", 20), ("BUCKET_TOKENS", 500), ("BIN_TOKENS", 3000), ("SET_TOKENS", 20)):
+        monkeypatch.setattr(ngramjoin, name, most)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(120)]
-    texts = {i: " ".join(edited(rng, base, rng.choice([0.004, 0.02, 0.06]))) for i in range(90)}
+    texts = {i: " ".join(edited(rng, base, rng.choice(share))) for i in range(90)}
+    texts |= {100 + i: " ".join(edited(rng, base[: 60 + i], 0.01)) for i in range(50)}  # sizes that reach each other step by step
+    texts |= {200 + i: texts[i] for i in range(20)}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.join(docs(*texts.items())).collect()}
     assert got == brute(texts)
 
 
+def test_very_long_text(spark, docs):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    texts = {1: " ".join(long), 2: " ".join(edited(rng, long, 0.01)), 3: " ".join(long[:1000]), 4: "x" * 3_000_000, 5: "x" * 3_000_000}
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join(docs(*texts.items())).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_odd_rows(spark, odd):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.join(odd).collect()), key=repr)
     assert (1, 0, 1) in got and (2, 0, 2) in got and got.count((4, 1, 4)) == 2 and (6, 4, 5) in got and (None, 2, None) in got and (8, 1, 8) in got and len(got) == 13
@@ -85,6 +94,14 @@ def test_one_id_with_two_texts(spark, docs):
     assert got == [(2, 1), (2, 1), (3, 1)]
 
 
+def test_one_of_each_goes_by_rows(spark, docs):
+    a, b, near = "a b c d e f g h i j k l", "q r s t u v w", "a b c d e f g h i j k l m"
+    kept = lambda *rows: sorted((r["doc_id"], r["text"]) for r in ngramjoin.one_of_each(docs(*rows)).collect())
+    assert kept((1, a), (2, b), (2, a)) == [(1, a), (2, b)]
+    assert kept((1, a), (1, b), (2, a)) == [(1, a), (1, b)]
+    assert len(kept((1, a), (1, near), (1, a), (3, near))) == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(500, 500)]
