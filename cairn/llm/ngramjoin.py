@@ -7,8 +7,8 @@ grains. Sets that could meet under the first order form groups, which the second
 third order split again; within a group a pair must pass all three filters before its
 overlap is counted.
 
-Texts are read once. A task writes its sets to files of bounded size in the shared folder
-and asks for the frequency of each of a file's tokens once; a token that many sets of a
+Texts are read once. A task writes their words, as numbers, to files of bounded size in the shared
+folder, from which sets are made anew, and asks for the frequency of each of a file's tokens once; a token that many sets of a
 file have is one number on its way, so a frequent token is counted in parts. Groups are
 cut into bins of bounded size, by size band and hash, and bins are compared from their
 files: no set is copied for a pair of bins.
@@ -33,8 +33,8 @@ from .workers import releasing, releasing_group
 WORDS = 5
 #: Two sets link if 100 * shared >= THRESHOLD * union.
 THRESHOLD = 75
-#: Tokens and sets of a file, tokens of a bucket that is counted at once, tokens of a bin (a set counts as SET_TOKENS more).
-BUFFER, FILE_SETS, BUCKET_TOKENS, BIN_TOKENS, SET_TOKENS = 1 << 21, 1 << 16, 1 << 21, 1 << 20, 1 << 10
+#: Words and texts of a file, tokens of a bucket that is counted at once, tokens of a bin (a set counts as SET_TOKENS more).
+FILE_WORDS, FILE_TEXTS, BUCKET_TOKENS, BIN_TOKENS, SET_TOKENS = 1 << 21, 1 << 16, 1 << 21, 1 << 20, 1 << 10
 #: Sets that a task remembers in order to write copies once.
 MEMO_SETS = 1 << 18
 #: Rows of a group that is looked up are dealt to so many parts.
@@ -44,9 +44,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's n-grams of words, A-Z lower-cased; all words as one if there are fewer."""
-    rates = _RATES if words == WORDS else vectext.mix(np.arange(1, words + 1, dtype=np.uint64) * _RATES[0]) | np.uint64(1)
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words in order, A-Z lower-cased."""
     out: list[np.ndarray] = []
 
     def hashed(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,24 +56,37 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
     for _, part in vectext.blocks(texts):
         if len(part[0]) > vectext.PIECE_CHARS:
-            h = np.concatenate([hashed([piece])[0] for piece in vectext.pieces(part[0], vectext.BLOCK_CHARS)])
-            first = np.array([0, len(h)])
+            out.append(np.concatenate([hashed([piece])[0] for piece in vectext.pieces(part[0], vectext.BLOCK_CHARS)]))
         else:
             h, first = hashed(part)
-        grams = np.zeros(max(0, len(h) - words + 1), np.uint64)
-        for k in range(words if len(grams) else 0):
-            grams += h[k: k + len(grams)] * rates[k]
-        grams = vectext.mix(grams)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= words:
-                out.append(np.unique(grams[a: b - words + 1]))
-            elif b > a:
-                out.append(vectext.mix((h[a:b] * rates[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
-            else:
-                out.append(np.empty(0, np.uint64))
+            out += [h[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     return out
 
 
+def sets_of(texts: list[np.ndarray], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-grams of each sequence of word hashes; all words as one if there are fewer."""
+    rates = _RATES if words == WORDS else vectext.mix(np.arange(1, words + 1, dtype=np.uint64) * _RATES[0]) | np.uint64(1)
+    h = np.concatenate([np.empty(0, np.uint64), *texts])
+    grams = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for k in range(words if len(grams) else 0):
+        grams += h[k: k + len(grams)] * rates[k]
+    grams, out, a = vectext.mix(grams), [], 0
+    for own in texts:
+        b = a + len(own)
+        if b - a >= words:
+            out.append(np.unique(grams[a: b - words + 1]))
+        elif b > a:
+            out.append(vectext.mix((own * rates[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+        else:
+            out.append(own)
+        a = b
+    return out
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    return sets_of(word_hashes(texts), words)
+
+
 def least_linking(threshold: int) -> int:
     """Sets of fewer tokens link only with equal sets: one token more makes too large a union."""
     return 1 << 62 if threshold >= 100 else -(-threshold // (100 - threshold))
@@ -89,16 +101,18 @@ def node_of(tokens: np.ndarray, text: str, words: int = WORDS) -> bytes:
     return hashlib.blake2b("\n\n".join(grams).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def framed(sets: list[np.ndarray]) -> bytes:
-    """Sets as the content of a file."""
-    return np.concatenate([np.array([len(sets)], np.int64), np.cumsum([len(x) for x in sets]).astype(np.int64), *(x.view(np.int64) for x in sets)]).tobytes()
+def framed(texts: list[np.ndarray]) -> bytes:
+    """Sequences of word hashes as the content of a file: their lengths, the distinct words, and the words' numbers, all as byte planes."""
+    known, index = np.unique(np.concatenate(texts), return_inverse=True)
+    parts = [pack(np.array([len(x) for x in texts])), pack(known >> np.uint64(32)), pack(known & np.uint64(0xFFFFFFFF)), pack(index)]
+    return np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(parts)
 
 
-def unframed(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all sets of a file, and the size of each set."""
-    x = np.frombuffer(content, np.int64)
-    n = int(x[0])
-    return x[1 + n:].view(np.uint64), np.diff(x[1: 1 + n], prepend=0)
+def unframed(content: bytes) -> list[np.ndarray]:
+    ends = np.cumsum(np.frombuffer(content[:32], "<i8")) + 32
+    sizes, high, low, index = (unpack(content[a:b]) for a, b in zip([32, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    words = (high.astype(np.uint64) << np.uint64(32) | low)[index.astype(np.int64)]
+    return np.split(words, np.cumsum(sizes.astype(np.int64))[:-1])
 
 
 #: Stands for a null doc_id; larger than all others, so a null is no component's name where an id can be.
@@ -106,7 +120,7 @@ NULL_ID = (1 << 63) - 1
 
 
 def written(docs: DataFrame, where: str, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Writes the sets of all texts to files below ``where`` and returns a row for each document and for each file.
+    """Writes the words of all texts, as numbers, to files below ``where`` and returns a row for each document and for each file.
 
     Documents: key (its id), mark (hash of the text), n (size of its set), node (name of its set), and the place of the
     set, (flush, at), where it is large enough to link with another set. Files: flush, uri, tokens.
@@ -135,7 +149,8 @@ def written(docs: DataFrame, where: str, words: int = WORDS, threshold: int = TH
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 keys, marks, texts = (c.slice(lo, 256).to_pylist() for c in batch.columns)
-                for key, mark, text, tokens in zip(keys, marks, texts, shingle_sets(texts, words), strict=True):
+                hashed = word_hashes(texts)
+                for key, mark, text, h, tokens in zip(keys, marks, texts, hashed, sets_of(hashed, words), strict=True):
                     place = node = None
                     if len(tokens):
                         node = node_of(tokens, text, words)
@@ -145,10 +160,10 @@ def written(docs: DataFrame, where: str, words: int = WORDS, threshold: int = TH
                             if len(memo) >= MEMO_SETS:
                                 memo.clear()
                             place = memo[node] = flush, len(held)
-                            held.append(tokens)
-                            size += len(tokens)
+                            held.append(h)
+                            size += len(h)
                     rows.append((key, mark, len(tokens), node, *(place or (None, None)), None, None))
-                    if size >= BUFFER or len(held) >= FILE_SETS:
+                    if size >= FILE_WORDS or len(held) >= FILE_TEXTS:
                         yield from out()
                 if len(rows) >= 1 << 14 and not held:
                     yield from out()
@@ -164,7 +179,7 @@ def bucket_of(token: np.ndarray, buckets: int) -> np.ndarray:
     return (token >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
 
 
-def frequencies(files: DataFrame, total: int) -> DataFrame:
+def frequencies(files: DataFrame, total: int, words: int = WORDS) -> DataFrame:
     """(flush, bucket, ranks): for the distinct tokens of each file in order, bucket by bucket, how many sets have each.
 
     Tokens go to buckets of about BUCKET_TOKENS, sorted and as compressed byte planes, each with its number within the file.
@@ -179,7 +194,7 @@ def frequencies(files: DataFrame, total: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for flush, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                token, many = np.unique(unframed(get(uri))[0], return_counts=True)
+                token, many = np.unique(np.concatenate(sets_of(unframed(get(uri)), words)), return_counts=True)
                 cuts = np.searchsorted(bucket_of(token, buckets), np.arange(buckets + 1))
                 high, low = (token >> np.uint64(32)).astype(np.uint32), (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -206,7 +221,7 @@ def frequencies(files: DataFrame, total: int) -> DataFrame:
 SETS = "owner long, n long, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
 
 
-def prefixes(files: DataFrame, firsts: DataFrame, ranks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def prefixes(files: DataFrame, firsts: DataFrame, ranks: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """SETS rows of those of the sets at ``firsts`` (flush, at) whose prefix holds a token that another set has; tokens of that set alone are left out.
 
     Tokens of one set come first under every order and link nothing, so a prefix is cut by their number.
@@ -222,7 +237,8 @@ def prefixes(files: DataFrame, firsts: DataFrame, ranks: DataFrame, threshold: i
         chosen = np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in table.column("ats").to_pylist() if x is not None)])
         if uri is None or not len(chosen):
             return schema.empty_table()
-        tokens, sizes = unframed(get(uri))
+        each = sets_of(unframed(get(uri)), words)
+        tokens, sizes = np.concatenate(each), np.array(list(map(len, each)), np.int64)
         _, inverse = np.unique(tokens, return_inverse=True)
         rank = np.concatenate([unpack(x) for x in table.column("ranks").to_pylist() if x is not None])[inverse].astype(np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -250,7 +266,9 @@ def prefixes(files: DataFrame, firsts: DataFrame, ranks: DataFrame, threshold: i
     rows = ranks.select("flush", "bucket", "ranks", F.lit(None).cast("array<int>").alias("ats"), F.lit(None).cast("string").alias("uri")).union(
         firsts.groupBy("flush").agg(F.collect_list("at").alias("ats")).select("flush", F.lit(-1), F.lit(None).cast("binary"), "ats", F.lit(None).cast("string"))).union(
         files.select("flush", F.lit(-2), F.lit(None).cast("binary"), F.lit(None).cast("array<int>"), "uri"))
-    return rows.groupBy("flush").applyInArrow(releasing_group(cut), SETS)
+    # few rows are much work: a task has a file or so
+    n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(max(n, min(1 << 16, files.count())), "flush").groupBy("flush").applyInArrow(releasing_group(cut), SETS)
 
 
 def meeting(sets: DataFrame) -> DataFrame:
@@ -477,8 +495,8 @@ def labelled(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     nodes = materialise(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min(F.struct("flush", "at")).alias("place")).select(
         "node", "key", "place.*", F.shiftleft("place.flush", 20).bitwiseOR(F.col("place.at")).alias("owner")), "ngram-nodes")
     total = files.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    ranks = frequencies(files, total)
-    sets = materialise(prefixes(files, nodes.where("flush IS NOT NULL").select("flush", "at"), ranks, threshold), "ngram-sets")
+    ranks = frequencies(files, total, words)
+    sets = materialise(prefixes(files, nodes.where("flush IS NOT NULL").select("flush", "at"), ranks, words, threshold), "ngram-sets")
     drop(spark, where)
     groups = meeting(sets)
     linked = materialise(links(sets, groups, threshold), "ngram-linked")
