@@ -87,29 +87,50 @@ def test_merges_of_odd_tables(spark, odd, chars):
 
 
 def brute_phrases(text, sample):
-    """Greedy longest matches, run by run."""
+    """Greedy longest matches."""
     clean = lambda t: regex.sub(r"[^\p{L}]+", " ", t.lower()).lstrip()
-    text, sample, n = clean(text), clean(sample), 0
-    for at in range(0, len(text), langid.RUN):
-        run, i = text[at: at + langid.RUN], 0
-        while i < len(run):
-            j = i + 1
-            while j <= len(run) and run[i:j] in sample:
-                j += 1
-            i, n = max(i + 1, j - 1), n + 1
+    text, sample, n, i = clean(text), clean(sample), 0, 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
     return n
 
 
-def test_phrases_are_longest_matches():
+def brute_label(text, samples):
+    """Label and score of a text by the definition."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    clean = lambda t: regex.sub(r"[^\p{L}]+", " ", t.lower()).lstrip()
+    bits = {k: brute_phrases(text, v) * np.log2(max(2, len(clean(v)))) for k, v in samples.items()}
+    best = min(bits, key=lambda k: (bits[k], k))
+    return best, 1 / sum(2.0 ** max(-1000, bits[best] - b) for b in bits.values())
+
+
+@pytest.mark.parametrize("stride", [256, 7])
+def test_phrases_are_longest_matches(monkeypatch, stride):
+    monkeypatch.setattr(langid, "STRIDE", stride)
     rng = random.Random(5)
-    samples = {"a": "the quick brown fox jumps over the lazy dog and the cat", "b": "le renard brun saute par dessus le chien paresseux"}
+    samples = {"a": "the quick brown fox jumps over the lazy dog and the cat", "b": "le renard brun saute par dessus le chien paresseux", "c": "ab" * 300}
     model = langid.Model(samples)
-    for _ in range(60):
-        texts = ["".join(rng.choices("abcdefghinorstu  ,É", k=rng.randint(0, 600))) for _ in range(rng.randint(1, 5))]
+    for i in range(60):
+        texts = ["".join(rng.choices(["ab", "abdefghinorstu  ,É"][i % 2], k=rng.randint(0, 900))) for _ in range(rng.randint(1, 5))] + ["ab" * rng.randint(0, 400)]
         got, _ = model.phrases(texts)
-        assert got.tolist() == [[brute_phrases(t, samples[k]) for k in ("a", "b")] for t in texts]
-    labels, scores = model.predict(["the dog", "le chien", "", "123 !!", "漢字"])
-    assert labels[:4] == ["a", "b", "und", "und"] and scores[2] == scores[3] == 0 and labels[4] in "ab"
+        assert got.tolist() == [[brute_phrases(t, samples[k]) for k in "abc"] for t in texts]
+    labels, scores, gains = model.predict(["the dog", "le chien", "", "123 !!", "漢字"])
+    assert labels[:4] == ["a", "b", "und", "und"] and scores[2] == scores[3] == 0 and labels[4] in "abc" and gains[0] > 0 > gains[4]
+
+
+def test_query_equals_brute_force(spark):
+    """Labels and scores of the query itself, on a tenth of its rows' texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = langid.training_text(docs)
+    assert len(samples) == 4
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    for r in [r for r in docs.collect() if len(r["text"]) < 1500][:40]:
+        label, score = brute_label(r["text"], samples)
+        assert got[r["doc_id"]] == (label, pytest.approx(score))
 
 
 def test_languages_of_odd_tables(spark, odd):
@@ -155,10 +176,3 @@ def test_very_long_texts_in_pieces(monkeypatch):
     assert e([text], 2)[0].tolist() == want_ids and ngramjoin.shingle_sets([text])[0].tolist() == want_set
     show = lambda b: [b.words[i] for i in np.concatenate(b.parts).tolist()]
     assert show(parts) == show(whole) and np.concatenate(parts.lens).tolist() == np.concatenate(whole.lens).tolist() and parts.keys == [1]
-    model = langid.Model({"a": "word its it the and", "b": "mot le la et"})
-    labels = model.predict([text, "word", ""])[0]
-    monkeypatch.setattr(langid, "LONG", 500)
-    monkeypatch.setattr(quality, "LONG", 500)
-    assert model.predict([text, "word", ""])[0] == labels
-    got = quality.features([text, "short", ""])
-    assert got.shape == (3, len(quality.FEATURES)) and np.isfinite(got).all() and got[0, 0] == pytest.approx(np.log1p(len(text)))
