@@ -16,9 +16,6 @@ from cairn.llm import bpe, langid, mixing, ngramjoin, quality
 from cairn.llm.queries import RANKS, vocabulary
 from cairn.llm.shared import materialise
 
-#: A document whose best language has a smaller share of the scores is as likely in any of them.
-LEAST_SHARE = 0.3
-
 
 def _own(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` doesn't have."""
@@ -35,10 +32,13 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that one of the learned languages explains better than chance."""
-    label, share = _own(docs, "lang_pred"), _own(docs, "lang_score")
-    found = langid.predict(docs, langid.training_text(docs), label, share)
-    return found.where((F.col(label) != langid.UNDETERMINED) & (F.col(share) >= LEAST_SHARE)).select(*docs.columns)
+    """Documents with letters that the phrases of a learned language code shorter than letter by letter; noise and unknown scripts go.
+
+    Null texts and texts without a letter go, repeated rows are judged alike, an empty table gives none.
+    """
+    label, share, gain = (_own(docs, c) for c in ("lang_pred", "lang_score", "lang_gain"))
+    found = langid.predict(docs, langid.training_text(docs), label, share, gain)
+    return found.where((F.col(label) != langid.UNDETERMINED) & (F.col(gain) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
