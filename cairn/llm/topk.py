@@ -1,20 +1,22 @@
 """Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
 
-Vectors are dealt to shards and queries to blocks. A first round gives each query a
-lower bound of its k-th score from its own shard; the second searches all shards with
-that shared bound, so most balls of most shards are never opened. A node's upper bound
-for a query is q . centre + |q| radius; nodes are opened in order of it.
+Vectors are dealt to shards, whose trees are built once, and queries to blocks. A block
+visits all trees, those with the highest bound first, and takes each query's current
+k-th score from tree to tree. A node's upper bound for a query is q . centre + |q| radius;
+each query opens nodes in order of its own bounds.
 """
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import fresh_dir, get, materialise, put
 from .workers import releasing_group
 
 SCALE = 1024
@@ -62,43 +64,86 @@ NONE = -math.inf
 FAR = (1 << 63) - 1
 
 
-def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k scores and ids of each query among the tree's rows but its own id; ``bound``: scores below it are of no use.
+class Search:
+    """The k best candidates of a block of queries, as trees are visited one after the other.
 
-    All queries descend together: a node is opened for those whose bound it can still reach.
-    Float products of whole numbers below 2^53 are exact; bounds get a margin for rounding.
+    ``floor`` is each query's current k-th score, shared by all trees: it only rises, and nodes whose bound is
+    below it are never opened. Float products of whole numbers are exact below 2^53; where they could be larger,
+    every candidate that rounding leaves possible is kept and scored in whole numbers at the end.
     """
-    n = len(queries)
-    best, who = np.full((n, k), NONE), np.full((n, k), FAR)
-    norm = np.sqrt((queries ** 2).sum(axis=1))
-    upper = queries @ tree.centres.T + norm[:, None] * tree.radii[None, :]
-    upper += np.abs(upper) * 1e-9 + 1
-    floor = bound.astype(np.float64).copy()
-    heap = [(0, np.arange(n))]
-    while heap:
-        node, which = heap.pop()
-        which = which[upper[which, node] >= floor[which]]
-        if not len(which):
-            continue
-        if not tree.kids[node]:
-            a, b = tree.span[node]
-            rows = tree.order[a:b]
-            got = queries[which] @ tree.x[rows].T
-            named = np.broadcast_to(ids[rows], got.shape)
-            hide = named == own[which][:, None]
-            got, named = np.where(hide, NONE, got), np.where(hide, FAR, named)
-            best[which], who[which] = merge(best[which], who[which], got, named, k)
-            floor[which] = np.maximum(floor[which], best[which, k - 1])
-        else:
-            kids = sorted(tree.kids[node], key=lambda c: upper[which, c].mean())
-            heap += [(c, which) for c in kids]  # the most promising is taken next
-    return best, who
-
-
-def exact(x: np.ndarray, queries: np.ndarray) -> bool:
-    """Whether float products are exact."""
-    most = lambda m: float(np.abs(m).max(initial=0))
-    return most(x) * most(queries) * max(1, x.shape[1] if x.ndim == 2 else 1) < 2 ** 53
+
+    def __init__(self, queries: np.ndarray, own: np.ndarray, k: int):
+        self.queries, self.own, self.k = queries, own, k
+        n = len(queries)
+        self.best, self.who, self.floor = np.full((n, k), NONE), np.full((n, k), FAR), np.full(n, NONE)
+        self.norm = np.sqrt((queries ** 2).sum(axis=1))
+        self.possible: list[list] = [[] for _ in range(n)]  # (id, vector) where products are rounded
+        self.rounded = False
+
+    def bounds(self, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """q . centre + |q| radius, with a margin for rounding, for queries (rows) and balls."""
+        upper = self.queries @ centres.T + self.norm[:, None] * radii[None, :]
+        size = self.norm[:, None] * (np.sqrt((centres ** 2).sum(axis=1)) + radii)[None, :]
+        return upper + size * 1e-9 + 1
+
+    def visit(self, tree: BallTree, ids: np.ndarray) -> None:
+        """Each query opens the tree's nodes in order of its own bounds, until none reaches its floor."""
+        upper = self.bounds(tree.centres, tree.radii)
+        for node, kids in enumerate(tree.kids):  # parents come before their children
+            for kid in kids:
+                np.minimum(upper[:, kid], upper[:, node], out=upper[:, kid])
+        width = max(1, self.queries.shape[1])
+        most = float(np.abs(tree.x).max(initial=0)) * float(np.abs(self.queries).max(initial=0)) * width
+        self.rounded |= most >= 2 ** 53
+        error = self.norm * np.sqrt((tree.x ** 2).sum(axis=1).max(initial=0)) * width * 2.0 ** -50 if self.rounded else np.zeros(len(self.queries))
+        front = np.full(upper.shape, NONE)
+        front[:, 0] = upper[:, 0]
+        live = np.arange(len(self.queries))
+        while len(live):
+            part = front[live]
+            node = part.argmax(axis=1)
+            top = part[np.arange(len(live)), node]
+            go = (top > NONE) & (top >= self.floor[live])
+            live, node = live[go], node[go]
+            front[live, node] = NONE
+            order = np.argsort(node, kind="stable")
+            named = node[order]
+            cuts = np.flatnonzero(np.diff(named, prepend=-1))
+            for first, which in zip(cuts.tolist(), np.split(live[order], cuts[1:]), strict=False):
+                at = int(named[first])
+                if tree.kids[at]:
+                    for kid in tree.kids[at]:
+                        front[which, kid] = upper[which, kid]
+                else:
+                    self._leaf(which, tree.order[slice(*tree.span[at])], tree.x, ids, error)
+
+    def _leaf(self, which: np.ndarray, rows: np.ndarray, x: np.ndarray, ids: np.ndarray, error: np.ndarray) -> None:
+        got = self.queries[which] @ x[rows].T
+        named = np.broadcast_to(ids[rows], got.shape)
+        other = named != self.own[which][:, None]
+        slack = error[which][:, None]
+        near = other & (got + 2 * slack >= self.floor[which][:, None])
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(some):
+            return
+        which, got, near, named, other, slack = which[some], got[some], near[some], named[some], other[some], slack[some]
+        if self.rounded:
+            for q, r in zip(*np.nonzero(near), strict=True):
+                self.possible[which[q]].append((int(ids[rows[r]]), x[rows[r]]))
+        self.best[which], self.who[which] = merge(self.best[which], self.who[which], np.where(other, got - slack, NONE), np.where(other, named, FAR), self.k)
+        self.floor[which] = np.maximum(self.floor[which], self.best[which, self.k - 1])
+
+    def answers(self) -> list[tuple[int, int, int, int]]:
+        """(query, rank, id, score) of all queries."""
+        out = []
+        for q, me in enumerate(self.own.tolist()):
+            if self.rounded:
+                vector = [int(v) for v in self.queries[q]]
+                found = sorted((-sum(a * int(b) for a, b in zip(vector, x, strict=True)), i) for i, x in self.possible[q])[: self.k]
+                out += [(me, n, i, max(-FAR - 1, min(FAR, -s))) for n, (s, i) in enumerate(found, 1)]
+            else:
+                out += [(me, n, int(i), int(s)) for n, (s, i) in enumerate(zip(self.best[q], self.who[q], strict=True), 1) if s > NONE]
+        return out
 
 
 def scaled(column: Column) -> Column:
@@ -107,69 +152,77 @@ def scaled(column: Column) -> Column:
     return F.when(sound, F.transform(column, lambda v: F.floor(v.cast("double") * SCALE).cast("double")))
 
 
+def planted(ids: np.ndarray, x: np.ndarray, where: str) -> tuple[str, BallTree]:
+    """Writes a shard's tree, with its vectors and ids, to a file."""
+    tree, out = BallTree(x), io.BytesIO()
+    np.savez(out, x=x, ids=ids, order=tree.order, span=np.array(tree.span), kids=np.array([k or [0, 0] for k in tree.kids]), centres=tree.centres, radii=tree.radii)
+    put(uri := f"{where}/{uuid.uuid4().hex}.tree", out.getvalue())
+    return uri, tree
+
+
+def grown(content: bytes) -> tuple[BallTree, np.ndarray]:
+    """The tree and the ids of a file."""
+    got, tree = np.load(io.BytesIO(content)), BallTree.__new__(BallTree)
+    tree.x, tree.order, tree.centres, tree.radii = (got[c] for c in ("x", "order", "centres", "radii"))
+    tree.span, tree.kids = got["span"].tolist(), [[] if k == [0, 0] else k for k in got["kids"].tolist()]
+    return tree, got["ids"]
+
+
+def _matrix(table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column.flatten()) else np.zeros((len(column), 0))
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding",
           shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), the candidate's id and score of each query's k best; queries are the ids divisible by ``every``.
 
     Vectors that are null or hold a null or non-finite component take no part, nor does a null id; vectors of
-    different lengths never meet; empty vectors score 0. Equal scores go to the smaller id. Rows repeating
+    different lengths never meet, however long they are; empty vectors score 0. Equal scores go to the smaller id. Rows repeating
     an id are candidates of their own but none for a query of their id; repeated query rows count once (the first by
-    value). Scores are exact: where products could pass 2^53 they are taken in Python's whole numbers, and a score
-    that no long holds is cut to the nearest long. An empty table gives an empty result.
+    value). Scores are exact; one that no long holds is cut to the nearest long. An empty table gives an empty result;
+    other columns play no part.
 
-    A task holds a shard and a block of queries, both of fixed size; the shards times blocks
-    are the work that any exact search of a share of all rows needs.
+    Each shard's tree is built once and written to a file. A task has a block of queries and visits the trees in order of
+    their balls' bounds, carrying each query's k-th score from tree to tree; no vector is copied for a block. The shards
+    times blocks are the work that any exact search of a share of all rows needs.
     """
     import pyarrow as pa
 
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vec_col)).alias("v")).where("id is not null and v is not null")
     rows = materialise(rows.withColumn("dim", F.size("v")), "topk-vectors")
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    is_query = F.pmod("id", F.lit(every)) == 0
+    counts = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("asked")).agg(F.max("n").alias("n"), F.max("asked").alias("asked")).first()
+    if not counts["n"]:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0).cast("long").alias("score")).where("false")
-    shards = max(1, -(-max(counts.values()) // shard_rows))
-    where = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id", "dim").agg(F.min("v").alias("v"))
-    asked = -(-max(counts.values()) // every)
-    blocks = max(1, -(-asked // query_block))
-    queries = materialise(queries.withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(blocks)).cast("int")), "topk-queries")
-    shape = "query_id long, id long, score long"
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-
-    def matrix(table: pa.Table, name: str) -> np.ndarray:
-        column = table.column(name).combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+    shards = max(1, -(-counts["n"] // shard_rows))
+    parallel = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-counts["asked"] // query_block), min(parallel, counts["asked"] // 64))
+    where = fresh_dir(spark, "topk-trees")
+
+    def plant(table: pa.Table) -> pa.Table:
+        uri, tree = planted(table.column("id").to_numpy(), _matrix(table, "v"), where)
+        return pa.table({"dim": table.column("dim").slice(0, 1), "uri": [uri], "centre": pa.array([tree.centres[0].tolist()], pa.list_(pa.float64())), "radius": [float(tree.radii[0])]})
+
+    # rows that repeat an id are dealt apart too
+    shard = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    trees = materialise(rows.withColumn("shard", shard).groupBy("dim", "shard").applyInArrow(releasing_group(plant), "dim int, uri string, centre array<double>, radius double"), "topk-shards")
+    queries = rows.where(is_query).groupBy("id", "dim").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), (id_col, pa.int64()), ("score", pa.int64())])
+
+    def ask(asked: pa.Table, shown: pa.Table) -> pa.Table:
+        if not asked.num_rows or not shown.num_rows:
             return schema.empty_table()
-        ids, own = left.column("id").to_numpy(), right.column("id").to_numpy()
-        x, q = matrix(left, "v"), matrix(right, "v")
-        bound = right.column("bound").to_numpy(zero_copy_only=False)
-        if exact(x, q):
-            best, who = search(BallTree(x), ids, q, own, bound, k)
-            at, rank = np.nonzero(best > NONE)
-            return pa.table([pa.array(own[at]), pa.array(who[at, rank]), pa.array(best[at, rank].astype(np.int64))], schema=schema)
-        made = []
-        whole = [list(map(int, r)) for r in x.tolist()]
-        for me, vector in zip(own.tolist(), q.tolist(), strict=True):
-            vector = list(map(int, vector))
-            held = ((max(-(1 << 63), min(FAR, sum(a * b for a, b in zip(vector, r, strict=True)))), i) for r, i in zip(whole, ids.tolist(), strict=True) if i != me)
-            made += [(me, i, s) for s, i in sorted(held, key=lambda x: (-x[0], x[1]))[:k]]
-        return pa.table([pa.array([m[c] for m in made], pa.int64()) for c in range(3)], schema=schema)
-
-    def round_of(asking: DataFrame, tag: str) -> DataFrame:
-        """asking: queries with ``shard`` and ``bound``."""
-        keys = ["dim", "shard", "block"]
-        held = rows.withColumn("shard", where).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return materialise(held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(releasing_group(ask), shape), tag)
-
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    first = round_of(queries.withColumn("shard", where).withColumn("bound", F.lit(NONE)), "topk-first")
-    # the k-th score of a full answer bounds what any shard must beat
-    bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    again = queries.join(bounds, F.col("id") == F.col("query_id"), "left").select(
-        "id", "dim", "v", "block", F.coalesce("bound", F.lit(NONE)).alias("bound"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(
-        F.col("shard") != F.pmod(F.xxhash64("id"), F.lit(shards)))
-    both = first.union(round_of(again, "topk-again")) if shards > 1 else first
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+        search = Search(_matrix(asked, "v"), asked.column("id").to_numpy(), k)
+        bounds = search.bounds(_matrix(shown, "centre"), shown.column("radius").to_numpy())
+        uris = shown.column("uri").to_pylist()
+        for at in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            if (bounds[:, at] >= search.floor).any():
+                search.visit(*grown(get(uris[at])))
+        found = search.answers()
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema) if found else schema.empty_table()
+
+    # a row for each block of each tree: its ball and where it lies, no vectors
+    shown = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return queries.groupBy("dim", "block").cogroup(shown.groupBy("dim", "block")).applyInArrow(releasing_group(ask), f"query_id long, rank int, `{id_col}` long, score long")

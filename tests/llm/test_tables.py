@@ -139,6 +139,18 @@ def test_top_k(spark, scale):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_odd_rows(spark):
+    """Repeated ids, empty vectors, a very long one, ties, and scores that no long holds."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [3.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (5, [1.0, 1.0]), (100, []), (101, []), (200, [1.0] * 5000), (201, [0.5] * 5000), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, k=3, shard_rows=2).collect())
+    m = 1024 * 1024
+    assert got == [(0, 1, 5, 3 * m), (0, 2, 7, 3 * m), (0, 3, 7, 3 * m), (100, 1, 101, 0), (200, 1, 201, 2500 * m)]
+    big = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9 - 1 / 1024]), (2, [1e9 - 1 / 1024, 1e9]), (3, [1e12, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(big).orderBy("rank").collect()]
+    assert got == [(n, i, (1 << 63) - 1) for n, i in ((1, 3), (2, 1), (3, 2))]
+
+
 def test_balls_hold_their_points():
     x = np.random.default_rng(8).normal(size=(500, 6)).round(1)
     x[:50] = x[0]
