@@ -1,6 +1,7 @@
 import base64
 import io
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -150,7 +151,7 @@ def test_quality_of_odd_tables(spark, odd):
 
 def test_quality_threshold_is_the_quantile():
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(400, len(quality.FEATURES)))
+    x = rng.normal(size=(400, 20))
     y = (x[:, 0] + 0.1 * rng.normal(size=400) > -0.8).astype(int)
     model = quality.Model(x, y)
     raw = (x - model.mean) / model.scale @ model.weights
@@ -158,6 +159,60 @@ def test_quality_threshold_is_the_quantile():
     assert np.isfinite(quality.features(["", " ", "a", "!!|<>", "\n\n"])).all()
 
 
+def brute_features(text):
+    """A text's features by plain counting."""
+    one = lambda c: 1 if c.isalpha() else 4 if c.isdigit() else 8 if c in ".,;:'\"-?()’‘“”¿¡«»" else 32 if c == "\n" else 0 if c.isspace() else 16
+    kinds, words, lines = [one(c) for c in text], regex.findall("[^\x20\x09-\x0d]+", text), [x for x in text.split("\n") if x]
+    n, w = max(1, len(text)), max(1, len(words))
+    hashed = lambda t: int(vectext.hashes(*(lambda c, b: (c, b[:-1], b[1:]))(*vectext.points([t])))[0]) >> 40
+    out = [np.log1p(len(text)), kinds.count(1) / n, sum(c.isalpha() and c.isupper() for c in text) / max(1, kinds.count(1)), kinds.count(4) / n, kinds.count(8) / n, kinds.count(16) / n,
+           sum(map(len, words)) / w, sum(len(x) > 20 for x in words) / w, len(set(words)) / w if words else 1.0, len(set(lines)) / max(1, len(lines)), kinds.count(32) / w, sum(any(one(c) == 16 for c in x) for x in words) / w, np.log1p(len(words))]
+    by_word, by_run = np.zeros(quality.CLASSES), np.zeros(quality.CLASSES)
+    for x in words:
+        by_word[hashed(x) % quality.CLASSES] += 1
+    for i in range(len(text) - 2):
+        a, b, c = map(ord, text[i: i + 3])
+        by_run[(int(vectext.mix(np.array([a | b << 21 | c << 42], np.uint64))[0]) >> 40) % quality.CLASSES] += 1
+    return np.array([*out, *np.sqrt(by_word / w), *np.sqrt(by_run / max(1, len(text) - 2))])
+
+
+@pytest.mark.parametrize("long", [1 << 22, 60])
+def test_quality_features_equal_plain_counts(monkeypatch, long):
+    monkeypatch.setattr(quality, "LONG", long)
+    rng = random.Random(12)
+    texts = ["", "a", "\n\n", *("".join(rng.choices(ALPHABET + [" word", "\nline", " x"], k=rng.randint(0, 200))) for _ in range(40))]
+    assert quality.features(texts) == pytest.approx(np.array([brute_features(t) for t in texts]))
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Scores of the query itself from plainly counted features, pairs and loss."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    texts, known = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = sorted((known[d], brute_features(t).astype("<f4").tobytes()) for d, t in texts.items() if known.get(d) in (0, 1) and not held(d))
+    x, y = np.array([np.frombuffer(r[1], "<f4") for r in rows], np.float64), np.array([r[0] for r in rows])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    z, good, bad = (x - mean) / scale, np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    model = quality.learn(docs, labels)
+    most = max(quality.PAIRS * min(len(good), len(bad)), len(good), len(bad))
+    pairs = [(good[i % len(good)], bad[(i + i // max(len(good), len(bad)) * 7919) % len(bad)]) for i in range(most)]
+    d = np.array([z[a] - z[b] for a, b in pairs])
+    grad = quality.RIDGE * model.weights - (d / (1 + np.exp(np.clip(d @ model.weights, -50, 50)))[:, None]).mean(axis=0)
+    assert np.abs(grad).max() < 1e-6
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    for doc, t in list(texts.items())[:50]:
+        raw = (brute_features(t) - mean) / scale @ model.weights - model.cut
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(raw + np.log(0.7 / 0.3), -500, 500))), abs=1e-4)
+
+
+def test_quality_ties(spark, docs):
+    """Documents that nothing tells apart score alike, and alike the threshold."""
+    same = docs(*((i, "one text") for i in range(8)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    assert len({r["score"] for r in quality.classify(same, labels).collect()}) == 1
+
+
 def test_very_long_texts_in_pieces(monkeypatch):
     """Small pieces give what whole texts give."""
     from cairn.llm import ngramjoin
