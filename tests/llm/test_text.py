@@ -193,6 +193,7 @@ def test_quality_query_equals_brute_force(spark):
     rows = sorted((known[d], brute_features(t).astype("<f4").tobytes()) for d, t in texts.items() if known.get(d) in (0, 1) and not held(d))
     x, y = np.array([np.frombuffer(r[1], "<f4") for r in rows], np.float64), np.array([r[0] for r in rows])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    scale[len(quality.SHAPE):] /= quality.HASHED
     z, good, bad = (x - mean) / scale, np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     model = quality.learn(docs, labels)
     most = max(quality.PAIRS * min(len(good), len(bad)), len(good), len(bad))
