@@ -3,7 +3,7 @@
 Vectors are dealt to shards, whose trees are built once, and queries to blocks. A block
 visits all trees, those with the highest bound first, and takes each query's current
 k-th score from tree to tree. A node's upper bound for a query is q . centre + |q| radius;
-each query opens nodes in order of its own bounds.
+each query opens its own best leaves first, then what its k-th score still leaves.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .workers import releasing_group
 
 SCALE = 1024
 LEAF, SHARD_ROWS, QUERY_BLOCK = 128, 16_384, 4_096
+#: Leaves of a tree that each query opens by its own order, before nodes are opened for all queries that still reach them.
+FIRST = 4
 
 
 class BallTree:
@@ -87,7 +89,7 @@ class Search:
         return upper + size * 1e-9 + 1
 
     def visit(self, tree: BallTree, ids: np.ndarray) -> None:
-        """Each query opens the tree's nodes in order of its own bounds, until none reaches its floor."""
+        """Each query opens the nodes of a tree that reach its floor, its own best leaves first."""
         upper = self.bounds(tree.centres, tree.radii)
         for node, kids in enumerate(tree.kids):  # parents come before their children
             for kid in kids:
@@ -96,26 +98,27 @@ class Search:
         most = float(np.abs(tree.x).max(initial=0)) * float(np.abs(self.queries).max(initial=0)) * width
         self.rounded |= most >= 2 ** 53
         error = self.norm * np.sqrt((tree.x ** 2).sum(axis=1).max(initial=0)) * width * 2.0 ** -50 if self.rounded else np.zeros(len(self.queries))
-        front = np.full(upper.shape, NONE)
-        front[:, 0] = upper[:, 0]
-        live = np.arange(len(self.queries))
-        while len(live):
-            part = front[live]
-            node = part.argmax(axis=1)
-            top = part[np.arange(len(live)), node]
-            go = (top > NONE) & (top >= self.floor[live])
-            live, node = live[go], node[go]
-            front[live, node] = NONE
-            order = np.argsort(node, kind="stable")
-            named = node[order]
-            cuts = np.flatnonzero(np.diff(named, prepend=-1))
-            for first, which in zip(cuts.tolist(), np.split(live[order], cuts[1:]), strict=False):
-                at = int(named[first])
-                if tree.kids[at]:
-                    for kid in tree.kids[at]:
-                        front[which, kid] = upper[which, kid]
-                else:
-                    self._leaf(which, tree.order[slice(*tree.span[at])], tree.x, ids, error)
+        leaves = np.array([n for n, kids in enumerate(tree.kids) if not kids])
+        scored = np.zeros(upper.shape, bool)
+        # each query's own best leaves first: they lift its floor
+        wanted = leaves[np.argsort(-upper[:, leaves], axis=1, kind="stable")[:, :FIRST]]
+        for turn in wanted.T:
+            go = upper[np.arange(len(turn)), turn] >= self.floor
+            for leaf in np.unique(turn[go]).tolist():
+                which = np.flatnonzero(go & (turn == leaf))
+                scored[which, leaf] = True
+                self._leaf(which, tree.order[slice(*tree.span[leaf])], tree.x, ids, error)
+        # then what their floors leave, from the root down, a node at once for all queries that reach it
+        stack = [(0, np.arange(len(self.queries)))]
+        while stack:
+            node, which = stack.pop()
+            which = which[(upper[which, node] >= self.floor[which]) & ~scored[which, node]]
+            if not len(which):
+                continue
+            if tree.kids[node]:
+                stack += [(kid, which) for kid in sorted(tree.kids[node], key=lambda kid: upper[which, kid].mean())]  # noqa: B023  read at once
+            else:
+                self._leaf(which, tree.order[slice(*tree.span[node])], tree.x, ids, error)
 
     def _leaf(self, which: np.ndarray, rows: np.ndarray, x: np.ndarray, ids: np.ndarray, error: np.ndarray) -> None:
         got = self.queries[which] @ x[rows].T
@@ -225,4 +228,5 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
 
     # a row for each block of each tree: its ball and where it lies, no vectors
     shown = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return queries.groupBy("dim", "block").cogroup(shown.groupBy("dim", "block")).applyInArrow(releasing_group(ask), f"query_id long, rank int, `{id_col}` long, score long")
+    n = max(parallel, min(1 << 16, blocks))  # few rows are much work: small partitions aren't put together
+    return queries.repartition(n, "dim", "block").groupBy("dim", "block").cogroup(shown.repartition(n, "dim", "block").groupBy("dim", "block")).applyInArrow(releasing_group(ask), f"query_id long, rank int, `{id_col}` long, score long")
