@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import inspect
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +53,23 @@ def tables(found: DataFrame) -> dict[str, DataFrame]:
         "binding": each("bindings").select("path", "x.*").distinct(), "raw_call": each("calls").select("path", "x.*"), "variable": each("variables").select("path", "x.*"), "flows_to": each("flows").select("x.*").distinct()}
 
 
+#: What a relative import may leave out, in the order in which it is tried.
+LEFT_OUT = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def relative_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst) of imports like ./b and ../c/d: the first of the paths that the importing file's folder and LEFT_OUT make and that is known.
+
+    A path that leaves the root, and a package's name, resolve to nothing.
+    """
+    steps = F.split(F.concat(F.regexp_replace("src", r"[^/]*$", ""), "module"), "/")
+    # ".." takes the folder before it away; one too many makes the path null
+    walked = F.aggregate(F.filter(steps, lambda x: ~x.isin("", ".")), F.array().cast("array<string>"), lambda path, x: F.when(x != "..", F.concat(path, F.array(x))).when(F.size(path) > 0, F.slice(path, 1, F.size(path) - 1)))
+    tried = raw.where("language = 'typescript' AND module LIKE '.%'").select("src", "module", F.array_join(walked, "/").alias("base")).select(
+        "src", "module", F.posexplode(F.array(*[F.concat("base", F.lit(x)) for x in LEFT_OUT])).alias("pos", "path"))
+    return tried.join(files.select("path"), "path").groupBy("src", "module").agg(F.min_by("path", "pos").alias("dst")).select("src", "dst")
+
+
 def resolve(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Adds imports (file to file), calls (symbol to symbol) and the flows between scopes.
 
@@ -64,7 +79,8 @@ def resolve(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """
     modules = parts["file"].select(F.col("path").alias("dst"), F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.(py|pyi|ts|tsx|js|jsx|go|rs|java|ps1|psm1)$", ""), r"(^|/)src/", "$1"), "/", ".").alias("module"))
     modules = modules.select("dst", F.regexp_replace("module", r"\.__init__$", "").alias("module"))
-    imports = parts["raw_import"].join(modules, "module").where("src <> dst").select("src", "dst").distinct()
+    dotted = parts["raw_import"].where("language <> 'typescript'").join(modules, "module").select("src", "dst")
+    imports = dotted.union(relative_imports(parts["raw_import"], parts["file"])).where("src <> dst").distinct()
     calls = materialise(parts["raw_call"].withColumn("call_id", F.xxhash64("path", "caller_qname", "callee_qualifier", "line_number")), "raw-calls")
     named = parts["symbol"].select(F.col("name").alias("callee_name"), F.col("qualified_name").alias("target"), F.col("file_path").alias("to_path"))
     open_calls = calls.where("NOT shadowed").select("call_id", "path", "caller_qname", "callee_name")
@@ -80,40 +96,33 @@ def resolve(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     tiers = at_home.union(via).union(anywhere).union(through).groupBy("call_id", "tier").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
     best = tiers.groupBy("call_id").agg(F.min_by(F.struct("n", "target"), "tier").alias("b")).where("b.n = 1").select("call_id", F.col("b.target").alias("callee"))
     linked = calls.join(best, "call_id")
-    between = cross_flows(linked.join(parts["symbol"].select(F.col("qualified_name").alias("callee"), "parameters"), "callee"))
+    between = cross_flows(linked.join(parts["symbol"].select(F.col("qualified_name").alias("callee"), F.col("symbol_type").alias("callee_type"), "parameters"), "callee"))
     return parts | {"imports": imports, "calls": linked.select(F.col("caller_qname").alias("src"), F.col("callee").alias("dst")).distinct(), "flows_to": parts["flows_to"].unionByName(between).distinct()}
 
 
-def bind(arguments: list[dict], parameters: list[dict] | None) -> list[tuple[str, str]]:
-    """(variable, parameter name) of a call's arguments under the callee's signature; nothing if unpacking hides them or they don't fit."""
-    if parameters is None or any(a["unpacked"] for a in arguments):
-        return []
-    kinds = {"positional_only": inspect.Parameter.POSITIONAL_ONLY, "positional_or_keyword": inspect.Parameter.POSITIONAL_OR_KEYWORD, "var_positional": inspect.Parameter.VAR_POSITIONAL,
-             "keyword_only": inspect.Parameter.KEYWORD_ONLY, "var_keyword": inspect.Parameter.VAR_KEYWORD}
-    own = parameters[1:] if parameters and parameters[0]["name"] in ("self", "cls") else parameters
-    try:
-        signature = inspect.Signature([inspect.Parameter(p["name"], kinds[p["kind"]], default=None if p["has_default"] else inspect.Parameter.empty) for p in own])
-        bound = signature.bind(*[a for a in arguments if a["keyword"] is None], **{a["keyword"]: a for a in arguments if a["keyword"] is not None})
-    except (TypeError, ValueError):
-        return []
-    out = set()
-    for name, value in bound.arguments.items():
-        slots = value if isinstance(value, tuple) else value.values() if isinstance(value, dict) and "dependencies" not in value else (value,)
-        out |= {(d, name) for slot in slots for d in slot["dependencies"]}
-    return sorted(out)
-
-
 def cross_flows(linked: DataFrame) -> DataFrame:
-    """argument and call_return flows of resolved calls (caller_qname, callee, arguments, parameters, result_var_qname), at line 0."""
-    def rows(batches):
-        import pandas as pd
+    """argument and call_return flows of resolved calls (caller_qname, callee, callee_type, arguments, parameters, result_var_qname), at line 0.
 
-        for batch in batches:
-            out = []
-            for caller, callee, arguments, parameters, result in zip(batch["caller_qname"], batch["callee"], batch["arguments"], batch["parameters"], batch["result_var_qname"], strict=True):
-                out += [(d, f"{callee}:{p}", caller, 0, "argument") for d, p in bind(list(arguments), None if parameters is None else list(parameters))]
-                if result is not None:
-                    out.append((f"{callee}:__return__", result, caller, 0, "call_return"))
-            yield pd.DataFrame(out, columns=["src", "dst", "scope_qname", "line_number", "flow_type"])
-
-    return linked.select("caller_qname", "callee", "arguments", "parameters", "result_var_qname").mapInPandas(rows, "src string, dst string, scope_qname string, line_number int, flow_type string").distinct()
+    Arguments in order take the places of the callee's parameters, further ones its list of the rest; named arguments take
+    the parameter of that name, others its dictionary of the rest. A method's receiver takes no argument. A call that unpacks, or
+    that doesn't fit the parameters, gives no argument flow.
+    """
+    named = lambda xs: F.transform(xs, lambda p: p["name"])
+    of = lambda xs, *kinds: F.filter(xs, lambda p: p["kind"].isin(*kinds))
+    receiver = F.endswith("callee_type", F.lit("method")) & F.coalesce(F.get("parameters", 0)["name"].isin("self", "cls"), F.lit(False))
+    shaped = linked.withColumn("own", F.when(receiver, F.slice("parameters", 2, F.size("parameters"))).otherwise(F.col("parameters"))).withColumns({
+        "in_order": F.filter("arguments", lambda a: a["keyword"].isNull()), "by_name": F.filter("arguments", lambda a: a["keyword"].isNotNull()),
+        "places": named(of("own", "positional_only", "positional_or_keyword")), "rest": F.get(named(of("own", "var_positional")), 0), "others": F.get(named(of("own", "var_keyword")), 0),
+        "required": named(F.filter("own", lambda p: ~p["has_default"] & p["kind"].isin("positional_only", "positional_or_keyword", "keyword_only")))})
+    taken = shaped.withColumn("taken", F.slice("places", 1, F.size("in_order"))).withColumn("open", F.array_except(named(of("own", "positional_or_keyword", "keyword_only")), F.col("taken")))
+    keyword = lambda a: F.when(F.array_contains("open", a["keyword"]), a["keyword"]).when(~F.array_contains("taken", a["keyword"]), F.col("others"))
+    pair = lambda a, to: F.struct(a["dependencies"].alias("dependencies"), to.alias("to"))
+    slots = F.concat(F.transform("in_order", lambda a, i: pair(a, F.coalesce(F.get("places", i), F.col("rest")))), F.transform("by_name", lambda a: pair(a, keyword(a))))
+    names = F.transform("by_name", lambda a: a["keyword"])
+    fits = (F.col("own").isNotNull() & ~F.exists("arguments", lambda a: a["unpacked"]) & F.forall("slots", lambda x: x["to"].isNotNull())
+            & (F.size(F.array_except("required", F.concat("taken", names))) == 0) & (F.size(names) == F.size(F.array_distinct(names))))
+    bound = taken.withColumn("slots", slots).where(fits).select("caller_qname", "callee", F.explode("slots").alias("x")).select("caller_qname", "callee", F.explode("x.dependencies").alias("src"), F.col("x.to").alias("to"))
+    passed = bound.select("src", F.concat("callee", F.lit(":"), "to").alias("dst"), F.col("caller_qname").alias("scope_qname"), F.lit(0).alias("line_number"), F.lit("argument").alias("flow_type"))
+    returned = linked.where("result_var_qname IS NOT NULL").select(F.concat("callee", F.lit(":__return__")).alias("src"), F.col("result_var_qname").alias("dst"), F.col("caller_qname").alias("scope_qname"),
+                                                                   F.lit(0).alias("line_number"), F.lit("call_return").alias("flow_type"))
+    return passed.union(returned).distinct()

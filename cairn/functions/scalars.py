@@ -111,11 +111,17 @@ def guid(text: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(text, "([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})", 1), F.lit("")))
 
 
+#: What only one of two languages has.
+OBJECTIVE = r"(?m)^\s*(#\s*import\b|@(interface|implementation|protocol|class)\b)"
+PLUS_PLUS = r"\b(class|namespace|template|typename|constexpr|consteval|constinit|noexcept|nullptr|decltype)\b|::|\b(public|private|protected)\s*:"
+
+
 def dialect(extension: Column, text: Column) -> Column:
     """Language of files whose suffix two languages share, from their first 8192 characters."""
     head = F.substring(text, 1, 8192)
-    return (F.when((extension == ".m") & head.rlike(r"(?m)^\s*(@(interface|implementation|protocol|class|end)\b|#import\b)"), "objc").when(extension == ".m", "matlab")
-            .when((extension == ".h") & head.rlike(r"(?m)^\s*(class\s+\w+|namespace\s+\w+|template\s*<|using\s+namespace)"), "cpp").when(extension == ".h", "c"))
+    bare = F.regexp_replace(head, r"(?s)/\*.*?\*/|//[^\r\n]*", "")
+    return (F.when((extension == ".m") & head.rlike(OBJECTIVE), "objc").when(extension == ".m", "matlab")
+            .when((extension == ".h") & bare.rlike(PLUS_PLUS), "cpp").when(extension == ".h", "c"))
 
 
 def uuid5(name: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:

@@ -194,10 +194,16 @@ def means(rows: DataFrame, by: list[str], columns: list[str], places: int = 2) -
     return rows.groupBy(*by).agg(*[F.round(F.avg(c), places).alias(f"avg_{c}") for c in columns], F.count(F.lit(1)).alias("n"))
 
 
-def degree(edges: DataFrame) -> DataFrame:
-    """Degree of every node, each edge counted at both ends, and its level of detail."""
+#: Level of detail of a node kind without regard to its degree; other kinds have 1.
+BASE_TIERS = {"Repository": 4, "Symbol": 3, "File": 2}
+
+
+def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degree of every node (kind, id), each edge counted at both ends, and its level of detail by kind and degree."""
     n = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    return n.withColumn("tier", F.when(F.col("degree") >= 24, 4).when(F.col("degree") >= 10, 3).when(F.col("degree") >= 4, 2).otherwise(1))
+    base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in BASE_TIERS.items() for x in kv]), F.col("kind")), F.lit(1))
+    floor = F.when(F.col("degree") >= 24, 4).when(F.col("degree") >= 10, 3).when(F.col("degree") >= 4, 2).otherwise(1)
+    return nodes.select("kind", "id").join(n, "id", "left").fillna(0, ["degree"]).select("kind", "id", "degree", F.greatest(base, floor).alias("tier"))
 
 
 def points(status: Column) -> Column:

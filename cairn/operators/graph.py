@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import materialise
-from . import small
 from .joins import callees, callers
 
 #: Steps of a loop between two tables in the shared folder.
@@ -90,15 +89,12 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def on_cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """(symbol, component) of every node on a cycle, a self-loop included; component is the greatest node of its strongly connected component.
 
     After the core is cut out, the greatest label is sent forward; the nodes of a label that reach
-    its owner back are the owner's component. Components found leave, the rest is cut anew. A graph of
-    up to ``at_once`` edges is one task's work instead.
+    its owner back are the owner's component. Components found leave, the rest is cut anew.
     """
-    if small.fits(edges, at_once):
-        return small.at_once(edges, small.cycle_members, "symbol string, component string")
     loops = edges.where("src = dst").select(F.col("src").alias("symbol"), F.col("src").alias("component")).distinct()
     now, found = core(edges.where("src <> dst")), None
     while not now.isEmpty():
@@ -125,13 +121,9 @@ def on_cycles(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
     return found.union(loops.join(found.select("symbol"), "symbol", "left_anti").select("symbol", "component"))
 
 
-def depths(edges: DataFrame, at_once: int = small.EDGES) -> DataFrame:
-    """Steps of the shortest way to each node from any node without a way in; 0 for those that none reaches.
-
-    A graph of up to ``at_once`` edges is one task's work, a larger one goes level by level.
+def depths(edges: DataFrame) -> DataFrame:
+    """Steps of the shortest way to each node from any node without a way in; 0 for those that none reaches. Goes level by level, however many there are.
     """
-    if small.fits(edges, at_once):
-        return small.at_once(edges, small.levels, "symbol string, depth int")
     pairs = edges.select("src", "dst").distinct()
     nodes = pairs.select(F.col("src").alias("symbol")).union(pairs.select(F.col("dst").alias("symbol"))).distinct()
     front = nodes.join(pairs.select(F.col("dst").alias("symbol")).distinct(), "symbol", "left_anti").withColumn("depth", F.lit(0))

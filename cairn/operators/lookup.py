@@ -88,21 +88,28 @@ def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Fixed value: what a credential looks like.
-CREDENTIAL = r"(?i)((api[_-]?key|secret|token|password)\s*[:=]\s*\S+|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(ghp|sk|xox[bp])[-_][A-Za-z0-9]{8,})"
+CREDENTIAL = (r"(?i)((password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*\S{4,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+              r"|\b(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16,16}|sk-[A-Za-z0-9]{20,})\b)")
 
 
 def has_credential(text: Column) -> Column:
     return F.coalesce(text.rlike(CREDENTIAL), F.lit(False))
 
 
-def retention_category(path: Column, scope: Column) -> Column:
-    """protected, polling or request."""
-    return F.when((scope == "admin") | path.startswith("/auth/"), "protected").when(path.rlike("/(poll|heartbeat)$"), "polling").otherwise("request")
+#: Parts of a path that protect a row, and the paths that clients poll.
+PROTECTED_PARTS = ("login", "logout", "users", "tokens", "runtime-config", "updates", "audit-retention")
+POLLED = ("/api/auth/projects/index-status", "/api/auth/audit", "/api/auth/audit/paged", "/api/admin/schedules")
+
+
+def retention_category(path: Column, method: Column, status_code: Column) -> Column:
+    """protected (failures, changes and accounts), polling or request."""
+    protected = (status_code >= 400) | ~method.isin("GET", "HEAD") | path.rlike("/(" + "|".join(PROTECTED_PARTS) + ")(/|$)")
+    return F.when(protected, "protected").when(path.isin(*POLLED), "polling").otherwise("request")
 
 
 def expired(audit: DataFrame, now: str, days: dict[str, int]) -> DataFrame:
     """Rows older than their category allows, with the category; a time that can't be read never expires."""
-    named_rows = audit.withColumn("category", retention_category(F.col("path"), F.col("scope")))
+    named_rows = audit.withColumn("category", retention_category(F.col("path"), F.col("method"), F.col("status_code")))
     at = F.try_to_timestamp(F.col("created_at").cast("string"))
     old = F.lit(False)
     for category, n in days.items():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import plain, tokens_simple
+from ..shared import materialise
 
 WEIGHTS = {"missing": 0.45, "noise": 0.35, "redundancy": 0.10, "ambiguity": 0.10}
 
@@ -88,13 +89,19 @@ def answers(rows: DataFrame) -> DataFrame:
 def calibrate(samples: DataFrame) -> DataFrame:
     """The threshold of (score, passed) with the greatest balanced accuracy, the smallest of equals.
 
-    Candidates are the least score - 0.01 and every distinct score. Counts at or below each come from
-    running sums over distinct scores, so no candidate is joined with samples.
+    Candidates are the least score - 0.01 and every distinct score; rows without a score or an outcome don't count. Counts at or
+    below each come from running sums within ranges of scores, to which the ranges below are added: no task holds
+    all scores, and no candidate is joined with samples.
     """
-    by_score = samples.groupBy("score").agg(F.count(F.when(F.col("passed"), 1)).alias("p"), F.count(F.when(~F.col("passed"), 1)).alias("f"))
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    rows = by_score.select("score", F.sum("p").over(upto).alias("pass_kept"), F.sum("f").over(upto).alias("fail_kept"), F.sum("p").over(every).alias("passes"), F.sum("f").over(every).alias("fails"))
+    by_score = samples.where("score IS NOT NULL AND passed IS NOT NULL").groupBy("score").agg(F.count(F.when(F.col("passed"), 1)).alias("p"), F.count(F.when(~F.col("passed"), 1)).alias("f"))
+    ranged = materialise(by_score.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "calibrate")
+    # a row for each range
+    below, every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = ranged.groupBy("range").agg(F.sum("p").alias("p"), F.sum("f").alias("f")).select(
+        "range", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_below") for c in "pf"], F.sum("p").over(every).alias("passes"), F.sum("f").over(every).alias("fails"))
+    upto = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumns({c: F.sum(c).over(upto) for c in "pf"}).join(sums, "range").select(
+        "score", (F.col("p") + F.col("p_below")).alias("pass_kept"), (F.col("f") + F.col("f_below")).alias("fail_kept"), "passes", "fails")
     least = rows.agg(F.min("score").alias("s"), F.max("passes").alias("passes"), F.max("fails").alias("fails")).where("s is not null").select(
         (F.col("s") - 0.01).alias("score"), F.lit(0).cast("long").alias("pass_kept"), F.lit(0).cast("long").alias("fail_kept"), "passes", "fails")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(1.0))
@@ -110,13 +117,13 @@ def item_score(matched: Column, terms: Column, has_snippet: Column, neighbours:
 
 
 def bundle_score(items: DataFrame, by: str) -> DataFrame:
-    """Quality of bundles of (score, has_snippet) items, and the fall-back decision for at least 2 hits and quality 0.55."""
+    """Quality of bundles of (score, has_snippet) items, and the fall-back decision for at least 3 hits and quality 0.55."""
     got = items.groupBy(by).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("score") >= 0.45, 1)).alias("matched"), F.bool_or("has_snippet").alias("snippets"))
     quality = F.round(F.least(F.lit(1.0), F.col("mean") + F.least(F.lit(0.15), F.col("items") * 0.03) + F.when(F.col("snippets"), 0.1).otherwise(0.0)), 3)
     return got.select(by, "items", "matched", "snippets", F.round("mean", 3).alias("mean"), quality.alias("quality")).withColumn("decision", fallback(F.col("items"), F.col("quality")))
 
 
-def fallback(items: Column, quality: Column, least_items: int = 2, least_quality: float = 0.55) -> Column:
+def fallback(items: Column, quality: Column, least_items: int = 3, least_quality: float = 0.55) -> Column:
     return F.when(items < least_items, "insufficient_graph_hits").when(quality < least_quality, "low_graph_quality").otherwise("graph_context_sufficient")
 
 
@@ -137,12 +144,14 @@ def greedy_expansion(candidates: DataFrame, most_chunks: int, most_tokens: int)
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, keep = rows.sort_values(["depth", "pos"]), 0, []
-        for t in rows["tokens"]:
-            fits = sum(keep) < most_chunks and used + t <= most_tokens
-            used += t * fits
-            keep.append(fits)
-        return rows[keep]
+        rows, used, kept = rows.sort_values(["depth", "pos"]), 0, []
+        for at, t in enumerate(rows["tokens"]):
+            if len(kept) == most_chunks:
+                break
+            if used + t <= most_tokens:
+                used += t
+                kept.append(at)
+        return rows.iloc[kept]
 
     return candidates.groupBy("case_id").applyInPandas(fold, candidates.schema)
 

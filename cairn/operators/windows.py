@@ -14,7 +14,8 @@ def exact_duplicates(activity: DataFrame) -> DataFrame:
 
 
 def cleaned(activity: DataFrame) -> DataFrame:
-    return activity.join(exact_duplicates(activity).select("id"), "id", "left_anti")
+    """The newest activity of each (plugin, project, type, content)."""
+    return latest(activity, ["plugin_id", "project_id", "source_type", "content_hash"], [F.desc("synced_at"), F.desc("occurred_at"), F.desc("id")])
 
 
 def budget_prefix(rows: DataFrame, by: str, order: list[str], tokens: Column, budget: int) -> DataFrame:
@@ -36,12 +37,15 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], keep: int = 1)
 
 
 def even_sample(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
-    """k rows of each group spread evenly over its order (all rows of smaller groups): places round(i (n-1) / (k-1))."""
+    """k rows of each group spread evenly over its order (all rows of smaller groups): places round(i (n-1) / (k-1)), halves to the even.
+
+    In groups of more than k rows two such places are more than one apart, so no two meet.
+    """
     own = Window.partitionBy(by)
     numbered = rows.withColumn("at", F.row_number().over(own.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(own))
     if k == 1:
         return numbered.where("at = 0").drop("at", "n")
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (k - 1) + 0.5))
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / (k - 1)).cast("long"))
     return numbered.where((F.col("n") <= k) | F.array_contains(places, F.col("at").cast("long"))).drop("at", "n")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,18 +13,18 @@ from ..extract.patterns import SPECS
 from ..operators.lookup import has_credential
 from ..operators.windows import latest
 
-#: Fixed value: folders that no scan enters, beside those whose name begins with a dot.
-PRUNED = ("node_modules", "venv", "env", "__pycache__", "dist", "build", "target", "site-packages", "vendor")
+#: Fixed value: folders that no scan enters.
+PRUNED = (".git", ".venv", "venv", "env", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", "dist", "build", ".next", "coverage")
 
 
-def discover(spark: SparkSession, root: str, disabled: tuple[str, ...] = (), most_bytes: int = 8 << 20) -> DataFrame:
+def discover(spark: SparkSession, root: str, disabled: tuple[str, ...] = (), most_bytes: int | None = None) -> DataFrame:
     """(path, text, language) of source files below ``root`` whose language isn't disabled; paths are relative.
 
-    Pruned folders, larger files, and files with a NUL or that aren't UTF-8 are left out.
+    Pruned folders, files of more than ``most_bytes`` if that is given, and files with a NUL or that aren't UTF-8 are left out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.removeprefix("file://").rstrip("/")) + "/", "")
-    rows = raw.where(F.col("length") <= most_bytes).select(relative.alias("path"), "content").where(wanted(F.col("path"), disabled))
+    rows = (raw if most_bytes is None else raw.where(F.col("length") <= most_bytes)).select(relative.alias("path"), "content").where(wanted(F.col("path"), disabled))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return rows.select("path", text.alias("text")).where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\0"))).withColumn("language", language(F.col("path")))
 
@@ -31,7 +32,7 @@ def discover(spark: SparkSession, root: str, disabled: tuple[str, ...] = (), mos
 def wanted(path: Column, disabled: tuple[str, ...] = ()) -> Column:
     """Whether a relative path is in no pruned folder and has a language that isn't disabled."""
     suffixes = [x for s in SPECS.values() if s.language not in disabled for x in s.suffixes] + ([".py", ".pyi"] if "python" not in disabled else [])
-    inside = r"(^|/)(\.[^/]+|" + "|".join(map(re.escape, PRUNED)) + ")/"
+    inside = r"(^|/)(" + "|".join(map(re.escape, PRUNED)) + ")/"
     return path.rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$") & ~path.rlike(inside)
 
 
@@ -55,7 +56,7 @@ def tree_changes(previous: DataFrame, current: DataFrame, exclude: str | None =
 
 def status_changes(lines: DataFrame) -> DataFrame:
     """(path, change, pos) of porcelain status lines (value, pos): deletions and old names first, each path once."""
-    code, rest = F.substring("value", 1, 2), F.trim(F.substring("value", 4, 10_000))
+    code, rest = F.substring("value", 1, 2), F.trim(F.expr("substring(value, 4)"))
     renamed = code.contains("R") & rest.contains(" -> ")
     both = F.when(renamed, F.array(F.struct(F.substring_index(rest, " -> ", 1).alias("path"), F.lit("destructive").alias("change")), F.struct(F.substring_index(rest, " -> ", -1).alias("path"), F.lit("changed").alias("change"))))
     one = both.otherwise(F.array(F.struct(rest.alias("path"), F.when(code.contains("D"), "destructive").otherwise("changed").alias("change"))))
@@ -88,10 +89,24 @@ def case_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def freeze(cases: DataFrame, path: str, overwrite: bool = False) -> str:
-    """Write a case set once; the returned digest is of its sorted lines, by a fold of their hashes over parts."""
-    cases.write.mode("overwrite" if overwrite else "errorifexists").json(path)
-    got = cases.select(F.sha2(F.to_json(F.struct("*")), 256).alias("h")).agg(F.bit_xor(F.xxhash64("h")).alias("x"), F.count(F.lit(1)).alias("n")).first()
-    return hashlib.sha256(f"{got['n']}:{got['x']}".encode()).hexdigest()
+    """Write a case set once as lines of JSON with sorted keys, in the order of the rows; the returned digest is the SHA-256 of the file.
+
+    A case set is a file under version control; its rows pass the driver one after the other and none is held.
+    """
+    spark = cases.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(f"{path} exists; a case set is written once")
+    digest, out = hashlib.sha256(), fs.create(target, True)
+    try:
+        for row in cases.toLocalIterator():
+            line = json.dumps(row.asDict(True), sort_keys=True, ensure_ascii=True).encode() + b"\n"
+            digest.update(line)
+            out.write(bytearray(line))
+    finally:
+        out.close()
+    return digest.hexdigest()
 
 
 def markdown_notes(files: DataFrame, most: int = 400) -> DataFrame:

@@ -21,7 +21,6 @@ VIEWS = {
     "raw_call": """SELECT a.l_orderkey AS call_id, concat('p.', a.l_partkey) AS src, concat('p.', b.l_partkey) AS dst, b.l_partkey AS callee
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey""",
     "calls": "SELECT DISTINCT src, dst FROM {raw_call}",
-    "calls_acyclic": "SELECT DISTINCT src, dst FROM {raw_call} WHERE call_id % 3 = 0",
     "contains": "SELECT repo AS src, path AS dst FROM {file}",
     "defines": "SELECT file_path AS src, qualified_name AS dst FROM {symbol}",
     "imports": """SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM {calls} c JOIN {symbol} a ON c.src = a.qualified_name
@@ -41,8 +40,8 @@ VIEWS = {
         CASE WHEN value < 5 THEN NULL WHEN value < 40 THEN 'open' WHEN value < 120 THEN 'done' ELSE 'blocked' END AS status,
         CAST(user_id AS STRING) AS owner, md5(concat(user_id % 17, event_type)) AS content_hash, ts AS occurred_at, ts AS synced_at, value, props FROM {events}""",
     "audit": """SELECT event_id AS id, ts AS created_at, CASE event_type WHEN 'error' THEN 'admin' ELSE 'api' END AS scope, concat('Actor', user_id % 21) AS actor_name,
-        concat('proj', user_id % 10) AS project_name, CASE event_type WHEN 'view' THEN concat('/api/queue/', user_id) WHEN 'click' THEN '/health/poll' WHEN 'error' THEN '/auth/login'
-        ELSE concat('/api/', event_type) END AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, CAST(value AS INT) AS duration_ms FROM {events}""",
+        concat('proj', user_id % 10) AS project_name, CASE event_type WHEN 'view' THEN concat('/api/queue/', user_id) WHEN 'click' THEN '/api/admin/schedules' WHEN 'error' THEN '/auth/login'
+        ELSE concat('/api/', event_type) END AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, CASE event_type WHEN 'signup' THEN 'POST' ELSE 'GET' END AS method, CAST(value AS INT) AS duration_ms FROM {events}""",
     "chunk": """SELECT d.doc_id % 20 AS case_id, CASE WHEN d.doc_id % 3 = 0 THEN 'baseline' ELSE 'scoped' END AS mode, d.doc_id AS pos, d.text AS text,
         coalesce(l.quality, 0) = 1 AS useful, d.doc_id % 40 AS evidence, d.source AS sym FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "resource_old": "SELECT concat('r/', p_partkey) AS id, p_brand AS kind, concat(p_type, p_size) AS content_hash, p_name AS scope FROM {part} WHERE p_partkey % 7 <> 3",

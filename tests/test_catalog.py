@@ -4,7 +4,6 @@ from compare import duck, same
 from cairn.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NEEDS_NO_CYCLE = {"a10_metrics", "g07_call_depth"}  # their SQL counts depths on acyclic calls; this size has a cycle
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +11,7 @@ def connection():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - NEEDS_NO_CYCLE))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_its_sql(spark, connection, name):
     same(catalog.queries()[name](spark, SF), connection, catalog.oracle_sql()[name])
 

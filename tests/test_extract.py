@@ -61,11 +61,37 @@ def test_patterns():
     assert patterns.language_of("x/CMakeLists.txt") == "cmake" and patterns.language_of("a.unknown") is None
 
 
-def test_binding():
-    p = [{"name": n, "kind": k, "has_default": d} for n, k, d in (("a", "positional_or_keyword", False), ("rest", "var_positional", False), ("k", "keyword_only", True))]
+def test_binding(spark):
+    own = lambda *ps: [{"name": n, "kind": k, "has_default": d} for n, k, d in ps]
+    p = own(("a", "positional_or_keyword", False), ("rest", "var_positional", False), ("k", "keyword_only", True))
+    q = own(("self", "positional_or_keyword", False), ("a", "positional_or_keyword", False), ("more", "var_keyword", False))
     arg = lambda d, pos=None, kw=None, un=False: {"dependencies": [d], "position": pos, "keyword": kw, "unpacked": un}
-    assert tables.bind([arg("x", 0), arg("y", 1), arg("z", None, "k")], p) == [("x", "a"), ("y", "rest"), ("z", "k")]
-    assert tables.bind([arg("x", 0, None, True)], p) == [] and tables.bind([], p) == [] and tables.bind([arg("x", 0)], None) == []
+    shape = """case int, arguments array<struct<dependencies:array<string>,position:int,keyword:string,unpacked:boolean>>, parameters array<struct<name:string,kind:string,has_default:boolean>>,
+        caller_qname string, callee string, callee_type string, result_var_qname string"""
+    cases = [([arg("x", 0), arg("y", 1), arg("z", None, "k")], p, "function", {("x", "a"), ("y", "rest"), ("z", "k")}), ([arg("x", 0, None, True)], p, "function", set()), ([], p, "function", set()),
+             ([arg("x", 0)], None, "function", set()), ([arg("x", 0), arg("y", None, "a")], p, "function", set()), ([arg("x", 0), arg("y", None, "none")], p, "function", set()),
+             ([arg("x", 0), arg("y", None, "b")], q, "method", {("x", "a"), ("y", "more")}), ([arg("o", 0), arg("x", 1)], q, "function", {("o", "self"), ("x", "a")}), ([arg("x", 0), arg("y", 1)], q, "async_method", set())]
+    rows = spark.createDataFrame([(i, a, ps, f"caller{i}", "f", t, None) for i, (a, ps, t, _) in enumerate(cases)], shape)
+    got = {}
+    for r in tables.cross_flows(rows).collect():
+        got.setdefault(r["scope_qname"], set()).add((r["src"], r["dst"].removeprefix("f:")))
+    assert [got.get(f"caller{i}", set()) for i in range(len(cases))] == [want for *_, want in cases]
+
+
+def test_relative_imports(spark):
+    files = spark.createDataFrame([("src/a/m.ts", "import {x} from './b'\nimport y from '../c'\nimport z from 'lib'\nimport w from '../../../up'\n"), ("src/a/b.ts", "export const x = 1\n"), ("src/c/index.js", ""), ("up.ts", "")], "path string, text string")
+    got = tables.resolve(tables.tables(tables.evidence(files)))["imports"]
+    assert {tuple(r) for r in got.collect()} == {("src/a/m.ts", "src/a/b.ts"), ("src/a/m.ts", "src/c/index.js")}
+
+
+def test_declarations_by_grammar():
+    kinds = lambda text, language: [(s["name"], s["symbol_type"]) for s in patterns.extract("m", text, language)["symbols"]]
+    assert kinds("export default class A {\n}\nexport const go = async (y: T) => {\n}\nexport async function* gen(a) {\n}\nexport type U<X> = string\nconst enum E { A }\ndeclare function g(): void;\n", "typescript") == [
+        ("A", "class"), ("go", "arrow"), ("gen", "function"), ("U", "type"), ("E", "enum"), ("g", "function")]
+    assert kinds("module 0x1::m {\n public entry fun go() {}\n public(friend) fun h() {}\n struct S has key {}\n}", "move") == [("0x1::m", "module"), ("go", "function"), ("h", "function"), ("S", "struct")]
+    assert kinds("pub fn a() {}\nfn b() {}\npub(crate) struct C {}", "cairo") == [("a", "function"), ("b", "function"), ("C", "struct")]
+    assert kinds("(define-public (go (a int)) x)\n(define-read-only (g) 1)\n(define-data-var v int 0)", "clarity") == [("go", "function"), ("g", "function"), ("v", "constant")]
+    assert kinds("access(all) contract interface C {\n pub fun f() {}\n access(self) view fun g() {}\n}", "cadence") == [("C", "contract"), ("f", "function"), ("g", "function")]
 
 
 def test_tables(spark):

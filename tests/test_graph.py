@@ -15,12 +15,6 @@ def pairs(df, *columns):
     return {tuple(r[c] for c in columns) for r in df.collect()}
 
 
-@pytest.fixture(params=[0, 100], ids=["loops", "at once"], autouse=True)
-def either_way(request, monkeypatch):
-    for f in (G.on_cycles, G.depths):
-        monkeypatch.setattr(f, "__defaults__", (request.param,))
-
-
 def test_cycle_members(spark):
     assert pairs(G.on_cycles(edges(spark, "a>b b>c c>a c>d")), "symbol") == {("a",), ("b",), ("c",)}
     assert pairs(G.on_cycles(edges(spark, "main>foo foo>bar bar>baz")), "symbol") == set()

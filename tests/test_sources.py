@@ -28,9 +28,13 @@ def test_case_set_is_written_once(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('# note\n\n{"id": "a"}\n{"id": "b"}\n')
     cases = files.case_set(spark, f"file://{tmp_path}/c.jsonl", "id string")
     first = files.freeze(cases, f"file://{tmp_path}/out")
-    with pytest.raises(Exception, match="already exists"):
+    import hashlib
+
+    with pytest.raises(FileExistsError):
         files.freeze(cases, f"file://{tmp_path}/out")
-    assert files.freeze(cases.orderBy("id"), f"file://{tmp_path}/out", True) == first
+    assert files.freeze(cases.orderBy("id"), f"file://{tmp_path}/out", True) == first == hashlib.sha256(b'{"id": "a"}\n{"id": "b"}\n').hexdigest()
+    digest = lambda names: files.freeze(spark.createDataFrame([(n,) for n in names], "id string"), f"file://{tmp_path}/more", True)
+    assert digest("aab") != digest("ccb")
 
 
 def test_markdown(spark):

@@ -34,13 +34,13 @@ def whole_graph(spark):
 def test_cycles_of_all_calls(spark):
     _, reached = whole_graph(spark)
     want = {a for a in reached if a in reached[a]}
-    got = [r["symbol"] for r in run(spark, "g14_on_cycles_whole")]
+    got = [r["symbol"] for r in run(spark, "g05_on_cycles")]
     assert len(want) > 100 and len(got) == len(want) and set(got) == want
     sizes = {}
     for a in want:
         top = max(b for b in reached[a] if a in reached[b])
         sizes[top] = sizes.get(top, 0) + 1
-    assert {r["component"]: r["n"] for r in run(spark, "g15_cycle_sizes_whole")} == sizes
+    assert {r["component"]: r["n"] for r in run(spark, "g06_cycle_sizes")} == sizes
 
 
 def test_depths_and_metrics_of_all_calls(spark):
@@ -50,9 +50,9 @@ def test_depths_and_metrics_of_all_calls(spark):
     while front:
         depth |= dict.fromkeys(front, d)
         front, d = {b for a in front for b in out[a]} - set(depth), d + 1
-    rows = run(spark, "g16_call_depth_whole")
+    rows = run(spark, "g07_call_depth")
     assert len(rows) == len(out) and {r["symbol"]: r["depth"] for r in rows} == {a: depth.get(a, 0) for a in out}
-    got = run(spark, "a39_metrics_whole")[0]
+    got = run(spark, "a10_metrics")[0]
     assert (got["symbols"], got["calls"]) == (len(out), sum(map(len, out.values())))
     assert got["in_cycles"] == sum(a in reached[a] for a in out) > 100 and got["max_depth"] == max(depth.values())
     assert got["max_fan_out"] == max(map(len, out.values()))
@@ -62,15 +62,15 @@ def test_sorts_give_all_rows_in_order(spark):
     g = Graph(spark, SF)
     rank = {"critical": 4, "medium": 2, "info": 0}
     worst = {r["event_id"]: "critical" if (v := r["value"] or 0) > 300 else "medium" if v > 100 else "info" for r in g.events.collect()}
-    got = [(r["id"], r["worst"]) for r in run(spark, "l11_severity_order_whole")]
+    got = [(r["id"], r["worst"]) for r in run(spark, "l06_severity_order")]
     assert len(got) > 100 and got == sorted(worst.items(), key=lambda x: (-rank[x[1]], x[0]))
     versions = {(r["p_size"] % 4, r["p_size"], r["p_partkey"] % 12) for r in g.part.collect()}
-    got = [tuple(map(int, r["v"].split("."))) for r in run(spark, "l12_versions_whole")]
+    got = [tuple(map(int, r["v"].split("."))) for r in run(spark, "l07_versions")]
     assert len(got) > 30 and got == sorted(versions, reverse=True)
 
 
 def test_days_of_all_activity(spark):
-    assert sum(r["n"] for r in run(spark, "a40_dense_days_whole")) == Graph(spark, SF).events.count()
+    assert sum(r["n"] for r in run(spark, "a16_dense_days")) == Graph(spark, SF).events.count()
     at = [datetime.datetime(2024, 1, d, 12, tzinfo=datetime.UTC) for d in (1, 1, 4)]
     got = A.dense_days(spark.createDataFrame([(x,) for x in at], "occurred_at timestamp")).orderBy("day").collect()
     assert [(r["day"].day, r["n"]) for r in got] == [(1, 2), (2, 0), (3, 0), (4, 1)]
