@@ -1,9 +1,9 @@
 """Document fingerprints by SpotSigs (DataFrame functions only).
 
 A signature is a common word (the anchor) with the chain of content words that
-follow it. A document's fingerprint is its set of signatures, each cut to 32 bits.
-Sets are put into partitions by length; two sets are compared by Jaccard only if
-their partitions allow a likeness of at least ``floor``, else the likeness is 0.
+follow it. A document's fingerprint is its set of signatures, each cut to 64 bits.
+Likenesses are exact Jaccards. Whether two documents are near copies is decided by
+length partitions first: only sets of neighbouring partitions are compared.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ ANCHORS = tuple(
 CHAIN = 2
 #: A chain may pass over so many further anchors.
 REACH = 3
-FLOOR = 0.1
+#: Near copies are at least so alike.
+NEAR = 0.75
 #: Rows of one range of ids, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 4096, 1 << 16
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signatures (8 hex digits each) of a text.
+    """Sorted distinct signatures (16 hex digits each) of a text.
 
     A text without anchors has one signature, made of all its words; one without
     letters but with other characters has that of the text itself; an empty or null text none.
@@ -49,22 +50,26 @@ def signatures(text: Column) -> Column:
 
     whole = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.when(F.trim(marked) == "", text).otherwise(marked)))
     chosen = F.get(F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, chains(p)).otherwise(whole)), 0)
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(chosen), lambda s: F.substring(F.md5(s.cast("binary")), 1, 8))))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(chosen), lambda s: F.substring(F.md5(s.cast("binary")), 1, 16))))
 
 
-def length_partition(n: Column, floor: float = FLOOR) -> Column:
-    """Partition of a set length: sets two or more partitions apart differ in length by more than a factor of 1/floor."""
-    return F.when(n > 0, F.floor(F.log(n.cast("double")) / F.lit(-math.log(floor)))).otherwise(F.lit(-2))
+def length_partition(n: Column, least: float = NEAR) -> Column:
+    """Partition of a set length: sets two or more partitions apart differ in length by more than a factor of 1/least."""
+    return F.when(n > 0, F.floor(F.log(n.cast("double")) / F.lit(-math.log(least) * 1.001))).otherwise(F.lit(-2))
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard of two signature sets, 1 for two empty ones; 0 where partitions or lengths rule out ``floor``."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard of two signature sets, 1 for two empty ones."""
     m, n = F.size(a), F.size(b)
     shared = F.size(F.array_intersect(a, b))
-    return (F.when((m == 0) & (n == 0), F.lit(1.0))
-            .when(F.abs(length_partition(m, floor) - length_partition(n, floor)) > 1, F.lit(0.0))
-            .when(F.least(m, n) < F.greatest(m, n) * F.lit(floor), F.lit(0.0))
-            .otherwise(shared / (m + n - shared)))
+    return F.when((m == 0) & (n == 0), F.lit(1.0)).when((m == 0) | (n == 0), F.lit(0.0)).otherwise(shared / (m + n - shared))
+
+
+def near(a: Column, b: Column, least: float = NEAR) -> Column:
+    """Whether the likeness is ``least`` or more. Sets whose length partitions are no neighbours, or whose lengths rule it out, aren't compared."""
+    m, n = F.size(a), F.size(b)
+    apart = (F.abs(length_partition(m, least) - length_partition(n, least)) > 1) | (F.least(m, n) < F.greatest(m, n) * F.lit(least))
+    return F.when(apart, F.lit(False)).otherwise(likeness(a, b) >= least)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,12 +110,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.coalesce("lead_text", "after_text").alias("next_text"), F.coalesce("lead_sigs", "after_sigs").alias("next_sigs"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and likenesses.
 
     The edited text has its last floor(n/3) code points replaced by the first as many
     (or all) of the next document. Columns: the id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint (signatures joined), near_edited, near_next, n_signatures. Null texts
+    edited_fingerprint (signatures joined), near_edited, near_next, n_signatures, copy_of_next (whether near_next is NEAR or more). Null texts
     are empty; equal texts, repeated rows included, have equal fingerprints; other columns
     of the input play no part; an empty table gives an empty result.
     """
@@ -123,5 +128,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.select(
         id_col, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.array_join("sigs", "").alias("fingerprint"), F.array_join("edited_sigs", "").alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs"), floor).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs"), floor).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"))
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"),
+        near(F.col("sigs"), F.col("next_sigs")).alias("copy_of_next"))

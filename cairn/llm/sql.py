@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sharding import MULTIPLIER, SALTS
-from .spotsigs import ANCHORS, CHAIN, FLOOR, REACH
+from .spotsigs import ANCHORS, CHAIN, NEAR, REACH
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,14 +67,14 @@ def _signatures(table: str, text: str, name: str) -> str:
 {name}_t AS (SELECT *, list_transform(parts, lambda s: substr(s, instr(s, ' ') + 1)) AS tails FROM {name}_p),
 {name} AS (SELECT * EXCLUDE (marked, parts, tails), coalesce(list_sort(list_distinct(list_transform(CASE WHEN len(parts) > 1
   THEN list_transform(range(1, len(parts)), lambda i: string_split(parts[i + 1], ' ')[1] || ':' || array_to_string(string_split({ahead}, ' ')[1:{CHAIN}], ' '))
-  WHEN {text} = '' THEN [] ELSE [CASE WHEN trim(marked) = '' THEN {text} ELSE marked END] END, lambda s: substr(md5(s), 1, 8)))), []) AS sigs FROM {name}_t)"""
+  WHEN {text} = '' THEN [] ELSE [CASE WHEN trim(marked) = '' THEN {text} ELSE marked END] END, lambda s: substr(md5(s), 1, 16)))), []) AS sigs FROM {name}_t)"""
 
 
 def spotsigs() -> str:
     def near(a: str, b: str) -> str:
         both = f"len(list_intersect({a}, {b}))"
-        return (f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) < greatest(len({a}), len({b})) * {FLOOR}::DOUBLE "
-                f"THEN 0.0 ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END::DOUBLE")
+        return (f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 "
+                f"ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END::DOUBLE")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{_signatures("d", "text", "a")},
 n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text,
@@ -82,7 +82,7 @@ n AS (SELECT *, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value
 e AS (SELECT doc_id, n_chars, sigs AS own, next_sigs, left(text, n_chars - n_chars // 3) || CASE WHEN n_chars // 3 > 0 THEN left(next_text, n_chars // 3) ELSE '' END AS edited FROM n),
 {_signatures("e", "edited", "f")}
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(sigs, '') AS edited_fingerprint,
-  {near("own", "sigs")} AS near_edited, {near("own", "next_sigs")} AS near_next, len(own) AS n_signatures FROM f"""
+  {near("own", "sigs")} AS near_edited, {near("own", "next_sigs")} AS near_next, len(own) AS n_signatures, {near("own", "next_sigs")} >= {NEAR} AS copy_of_next FROM f"""
 
 
 def warc() -> str:
