@@ -25,7 +25,10 @@ def _own(docs: DataFrame, name: str) -> str:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold; scores are learned from the stage's own labelled documents."""
+    """Documents whose score reaches the threshold; scores are learned from the stage's own labelled documents.
+
+    Null texts are judged as empty ones, repeated rows alike; without labels of both kinds all stay; an empty table gives none.
+    """
     name = _own(docs, "quality_score")
     scored = quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), name)
     return scored.where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
@@ -42,17 +45,27 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links of five-word shingles connect."""
+    """One document, that of the smallest id, of each group that links of five-word shingles connect.
+
+    Texts without words, null ones too, link with nothing and stay; of repeated rows one stays; an empty table gives none.
+    """
     return ngramjoin.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    Null sources are a source of their own; texts without words count for nothing and are taken at their source's rate; repeated rows
+    are documents of their own; an empty table gives none.
+    """
     return mixing.emit(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document of the mix.
+
+    Null texts are empty and have no ids; each of repeated rows gives a row; an empty table gives none.
+    """
     return bpe.encode(docs, vocabulary(RANKS), vectors=True)
 
 
