@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
+from .shared import partitions
 from .workers import releasing, releasing_group
 
 #: Code points of the documents of a block; a longer document is a block of its own.
 BLOCK_CHARS = 4 << 20
 PART_CHARS, GROUP = 1 << 19, 1 << 17
-MEMO_WORDS = 1 << 18
+#: Bytes of documents for each bucket of words; distinct words that a task remembers, which bounds its memory.
+BUCKET_BYTES, MEMO_WORDS = 128 << 20, 1 << 20
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -158,14 +160,14 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, decoded: bool = Fa
     ``vectors`` also ids (array<int>), and with ``decoded`` also the decoded bytes. A null text is an empty text, with no ids.
     Repeated rows give a row each; an empty table gives none; other columns play no part.
 
-    A block sends its words in one row for each of as many buckets as there are shuffle partitions; a
+    A block sends its words in one row for each bucket, of which there is one for BUCKET_BYTES of documents; a
     word is in it once however often it occurs, and all blocks' copies of it meet in one bucket's task. The two passes over the documents must cut the same blocks; each word row and each block
     carries a digest of the block, and a difference (an input whose rows change between reads) raises.
     """
     import pyarrow as pa
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions(docs, BUCKET_BYTES)
     word_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("words", pa.binary())])
     seq_schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("words", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("seq", pa.binary())])
     id_schema = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])

@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     Columns: doc_id, size (words; null text 0), source_size, target, copies, taken
     (words, copies * size); with ``carry`` also ``row``, the input row as a struct,
     so that columns of any name survive. Null sources form a source of their own,
-    the last. A source without words has target 0 and gives no copy. Repeated rows are
+    the last. Rows that share an id are ordered by a hash of their text. A source without words has target 0 and gives no copy. Repeated rows are
     documents of their own. An empty table gives an empty result. ``targets`` keeps every
     target at ``most`` times its source's size, so a document has at most ``most`` copies.
 
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     rows = docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
-        F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALTS)).cast("int").alias("salt"),
+        F.xxhash64("text").alias("mark"), F.pmod(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit(SALTS)).cast("int").alias("salt"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     rows = rows if carry else materialise(rows, "mixing-sizes")
     cells = materialise(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mixing-cells")
@@ -84,13 +84,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         bands, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("band") == F.col("b_band"))).select("source", "size", "salt", (F.col("b_start") + F.col("inner")).alias("start"))
     places = places.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), "start", "source_size", "target")
-    order = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first())
+    order = Window.partitionBy("source", "size", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "mark")
     placed = rows.withColumn("nth", F.row_number().over(order)).join(
         places, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("salt") == F.col("c_salt")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upper = F.floor(rate * (F.col("start") + F.col("nth")) + offset(seed, F.col("source")))
     lower = F.floor(rate * (F.col("start") + F.col("nth") - 1) + offset(seed, F.col("source")))
-    copies = F.least(upper - lower, F.lit(most)).cast("long")
+    copies = F.when(upper - lower <= most, upper - lower).otherwise(F.raise_error(F.lit(f"a document is due more than {most} times"))).cast("long")
     return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..shared import drop, drop_made, fresh_dir, materialise, shared_dir
 
-__all__ = ["drop", "drop_made", "fresh_dir", "get", "materialise", "open_uri", "put", "shared_dir"]
+__all__ = ["drop", "drop_made", "fresh_dir", "get", "materialise", "open_uri", "partitions", "put", "shared_dir"]
 
 
 def open_uri(uri: str):
@@ -14,6 +16,13 @@ def open_uri(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def partitions(df: DataFrame, part_bytes: int = 256 << 20, most: int = 1 << 16) -> int:
+    """Partitions for a shuffle of ``df``: as many as the session says, more where the plan's estimate exceeds ``part_bytes`` for each."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if size >= 1 << 60 else max(n, min(most, -(-size // part_bytes)))  # plans that know no size say a very large one
+
+
 def put(uri: str, content: bytes) -> None:
     """Write a file whole."""
     fs, path = open_uri(uri)

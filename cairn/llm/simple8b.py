@@ -11,6 +11,7 @@ index of blocks and documents, then a fixed trailer:
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext
-from .shared import fresh_dir, materialise, open_uri
+from .shared import fresh_dir, materialise, open_uri, partitions
 from .workers import releasing
 
 MAGIC = b"S8B1\0\0\0\0"
@@ -184,14 +185,23 @@ def read(source, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
         yield doc_id, start, held[start - begins: start - begins + n]
 
 
+#: The normalizing and cutting that WordEncoder does itself.
+RULES = {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+         "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+             {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+
+
 class WordEncoder:
-    """Ids of whole texts by a lower-casing tokenizer that cuts at white space, between letters, numbers and
-    others, and before contractions (as word_bpe files do): each distinct piece is encoded once."""
+    """Ids of whole texts. A lower-casing tokenizer that cuts at white space, between letters, numbers and others, and
+    before contractions, by RULES, encodes each distinct piece once; any other is given whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.known = all(spec[c] == rule for c, rule in RULES.items())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -220,6 +230,9 @@ class WordEncoder:
         Words are cut and A-Z lower-cased as the tokenizer itself does first, unless a text holds one of
         its special tokens, which would be cut too; then its block goes by white space alone.
         """
+        if not self.known:
+            each = [np.array(e.ids + ([] if end_id is None else [end_id]), np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *each]), np.cumsum([len(x) for x in each])
         if len(texts) == 1 and len(texts[0]) > vectext.PIECE_CHARS and (cut := list(vectext.pieces(texts[0], vectext.PIECE_CHARS // 2)))[1:]:
             ids = np.concatenate([self([piece], None)[0] for piece in cut] + ([] if end_id is None else [np.array([end_id], np.uint32)]))
             return ids, np.array([len(ids)])
@@ -269,7 +282,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None, where: str | None
 
     Returns the manifest (part, uri, bytes, ids, documents), one row a file, itself a committed
     table: files of attempts that were lost or repeated are in no manifest. Null texts are empty
-    texts; null ids come first; rows of one id follow each other in order of text.
+    texts; null ids come first; rows of one id follow each other in order of text; other columns play no part.
     """
     where = where or fresh_dir(docs.sparkSession, "simple8b")
 
@@ -300,7 +313,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None, where: str | None
                                   schema=pa.schema([("part", pa.int32()), ("uri", pa.string()), ("bytes", pa.int64()), ("ids", pa.int64()), ("documents", pa.int64())]))
 
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions(docs)
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
         .repartitionByRange(n, "doc_id", F.crc32(F.col("text").cast("binary"))).sortWithinPartitions("doc_id", "text")
     return materialise(ordered.mapInArrow(releasing(run), "part int, uri string, bytes long, ids long, documents long"), "simple8b-manifest")

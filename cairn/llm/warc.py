@@ -70,7 +70,7 @@ def write(pages: DataFrame, where: str | None = None, min_bytes: int = 0) -> Dat
 
     Of captures with equal payloads of at least ``min_bytes`` bytes, that of the smallest page_id
     (nulls last) and then smallest url is a response, as are rows that repeat it in full; the others are revisits. A null html is an
-    empty payload. Rows repeated in full get record ids of their own. Payloads meet by digest in a
+    empty payload; an empty table gives no file; other columns play no part. Rows repeated in full get record ids of their own. Payloads meet by digest in a
     join against one row a digest, which the engine splits if one digest has very many rows.
     """
     spark = pages.sparkSession
@@ -221,7 +221,10 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages, read the archives back, assemble captures: page_id, payload_bytes, payload_digest, record_type, refers_to, uri."""
+    """Write all pages, read the archives back, assemble captures: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    An empty table gives an empty result; see write for nulls, ties and repeated rows.
+    """
     found = materialise(records(write(pages, min_bytes=min_bytes)), "warc-records")
     return assemble(found).select(
         F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),

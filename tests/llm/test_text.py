@@ -1,5 +1,6 @@
 import base64
 import io
+import json
 import random
 import zlib
 
@@ -40,6 +41,20 @@ def test_word_encoder_equals_the_library():
         assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
 
+def test_word_encoder_of_other_rules(tmp_path):
+    """A tokenizer that normalizes or cuts otherwise is given whole texts."""
+    with open(queries.vocabulary(queries.TOKENIZER)) as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    rng, e = random.Random(4), simple8b.WordEncoder(str(tmp_path / "other.json"))
+    assert not e.known and simple8b.WordEncoder(queries.vocabulary(queries.TOKENIZER)).known
+    for texts in ([], ["ABC abc"], *(texts_of(rng) for _ in range(20))):
+        ids, ends = e(texts, 2)
+        want = [e.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 def test_simple8b_round_trips():
     rng = random.Random(3)
     for _ in range(300):
