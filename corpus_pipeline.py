@@ -17,6 +17,10 @@ from cairn.llm.queries import RANKS, vocabulary
 from cairn.llm.shared import materialise
 
 
+#: Phrases of the best language may take up to twice the bits of a code letter by letter; short clean texts come near that.
+LEAST_GAIN = -1.0
+
+
 def _own(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` doesn't have."""
     while name in docs.columns:
@@ -35,13 +39,13 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that the phrases of a learned language code shorter than letter by letter; noise and unknown scripts go.
+    """Documents with letters that a learned language has phrases for; unknown scripts, texts without a letter and null texts go.
 
-    Null texts and texts without a letter go, repeated rows are judged alike, an empty table gives none.
+    Repeated rows are judged alike; an empty table gives none.
     """
     label, share, gain = (_own(docs, c) for c in ("lang_pred", "lang_score", "lang_gain"))
     found = langid.predict(docs, langid.training_text(docs), label, share, gain)
-    return found.where((F.col(label) != langid.UNDETERMINED) & (F.col(gain) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where((F.col(label) != langid.UNDETERMINED) & (F.col(gain) > LEAST_GAIN)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
