@@ -225,14 +225,14 @@ class Model:
         return out, np.diff(bounds) - 1
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Label, score (the share of 2^-bits that the shortest code has) and gain of each text: the part of a code letter by letter that phrases save, negative where they are longer."""
+        """Label, score (the share of 2^-bits that the shortest code has) and gain of each text: the part of a code letter by letter, the text's two ends included, that phrases save, negative where they are longer."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         found, lens = self.phrases(texts)
         bits = found * np.array(self.bits)
         best = bits.argmin(axis=1)
         score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-        gain = 1 - bits.min(axis=1) / np.maximum(1, lens * np.array(self.letter_bits)[best])
+        gain = 1 - bits.min(axis=1) / ((lens + 2) * np.array(self.letter_bits)[best])
         has = np.array([any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts], bool)
         return [self.langs[b] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, score, 0.0), np.where(has, gain, 0.0)
 

@@ -94,7 +94,7 @@ def test_pipeline_equals_brute_force(spark, documents):
         elif name.startswith("language"):
             model = langid.Model(langid.training_text(before))
             said = [(r["doc_id"], *(x[0] for x in model.predict([r["text"]]))) for r in own]
-            want = [d for d, label, _, gain in said if label != langid.UNDETERMINED and gain > 0]
+            want = [d for d, label, _, gain in said if label != langid.UNDETERMINED and gain > corpus_pipeline.LEAST_GAIN]
         elif name.startswith("n-gram"):
             want = [d for d, (_, c) in brute({r["doc_id"]: r["text"] for r in own}).items() if c == d]
         elif name.startswith("mixing"):
