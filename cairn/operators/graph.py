@@ -154,13 +154,19 @@ def focus(edges: DataFrame, start: str, hops: int) -> DataFrame:
     return edges.select("src", "dst").join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def neighbourhood(calls: DataFrame, imports: DataFrame, symbols: DataFrame, start: str, hops: int = 2) -> DataFrame:
-    """Symbols near by calls either way, and files near the symbol's file by imports either way, at the least depth."""
+def neighbourhood(calls: DataFrame, imports: DataFrame, symbols: DataFrame, start: str, hops: int = 2, uses: DataFrame | None = None, flows: DataFrame | None = None) -> DataFrame:
+    """What is near a symbol, at the least depth: symbols by calls either way, files near its file by imports either way, and variables
+    that those it uses flow to within it (depth 1)."""
     path = symbols.where(F.col("qualified_name") == start).select("file_path").first()
     near = reach(calls, start, hops, True).withColumn("relation", F.lit("CALLS"))
     if path is not None:
         near = near.union(reach(imports, path[0], hops, True).withColumn("relation", F.lit("IMPORTS")))
-    return near.where("depth > 0").groupBy("relation", "node").agg(F.min("depth").alias("depth"))
+    near = near.where("depth > 0")
+    if uses is not None and flows is not None:
+        used = uses.where(F.col("src") == start).select(F.col("dst").alias("src"))
+        into = flows.where(F.col("scope_qname") == start).join(used, "src", "left_semi")
+        near = near.union(into.select(F.col("dst").alias("node"), F.lit(1).alias("depth"), F.lit("FLOWS_TO").alias("relation")))
+    return near.groupBy("relation", "node").agg(F.min("depth").alias("depth"))
 
 
 def scope_flows(flows: DataFrame, scope: str, limit: int = 50) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import lookup as L
+from ..operators import readiness as D
 from ..operators import scoring as E
 from ..operators import sets as U
 from ..operators import windows as W
@@ -301,6 +302,8 @@ query("g08_focus_scope", """WITH RECURSIVE r AS (SELECT 'p.3' AS n, 0 AS d UNION
 query("g09_neighbourhood", """WITH RECURSIVE cu AS (SELECT src AS a, dst AS b FROM {calls} UNION SELECT dst, src FROM {calls}), iu AS (SELECT src AS a, dst AS b FROM {imports} UNION SELECT dst, src FROM {imports}),
     r AS (SELECT 'CALLS' AS relation, 'p.3' AS n, 0 AS d UNION SELECT 'CALLS', b, d + 1 FROM r JOIN cu ON n = a WHERE d < 2), q AS (SELECT 'IMPORTS' AS relation, file_path AS n, 0 AS d FROM {symbol} WHERE qualified_name = 'p.3' UNION SELECT 'IMPORTS', b, d + 1 FROM q JOIN iu ON n = a WHERE d < 2)
     SELECT relation, n AS node, min(d) AS depth FROM (SELECT * FROM r UNION ALL SELECT * FROM q) GROUP BY 1, 2 HAVING min(d) > 0""")(lambda g: G.neighbourhood(g.calls, g.imports, g.symbol, "p.3"))
+query("g09_flow_leg", """SELECT DISTINCT 'FLOWS_TO' AS relation, dst AS node, 1 AS depth FROM {flows_to} WHERE scope_qname = 'u.8' AND src IN (SELECT dst FROM {uses_variable} WHERE src = 'u.8')""")(
+    lambda g: G.neighbourhood(g.calls, g.imports, g.symbol, "u.8", uses=g.uses_variable, flows=g.flows_to))
 query("g10_scope_flows", "SELECT src, dst, line_number, flow_type FROM {flows_to} WHERE scope_qname = 'u.8' ORDER BY line_number, src, dst LIMIT 50")(lambda g: G.scope_flows(g.flows_to, "u.8").select("src", "dst", "line_number", "flow_type"))
 
 # --- scores -------------------------------------------------------------------
@@ -340,8 +343,37 @@ query("e08_expansion", """SELECT event_id, (len(reasons) > 0 AND event_id % 3 <
         F.col("event_type") != "error", F.when(F.col("value") < 50, 0.5).otherwise(1.0)))
 query("e10_savings", "SELECT doc_id, (n_chars - length(source)) AS saved, CASE WHEN n_chars > 0 THEN round((n_chars - length(source)) / n_chars * 100, 2) ELSE 0.0 END AS percent, CASE WHEN length(source) > 0 THEN round(n_chars / length(source), 3) END AS ratio FROM {documents}")(
     lambda g: g.documents.select("doc_id", E.savings(F.col("n_chars"), F.length("source").cast("long")).alias("s")).select("doc_id", "s.*"))
-query("e12_readiness_gates", f"SELECT dimension, CASE WHEN ok >= 0.5 * n THEN 'ok' WHEN ok > 0 THEN 'warn' ELSE 'fail' END AS gate FROM (SELECT dimension, count(*) FILTER (status = 'ok') AS ok, count(*) AS n FROM ({_SIGNALS}) GROUP BY 1)")(
-    lambda g: _signals(g).groupBy("dimension").agg(F.count(F.when(F.col("status") == "ok", 1)).alias("ok"), F.count(F.lit(1)).alias("n")).select("dimension", F.when(F.col("ok") >= 0.5 * F.col("n"), "ok").when(F.col("ok") > 0, "warn").otherwise("fail").alias("gate")))
+_SIGNAL_NOW = """sig AS (SELECT project_id, kind, CASE WHEN trim(lower(status)) = 'passed' THEN 'ok' WHEN trim(lower(status)) = 'failed' THEN 'fail' ELSE 'warn' END AS s FROM {project_signal}
+    QUALIFY row_number() OVER (PARTITION BY project_id, kind ORDER BY created_at DESC, id DESC) = 1),
+    f AS (SELECT p.*, (SELECT s FROM sig WHERE sig.project_id = p.project_id AND kind = 'ci') AS ci, (SELECT s FROM sig WHERE sig.project_id = p.project_id AND kind = 'pr') AS pr,
+    (SELECT s FROM sig WHERE sig.project_id = p.project_id AND kind = 'benchmark') AS bench FROM {project_facts} p)"""
+_CHECKS = f"""WITH {_SIGNAL_NOW}, g AS (SELECT *, CASE WHEN NOT graph_available THEN 'unknown' WHEN files > 0 AND symbols > 0 THEN 'ok' WHEN files > 0 THEN 'warn' ELSE 'fail' END AS graph FROM f)
+    SELECT project_id, 'context' AS dimension, 'repo_path' AS key, CASE WHEN repo_exists THEN 'ok' WHEN repo_path IS NOT NULL THEN 'fail' ELSE 'unknown' END AS status FROM g
+    UNION ALL SELECT project_id, 'context', 'adc_core_files', CASE WHEN adc_required = 0 THEN 'unknown' WHEN adc_present = 4 THEN 'ok' WHEN adc_present > 0 THEN 'warn' ELSE 'fail' END FROM g
+    UNION ALL SELECT project_id, 'context', 'graph_index', graph FROM g
+    UNION ALL SELECT project_id, 'context', 'index_job', CASE index_status WHEN 'done' THEN 'ok' WHEN 'processing' THEN 'warn' WHEN 'stale' THEN 'fail' ELSE 'unknown' END FROM g
+    UNION ALL SELECT project_id, 'verification', 'test_surface', CASE WHEN has_tests THEN 'ok' WHEN repo_exists THEN 'warn' ELSE 'unknown' END FROM g
+    UNION ALL SELECT project_id, 'verification', 'ci_workflows', CASE WHEN ci_workflows > 0 THEN 'ok' WHEN repo_exists THEN 'warn' ELSE 'unknown' END FROM g
+    UNION ALL SELECT project_id, 'verification', 'ci_signal', coalesce(ci, 'unknown') FROM g
+    UNION ALL SELECT project_id, 'workflow', 'work_briefing', CASE WHEN activity_count > 0 THEN 'ok' ELSE 'warn' END FROM g
+    UNION ALL SELECT project_id, 'workflow', 'learn_prepare_execute', 'unknown' FROM g
+    UNION ALL SELECT project_id, 'workflow', 'pr_signal', coalesce(pr, 'unknown') FROM g
+    UNION ALL SELECT project_id, 'governance', 'mcp_token', CASE WHEN active_tokens > 0 THEN 'ok' ELSE 'warn' END FROM g
+    UNION ALL SELECT project_id, 'governance', 'policy_profile', CASE profile WHEN 'observe-only' THEN 'warn' ELSE 'ok' END FROM g
+    UNION ALL SELECT project_id, 'roi', 'context_efficiency', CASE WHEN bench IS NOT NULL THEN bench WHEN graph = 'ok' THEN 'warn' ELSE 'unknown' END FROM g
+    UNION ALL SELECT project_id, 'roi', 'outcome_metrics', CASE WHEN coalesce(ci, pr) IS NOT NULL THEN 'warn' ELSE 'unknown' END FROM g"""
+query("e12_readiness_checks", _CHECKS)(lambda g: D.checks(g.project_facts, g.project_signal))
+query("e12_readiness_dimensions", _CHECKS.replace("SELECT project_id, 'context' AS dimension", "c AS (SELECT project_id, 'context' AS dimension", 1).replace("AS graph FROM f)", "AS graph FROM f),", 1) + """),
+    d AS (SELECT project_id, dimension, round_even(avg(CASE status WHEN 'ok' THEN 100.0 WHEN 'warn' THEN 50.0 WHEN 'fail' THEN 0.0 END), 0)::BIGINT AS score FROM c GROUP BY 1, 2)
+    SELECT project_id, dimension, score, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 80 THEN 'ok' WHEN score >= 50 THEN 'warn' ELSE 'fail' END AS status,
+    round_even(avg(score) OVER (PARTITION BY project_id), 0)::BIGINT AS overall FROM d""")(lambda g: D.dimensions(D.checks(g.project_facts, g.project_signal)))
+_GATES = f"""WITH {_SIGNAL_NOW}, gate AS (SELECT project_id, 'saved_evidence_pack' AS key, CASE WHEN evidence_pack IS NULL THEN 'warn' ELSE 'ok' END AS status, level IN ('L3', 'L4') AS strict FROM f WHERE level <> 'L0'
+    UNION ALL SELECT project_id, 'ci_signal', coalesce(ci, 'warn'), level IN ('L3', 'L4') FROM f WHERE level <> 'L0' UNION ALL SELECT project_id, 'pr_signal', coalesce(pr, 'warn'), level IN ('L3', 'L4') FROM f WHERE level <> 'L0'
+    UNION ALL SELECT project_id, 'benchmark_signal', coalesce(bench, 'warn'), false FROM f WHERE level <> 'L0' UNION ALL SELECT project_id, 'work_briefing_activity', CASE WHEN activity_count > 0 THEN 'ok' ELSE 'warn' END, false FROM f WHERE level <> 'L0')"""
+query("e12_readiness_gates", _GATES + " SELECT project_id, key, status, CASE WHEN strict THEN 'required' ELSE 'warning' END AS severity FROM gate")(lambda g: D.gates(g.project_facts, g.project_signal))
+query("e12_gate_summary", _GATES + """ SELECT f.project_id, CASE WHEN f.level = 'L0' THEN 'observe' ELSE 'warning_gates' END AS mode,
+    CASE WHEN EXISTS (SELECT 1 FROM gate WHERE gate.project_id = f.project_id AND status = 'fail') THEN 'fail' WHEN EXISTS (SELECT 1 FROM gate WHERE gate.project_id = f.project_id AND status = 'warn') THEN 'warn' ELSE 'ok' END AS overall_status FROM f""")(
+    lambda g: D.gate_summary(g.project_facts, D.gates(g.project_facts, g.project_signal)))
 
 # --- scalar functions ---------------------------------------------------------
 
@@ -444,7 +476,10 @@ query("s18_batch_rejects", """SELECT batch_id, CASE WHEN n > 12 THEN 'too many i
     FROM {orders} GROUP BY 1) WHERE n > 12 OR wrong > 0 OR n > k""")(
     lambda g: Z.batch_rejects(g.orders.select(F.col("o_custkey").alias("batch_id"), (F.col("o_orderkey") % 50).cast("string").alias("path"), F.col("o_orderpriority").alias("content"),
                                               F.when(F.col("o_orderkey") % 40 == 3, "0").otherwise(F.sha2(F.col("o_orderpriority").cast("binary"), 256)).alias("sha256"), F.octet_length("o_orderpriority").cast("long").alias("bytes"), F.lit(False).alias("tombstone")), 12))
-query("s19_batch_plan", None)(lambda g: Z.plan_batches(g.documents.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.lit(False).alias("tombstone")), 500, 100_000))
+query("s19_batch_plan", """WITH RECURSIVE o AS (SELECT source AS project, doc_id::VARCHAR AS path, strlen(text) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id::VARCHAR) AS r FROM {documents}),
+    f AS (SELECT project, path, bytes, r, 0 AS batch, 1 AS n, coalesce(bytes, 0) AS size FROM o WHERE r = 1 UNION ALL SELECT o.project, o.path, o.bytes, o.r, CASE WHEN f.n = 500 OR f.size + coalesce(o.bytes, 0) > 100000 THEN f.batch + 1 ELSE f.batch END,
+    CASE WHEN f.n = 500 OR f.size + coalesce(o.bytes, 0) > 100000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n = 500 OR f.size + coalesce(o.bytes, 0) > 100000 THEN coalesce(o.bytes, 0) ELSE f.size + coalesce(o.bytes, 0) END
+    FROM f JOIN o ON o.project IS NOT DISTINCT FROM f.project AND o.r = f.r + 1) SELECT project, path, bytes, false AS tombstone, batch FROM f""")(lambda g: Z.plan_batches(g.documents.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.lit(False).alias("tombstone")), 500, 100_000))
 query("f13_safe_learning", """SELECT event_id FROM {events} WHERE event_type IN ('view', 'click') AND value / 100 <= 1 AND event_id % 7 <> 0""")(
     lambda g: L.safe_learning(g.events.select("event_id", F.when(F.col("event_type") == "view", "lesson").when(F.col("event_type") == "click", "decision").otherwise(F.col("event_type")).alias("category"), F.lit("t").alias("title"),
                                               F.when(F.col("event_id") % 7 == 0, F.lit("use api_key=abcd")).otherwise("use it").alias("lesson"), (F.col("value") / 100).alias("confidence"))).select("event_id"))
@@ -479,7 +514,10 @@ query("a16_dense_days", """WITH d AS (SELECT CAST(occurred_at AS DATE) AS day, c
     FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) r LEFT JOIN d ON CAST(r.day AS DATE) = d.day""")(lambda g: A.dense_days(g.activity))
 query("g12_routed_lookup", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 21")(lambda g: R.plan(g, "calls", "p.10", "incoming", 20)[0])
 query("g13_strategy", None)(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400))
-query("e09_greedy_expansion", None)(lambda g: E.greedy_expansion(g.chunk.select("case_id", (F.col("pos") % 3).alias("depth"), "pos", X.tokens_simple(F.col("text")).alias("tokens")), 12, 4000))
+query("e09_greedy_expansion", """WITH RECURSIVE o AS (SELECT case_id, pos % 3 AS depth, pos, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens, row_number() OVER (PARTITION BY case_id ORDER BY pos % 3, pos) AS r FROM {chunk}),
+    f AS (SELECT case_id, 0::BIGINT AS r, 0::BIGINT AS used, 0 AS n, NULL::BIGINT AS pos, NULL::BIGINT AS depth, NULL::BIGINT AS tokens, false AS kept FROM o WHERE r = 1 UNION ALL
+    SELECT o.case_id, o.r, CASE WHEN f.n < 12 AND f.used + o.tokens <= 4000 THEN f.used + o.tokens ELSE f.used END, CASE WHEN f.n < 12 AND f.used + o.tokens <= 4000 THEN f.n + 1 ELSE f.n END, o.pos, o.depth, o.tokens, f.n < 12 AND f.used + o.tokens <= 4000
+    FROM f JOIN o ON o.case_id = f.case_id AND o.r = f.r + 1) SELECT case_id, depth, pos, tokens FROM f WHERE kept""")(lambda g: E.greedy_expansion(g.chunk.select("case_id", (F.col("pos") % 3).alias("depth"), "pos", X.tokens_simple(F.col("text")).alias("tokens")), 12, 4000))
 query("e11_improvement", "SELECT o_orderkey, round(o_totalprice / (2 * o_custkey + 1), 2) AS factor FROM {orders}")(lambda g: g.orders.select("o_orderkey", X.improvement(F.col("o_totalprice"), 2 * F.col("o_custkey") + 1).alias("factor")))
 query("x12_uuid5", """SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
     FROM (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name || p_partkey)) AS h FROM {part})""")(lambda g: g.part.select("p_partkey", X.uuid5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("id")))

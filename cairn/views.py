@@ -49,6 +49,14 @@ VIEWS = {
         p_name AS scope FROM {part} WHERE p_partkey % 13 <> 4""",
     "job": """SELECT o_orderkey AS job_id, concat('proj', o_custkey % 10) AS project, o_orderdate AS created_at,
         CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'processing' END AS state, o_totalprice / 100 AS seconds FROM {orders}""",
+    "project_facts": """SELECT c_custkey AS project_id, CASE WHEN c_custkey % 9 > 0 THEN concat('/r/', c_custkey) END AS repo_path, c_custkey % 9 > 1 AS repo_exists,
+        c_custkey % 5 AS adc_present, CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE 4 END AS adc_required, c_custkey % 6 > 0 AS graph_available, c_nationkey AS files, c_nationkey % 3 AS symbols,
+        CASE c_mktsegment WHEN 'BUILDING' THEN 'done' WHEN 'MACHINERY' THEN 'processing' WHEN 'FURNITURE' THEN 'stale' END AS index_status, c_custkey % 4 > 0 AS has_tests,
+        c_custkey % 3 AS ci_workflows, coalesce(e.n, 0) AS activity_count, c_custkey % 2 AS active_tokens, CASE WHEN c_custkey % 7 < 2 THEN 'observe-only' ELSE 'regulated' END AS profile,
+        concat('L', c_custkey % 5) AS level, CASE WHEN c_custkey % 3 > 0 THEN concat('ev', c_custkey) END AS evidence_pack
+        FROM {customer} LEFT JOIN (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id) e ON c_custkey = e.user_id""",
+    "project_signal": """SELECT o_orderkey AS id, o_custkey AS project_id, CASE o_orderkey % 4 WHEN 0 THEN 'ci' WHEN 1 THEN 'pr' WHEN 2 THEN 'benchmark' ELSE 'note' END AS kind,
+        CASE o_orderstatus WHEN 'F' THEN ' Passed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status, o_orderdate AS created_at FROM {orders}""",
     "edge": """SELECT 'CONTAINS' AS kind, src, dst FROM {contains} UNION ALL SELECT 'DEFINES', src, dst FROM {defines} UNION ALL SELECT 'IMPORTS', src, dst FROM {imports}
         UNION ALL SELECT 'CALLS', src, dst FROM {calls} UNION ALL SELECT 'USES_VARIABLE', src, dst FROM {uses_variable} UNION ALL SELECT 'FLOWS_TO', src, dst FROM {flows_to}""",
     "node": """SELECT 'Repository' AS kind, path AS id, name FROM {repository} UNION ALL SELECT 'File', path, name FROM {file}
