@@ -513,7 +513,17 @@ query("l07_versions", "SELECT DISTINCT concat(p_size % 4, '.', p_size, '.', p_pa
 query("a16_dense_days", """WITH d AS (SELECT CAST(occurred_at AS DATE) AS day, count(*) AS n FROM {activity} GROUP BY 1) SELECT CAST(r.day AS DATE) AS day, coalesce(d.n, 0) AS n
     FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) r LEFT JOIN d ON CAST(r.day AS DATE) = d.day""")(lambda g: A.dense_days(g.activity))
 query("g12_routed_lookup", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 21")(lambda g: R.plan(g, "calls", "p.10", "incoming", 20)[0])
-query("g13_strategy", None)(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400))
+_HITS = """h AS (SELECT s.* FROM {symbol} s JOIN {file} f ON s.file_path = f.path WHERE contains(s.name, 'ring') OR contains(s.qualified_name, 'ring') ORDER BY s.name, s.qualified_name LIMIT 20),
+    rel AS (SELECT *, coalesce(list_sort((SELECT list(src) FROM (SELECT src FROM {calls} c WHERE c.dst = h.qualified_name ORDER BY src LIMIT 3))), []) AS callers,
+    coalesce(list_sort((SELECT list(dst) FROM (SELECT dst FROM {calls} c WHERE c.src = h.qualified_name ORDER BY dst LIMIT 3))), []) AS callees FROM h),
+    it AS (SELECT *, CASE WHEN contains(lower(qualified_name), 'ring') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + least(0.2::DOUBLE, 0.05::DOUBLE * (len(callers) + len(callees))) + 0.1::DOUBLE AS score,
+    sum(greatest(1, length(to_json({'qualified_name': qualified_name, 'symbol_type': symbol_type, 'file_path': file_path, 'callers': callers, 'callees': callees})::VARCHAR) // 4)) OVER (ORDER BY name, qualified_name) AS used FROM rel)"""
+query("g13_strategy", f"WITH {_HITS} SELECT qualified_name, score, used::BIGINT AS used FROM it WHERE used <= 400")(lambda g: R.strategy(g.symbol, g.file, g.calls, "ring", 400).select("qualified_name", "score", "used"))
+_texts = lambda g: g.documents.select(F.concat(F.lit("s/"), "doc_id").alias("path"), "text")
+query("g13_keyword_fallback", """SELECT 'keyword-fallback' AS source, row_number() OVER (ORDER BY path)::INT AS place, path AS file_path, line_start, 'insufficient_graph_hits' AS reason, 0.0::DOUBLE AS quality
+    FROM (SELECT concat('s/', doc_id) AS path, 1 + length(substr(text, 1, instr(lower(text), 'the') - 1)) - length(replace(substr(text, 1, instr(lower(text), 'the') - 1), chr(10), '')) AS line_start
+    FROM {documents} WHERE instr(lower(text), 'the') > 0 ORDER BY path LIMIT 3)""")(
+    lambda g: R.bundle_rows(R.strategy_bundle(g.symbol, g.file, g.calls, _texts(g), "The ", 4000)).select("source", "place", "file_path", F.col("line_start").cast("long"), "reason", "quality"))
 query("e09_greedy_expansion", """WITH RECURSIVE o AS (SELECT case_id, pos % 3 AS depth, pos, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens, row_number() OVER (PARTITION BY case_id ORDER BY pos % 3, pos) AS r FROM {chunk}),
     f AS (SELECT case_id, 0::BIGINT AS r, 0::BIGINT AS used, 0 AS n, NULL::BIGINT AS pos, NULL::BIGINT AS depth, NULL::BIGINT AS tokens, false AS kept FROM o WHERE r = 1 UNION ALL
     SELECT o.case_id, o.r, CASE WHEN f.n < 12 AND f.used + o.tokens <= 4000 THEN f.used + o.tokens ELSE f.used END, CASE WHEN f.n < 12 AND f.used + o.tokens <= 4000 THEN f.n + 1 ELSE f.n END, o.pos, o.depth, o.tokens, f.n < 12 AND f.used + o.tokens <= 4000
