@@ -118,3 +118,22 @@ u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 k AS (SELECT a, a AS b FROM c UNION SELECT k.a, u.b FROM k JOIN u ON k.b = u.a),
 m AS (SELECT a, min(b) AS least FROM k GROUP BY a)
 SELECT t.doc_id, t.n AS n_shingles, coalesce(m.least, t.doc_id) AS component_id FROM t LEFT JOIN c ON t.h = c.h AND t.n > 0 LEFT JOIN m ON c.a = m.a"""
+
+
+def filter_audit() -> str:
+    """Every order is run, over groups of documents with equal flags."""
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM t),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END
+  || CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, filter_order[:step - 1] AS earlier FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+j AS (SELECT m.*, s.*, contains(fails, own) AS hit, regexp_matches(fails, '[' || earlier || '-]') AS gone FROM m, s),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n_good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM j GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r"""
