@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, filteraudit, langid, mixing, ngramjoin, quality, sharding, simple8b, spotsigs, sql, topk, warc
+from . import bpe, filteraudit, langid, mixing, ngramjoin, quality, sharding, simple8b, spelling, spotsigs, sql, topk, warc
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": sql.topk(), "op12_filter_audit": sql.filter_audit(), "op10_ngram_join": sql.ngram_join(), "op2_warc": sql.warc(), "op3_spotsigs": sql.spotsigs(), "op5_mixing": sql.mixing(), "op6_sharding": sql.sharding()}
+    return {"op4_topk": sql.topk(), "op11_spelling": sql.spelling(), "op12_filter_audit": sql.filter_audit(), "op10_ngram_join": sql.ngram_join(), "op2_warc": sql.warc(), "op3_spotsigs": sql.spotsigs(), "op5_mixing": sql.mixing(), "op6_sharding": sql.sharding()}

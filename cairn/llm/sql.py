@@ -137,3 +137,26 @@ r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND
   coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
   coalesce(sum(n_good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM j GROUP BY ALL)
 SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r"""
+
+
+def spelling() -> str:
+    """Near words share what is left of them without one place: a gap at it (replaced), or one word is left of the other (deleted)."""
+    lower = f"translate(text, '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
+    return f"""
+WITH RECURSIVE bit(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bit WHERE k = 8),
+run AS (SELECT doc_id, unnest(regexp_extract_all({lower}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM run WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM own, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT - 1) AS l, substr(word, i::INT + 1) AS r FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pair AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.l || a.r = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.l || a.r = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM pair GROUP BY word),
+f AS (SELECT w.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.at = f.word WHERE f.form IS NOT NULL),
+root AS (SELECT way.word, way.at AS root FROM way JOIN f ON way.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
