@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, filteraudit, langid, mixing, ngramjoin, quality, sharding, simple8b, spelling, spotsigs, sql, topk, warc
+from . import bpe, filteraudit, langid, mixing, ngramjoin, quality, sharding, simple8b, spelling, spotsigs, sql, substrings, topk, warc
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -70,9 +70,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": sql.topk(), "op11_spelling": sql.spelling(), "op12_filter_audit": sql.filter_audit(), "op10_ngram_join": sql.ngram_join(), "op2_warc": sql.warc(), "op3_spotsigs": sql.spotsigs(), "op5_mixing": sql.mixing(), "op6_sharding": sql.sharding()}
+    return {"op4_topk": sql.topk(), "op11_spelling": sql.spelling(), "op12_filter_audit": sql.filter_audit(), "op13_substrings": sql.substrings(), "op10_ngram_join": sql.ngram_join(), "op2_warc": sql.warc(), "op3_spotsigs": sql.spotsigs(), "op5_mixing": sql.mixing(), "op6_sharding": sql.sharding()}

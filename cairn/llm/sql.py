@@ -160,3 +160,14 @@ f AS (SELECT w.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesc
 way AS (SELECT word, word AS at FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.at = f.word WHERE f.form IS NOT NULL),
 root AS (SELECT way.word, way.at AS root FROM way JOIN f ON way.at = f.word WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+
+def substrings(window: int = 20) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + {window - 1}], ' ') AS x FROM d, LATERAL (SELECT unnest(range(1, len(w) - {window - 2})) AS i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS again FROM s),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + {window})))) AS gone FROM f WHERE again GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""

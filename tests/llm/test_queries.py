@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, connection, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 13)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 def rows(spark, name):
