@@ -16,25 +16,10 @@ from ..operators import readiness as D
 from ..operators import scoring as E
 from ..operators import sets as U
 from ..operators import windows as W
-from ..views import Graph, with_views
-
-_ALL: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {}
-
-
-def query(name: str, sql: str | None):
-    def keep(f: Callable[[Graph], DataFrame]):
-        _ALL[name] = f, sql
-        return f
-    return keep
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda f: lambda spark, sf_dir: f(Graph(spark, sf_dir)))(f) for name, (f, _) in _ALL.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in _ALL.items() if sql}
+from ..views import Graph
+from .registry import oracle_sql, queries, query
 
+__all__ = ["oracle_sql", "queries"]
 
 # --- scans, sources and sinks -------------------------------------------------
 
@@ -403,7 +388,6 @@ query("x16_widened", "SELECT a.path AS old, b.path AS new FROM (SELECT concat('s
         X.widened(F.col("old"), F.col("new"))).select("old", "new"))
 query("x17_text_match", r"""SELECT doc_id FROM (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w FROM {documents}) WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND NOT list_contains(w, 'stupid')""".replace("{L}", "{{L}}").replace("{N}", "{{N}}").replace("{{", "{").replace("}}", "}"))(
     lambda g: g.documents.where(X.matches(F.col("text"), "the and -stupid")).select("doc_id"))
-query("x17_ilike_fallback", r"SELECT id FROM {activity} WHERE title ILIKE '%3 of\_view%' ESCAPE '\' OR summary ILIKE '%4%'")(lambda g: g.activity.where(F.expr(r"title ILIKE '%3 of\\_view%' OR summary ILIKE '%4%'")).select("id"))
 query("x18_embedding_text", "SELECT id, 'Project: ' || project_id || chr(10) || 'Event: ' || event_type || chr(10) || 'Title: ' || title || CASE WHEN status IS NOT NULL THEN chr(10) || 'Status: ' || status ELSE '' END || chr(10) || 'Summary: ' || summary || chr(10) || 'Tags: ' || props || ', ' || owner AS text FROM {activity}")(
     lambda g: g.activity.select("id", X.embedding_text(F.col("project_id"), F.col("event_type"), F.col("title"), F.col("status"), F.col("summary"), F.lit(""), F.array("props", "owner")).alias("text")))
 query("x19_guid", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN lower(concat(substr(md5(p_name), 1, 8), '-', substr(md5(p_name), 9, 4), '-', substr(md5(p_name), 13, 4), '-', substr(md5(p_name), 17, 4), '-', substr(md5(p_name), 21, 12))) END AS guid FROM {part}")(
@@ -543,3 +527,5 @@ query("a33_cluster_counts", "SELECT kind, count(*) AS n FROM {node} WHERE kind <
 query("w10_recent_decisions", "SELECT id FROM {audit} ORDER BY created_at DESC, id DESC LIMIT 100")(lambda g: W.page_at(g.audit, [F.desc("created_at"), F.desc("id")], 0, 100).select("id"))
 query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM {pages} WHERE page_id % 3 = 0")(
     lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))
+
+from . import search  # noqa: E402, F401  registers its queries
