@@ -16,6 +16,7 @@ from ..operators import readiness as D
 from ..operators import scoring as E
 from ..operators import sets as U
 from ..operators import windows as W
+from ..sources import edge_store as B
 from ..views import Graph
 from .registry import oracle_sql, queries, query
 
@@ -78,18 +79,18 @@ query("f16_visible_rows", "SELECT id FROM {activity} WHERE project_id IN (SELECT
 
 # --- joins --------------------------------------------------------------------
 
-query("j01_callers", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 20")(lambda g: J.callers(g.calls, g.symbol, "p.10"))
-query("j02_callees", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.dst = s.qualified_name WHERE c.src = 'p.10' ORDER BY 1 LIMIT 20")(lambda g: J.callees(g.calls, g.symbol, "p.10"))
-query("j03_file_imports", "SELECT path, language FROM {imports} i JOIN {file} f ON i.dst = f.path WHERE i.src = 's/5' ORDER BY path LIMIT 20")(lambda g: J.file_imports(g.imports, g.file, "s/5", 20))
-query("j04_file_dependents", "SELECT path, language FROM {imports} i JOIN {file} f ON i.src = f.path WHERE i.dst = 's/5'")(lambda g: J.file_imports(g.imports, g.file, "s/5", None, True))
+query("j01_callers", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.10' ORDER BY 1 LIMIT 20")(lambda g: B.callers(B.of(g), "p.10"))
+query("j02_callees", "SELECT s.qualified_name, s.name, s.file_path FROM {calls} c JOIN {symbol} s ON c.dst = s.qualified_name WHERE c.src = 'p.10' ORDER BY 1 LIMIT 20")(lambda g: B.callees(B.of(g), "p.10"))
+query("j03_file_imports", "SELECT path, language FROM {imports} i JOIN {file} f ON i.dst = f.path WHERE i.src = 's/5' ORDER BY path LIMIT 20")(lambda g: B.file_imports(B.of(g), "s/5", 20))
+query("j04_file_dependents", "SELECT path, language FROM {imports} i JOIN {file} f ON i.src = f.path WHERE i.dst = 's/5'")(lambda g: B.file_imports(B.of(g), "s/5", None, True))
 query("j05_dependency_overview", "SELECT i.src, a.language AS src_language, i.dst, b.language AS dst_language FROM {imports} i JOIN {file} a ON i.src = a.path JOIN {file} b ON i.dst = b.path ORDER BY 1, 3 LIMIT 30")(
     lambda g: J.dependency_overview(g.imports, g.file))
 query("j06_relation_flows", """SELECT f.src AS source, f.dst AS target, v.file_path AS far_path, v.line_number::BIGINT AS line, f.scope_qname, f.line_number, f.flow_type FROM {flows_to} f JOIN {variable} v ON f.dst = v.qualified_name
-    WHERE f.src = 'u.8:click' ORDER BY 1, 2, 5, 6, 7 LIMIT 21""")(lambda g: J.relation(g, "flows_to", "u.8:click"))
+    WHERE f.src = 'u.8:click' ORDER BY 1, 2, 5, 6, 7 LIMIT 21""")(lambda g: B.relation(B.of(g), "flows_to", "u.8:click"))
 query("j06_relation_callers", """SELECT c.src AS source, c.dst AS target, s.file_path AS far_path, s.line_start::BIGINT AS line, NULL AS scope_qname, NULL::BIGINT AS line_number, NULL AS flow_type FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name
-    WHERE c.dst = 'p.3' ORDER BY 1, 2 LIMIT 21""")(lambda g: J.relation(g, "calls", "p.3", "incoming"))
+    WHERE c.dst = 'p.3' ORDER BY 1, 2 LIMIT 21""")(lambda g: B.relation(B.of(g), "calls", "p.3", "incoming"))
 query("j06_relation_contains", """SELECT c.src AS source, c.dst AS target, f.path AS far_path, NULL::BIGINT AS line, NULL AS scope_qname, NULL::BIGINT AS line_number, NULL AS flow_type FROM {contains} c JOIN {file} f ON c.dst = f.path
-    WHERE c.src = 'n/3' ORDER BY 1, 2 LIMIT 21""")(lambda g: J.relation(g, "contains", "n/3"))
+    WHERE c.src = 'n/3' ORDER BY 1, 2 LIMIT 21""")(lambda g: B.relation(B.of(g), "contains", "n/3"))
 query("j07_file_dependencies", """SELECT a.src AS from_file, b.src AS to_file, count(DISTINCT c.src) AS callers, count(DISTINCT c.dst) AS callees, count(*) AS calls
     FROM {calls} c JOIN {defines} a ON c.src = a.dst JOIN {defines} b ON c.dst = b.dst WHERE a.src <> b.src GROUP BY 1, 2""")(lambda g: J.file_call_dependencies(g.defines, g.calls, None))
 query("j08_variable_lineage", """SELECT v.qualified_name, coalesce((SELECT list_sort(list(DISTINCT src)) FROM {flows_to} f WHERE f.dst = v.qualified_name), []) AS sources,
@@ -271,7 +272,7 @@ query("u08_layered_settings", """SELECT n_nationkey AS id, k AS key, CASE WHEN k
 # --- paths and reach ----------------------------------------------------------
 
 query("g01_call_graph", """SELECT s.qualified_name, s.name, s.file_path, 'caller' AS way FROM {calls} c JOIN {symbol} s ON c.src = s.qualified_name WHERE c.dst = 'p.3'
-    UNION ALL SELECT s.qualified_name, s.name, s.file_path, 'callee' FROM {calls} c JOIN {symbol} s ON c.dst = s.qualified_name WHERE c.src = 'p.3'""")(lambda g: G.call_graph(g.calls, g.symbol, "p.3"))
+    UNION ALL SELECT s.qualified_name, s.name, s.file_path, 'callee' FROM {calls} c JOIN {symbol} s ON c.dst = s.qualified_name WHERE c.src = 'p.3'""")(lambda g: B.call_graph(B.of(g), "p.3"))
 query("g02_dependency_chain", """WITH a AS (SELECT dst AS x FROM {defines} WHERE src = 's/1'), b AS (SELECT dst AS y FROM {defines} WHERE src = 's/2')
     SELECT hops, count(*) AS paths FROM (SELECT 1 AS hops FROM {calls} c WHERE c.src IN (SELECT x FROM a) AND c.dst IN (SELECT y FROM b)
     UNION ALL SELECT 2 FROM {calls} c JOIN {calls} d ON c.dst = d.src WHERE c.src IN (SELECT x FROM a) AND d.dst IN (SELECT y FROM b)
@@ -286,9 +287,9 @@ query("g04_flow_narrative", f"""WITH m AS ({_METRICS}) SELECT v.scope_qname, con
 query("g08_focus_scope", """WITH RECURSIVE r AS (SELECT 'p.3' AS n, 0 AS d UNION SELECT c.dst, r.d + 1 FROM r JOIN {calls} c ON r.n = c.src WHERE r.d < 2) SELECT src, dst FROM {calls} WHERE src IN (SELECT n FROM r) AND dst IN (SELECT n FROM r)""")(lambda g: G.focus(g.calls, "p.3", 2))
 query("g09_neighbourhood", """WITH RECURSIVE cu AS (SELECT src AS a, dst AS b FROM {calls} UNION SELECT dst, src FROM {calls}), iu AS (SELECT src AS a, dst AS b FROM {imports} UNION SELECT dst, src FROM {imports}),
     r AS (SELECT 'CALLS' AS relation, 'p.3' AS n, 0 AS d UNION SELECT 'CALLS', b, d + 1 FROM r JOIN cu ON n = a WHERE d < 2), q AS (SELECT 'IMPORTS' AS relation, file_path AS n, 0 AS d FROM {symbol} WHERE qualified_name = 'p.3' UNION SELECT 'IMPORTS', b, d + 1 FROM q JOIN iu ON n = a WHERE d < 2)
-    SELECT relation, n AS node, min(d) AS depth FROM (SELECT * FROM r UNION ALL SELECT * FROM q) GROUP BY 1, 2 HAVING min(d) > 0""")(lambda g: G.neighbourhood(g.calls, g.imports, g.symbol, "p.3"))
+    SELECT relation, n AS node, min(d) AS depth FROM (SELECT * FROM r UNION ALL SELECT * FROM q) GROUP BY 1, 2 HAVING min(d) > 0""")(lambda g: B.neighbourhood(B.of(g), "p.3"))
 query("g09_flow_leg", """SELECT DISTINCT 'FLOWS_TO' AS relation, dst AS node, 1 AS depth FROM {flows_to} WHERE scope_qname = 'u.8' AND src IN (SELECT dst FROM {uses_variable} WHERE src = 'u.8')""")(
-    lambda g: G.neighbourhood(g.calls, g.imports, g.symbol, "u.8", uses=g.uses_variable, flows=g.flows_to))
+    lambda g: B.neighbourhood(B.of(g), "u.8", flows=True))
 query("g10_scope_flows", "SELECT src, dst, line_number, flow_type FROM {flows_to} WHERE scope_qname = 'u.8' ORDER BY line_number, src, dst LIMIT 50")(lambda g: G.scope_flows(g.flows_to, "u.8").select("src", "dst", "line_number", "flow_type"))
 
 # --- scores -------------------------------------------------------------------
@@ -529,3 +530,6 @@ query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM
     lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))
 
 from . import search  # noqa: E402, F401  registers its queries
+
+query("p13_generation", """SELECT lower(kind) AS relation, incoming, count(*) AS edges, count(DISTINCT CASE WHEN incoming THEN dst ELSE src END) AS nodes
+    FROM {edge}, (VALUES (false), (true)) t(incoming) GROUP BY 1, 2""")(lambda g: B.of(g).adjacency.groupBy("relation", "incoming").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("here").alias("nodes")))

@@ -72,6 +72,117 @@ def test_generations(spark, tmp_path):
         generations.publish(spark, root, {"n": one}, first)
     generations.promote(spark, root, f"file://{tmp_path}/h", ["n"])
     assert generations.read(spark, f"file://{tmp_path}/h", "n").count() == 5
+    generations.promote(spark, root, f"file://{tmp_path}/k", ["n"], drop_source=True)
+    assert generations.read(spark, f"file://{tmp_path}/k", "n").count() == 5 and generations.current(spark, root) is None
+
+
+@pytest.mark.parametrize("step", ["_claim", "_fill", "write"])
+def test_a_writer_that_dies_leaves_the_generation_before(spark, tmp_path, monkeypatch, step):
+    root = f"file://{tmp_path}/g"
+    first = generations.publish(spark, root, {"n": spark.range(3)}, None)
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        tables = {"n": spark.range(5)}
+        if step == "write":
+            tables["o"] = spark.range(1).selectExpr("raise_error('lost') AS x")
+        else:
+            m.setattr(generations, step, dies)
+        with pytest.raises(Exception, match="lost"):
+            generations.publish(spark, root, tables, first)
+    assert generations.current(spark, root) == first and generations.read(spark, root, "n").count() == 3
+    second = generations.publish(spark, root, {"n": spark.range(7)}, first)
+    assert generations.current(spark, root) == second and generations.read(spark, root, "n").count() == 7
+
+
+def test_one_of_two_writers_wins(spark, tmp_path, monkeypatch):
+    root, won = f"file://{tmp_path}/g", []
+    first = generations.publish(spark, root, {"n": spark.range(3)}, None)
+    claim = generations._claim
+
+    def overtaken(*args):
+        monkeypatch.setattr(generations, "_claim", claim)
+        won.append(generations.publish(spark, root, {"n": spark.range(4)}, first))
+        return claim(*args)
+
+    monkeypatch.setattr(generations, "_claim", overtaken)
+    with pytest.raises(RuntimeError, match="changed"):
+        generations.publish(spark, root, {"n": spark.range(5)}, first)
+    assert generations.current(spark, root) == won[0] and generations.read(spark, root, "n").count() == 4
+
+
+class Tables(dict):
+    """A small graph with a hub, a dangling call, and names of every relation."""
+
+    def __init__(self, spark):
+        make = lambda rows, schema: spark.createDataFrame(rows, schema)
+        super().__init__(
+            repository=make([("r", "repo")], "path string, name string"), file=make([("f1", "py", "r", "one"), ("f2", "js", "r", "two")], "path string, language string, repo string, name string"),
+            symbol=make([(f"s{i}", f"n{i}", "function", f"f{i % 2 + 1}", i, i + 3) for i in range(40)], "qualified_name string, name string, symbol_type string, file_path string, line_start int, line_end int"),
+            variable=make([("s0:a", "a", "s0", "f1", 3, "parameter", 0), ("s0:b", "b", "s0", "f1", 4, "return", None)],
+                          "qualified_name string, name string, scope_qname string, file_path string, line_number int, role string, parameter_index int"),
+            contains=make([("r", "f1"), ("r", "f2")], "src string, dst string"), defines=make([(f"f{i % 2 + 1}", f"s{i}") for i in range(40)], "src string, dst string"),
+            imports=make([("f1", "f2")], "src string, dst string"), calls=make([(f"s{i}", "s0") for i in range(1, 40)] + [("s0", "s1"), ("s0", "gone"), ("s1", "s2")], "src string, dst string"),
+            uses_variable=make([("s0", "s0:a"), ("s0", "s0:b")], "src string, dst string"),
+            flows_to=make([("s0:a", "s0:b", "s0", 5, "return")], "src string, dst string, scope_qname string, line_number long, flow_type string"))
+
+    def __getattr__(self, name):
+        return self[name]
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    from cairn.sources import edge_store
+
+    tables = Tables(spark)
+    edge_store.publish(spark, f"file://{tmp_path}/store", tables)
+    return tables, edge_store.EdgeStore(spark, f"file://{tmp_path}/store")
+
+
+def test_look_ups_in_the_store_equal_joins(store):
+    from cairn.operators import graph, joins
+    from cairn.sources import edge_store as B
+
+    tables, made = store
+    plain = lambda df: [tuple(r) for r in df.collect()]
+    for name in ("s0", "s1", "absent"):
+        assert plain(B.callers(made, name, 7)) == plain(joins.callers(tables.calls, tables.symbol, name, 7))
+        assert plain(B.callees(made, name)) == plain(joins.callees(tables.calls, tables.symbol, name))
+        assert sorted(plain(B.neighbourhood(made, name, flows=True))) == sorted(plain(graph.neighbourhood(tables.calls, tables.imports, tables.symbol, name, uses=tables.uses_variable, flows=tables.flows_to)))
+    for relation, identity in (("contains", "r"), ("defines", "f1"), ("imports", "f1"), ("calls", "s0"), ("uses_variable", "s0"), ("flows_to", "s0:a")):
+        for direction in ("outgoing", "incoming"):
+            assert plain(B.relation(made, relation, identity, direction)) == plain(joins.relation(tables, relation, identity, direction))
+    assert plain(B.file_imports(made, "f2", 3, True)) == [("f1", "py")]
+    with pytest.raises(ValueError):
+        B.relation(made, "calls", "", "outgoing")
+
+
+def test_the_scan_of_a_look_up_has_its_filters(spark, store):
+    from cairn.sources import edge_store as B
+
+    _, made = store
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = B.callers(made, "s0")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key," in plan and "EqualTo(relation,calls)" in plan and "EqualTo(here,s0)" in plan and "Join" not in plan and "Exchange" not in plan
+
+
+def test_the_store_follows_its_files(spark, tmp_path):
+    import shutil
+
+    from cairn.sources import edge_store as B
+    from cairn.views import Graph
+
+    for name in ("lineitem", "part", "supplier", "nation", "region", "events"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    first = B.of(Graph(spark, str(tmp_path)))
+    assert B.of(Graph(spark, str(tmp_path))) is first
+    spark.read.parquet(str(tmp_path / "lineitem.parquet")).where("l_orderkey < 100").coalesce(1).write.parquet(str(tmp_path / "less"))
+    shutil.copy(next((tmp_path / "less").glob("part-*")), tmp_path / "lineitem.parquet")
+    spark.catalog.refreshByPath(str(tmp_path))
+    second = B.of(Graph(spark, str(tmp_path)))
+    assert second is not first and 0 < second.edges("calls").count() < first.edges("calls").count()
 
 
 @pytest.mark.parametrize("mode,relation,direction,intent,evidence,plan", [
