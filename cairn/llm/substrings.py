@@ -8,7 +8,7 @@ Not every place's suffix is shipped. Of each window the seed of SEED words with
 mark equal places, and one suffix stands for all the windows in a row that mark its start. It takes along the words to
 its left that these windows begin with; a group therefore has a second tree, of the reversed left sides, and a window is a node
 of depth window - o to the right with one of depth o to the left. Suffixes whose first SEED words occur once are leaves of the root
-and go nowhere. Prefixes are SEED words long while their suffixes fit in a part of a group; those of more suffixes
+and go nowhere. Prefixes are SEED words long while they have no more suffixes than a group should; others
 are lengthened to the whole window, where a node needs no tree but only its earliest leaf.
 
 Texts are read once, and written in blocks to the shared folder, where later steps read them; only files named in a table that Spark commits count.
@@ -32,9 +32,7 @@ from .workers import release, releasing
 
 WINDOW, SEED = 20, 6
 #: Code points of a block file, which holds whole documents; suffixes of a group; least suffixes of a prefix that is lengthened.
-BLOCK_CHARS, GROUP_SUFFIXES, LEAST_HOT = 1 << 23, 1 << 16, 256
-#: A window that many documents share is compared with its earliest place in so many parts.
-SALTS = 64
+BLOCK_CHARS, GROUP_SUFFIXES, LEAST_HOT = 1 << 23, 1 << 15, 256
 _RATES = vectext.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _OTHER = vectext.mix(_RATES + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Stands for a null id: the last in the order of documents.
@@ -173,7 +171,8 @@ def _by_block(files: DataFrame, rows: DataFrame, run, shape: str) -> DataFrame:
             yield from run(uris[0], table.filter(pa.compute.is_null(table.column("uri"))))
         release()
 
-    both = files.unionByName(rows, allowMissingColumns=True)
+    # few and small rows stand for much work: the number of partitions is not to be lowered by their size
+    both = files.unionByName(rows, allowMissingColumns=True).repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
     return both.groupBy("block").applyInArrow(whole, shape)
 
 
@@ -229,11 +228,16 @@ def trees(leaves: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
-        texts = table.column("text").to_pylist()
-        cps, bounds = vectext.points(texts)
-        starts, ends, first = vectext.words(cps, bounds)
-        word = np.unique(vectext.hashes(cps, starts, ends), return_inverse=True)[1].astype(np.int32)
-        del cps, starts, ends
+        hashed, counts = [], [np.zeros(1, np.int64)]
+        for _, texts in vectext.blocks(table.column("text").to_pylist(), vectext.BLOCK_CHARS // 2):
+            cps, bounds = vectext.points(texts)
+            starts, ends, first = vectext.words(cps, bounds)
+            hashed.append(vectext.hashes(cps, starts, ends))
+            counts.append(np.diff(first))
+        table = table.drop_columns(["text"])
+        word = np.unique(np.concatenate(hashed), return_inverse=True)[1].astype(np.int32)
+        first = np.cumsum(np.concatenate(counts))
+        del hashed
         left = table.column("left").to_numpy().astype(np.int64)
         at, count = first[:-1] + left, np.diff(first)
         least = left - (count - window)  # the nearest of a suffix's windows begins so many words to its left
@@ -264,19 +268,30 @@ def trees(leaves: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     return leaves.groupBy("group").applyInArrow(run, "block long, doc int, place long, windows long")
 
 
+HOT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("place", pa.int64()), ("later", pa.bool_())])
+
+
+def _ranked(a: np.ndarray, b: np.ndarray, id_: np.ndarray, tie: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order: where a window's rows begin, and which rows equal the earliest of their window."""
+    first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    earliest = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+    return first, (id_ == id_[earliest]) & (tie == tie[earliest]) & (place == place[earliest])
+
+
 def hot_windows(files: DataFrame, hot: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """As trees(), for the windows of prefixes that are lengthened to the whole window, each named by 128 bits; one row for each window.
+    """As trees(), for the windows of prefixes that are lengthened to the whole window, each named by 128 bits.
 
-    The earliest place is found by partial minima, and windows meet it in SALTS parts.
+    Of a window's places in one block only the earliest is shipped. What is shipped is dealt by ranges of
+    (name, document, place), so a window that is in all documents is spread over many tasks; each finds the earliest place of
+    its windows, and whether its first window began in the range before is decided by the ends of all ranges, a row each.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("block", pa.int64()), ("doc", pa.int32()), ("place", pa.int64())])
-
     def run(uri, table):
         if not table.num_rows:
             return
         wanted, block = np.sort(table.column("prefix").to_numpy()), table.column("block")[0].as_py()
         held = _read(uri)
         ids, ties = (held.column(c).to_numpy() for c in ("id", "tie"))
+        found = []
         for of, s in _sampled(held.column("text").to_pylist(), window, seed):
             keep = np.flatnonzero(np.isin(s.prefix, wanted))
             if not len(keep):
@@ -285,23 +300,49 @@ def hot_windows(files: DataFrame, hot: DataFrame, window: int = WINDOW, seed: in
             ends = np.cumsum(many)
             start = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(s.first[keep], many)
             doc, before = np.array(of, np.int64)[part := np.repeat(s.part()[keep], many)].T
-            for lo in range(0, len(start), 1 << 16):
-                own = slice(lo, lo + (1 << 16))
-                names = [np.zeros(len(start[own]), np.uint64), np.zeros(len(start[own]), np.uint64)]
-                for j in range(window):
-                    h = s.hashes[start[own] + j]
-                    for name, rates in zip(names, (_RATES, _OTHER), strict=True):
-                        name += vectext.mix(h + rates[j % len(rates)]) * rates[(7 * j + 3) % len(rates)]
-                yield pa.record_batch([*(vectext.mix(x).view(np.int64) for x in names), ids[doc[own]], ties[doc[own]], np.full(len(start[own]), block), doc[own].astype(np.int32),
-                                       start[own] - s.bounds[part[own]] + before[own]], schema=schema)
-
-    rows = _by_block(files, hot.select("block", "prefix"), run, "a long, b long, id long, tie long, block long, doc int, place long")
-    rows = materialise(rows, "repeats-hot")
-    whole = F.struct("id", "tie", "place")
-    first = rows.groupBy("a", "b").agg(F.min(whole).alias("earliest"))
-    salt = F.pmod(F.hash("block", "doc", "place"), F.lit(SALTS))
-    near = rows.withColumn("salt", salt).join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "b", "salt"])
-    return near.where(whole > F.col("earliest")).select("block", "doc", "place", F.lit(1).cast("long").alias("windows"))
+            names = [np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)]
+            for j in range(window):
+                h = s.hashes[start + j]
+                for name, rates in zip(names, (_RATES, _OTHER), strict=True):
+                    name += vectext.mix(h + rates[j % len(rates)]) * rates[(7 * j + 3) % len(rates)]
+            found.append([*(vectext.mix(x).view(np.int64) for x in names), ids[doc], ties[doc], doc.astype(np.int32), start - s.bounds[part] + before])
+        if not found:
+            return
+        a, b, id_, tie, doc, place = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((place, tie, id_, b, a))
+        a, b, id_, tie, doc, place = (x[order] for x in (a, b, id_, tie, doc, place))
+        _, early = _ranked(a, b, id_, tie, place)
+        for lo in range(0, len(a), 1 << 16):
+            own = slice(lo, lo + (1 << 16))
+            yield pa.record_batch([a[own], b[own], id_[own], tie[own], np.full(len(a[own]), block), doc[own], place[own], ~early[own]], schema=HOT)
+
+    shape = "a long, b long, id long, tie long, block long, doc int, place long, later boolean"
+    rows = materialise(_by_block(files, hot.select("block", "prefix"), run, shape), "repeats-hot")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``later`` rows, and as undecided those that equal the earliest of the range's first window; with the latter the names of the range's first and last window."""
+        from pyspark import TaskContext
+
+        if not (held := [x for x in batches if x.num_rows]):
+            return
+        table = pa.Table.from_batches(held)
+        a, b, id_, tie, block, doc, place = (table.column(c).to_numpy() for c in HOT.names[:-1])
+        first, early = _ranked(a, b, id_, tie, place)
+        begun = np.cumsum(first)
+        keep = np.flatnonzero(~early | (begun == 1))
+        n, undecided = len(keep), early[keep]
+        number = TaskContext.get().partitionId()
+        yield pa.record_batch([block[keep], doc[keep], place[keep], pa.array(np.full(n, number, np.int32), mask=~undecided),
+                               *(pa.array(np.full(n, x), mask=~undecided) for x in (a[0], b[0], a[-1], b[-1]))], schema=pa.schema(
+            [("block", pa.int64()), ("doc", pa.int32()), ("place", pa.int64()), ("range", pa.int32()), ("first_a", pa.int64()), ("first_b", pa.int64()), ("last_a", pa.int64()), ("last_b", pa.int64())]))
+
+    order = ["a", "b", "id", "tie", "place"]
+    shipped = rows.where("NOT later").repartitionByRange(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    marked = materialise(shipped.mapInArrow(releasing(mark), "block long, doc int, place long, range int, first_a long, first_b long, last_a long, last_b long"), "repeats-marked")
+    ends = marked.where("range IS NOT NULL").select("range", "first_a", "first_b", "last_a", "last_b").distinct().orderBy("range").collect()  # one for each range
+    carried = [r["range"] for before, r in zip(ends, ends[1:]) if (before["last_a"], before["last_b"]) == (r["first_a"], r["first_b"])]
+    later = rows.where("later").select("block", "doc", "place").union(marked.where(F.col("range").isNull() | F.col("range").isin(carried)).select("block", "doc", "place"))
+    return later.select("block", "doc", "place", F.lit(1).cast("long").alias("windows"))
 
 
 def removed(files: DataFrame, flags: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -360,7 +401,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFra
     shared = shared_prefixes(made)
     leaves = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-leaves // GROUP_SUFFIXES))
-    hot = max(LEAST_HOT, leaves // groups // 4)
+    hot = max(LEAST_HOT, leaves // groups)
     flags = trees(suffixes(files, shared.where(F.col("total") <= hot), groups, window, seed), window, seed)
     out = materialise(removed(files, flags.unionByName(hot_windows(files, shared.where(F.col("total") > hot), window, seed)), window, texts), "repeats-kept")
     drop(spark, made, shared, where)
