@@ -17,8 +17,11 @@ from cairn.llm.queries import RANKS, vocabulary
 from cairn.llm.shared import materialise
 
 
-#: Phrases of the best language may take up to twice the bits of a code letter by letter; short clean texts come near that.
-LEAST_GAIN = -1.0
+#: Languages whose documents stay; None keeps all that are learned.
+LANGUAGES: tuple[str, ...] | None = None
+#: What phrases of the best language must save of a code letter by letter: something, where a text has LONG characters; shorter clean texts
+#: of few words beside numbers and names may take up to twice the bits.
+LONG, LEAST_GAIN, LEAST_GAIN_SHORT = 400, 0.0, -1.0
 
 
 def _own(docs: DataFrame, name: str) -> str:
@@ -38,14 +41,17 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
-def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that a learned language has phrases for; unknown scripts, texts without a letter and null texts go.
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = LANGUAGES) -> DataFrame:
+    """Documents in one of ``languages`` whose phrases tell more than its letters; unknown scripts, texts without a letter and null texts go.
 
-    Repeated rows are judged alike; an empty table gives none.
+    The language found goes on as ``lang`` of documents that had none. Repeated rows are judged alike; an empty table gives none.
     """
     label, share, gain = (_own(docs, c) for c in ("lang_pred", "lang_score", "lang_gain"))
     found = langid.predict(docs, langid.training_text(docs), label, share, gain)
-    return found.where((F.col(label) != langid.UNDETERMINED) & (F.col(gain) > LEAST_GAIN)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = F.when(F.char_length("text") >= LONG, LEAST_GAIN).otherwise(LEAST_GAIN_SHORT)
+    wanted = F.col(label) != langid.UNDETERMINED if languages is None else F.col(label).isin(*languages)
+    kept = found.where(wanted & (F.col(gain) > least))
+    return kept.select(*[F.coalesce(F.col("lang"), F.col(label)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
