@@ -93,8 +93,8 @@ def test_pipeline_equals_brute_force(spark, documents):
             want = [r["doc_id"] for r in own if model.score([r["text"]])[0] >= quality.THRESHOLD]
         elif name.startswith("language"):
             model = langid.Model(langid.training_text(before))
-            said = [(r["doc_id"], *(x[0] for x in model.predict([r["text"]]))) for r in own]
-            want = [d for d, label, _, gain in said if label != langid.UNDETERMINED and gain > corpus_pipeline.LEAST_GAIN]
+            said = [(r["doc_id"], len(r["text"]), *(x[0] for x in model.predict([r["text"]]))) for r in own]
+            want = [d for d, n, label, _, gain in said if label != langid.UNDETERMINED and gain > (0 if n >= 400 else -1)]
         elif name.startswith("n-gram"):
             want = [d for d, (_, c) in brute({r["doc_id"]: r["text"] for r in own}).items() if c == d]
         elif name.startswith("mixing"):
@@ -114,3 +114,18 @@ def test_pipeline_takes_odd_tables(spark, odd, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             kept = stage(spark, kept, str(tmp_path))
         assert kept.count() <= 2 * table.count()
+
+
+def test_language_stage_selects(spark, documents):
+    """Of four languages those asked for stay; unknown scripts and texts that no language's phrases fit go, whatever they are labelled."""
+    shown = documents.select("doc_id", "text", "lang", "source", "n_chars").where("n_chars > 400")
+    strange = [(9001, "Ωμέγα και άλφα στο τέλος της ημέρας " * 30, None, "s", 1), (9002, "漢字 仮名 " * 200, "en", "s", 1), (9003, "12 345 " * 100, "en", "s", 1),
+               (9004, "zxq vkj wqpx jzkv " * 40, "en", "s", 1), (9005, None, "en", "s", None)]
+    bare = shown.limit(1).selectExpr("9006L", "concat(text, ' ')", "CAST(NULL AS STRING)", "source", "n_chars")
+    docs = shown.union(spark.createDataFrame(strange, shown.schema)).union(bare).cache()
+    every = {r["doc_id"]: r["lang"] for r in corpus_pipeline.by_language(spark, docs, SF).collect()}
+    was = {r["doc_id"]: r["lang"] for r in shown.collect()}
+    assert not {9001, 9002, 9003, 9005} & set(every) and set(was) - set(every) == set()
+    assert all(every[d] == lang for d, lang in was.items()) and every[9006] in was.values()
+    some = {r["doc_id"] for r in corpus_pipeline.by_language(spark, docs, SF, ("de", "fr")).collect()}
+    assert {was[d] for d in some & set(was)} == {"de", "fr"} and len(some & set(was)) >= 0.95 * sum(lang in ("de", "fr") for lang in was.values())
