@@ -529,7 +529,7 @@ query("w10_recent_decisions", "SELECT id FROM {audit} ORDER BY created_at DESC,
 query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM {pages} WHERE page_id % 3 = 0")(
     lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))
 
-from . import search  # noqa: E402, F401  registers its queries
+from . import layout, search  # noqa: E402, F401  register their queries
 
 query("p13_generation", """SELECT lower(kind) AS relation, incoming, count(*) AS edges, count(DISTINCT CASE WHEN incoming THEN dst ELSE src END) AS nodes
     FROM {edge}, (VALUES (false), (true)) t(incoming) GROUP BY 1, 2""")(lambda g: B.of(g).adjacency.groupBy("relation", "incoming").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("here").alias("nodes")))
