@@ -426,8 +426,6 @@ query("t04_retry_states", """WITH e AS (SELECT concat('j', user_id) AS job_id, e
     lambda g: S.states(_outcomes(g)))
 query("t01_conflicts", "SELECT concat('j', o_custkey) AS job_id, count(DISTINCT o_orderpriority) AS payloads FROM {orders} GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")(
     lambda g: S.conflicts(g.orders.select(F.concat(F.lit("j"), "o_custkey").alias("job_id"), F.col("o_orderpriority").alias("digest"))))
-query("t05_quarantine", "SELECT props AS value FROM {events} WHERE CAST(json_extract_string(props, '$.k') AS INT) IS NULL")(
-    lambda g: S.quarantined(S.decoded(g.events.select(F.col("props").alias("value")), "k int", "k")))
 query("t07_trace_evaluation", """SELECT concat('t', user_id) AS key, count(*) AS total, count(*) FILTER (event_id % 3000 >= (SELECT count(*) FROM {part})) AS missing,
     round(count(*) FILTER (event_id % 3000 >= (SELECT count(*) FROM {part}))::DOUBLE / count(*), 4) AS share FROM {events} GROUP BY 1""")(
     lambda g: S.evaluate_traces(g.events.select(F.concat(F.lit("t"), "user_id").alias("trace_id"), F.array(F.concat(F.lit("p."), F.col("event_id") % 3000)).alias("results")), g.symbol))
@@ -529,7 +527,7 @@ query("w10_recent_decisions", "SELECT id FROM {audit} ORDER BY created_at DESC,
 query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM {pages} WHERE page_id % 3 = 0")(
     lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))
 
-from . import layout, search  # noqa: E402, F401  register their queries
+from . import delivery, layout, search  # noqa: E402, F401  register their queries
 
 query("p13_generation", """SELECT lower(kind) AS relation, incoming, count(*) AS edges, count(DISTINCT CASE WHEN incoming THEN dst ELSE src END) AS nodes
     FROM {edge}, (VALUES (false), (true)) t(incoming) GROUP BY 1, 2""")(lambda g: B.of(g).adjacency.groupBy("relation", "incoming").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("here").alias("nodes")))

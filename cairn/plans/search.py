@@ -34,7 +34,7 @@ query("x17_or", f"""WITH {_WORDS} r AS ({_any(["die", "of", "que", "to", "und"])
     SELECT doc_id, round(rank, 6) AS rank FROM r WHERE (doc_id IN (SELECT doc_id FROM w WHERE term = 'die') AND doc_id NOT IN (SELECT doc_id FROM w WHERE term = 'und'))
     OR doc_id IN (SELECT doc_id FROM w WHERE term = 'que') OR doc_id IN (SELECT doc_id FROM b)""")(
     lambda g: _ranked(g, 'die -und OR Que or "of to"'))
-query("x17_excluded", f"""WITH {_WORDS} x AS (SELECT DISTINCT doc_id FROM w WHERE term = 'the') SELECT doc_id, 0.0::DOUBLE AS rank FROM {{documents}} WHERE doc_id NOT IN (SELECT doc_id FROM x)""".replace("{{", "{").replace("}}", "}"))(
+query("x17_excluded", f"""WITH {_WORDS} x AS (SELECT DISTINCT doc_id FROM w WHERE term = 'the') SELECT doc_id, 0.0::DOUBLE AS rank FROM {{documents}} WHERE doc_id NOT IN (SELECT doc_id FROM x)""")(
     lambda g: _ranked(g, "-the"))
 query("x17_ranked", f"""WITH {_WORDS} r AS ({_all(["and", "that", "with"])}), o AS (SELECT doc_id, round(rank, 6) AS rank, row_number() OVER (ORDER BY round(rank, 6) DESC, doc_id DESC)::INT AS place FROM r
     WHERE doc_id IN (SELECT doc_id FROM w WHERE term IN ('and', 'that', 'with') GROUP BY doc_id HAVING count(DISTINCT term) = 3)) SELECT * FROM o WHERE place <= 25""")(
