@@ -131,11 +131,6 @@ def uuid5(name: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") ->
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def json_values(text: Column, key: str) -> Column:
-    """Distinct text values of a key at any depth of a JSON text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f'"{key}"\\s*:\\s*"([^"]*)"'), F.lit(1))))
-
-
 def improvement(full: Column, part: Column) -> Column:
     """How many times faster the second is, rounded to 2; null where it took no time."""
     return F.when(part > 0, F.round(full / part, 2))

@@ -122,14 +122,6 @@ def visible(rows: DataFrame, grants: DataFrame | None) -> DataFrame:
     return rows if grants is None else rows.join(grants.select("project_id").distinct(), "project_id", "left_semi")
 
 
-SENSITIVE = ("password", "secret", "token", "key", "credential")
-
-
-def redacted(values: Column, fragments: tuple[str, ...] = SENSITIVE) -> Column:
-    """A map whose values under sensitive keys are ``***``."""
-    return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike("|".join(fragments)), F.lit("***")).otherwise(v))
-
-
 def safe_learning(rows: DataFrame, categories: tuple[str, ...] = ("lesson", "decision", "pattern", "warning"), most: int = 4000) -> DataFrame:
     """Learning rows (category, title, lesson, confidence) that are valid and hold no credential; others are left out silently."""
     text = F.concat_ws(" ", "title", "lesson")

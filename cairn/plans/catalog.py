@@ -466,8 +466,6 @@ query("s19_batch_plan", """WITH RECURSIVE o AS (SELECT source AS project, doc_id
 query("f13_safe_learning", """SELECT event_id FROM {events} WHERE event_type IN ('view', 'click') AND value / 100 <= 1 AND event_id % 7 <> 0""")(
     lambda g: L.safe_learning(g.events.select("event_id", F.when(F.col("event_type") == "view", "lesson").when(F.col("event_type") == "click", "decision").otherwise(F.col("event_type")).alias("category"), F.lit("t").alias("title"),
                                               F.when(F.col("event_id") % 7 == 0, F.lit("use api_key=abcd")).otherwise("use it").alias("lesson"), (F.col("value") / 100).alias("confidence"))).select("event_id"))
-query("f14_redaction", """SELECT n_nationkey, k AS key, CASE WHEN k = 'api_token' THEN '***' ELSE n_name END AS value FROM {nation}, (VALUES ('name'), ('api_token')) t(k)""")(
-    lambda g: g.nation.select("n_nationkey", F.explode(L.redacted(F.create_map(F.lit("name"), F.col("n_name"), F.lit("api_token"), F.col("n_name")))).alias("key", "value")))
 _FILES_PY = lambda g: g.part.select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("from m"), F.col("p_partkey") + 1, F.lit(" import f"), F.col("p_partkey") + 1, F.lit("\n\ndef f"), "p_partkey", F.lit("(a):\n    b = f"), F.col("p_partkey") + 1, F.lit("(a)\n    return b\n")).alias("text"))
 query("p01_python_symbols", "SELECT concat('m', p_partkey, '.f', p_partkey) AS qualified_name, 'function' AS symbol_type, concat('src/m', p_partkey, '.py') AS file_path, 3 AS line_start, 5 AS line_end FROM {part}")(
     lambda g: P.tables(P.evidence(_FILES_PY(g)))["symbol"].select("qualified_name", "symbol_type", "file_path", "line_start", "line_end"))
@@ -514,8 +512,6 @@ query("e09_greedy_expansion", """WITH RECURSIVE o AS (SELECT case_id, pos % 3 AS
 query("e11_improvement", "SELECT o_orderkey, round(o_totalprice / (2 * o_custkey + 1), 2) AS factor FROM {orders}")(lambda g: g.orders.select("o_orderkey", X.improvement(F.col("o_totalprice"), 2 * F.col("o_custkey") + 1).alias("factor")))
 query("x12_uuid5", """SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
     FROM (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name || p_partkey)) AS h FROM {part})""")(lambda g: g.part.select("p_partkey", X.uuid5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("id")))
-query("x15_json_values", """SELECT event_id, list_sort([event_type, 'deny']) AS effects FROM {events}""")(
-    lambda g: g.events.select("event_id", X.json_values(F.concat(F.lit('{"if": {"effect": "deny"}, "then": [{"effect" : "'), "event_type", F.lit('"}, {"effect":"deny"}]}')), "effect").alias("effects")))
 _TEXTS = {"go": "package m\nimport \"fmt\"\nfunc Do(a int) {\n\tfmt.Println(a)\n}\n", "rs": "use std::fs;\npub fn Do(a: u8) {\n  call(a)\n}\n", "java": "import a.B;\npublic class Do {\n}\n", "ps1": "function Do {\n  call(1)\n}\n",
           "vb": "Public Class Do\nEnd Class\n", "adb": "with Text;\nprocedure Do is\nend Do;\n", "mojo": "fn Do(a):\n    call(a)\n", "cmake": "function(Do a)\nendfunction()\n", "vy": "def Do(a):\n    pass\n", "move": "module Do {\n}\n", "cairo": "fn Do() {\n}\n", "clar": "(define-public (Do) x)\n", "cdc": "pub fun Do() {\n}\n", "cbl": "       PROGRAM-ID. Do.\n"}
 query("p05_other_languages", "SELECT concat('d', page_id, '/m.', (" + str(list(_TEXTS)) + ")[1 + page_id % " + str(len(_TEXTS)) + "]) AS path, 'Do' AS name FROM {pages}")(
@@ -527,7 +523,7 @@ query("w10_recent_decisions", "SELECT id FROM {audit} ORDER BY created_at DESC,
 query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM {pages} WHERE page_id % 3 = 0")(
     lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))
 
-from . import delivery, layout, search  # noqa: E402, F401  register their queries
+from . import delivery, layout, nested, search  # noqa: E402, F401  register their queries
 
 query("p13_generation", """SELECT lower(kind) AS relation, incoming, count(*) AS edges, count(DISTINCT CASE WHEN incoming THEN dst ELSE src END) AS nodes
     FROM {edge}, (VALUES (false), (true)) t(incoming) GROUP BY 1, 2""")(lambda g: B.of(g).adjacency.groupBy("relation", "incoming").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("here").alias("nodes")))
