@@ -38,9 +38,6 @@ query("s10_tree_scan", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS N
 query("s14_upsert", """SELECT id, content_hash FROM {resource_new} UNION ALL SELECT id, content_hash FROM {resource_old} o
     WHERE NOT EXISTS (SELECT 1 FROM {resource_new} n WHERE n.id = o.id)""")(
     lambda g: g.resource_new.select("id", "content_hash").union(g.resource_old.join(g.resource_new.select("id"), "id", "left_anti").select("id", "content_hash")))
-query("s15_cascade_delete", """SELECT src, dst FROM {calls} c WHERE NOT EXISTS (SELECT 1 FROM {symbol} s WHERE s.file_path = 's/3' AND s.qualified_name IN (c.src, c.dst))""")(
-    lambda g: (lambda gone: g.calls.join(gone.withColumnRenamed("q", "src"), "src", "left_anti").join(gone.withColumnRenamed("q", "dst"), "dst", "left_anti").select("src", "dst"))(
-        g.symbol.where("file_path = 's/3'").select(F.col("qualified_name").alias("q"))))
 query("s16_export_page", "SELECT qualified_name, name FROM {symbol} WHERE qualified_name > 'p.15' ORDER BY qualified_name LIMIT 51")(
     lambda g: W.page_after(g.symbol.select("qualified_name", "name"), "qualified_name", "p.15", 50))
 query("s20_retention", """SELECT id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY occurred_at DESC, id DESC) AS r FROM {activity}) WHERE r <= 5""")(

@@ -55,3 +55,32 @@ query("t04_attempts", f"""WITH {_ROUTED} SELECT job_id, seq, CASE WHEN won = 1 O
     CASE WHEN won = 1 OR bad_before >= 3 THEN NULL ELSE bad + ok::INT END::INT AS attempt, CASE WHEN won = 0 AND bad_before < 3 AND NOT ok THEN least(30.0, pow(2, bad - 1)) END::DOUBLE AS pause_s FROM r
     WHERE ok IS NOT NULL AND was IS NOT NULL AND NOT (NOT ok AND bad = 3 AND won = 0)""")(
     lambda g: R.routed(_entries(g)).where("output IN ('done', 'retrying', 'ignored')").select("job_id", "seq", "output", "attempt", "pause_s"))
+
+
+def _cascade(g) -> DataFrame:
+    """The rows that are left of every table once two files are deleted."""
+    from ..graph_model import KEYS, RELATIONS
+    from ..sources import parted_graph as P
+
+    root = fresh_dir(g.spark, "parted-graph")
+    P.create(g.spark, root, g, 8).delete_files(g.file.where("path IN ('s/3', 's/5')"))
+    left, out = P.PartedGraph(g.spark, root), None
+    for name in [*KEYS, *RELATIONS]:
+        a, b = (F.col("src"), F.col("dst")) if name in RELATIONS else (F.col(KEYS[name]), F.lit(None).cast("string"))
+        rows = left[name].select(F.lit(name).alias("table_name"), a.alias("a"), b.alias("b"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+_GONE = """f AS (SELECT unnest(['s/3', 's/5']) AS gone), s AS (SELECT qualified_name AS gone FROM {symbol} WHERE file_path IN (SELECT gone FROM f)),
+    v AS (SELECT qualified_name AS gone FROM {variable} WHERE file_path IN (SELECT gone FROM f) OR scope_qname IN (SELECT gone FROM s))"""
+
+
+def _kept(name: str, source: str, target: str) -> str:
+    where = [f"{c} NOT IN (SELECT gone FROM {x})" for c, x in (("src", source), ("dst", target)) if x]
+    return f"SELECT '{name}' AS table_name, src AS a, dst AS b FROM {{{name}}}" + (f" WHERE {' AND '.join(where)}" if where else "")
+
+
+query("s15_cascade_delete", f"""WITH {_GONE} SELECT 'repository' AS table_name, path AS a, NULL::VARCHAR AS b FROM {{repository}} UNION ALL SELECT 'file', path, NULL FROM {{file}} WHERE path NOT IN (SELECT gone FROM f)
+    UNION ALL SELECT 'symbol', qualified_name, NULL FROM {{symbol}} WHERE qualified_name NOT IN (SELECT gone FROM s) UNION ALL SELECT 'variable', qualified_name, NULL FROM {{variable}} WHERE qualified_name NOT IN (SELECT gone FROM v)
+    UNION ALL {" UNION ALL ".join(_kept(*x) for x in (("contains", "", "f"), ("defines", "f", "s"), ("imports", "f", "f"), ("calls", "s", "s"), ("uses_variable", "s", "v"), ("flows_to", "v", "v")))}""")(_cascade)

@@ -45,7 +45,7 @@ def _published(spark: SparkSession, root: str) -> tuple[int, str] | None:
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    """Id of the published generation, if any."""
+    """What is published, if anything: the id of a generation, or what commit() was given."""
     found = _published(spark, root)
     return found[1] if found else None
 
@@ -71,7 +71,7 @@ def _fill(spark: SparkSession, root: str, number: int, generation: str) -> None:
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expected: str | None, options: dict[str, str] | None = None) -> str:
     """Write all tables as a new generation and publish it, if ``expected`` still is the current one; returns its id.
 
-    What was written is read back before it is published. Of writers that began from one generation one wins; the others raise.
+    What was written is read back before it is published.
     """
     new = uuid.uuid4().hex
     for name, df in tables.items():
@@ -79,16 +79,21 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expect
     for name, df in tables.items():
         if spark.read.parquet(f"{root}/{new}/{name}").schema.names != df.schema.names:
             raise RuntimeError(f"{name} was not written whole")
+    commit(spark, root, new, expected)
+    return new
+
+
+def commit(spark: SparkSession, root: str, content: str, expected: str | None) -> None:
+    """Publish ``content``, one line, if ``expected`` is what is published now. Of writers that began from one state one wins; the others raise."""
     if current(spark, root) != expected:
         raise RuntimeError("the generation changed while this one was written")
     number = _claim(spark, root)
     before = _published(spark, root)
     if (before[1] if before else None) != expected:
         raise RuntimeError("the generation changed while this one was written")
-    _fill(spark, root, number, new)
+    _fill(spark, root, number, content)
     if _numbers(spark, root)[0] != number:
         raise RuntimeError("another writer published at the same time")
-    return new
 
 
 def read(spark: SparkSession, root: str, name: str, generation: str | None = None, schema=None) -> DataFrame:
