@@ -139,23 +139,6 @@ def failure_class(passed: Column, coverage: Column, baseline_passed: Column) ->
     return F.when(passed, F.lit(None)).when(coverage < 1, "missing_retrieval_evidence").when(baseline_passed, "model_variance_or_reasoning").otherwise("task_or_model_failure")
 
 
-def greedy_expansion(candidates: DataFrame, most_chunks: int, most_tokens: int) -> DataFrame:
-    """Per case, chunks by (depth, pos) while both budgets hold; one that is too large is passed over for smaller ones."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, kept = rows.sort_values(["depth", "pos"]), 0, []
-        for at, t in enumerate(rows["tokens"]):
-            if len(kept) == most_chunks:
-                break
-            if used + t <= most_tokens:
-                used += t
-                kept.append(at)
-        return rows.iloc[kept]
-
-    return candidates.groupBy("case_id").applyInPandas(fold, candidates.schema)
-
-
 def savings(before: Column, after: Column) -> Column:
     return F.struct((before - after).alias("saved"), F.when(before > 0, F.round((before - after) / before * 100, 2)).otherwise(0.0).alias("percent"),
                     F.when(after > 0, F.round(before / after, 3)).alias("ratio"))

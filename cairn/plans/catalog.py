@@ -190,9 +190,6 @@ query("a27_project_deltas", """SELECT b.project_id, round(s.v - b.v, 2) AS delta
     JOIN (SELECT project_id, avg(value) AS v FROM {activity} WHERE event_type = 'click' GROUP BY 1) s ON b.project_id = s.project_id""")(
     lambda g: g.activity.groupBy("project_id").agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("b"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("s")).where(
         "b is not null and s is not null").select("project_id", F.round(F.col("s") - F.col("b"), 2).alias("delta"), ((F.col("s") - F.col("b")) < 0).alias("regressed")))
-query("a28_expansion_summary", "SELECT project_id, count(*) FILTER (value > 100) AS triggered, count(*) FILTER (value > 100 AND status = 'done') AS recovered, count(*) FILTER (value > 100 AND status = 'blocked') AS failed FROM {activity} GROUP BY 1")(
-    lambda g: g.activity.groupBy("project_id").agg(F.count(F.when(F.col("value") > 100, 1)).alias("triggered"), F.count(F.when((F.col("value") > 100) & (F.col("status") == "done"), 1)).alias("recovered"),
-                                                   F.count(F.when((F.col("value") > 100) & (F.col("status") == "blocked"), 1)).alias("failed")))
 query("a29_throughput", "SELECT event_type, round(count(*) / sum(value), 4) AS rate, round(avg(value), 3) AS mean FROM {events} GROUP BY 1")(
     lambda g: g.events.groupBy("event_type").agg(F.round(F.count(F.lit(1)) / F.sum("value"), 4).alias("rate"), F.round(F.avg("value"), 3).alias("mean")))
 query("a30_run_summary", "SELECT count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed, sum(event_id % 3)::BIGINT AS retries, round(count(*) / 60.0::DOUBLE, 3) AS qps FROM {events}")(
@@ -502,10 +499,6 @@ query("g13_keyword_fallback", """SELECT 'keyword-fallback' AS source, row_number
     FROM (SELECT concat('s/', doc_id) AS path, 1 + length(substr(text, 1, instr(lower(text), 'the') - 1)) - length(replace(substr(text, 1, instr(lower(text), 'the') - 1), chr(10), '')) AS line_start
     FROM {documents} WHERE instr(lower(text), 'the') > 0 ORDER BY path LIMIT 3)""")(
     lambda g: R.bundle_rows(R.strategy_bundle(g.symbol, g.file, g.calls, _texts(g), "The ", 4000)).select("source", "place", "file_path", F.col("line_start").cast("long"), "reason", "quality"))
-query("e09_greedy_expansion", """WITH RECURSIVE o AS (SELECT case_id, pos % 3 AS depth, pos, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens, row_number() OVER (PARTITION BY case_id ORDER BY pos % 3, pos) AS r FROM {chunk}),
-    f AS (SELECT case_id, 0::BIGINT AS r, 0::BIGINT AS used, 0 AS n, NULL::BIGINT AS pos, NULL::BIGINT AS depth, NULL::BIGINT AS tokens, false AS kept FROM o WHERE r = 1 UNION ALL
-    SELECT o.case_id, o.r, CASE WHEN f.n < 12 AND f.used + o.tokens <= 4000 THEN f.used + o.tokens ELSE f.used END, CASE WHEN f.n < 12 AND f.used + o.tokens <= 4000 THEN f.n + 1 ELSE f.n END, o.pos, o.depth, o.tokens, f.n < 12 AND f.used + o.tokens <= 4000
-    FROM f JOIN o ON o.case_id = f.case_id AND o.r = f.r + 1) SELECT case_id, depth, pos, tokens FROM f WHERE kept""")(lambda g: E.greedy_expansion(g.chunk.select("case_id", (F.col("pos") % 3).alias("depth"), "pos", X.tokens_simple(F.col("text")).alias("tokens")), 12, 4000))
 query("e11_improvement", "SELECT o_orderkey, round(o_totalprice / (2 * o_custkey + 1), 2) AS factor FROM {orders}")(lambda g: g.orders.select("o_orderkey", X.improvement(F.col("o_totalprice"), 2 * F.col("o_custkey") + 1).alias("factor")))
 query("x12_uuid5", """SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
     FROM (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(p_name || p_partkey)) AS h FROM {part})""")(lambda g: g.part.select("p_partkey", X.uuid5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("id")))
@@ -520,7 +513,7 @@ query("w10_recent_decisions", "SELECT id FROM {audit} ORDER BY created_at DESC,
 query("s01_discover", "SELECT page_id, 'src/a' || page_id || '.py' AS path FROM {pages} WHERE page_id % 3 = 0")(
     lambda g: g.pages.select("page_id", F.concat(F.element_at(F.array(F.lit("src/a"), F.lit(".git/a"), F.lit("node_modules/x/a")), (F.col("page_id") % 3 + 1).cast("int")), "page_id", F.lit(".py")).alias("path")).where(Z.wanted(F.col("path"))))
 
-from . import delivery, layout, nested, search  # noqa: E402, F401  register their queries
+from . import delivery, expansion, layout, nested, search  # noqa: E402, F401  register their queries
 
 query("p13_generation", """SELECT lower(kind) AS relation, incoming, count(*) AS edges, count(DISTINCT CASE WHEN incoming THEN dst ELSE src END) AS nodes
     FROM {edge}, (VALUES (false), (true)) t(incoming) GROUP BY 1, 2""")(lambda g: B.of(g).adjacency.groupBy("relation", "incoming").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("here").alias("nodes")))

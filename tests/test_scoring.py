@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as X
+from cairn.operators import expansion as K
 from cairn.operators import scoring as E
 from cairn.operators import windows as W
 
@@ -42,7 +43,7 @@ def test_calibration(spark):
 
 def test_greedy_expansion_passes_over_what_does_not_fit(spark):
     df = spark.createDataFrame([(1, 0, 0, 50), (1, 0, 1, 80), (1, 1, 2, 40)], "case_id int, depth int, pos int, tokens int")
-    assert {r["pos"] for r in E.greedy_expansion(df, 5, 100).collect()} == {0, 2}
+    assert {r["pos"] for r in K.accepted(df, 5, 100).collect()} == {0, 2}
 
 
 def test_budget_prefix_stops_at_first_overflow(spark):
@@ -81,3 +82,35 @@ def test_cache():
     get("3")
     get("2")
     assert made == ["1", "2", "1", "3", "2"] and len(cache.held) == 2 and cache.clear() == 2
+
+
+def test_expansion_traces_equal_a_plain_fold(spark):
+    """Every candidate in order, over many rounds of a block; equal places, null tokens and a case of a third of all rows too."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(0 if rng.random() < 0.3 else rng.randrange(12), rng.randrange(3), rng.randrange(200), rng.choice([None, 0, rng.randrange(900), rng.randrange(90)])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "case_id long, depth int, pos int, tokens long")
+    for chunks, tokens in ((40, 5000), (7, 300), (0, 100), (5, 0)):
+        want = []
+        for c in {r[0] for r in rows}:
+            used = n = 0
+            for d, p, t in sorted((d, p, t or 0) for x, d, p, t in rows if x == c):
+                ok = n < chunks and used + t <= tokens
+                want.append((c, d, p, t, n + 1 if ok else None, used + t if ok else None, K.ACCEPTED if ok else K.CHUNKS if n >= chunks else K.TOKENS))
+                used, n = (used + t, n + 1) if ok else (used, n)
+        assert sorted(map(tuple, K.trace(df, chunks, tokens).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_expansion_stops(spark):
+    pool = spark.createDataFrame([(c, d, p, 10) for c in (1, 2, 3, 4) for d in (1, 2) for p in (0, 1)] + [(5, 1, 0, 999)], "case_id long, depth int, pos int, tokens long")
+    cases = spark.createDataFrame([(c, c == 6, c not in (4, 6)) for c in range(1, 8)], "case_id long, passed boolean, triggered boolean")
+    outcomes = spark.createDataFrame([(1, 1, True), (2, 1, False), (2, 2, True), (3, 1, False)], "case_id long, depth int, passed boolean")
+    for chunks, depth, third in ((10, 2, "max_depth_reached"), (10, 3, "candidate_pool_exhausted"), (2, 3, "chunk_budget_exhausted"), (0, 3, "chunk_budget_exhausted")):
+        got = {r["case_id"]: r for r in K.runs(cases, K.trace(pool, chunks, 100), outcomes, chunks, depth).collect()}
+        assert got[3]["stop_reason"] == third and got[4]["stop_reason"] == "not_triggered" and got[7]["stop_reason"] == "no_expansion_candidates" and got[6]["passed_after"]
+        assert got[5]["stop_reason"] == ("chunk_budget_exhausted" if chunks == 0 else "token_budget_exhausted")
+        if chunks == 10:
+            assert [(got[c]["attempts"], got[c]["added"], got[c]["final_depth"], got[c]["stop_reason"]) for c in (1, 2, 3)] == [(1, 2, 1, "answer_passed"), (2, 4, 2, "answer_passed"), (2, 4, 2, third)]
+            one = K.summary(K.runs(cases, K.trace(pool, chunks, 100), outcomes, chunks, depth)).first()
+            assert (one["cases"], one["triggered"], one["recovered"], one["still_failing"], one["reruns"], one["model_calls"]) == (7, 5, 2, 4, 5, 19)
