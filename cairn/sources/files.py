@@ -6,12 +6,13 @@ import hashlib
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..extract.patterns import SPECS
 from ..operators.lookup import has_credential
 from ..operators.windows import latest
+from ..shared import materialise
 
 #: Fixed value: folders that no scan enters.
 PRUNED = (".git", ".venv", "venv", "env", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", "dist", "build", ".next", "coverage")
@@ -65,13 +66,24 @@ def status_changes(lines: DataFrame) -> DataFrame:
     return first.orderBy(F.col("change").desc(), "pos")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, value): the lines of text files with their numbers from 0 in each file.
+
+    A file is read in splits, by as many tasks; lines count from the first of their split, to which the lines of the file's splits before are
+    added. Only these counts, a row for each split, meet in a window. The files must not change between the scan for counts and that for lines.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(counts.withColumn("before", before), ["file", "split"]).select("file", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "value")
+
+
 def query_batch(spark: SparkSession, path: str) -> DataFrame:
     """Items of a JSON-lines batch: (line, tool, arguments, valid). Blank lines don't count; a bad line is an invalid item.
 
     ``query`` alone asks find_symbol for 5; ``__line`` overrides the line's number.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return query_items(lines)
+    return query_items(numbered_lines(spark, path).select(F.col("pos").cast("int").alias("pos"), "value"))
 
 
 def query_items(lines: DataFrame) -> DataFrame:
@@ -163,3 +175,40 @@ def plan_batches(items: DataFrame, most_items: int = 500, most_bytes: int = 8 <<
     return items.groupBy("project").applyInPandas(fold, StructType([*items.schema.fields, StructField("batch", IntegerType())]))
 
 
+
+
+SNAPSHOT = ["path", "length", "modificationTime", "digest"]
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, modificationTime, digest, content) of files, or of all below folders, as they are now. Missing ones give no row."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    return reader.load(paths).select("path", "length", "modificationTime", F.sha2("content", 256).alias("digest"), "content")
+
+
+def torn(first: DataFrame, again: DataFrame) -> DataFrame:
+    """(path, reason) of files that two reads (SNAPSHOT) show differently: changed, gone or new, or not as long as they were listed."""
+    a = first.select(F.col("path").alias("p"), *(F.col(c).alias(f"a_{c}") for c in SNAPSHOT[1:]), F.octet_length("content").alias("read"))
+    both = a.join(again.select(*SNAPSHOT), F.col("p") == F.col("path"), "full_outer")
+    same = (F.col("a_length") == F.col("length")) & (F.col("a_modificationTime") == F.col("modificationTime")) & (F.col("a_digest") == F.col("digest"))
+    reason = F.when(F.col("path").isNull(), "gone").when(F.col("p").isNull(), "new").when(~same, "changed").when(F.col("read") != F.col("a_length"), "read in part")
+    return both.select(F.coalesce("path", "p").alias("path"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def snapshot(spark: SparkSession, paths: list[str], tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(files, rejects): the files (SNAPSHOT and content) that did not change while they were read, and (path, reason) of the others.
+
+    What is read is written to the shared folder at once, so nothing that parses it later reads a source again. Then the sources are read a second time: lengths, times
+    and digests must be the same. Files that were torn are read anew, all sources being
+    looked through again for them, up to ``tries`` times in all.
+    """
+    kept, bad = None, None
+    for attempt in range(tries):
+        now = lambda: read_files(spark, paths) if bad is None else read_files(spark, paths).join(bad.select("path"), "path", "left_semi")  # noqa: B023, E731  called at once
+        first = materialise(now().select(*SNAPSHOT, "content"), "files")
+        torn_now = materialise(torn(first, now()), "torn")
+        good = first.join(torn_now.select("path"), "path", "left_anti")
+        kept, bad = good if kept is None else kept.union(good), torn_now
+        if bad.isEmpty():
+            break
+    return kept, bad

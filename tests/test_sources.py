@@ -61,6 +61,61 @@ def test_reports(spark, tmp_path):
     assert [r[0] for r in files.mermaid(spark.createDataFrame([("a.b", "c")], "src string, dst string")).collect()] == ["  a_b --> c"]
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files of many splits, of one, and empty ones; lines longer than a split; the same numbers as a plain reader's."""
+    import random
+
+    rng = random.Random(3)
+    (tmp_path / "in").mkdir()
+    want = {}
+    for name, n in (("a", 4000), ("b", 1), ("c", 0), ("d", 300)):
+        lines = ["" if rng.random() < 0.1 else f"{name}{i} " + "x" * rng.choice([3, 50, 20_000 if i % 97 == 5 else 9]) for i in range(n)]
+        (tmp_path / "in" / name).write_bytes(("\r\n" if name == "d" else "\n").join(lines).encode() + (b"\n" if name == "a" else b""))
+        want |= {(name, i): x for i, x in enumerate(lines)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        raw = files.numbered_lines(spark, f"file://{tmp_path}/in")
+        got = {(r["file"].rsplit("/", 1)[1], r["pos"]): r["value"] for r in raw.collect()}
+        assert spark.read.text(f"file://{tmp_path}/in").rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_files_that_change_while_they_are_read(spark, tmp_path, monkeypatch):
+    """A file that is written between two reads is read again; one that never rests, and one that goes, are listed."""
+    root = tmp_path / "src"
+    (root / "deep").mkdir(parents=True)
+    for name in ("still", "once", "always", "gone", "deep/still"):
+        (root / name).write_text(f"first {name}")
+    reads, read = [], files.read_files
+
+    def disturbed(session, paths):
+        reads.append(1)
+        if len(reads) == 2:
+            (root / "once").write_text("other once")
+            (root / "gone").unlink()
+        if len(reads) % 2 == 0:
+            (root / "always").write_text(f"always {len(reads)}")
+        return read(session, paths)
+
+    monkeypatch.setattr(files, "read_files", disturbed)
+    kept, rejects = files.snapshot(spark, [f"file://{root}"])
+    got = {r["path"].rsplit("src/", 1)[1]: bytes(r["content"]).decode() for r in kept.collect()}
+    assert got == {"still": "first still", "deep/still": "first deep/still", "once": "other once"} and len(reads) == 6
+    assert {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in rejects.collect()} == {("always", "changed")}
+    once = files.torn(read(spark, [f"file://{root}"]), read(spark, [f"file://{root}"]))
+    assert once.count() == 0
+
+
+def test_torn_reads_are_told_apart(spark):
+    row = lambda path, n, content: (path, n, 1, content, bytearray(content.encode()))
+    schema = "path string, length long, modificationTime int, digest string, content binary"
+    a = spark.createDataFrame([row("same", 2, "xy"), row("part", 9, "xy"), row("gone", 1, "x"), row("moved", 1, "x")], schema)
+    b = spark.createDataFrame([row("same", 2, "xy"), row("part", 9, "xy"), row("new", 1, "x"), row("moved", 1, "z")], schema)
+    assert {tuple(r) for r in files.torn(a, b).collect()} == {("part", "read in part"), ("gone", "gone"), ("new", "new"), ("moved", "changed")}
+
+
 def test_generations(spark, tmp_path):
     root, one, two = f"file://{tmp_path}/g", spark.range(3), spark.range(5)
     assert generations.current(spark, root) is None
