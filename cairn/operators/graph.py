@@ -11,11 +11,36 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import drop, materialise
 from .joins import callees, callers
 
-#: Steps of a loop between two tables in the shared folder.
-STEPS = 3
+#: Steps of a loop between two tables in the shared folder: of trimming, and of spreading.
+STEPS, SPREAD_STEPS = 3, 8
+
+
+def spread(edges: DataFrame, start: DataFrame, best=F.max, grow: int = 0) -> DataFrame:
+    """(node, value): the best of the values of ``start`` (node, value; one row a node) that reach a node along ``edges`` (src, dst), each edge adding ``grow``.
+
+    With every node linked to itself a step is one join and one aggregation, so a round of many steps is a short plan. Only what moved in a
+    round is sent on in the next; a round is written to the shared folder and the one before it deleted. Nodes that no value reaches have no row.
+    """
+    spark = edges.sparkSession
+    pairs = edges.select("src", "dst", F.lit(grow).alias("w"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+    ways = materialise(pairs.union(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("w"))), "ways")
+    settled = active = materialise(start.select("node", "value"), "spread")
+    while True:
+        sent = active.select("node", "value")
+        for _ in range(SPREAD_STEPS):
+            sent = ways.join(sent, F.col("src") == F.col("node")).groupBy("dst").agg(best(F.col("value") + F.col("w") if grow else F.col("value")).alias("value")).select(F.col("dst").alias("node"), "value")
+        both = settled.select("node", "value", F.col("value").alias("was")).union(sent.select("node", "value", F.lit(None).alias("was")))
+        new = both.groupBy("node").agg(best("value").alias("value"), F.max("was").alias("was")).select("node", "value", (F.col("was").isNull() | (F.col("value") != F.col("was"))).alias("moved"))
+        before, settled = settled, materialise(new, "spread")
+        drop(spark, before)
+        active = settled.where("moved")
+        if active.isEmpty():
+            drop(spark, ways)
+            return settled.select("node", "value")
 
 
 def call_graph(calls: DataFrame, symbols: DataFrame, name: str, limit: int = 50) -> DataFrame:
@@ -38,9 +63,13 @@ def dependency_chain(defines: DataFrame, calls: DataFrame, source: str, target:
 def return_influence(variables: DataFrame, flows: DataFrame) -> DataFrame:
     """Node-simple flow paths from each parameter to its scope's return: (scope_qname, parameter, path, hops).
 
-    Parallel flows count once. Paths that can't go on are dropped at each hop, until none goes on.
+    Parallel flows count once. First the nodes are marked from which a return can be reached; paths grow among these alone, and those that can't go on
+    are dropped at each hop, until none goes on.
     """
-    edges = flows.select("src", "dst").distinct()
+    edges = materialise(flows.select("src", "dst").distinct(), "flows")
+    returns = variables.where("role = 'return'").select(F.col("qualified_name").alias("node")).distinct().withColumn("value", F.lit(1))
+    alive = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), returns).select(F.col("node").alias("dst"))
+    edges = materialise(edges.join(alive, "dst", "left_semi").select("src", "dst"), "flows")
     ends = variables.where("role = 'return'").select(F.col("qualified_name").alias("end"), F.col("scope_qname").alias("end_scope"))
     now = variables.where("role = 'parameter'").select("scope_qname", F.col("qualified_name").alias("parameter"), F.col("qualified_name").alias("at"), F.array("qualified_name").alias("path"))
     found = None
@@ -63,54 +92,33 @@ def flow_narrative(variables: DataFrame, flows: DataFrame, metrics: DataFrame) -
 
 
 def core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without a way in or out are taken away again and again: all cycles are among them."""
+    """Edges left after nodes without a way in or out are taken away again and again, until a round of STEPS takes less than one edge of a hundred: all cycles are among them."""
     now, n = edges.select("src", "dst").distinct(), None
     while True:
         for _ in range(STEPS):
             now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         now = materialise(now, "core")
         m = now.count()
-        if m == n or not m:
+        if not m or n is not None and (n - m) * 100 < n:
             return now
         n = m
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Greatest label (node, label) that reaches each node along edges."""
-    while True:
-        new = labels
-        for _ in range(STEPS):
-            sent = edges.join(new, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("label").alias("got"))
-            new = new.join(sent, F.col("node") == F.col("dst"), "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"))
-        old = labels.select(F.col("node").alias("was_node"), F.col("label").alias("was"))
-        new = materialise(new.join(old, F.col("node") == F.col("was_node")).select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return labels
-
-
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(symbol, component) of every node on a cycle, a self-loop included; component is the greatest node of its strongly connected component.
 
     After the core is cut out, the greatest label is sent forward; the nodes of a label that reach
     its owner back are the owner's component. Components found leave, the rest is cut anew.
     """
+    edges = materialise(edges.select("src", "dst").distinct(), "edges")
     loops = edges.where("src = dst").select(F.col("src").alias("symbol"), F.col("src").alias("component")).distinct()
     now, found = core(edges.where("src <> dst")), None
     while not now.isEmpty():
-        nodes = now.select(F.col("src").alias("node")).union(now.select(F.col("dst").alias("node"))).distinct()
-        colour = _spread(now, nodes.withColumn("label", F.col("node")))
+        nodes = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = spread(now, nodes.withColumn("value", F.col("node"))).withColumnRenamed("value", "label")
         tagged = now.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = materialise(tagged.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
-        owner = colour.select("node", "label", F.when(F.col("node") == F.col("label"), 1).otherwise(0).alias("here"))
-        reached = front = materialise(owner.where("here = 1").select("node", "label"), "reached")
-        while not front.isEmpty():
-            step = front
-            for _ in range(STEPS):
-                step = step.union(step.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label")).distinct()
-            front = materialise(step.join(reached.select("node"), "node", "left_anti").select("node", "label"), "front")
-            reached = reached.union(front)
-        reached = materialise(reached, "reached")
+        # back from each label's owner, among the nodes of the label
+        reached = spread(tagged.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = label").select("node", F.col("label").alias("value"))).withColumnRenamed("value", "label")
         sizes = reached.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         part = materialise(reached.join(sizes, "label", "left_semi").select(F.col("node").alias("symbol"), F.col("label").alias("component")), "cycles")
         found = part if found is None else found.union(part)
@@ -124,16 +132,11 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 def depths(edges: DataFrame) -> DataFrame:
     """Steps of the shortest way to each node from any node without a way in; 0 for those that none reaches. Goes level by level, however many there are.
     """
-    pairs = edges.select("src", "dst").distinct()
-    nodes = pairs.select(F.col("src").alias("symbol")).union(pairs.select(F.col("dst").alias("symbol"))).distinct()
-    front = nodes.join(pairs.select(F.col("dst").alias("symbol")).distinct(), "symbol", "left_anti").withColumn("depth", F.lit(0))
-    seen = front = materialise(front, "depths")
-    for d in count(1):  # each round sees new nodes
-        front = materialise(front.join(pairs, F.col("symbol") == F.col("src")).select(F.col("dst").alias("symbol")).distinct().join(seen, "symbol", "left_anti").withColumn("depth", F.lit(d)), "depths")
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return nodes.join(seen, "symbol", "left").fillna(0, ["depth"])
+    pairs = materialise(edges.select("src", "dst").distinct(), "depths")
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("symbol")).distinct()
+    roots = nodes.join(pairs.select(F.col("dst").alias("symbol")).distinct(), "symbol", "left_anti").select(F.col("symbol").alias("node"), F.lit(0).alias("value"))
+    found = spread(pairs, roots, F.min, 1).select(F.col("node").alias("symbol"), F.col("value").alias("depth"))
+    return nodes.join(found, "symbol", "left").fillna(0, ["depth"])
 
 
 def reach(edges: DataFrame, start: str, hops: int, undirected: bool = False) -> DataFrame:

@@ -18,8 +18,6 @@ from . import generations
 ADJACENT = ("relation string, incoming boolean, key long, here string, far_key long, there string, known boolean, name string, path string, language string, line long, "
             "scope_qname string, line_number long, flow_type string")
 NODE = "label string, key long, id string, name string, path string"
-#: Bytes of edges that a file should hold, by the plan's estimate.
-FILE_BYTES = 128 << 20
 
 
 def key_of(identity: Column) -> Column:
@@ -59,14 +57,9 @@ def adjacency(tables) -> DataFrame:
     return joined.select("relation", "incoming", "key", "here", "far_key", "there", F.col("i").isNotNull().alias("known"), "name", "path", "language", "line", "scope_qname", "line_number", "flow_type")
 
 
-def _files(df: DataFrame) -> int:
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(4, -(-size // FILE_BYTES)) if size < 1 << 50 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def publish(spark: SparkSession, root: str, tables, expected: str | None = None) -> str:
-    """A new generation of the store below ``root`` from ``tables``, which maps node and relation names to DataFrames."""
-    parts = max(_files(tables["calls"]), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """A new generation of the store below ``root`` from ``tables``, which maps node and relation names to DataFrames; as many files as the session has shuffle partitions."""
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order, by = ["relation", "incoming", "key", "far_key", "there"], ["label", "key", "id"]
     made = {"adjacency": adjacency(tables).repartitionByRange(parts, *order).sortWithinPartitions(*order),
             "nodes": _nodes(tables).select("label", "key", "id", "name", "path").repartitionByRange(parts, *by).sortWithinPartitions(*by)}

@@ -85,3 +85,31 @@ def test_scope_parameters_in_order(spark):
     asked = spark.range(50).select(F.concat(F.lit("s"), "id").alias("scope_qname")).union(spark.createDataFrame([("gone",)], "scope_qname string"))
     got = J.scope_parameters(noise.union(own), asked).collect()
     assert len(got) == 100 and [r["name"] for r in got[:2]] == ["p0", "p1"]
+
+
+def test_spread_takes_the_best_value_along_any_way(spark):
+    e = edges(spark, "a>b b>c c>a c>d x>d y>y " + " ".join(f"n{i}>n{i + 1}" for i in range(40)))
+    start = spark.createDataFrame([("a", 5), ("x", 9), ("n0", 1), ("alone", 3)], "node string, value int")
+    got = dict(pairs(G.spread(e, start), "node", "value"))
+    assert got == {"a": 5, "b": 5, "c": 5, "d": 9, "x": 9, "alone": 3, **{f"n{i}": 1 for i in range(41)}}
+    far = dict(pairs(G.spread(e, start.where("node = 'n0'"), F.min, 2), "node", "value"))
+    assert far == {f"n{i}": 1 + 2 * i for i in range(41)}
+
+
+def test_long_ways(spark):
+    """Depths and cycles of a path and a ring of 60 nodes; names don't follow the order."""
+    name = lambda i: f"n{(i * 37) % 101}"
+    path = [(name(i), name(i + 1)) for i in range(60)]
+    df = spark.createDataFrame(path, "src string, dst string")
+    assert dict(pairs(G.depths(df), "symbol", "depth")) == {name(i): i for i in range(61)} and G.on_cycles(df).count() == 0
+    ring = spark.createDataFrame([*path, (name(60), name(0)), ("tail", name(3)), (name(5), "end")], df.schema)
+    assert pairs(G.on_cycles(ring), "symbol") == {(name(i),) for i in range(61)}
+
+
+def test_return_influence_of_a_dense_scope(spark):
+    """Twelve variables that all flow to each other, in a scope without a way to its return, and one way beside them."""
+    names = [f"s:v{i}" for i in range(12)]
+    flows = [(a, b) for a in names for b in names if a != b] + [("s:p", "s:v0"), ("s:p", "s:q"), ("s:q", "s:r")]
+    variables = spark.createDataFrame([("s:p", "s", "parameter"), ("s:r", "s", "return"), ("s:q", "s", "local"), *((n, "s", "local") for n in names)], "qualified_name string, scope_qname string, role string")
+    got = G.return_influence(variables, spark.createDataFrame(flows, "src string, dst string")).collect()
+    assert [(r["path"], r["hops"]) for r in got] == [(["s:p", "s:q", "s:r"], 2)]
