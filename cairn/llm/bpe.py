@@ -24,8 +24,8 @@ from .workers import releasing, releasing_group
 #: Code points of the documents of a block; a longer document is a block of its own.
 BLOCK_CHARS = 4 << 20
 PART_CHARS, GROUP = 1 << 19, 1 << 17
-#: Bytes of documents for each bucket of words; distinct words that a task remembers, which bounds its memory.
-BUCKET_BYTES, MEMO_WORDS = 128 << 20, 1 << 20
+#: Bytes of documents for each bucket of words; a task holds the distinct words of one bucket.
+BUCKET_BYTES = 128 << 20
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, decoded: bool = Fa
     Repeated rows give a row each; an empty table gives none; other columns play no part.
 
     A block sends its words in one row for each bucket, of which there is one for BUCKET_BYTES of documents; a
-    word is in it once however often it occurs, and all blocks' copies of it meet in one bucket's task. The two passes over the documents must cut the same blocks; each word row and each block
+    word is in it once however often it occurs, and all blocks' copies of it meet in one bucket's task, which merges it once. The two passes over the documents must cut the same blocks; each word row and each block
     carries a digest of the block, and a difference (an input whose rows change between reads) raises.
     """
     import pyarrow as pa
@@ -189,17 +189,17 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, decoded: bool = Fa
             yield pa.record_batch([[key], [digest], [len(block.words)], [block.keys], [pack(np.concatenate(block.lens))], [pack(np.concatenate(block.parts))]], schema=seq_schema)
 
     def merge(batches):
-        piece, memo = _tables(path)[0], {}
+        piece, at, known = _tables(path)[0], None, {}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["bucket"] != at:  # a bucket's rows come one after the other, and no word is in two buckets
+                    at, known = row["bucket"], {}
                 raw, got, a = stretch(row["words"]), [], 0
                 for size in unpack(row["lens"]).tolist():
                     w = raw[a: a + size]
                     a += size
-                    if (ids := memo.get(w)) is None:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        ids = memo[w] = piece(w)
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = piece(w)
                     got.append(ids)
                 flat = np.fromiter((i for ids in got for i in ids), np.uint32)
                 yield pa.record_batch([[row["block"]], [row["digest"]], [row["numbers"]], [pack(np.fromiter(map(len, got), np.uint32, len(got)))], [pack(flat)]], schema=id_schema)
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, path: str, vectors: bool = False, decoded: bool = Fa
         columns = list(map(list, zip(*made, strict=True))) if made else [[] for _ in out_schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-    merged = rows.mapInArrow(releasing(distinct), "bucket int, block long, digest long, numbers binary, lens binary, words binary").repartition(n, "bucket").mapInArrow(
+    merged = rows.mapInArrow(releasing(distinct), "bucket int, block long, digest long, numbers binary, lens binary, words binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
         releasing(merge), "block long, digest long, numbers binary, lens binary, ids binary")
     seqs = rows.mapInArrow(releasing(sequences), "block long, digest long, words int, doc_ids array<long>, lens binary, seq binary")
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * vectors + ", decoded binary" * decoded
