@@ -88,8 +88,8 @@ def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Fixed value: what a credential looks like.
-CREDENTIAL = (r"(?i)((password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*\S{4,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-              r"|\b(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16,16}|sk-[A-Za-z0-9]{20,})\b)")
+CREDENTIAL = (r"(?i)(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*\S{4,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+              r"|\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,})\b")
 
 
 def has_credential(text: Column) -> Column:

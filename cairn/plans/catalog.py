@@ -64,8 +64,7 @@ query("f08_correlation", "SELECT id FROM {activity} WHERE (contains(lower(owner)
     lambda g: L.correlated(L.correlated(g.activity, F.array("owner", "props", "source_item_id"), {"item": "12"}), F.array("event_type"), {"type": "CLICK"}).select("id"))
 query("f09_edge_kinds", "SELECT kind, src, dst FROM {edge} WHERE kind IN ('CALLS', 'IMPORTS')")(lambda g: L.of_kinds(g.edge, ["CALLS", "IMPORTS"], {"CALLS", "IMPORTS", "DEFINES", "CONTAINS", "USES_VARIABLE", "FLOWS_TO"}))
 query("f10_orphans", "SELECT kind, id FROM {node} WHERE id IN (SELECT src FROM {calls} UNION SELECT dst FROM {calls})")(lambda g: L.without_orphans(g.node, g.calls).select("kind", "id"))
-query("f12_credentials", r"SELECT doc_id FROM {documents} WHERE regexp_matches(text, '(?i)((password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[:=]\s*\S{4,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-      r"|\b(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16,16}|sk-[A-Za-z0-9]{20,})\b)')")(
+query("f12_credentials", "SELECT doc_id FROM {documents} WHERE regexp_matches(text, '" + L.CREDENTIAL + "')")(
     lambda g: g.documents.where(L.has_credential(F.col("text"))).select("doc_id"))
 _CATEGORY = """CASE WHEN status_code >= 400 OR method NOT IN ('GET', 'HEAD') OR regexp_matches(path, '/(login|logout|users|tokens|runtime-config|updates|audit-retention)(/|$)') THEN 'protected'
     WHEN path IN ('/api/auth/projects/index-status', '/api/auth/audit', '/api/auth/audit/paged', '/api/admin/schedules') THEN 'polling' ELSE 'request' END"""

@@ -76,7 +76,7 @@ class Graph:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 text = VIEWS[name]
-                self._made[name] = self.spark.sql(text, **{n: self[n] for n in set(re.findall(r"\{(\w+)\}", text))})
+                self._made[name] = self.spark.sql(text, **{n: self[n] for n in set(re.findall(r"\{([a-z]\w*)\}", text))})
         return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -90,14 +90,14 @@ def with_views(select: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def need(text: str) -> None:
-        for name in re.findall(r"\{(\w+)\}", text):
+        for name in re.findall(r"\{([a-z]\w*)\}", text):
             if name in VIEWS and name not in order:
                 need(VIEWS[name])
                 if name not in order:
                     order.append(name)
 
     need(select)
-    plain = lambda text: re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)
+    plain = lambda text: re.sub(r"\{([a-z]\w*)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)
     views = ", ".join(f"v_{n} AS ({plain(VIEWS[n])})" for n in order)
     body = plain(select).strip()
     more = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
