@@ -17,30 +17,43 @@ variables array<struct<qualified_name:string,name:string,scope_qname:string,line
 flows array<struct<src:string,dst:string,scope_qname:string,line_number:int,flow_type:string>>"""
 
 
+#: Files of a batch of evidence.
+FILES = 256
+
+
 def evidence(files: DataFrame) -> DataFrame:
-    """One row of nested evidence for each (path, text) whose language is known; content_hash is SHA-256 of the text."""
+    """One row of nested evidence for each (path, text) whose language is known; content_hash is SHA-256 of the text.
+
+    Files are dealt over the session's shuffle partitions first: a table of short files is few splits to read, but each file costs its parser.
+    """
     import hashlib
 
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    names = [f.name for f in _parse_datatype_string(EVIDENCE).fields]
+    schema = to_arrow_schema(_parse_datatype_string(EVIDENCE))
 
     def rows(batches):
-        import pandas as pd
+        for whole in batches:
+            for lo in range(0, whole.num_rows, FILES):
+                out = []
+                for path, text in zip(*(whole.column(c).slice(lo, FILES).to_pylist() for c in ("path", "text")), strict=True):
+                    language = patterns.language_of(path)
+                    if language is None or text is None:
+                        continue
+                    got = python_source.extract(path, text) if language == "python" else patterns.extract(path, text, language)
+                    out.append(got | {"content_hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+    parts = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("path", "text").repartition(parts, "path").mapInArrow(rows, EVIDENCE)
 
-        for batch in batches:
-            out = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                language = patterns.language_of(path)
-                if language is None or text is None:
-                    continue
-                got = python_source.extract(path, text) if language == "python" else patterns.extract(path, text, language)
-                got["content_hash"] = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append([got[n] for n in names])
-            if out:
-                yield pd.DataFrame(out, columns=names)
 
-    return files.select("path", "text").mapInPandas(rows, EVIDENCE)
+def linked(files: DataFrame) -> dict[str, DataFrame]:
+    """resolve() of ``files`` (path, text): each file is parsed once and its evidence kept in the shared folder, where each table reads its own columns."""
+    return resolve(tables(materialise(evidence(files), "evidence")))
 
 
 def tables(found: DataFrame) -> dict[str, DataFrame]:
@@ -77,6 +90,7 @@ def resolve(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     caller or a scope around it, one of the caller's file, one of an imported file, and outside Python one anywhere. The first
     kind with any candidate decides; several candidates of it, or a shadowed name, give no edge.
     """
+    parts = parts | {"symbol": materialise(parts["symbol"], "symbols")}
     modules = parts["file"].select(F.col("path").alias("dst"), F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.(py|pyi|ts|tsx|js|jsx|go|rs|java|ps1|psm1)$", ""), r"(^|/)src/", "$1"), "/", ".").alias("module"))
     modules = modules.select("dst", F.regexp_replace("module", r"\.__init__$", "").alias("module"))
     dotted = parts["raw_import"].where("language <> 'typescript'").join(modules, "module").select("src", "dst")

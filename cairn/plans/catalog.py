@@ -463,10 +463,10 @@ _FILES_PY = lambda g: g.part.select(F.concat(F.lit("src/m"), "p_partkey", F.lit(
 query("p01_python_symbols", "SELECT concat('m', p_partkey, '.f', p_partkey) AS qualified_name, 'function' AS symbol_type, concat('src/m', p_partkey, '.py') AS file_path, 3 AS line_start, 5 AS line_end FROM {part}")(
     lambda g: P.tables(P.evidence(_FILES_PY(g)))["symbol"].select("qualified_name", "symbol_type", "file_path", "line_start", "line_end"))
 query("p10_python_calls", "SELECT concat('m', p_partkey, '.f', p_partkey) AS src, concat('m', p_partkey + 1, '.f', p_partkey + 1) AS dst FROM {part} WHERE p_partkey + 1 IN (SELECT p_partkey FROM {part})")(
-    lambda g: P.resolve(P.tables(P.evidence(_FILES_PY(g))))["calls"])
+    lambda g: P.linked(_FILES_PY(g))["calls"])
 query("p11_python_flows", """WITH n AS (SELECT concat('m', p_partkey, '.f', p_partkey) AS f, concat('m', p_partkey + 1, '.f', p_partkey + 1) AS h, concat('f', p_partkey + 1) AS imported, p_partkey + 1 IN (SELECT p_partkey FROM {part}) AS has FROM {part})
     SELECT f || ':a' AS src, f || ':b' AS dst, 'assignment' AS flow_type FROM n UNION ALL SELECT f || ':b', f || ':__return__', 'return' FROM n UNION ALL SELECT f || ':a', h || ':a', 'argument' FROM n WHERE has UNION ALL SELECT h || ':__return__', f || ':b', 'call_return' FROM n WHERE has""")(
-    lambda g: P.resolve(P.tables(P.evidence(_FILES_PY(g))))["flows_to"].where(~F.col("src").rlike(":f[0-9]+$")).select("src", "dst", "flow_type"))
+    lambda g: P.linked(_FILES_PY(g))["flows_to"].where(~F.col("src").rlike(":f[0-9]+$")).select("src", "dst", "flow_type"))
 query("p04_typescript_calls", "SELECT concat('t', p_partkey, '.run', p_partkey) AS caller, concat('go', p_partkey) AS callee FROM {part}")(
     lambda g: P.tables(P.evidence(g.part.select(F.concat(F.lit("src/t"), "p_partkey", F.lit(".ts")).alias("path"), F.concat(F.lit("export function run"), "p_partkey", F.lit("(a) {\n  go"), "p_partkey", F.lit("(a)\n}\n")).alias("text"))))["raw_call"].select(
         F.col("caller_qname").alias("caller"), F.col("callee_name").alias("callee")))

@@ -101,3 +101,24 @@ def test_tables(spark):
     assert {tuple(r) for r in got["imports"].collect()} == {("src/n.py", "src/m.py")}
     flows = {(r["src"], r["dst"], r["flow_type"]) for r in got["flows_to"].collect()}
     assert ("n.go:q", "m.render:input_text", "argument") in flows and ("m.normalize:__return__", "m.render:clean", "call_return") in flows
+
+
+def test_files_are_dealt_and_parsed_once(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def noted(batches):
+        import uuid
+
+        for batch in batches:
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(batch["path"]))
+            yield batch
+
+    files = spark.range(0, 400, 1, 1).selectExpr("concat('m', id, '.py') AS path", "concat('from m', id + 1, ' import f', id + 1, '\\n\\ndef f', id, '(a):\\n    return f', id + 1, '(a)\\n') AS text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.evidence(files).rdd.glom().map(len).filter(lambda n: n > 0).count() == parts
+    got = tables.linked(files.mapInPandas(noted, files.schema))
+    assert {tuple(r) for r in got["calls"].collect()} == {(f"m{i}.f{i}", f"m{i + 1}.f{i + 1}") for i in range(399)}
+    assert got["flows_to"].where("flow_type = 'argument'").count() == 399
+    read = [line for f in tmp_path.iterdir() for line in f.read_text().splitlines()]
+    assert len(read) == 400 and len(set(read)) == 400
