@@ -167,6 +167,22 @@ def enrich(activities: DataFrame, cache: DataFrame, now: str) -> DataFrame:
         F.array_sort(F.collect_list("details")).alias("details"), F.sum(F.when(F.col("details").isNull(), 1).otherwise(0)).alias("to_fetch"))
 
 
+#: Users that share a copy of a list of projects.
+SHARE = 256
+
+
 def accessible(members: DataFrame, groups: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user, project_id) by membership of active groups."""
-    return members.join(groups.where("active = 1"), "group_id").join(grants, "group_id").select("user", "project_id").distinct()
+    """(user, project_id) by membership of active groups; each pair once.
+
+    The pairs are users times projects by nature, so none of them is shuffled: users with the same active groups have one list of distinct
+    projects, and each user meets its list once. A list goes to as many tasks as its users need, a copy for SHARE of them or more.
+    """
+    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    live = groups.where("active = 1").select("group_id").distinct()
+    held = members.select("user", "group_id").join(live, "group_id", "left_semi").groupBy("user").agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
+    sets = held.groupBy("groups").agg(F.least(F.ceil(F.count(F.lit(1)) / SHARE), F.lit(parts)).cast("int").alias("copies"))
+    lists = sets.select("groups", F.explode("groups").alias("group_id")).join(grants.select("group_id", "project_id").distinct(), "group_id").select("groups", "project_id").distinct()
+    copied = lists.join(sets, "groups").select("groups", "project_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = held.join(sets, "groups").select("user", "groups", F.pmod(F.xxhash64("user"), "copies").cast("int").alias("copy"))
+    at = [F.col("groups"), F.col("copy")]
+    return dealt.repartition(parts, *at).join(copied.repartition(parts, *at), ["groups", "copy"]).select("user", "project_id")
