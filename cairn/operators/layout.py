@@ -19,15 +19,17 @@ from ..shared import drop, materialise
 #: Fixed values of the picture: kinds from the innermost ring outwards, the angle between neighbours, depth of the noise.
 KINDS = ("Repository", "File", "Symbol", "Variable", "Node")
 GOLDEN_ANGLE, DEPTH = 2.399963229728653, 900
-#: No setting moves more nodes than this; so many cells at most are sent to all tasks for each level.
+#: The greatest bound that a setting may name; without a bound all nodes are moved.
 MOST_POINTS = 50_000
+#: Cells of a level that are sent to all tasks; levels of more are joined by shuffles.
+MOST_SENT = 250_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Fixed defaults; beyond ``most_points`` nodes keep their first places."""
+    """Fixed defaults; beyond ``most_points`` nodes keep their first places, and None is no bound."""
     iterations: int = 3
-    most_points: int = 10_000
+    most_points: int | None = 10_000
     theta: float = 0.72
     repulsion: float = 1500.0
     link_distance: float = 210.0
@@ -95,12 +97,19 @@ def repulsion(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     tree = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(s.max_depth))).alias("level")).groupBy("level", F.call_function("shiftright", "cx", up).alias("cx"), F.call_function("shiftright", "cy", up).alias("cy")).agg(
         F.count(F.lit(1)).alias("points"), F.sum("mass").alias("cell_mass"), (F.sum(F.col("x") * F.col("mass")) / F.sum("mass")).alias("gx"), (F.sum(F.col("y") * F.col("mass")) / F.sum("mass")).alias("gy"), F.min("n").alias("first"))
     tree = materialise(tree, "layout-cells")
-    deepest = tree.where("points > 1").agg(F.max("level")).first()[0]
-    deepest = 0 if deepest is None else min(deepest + 1, s.max_depth)
+    levels = {r["level"]: (r["cells"], r["most"]) for r in tree.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("points").alias("most")).collect()}
+    deepest = min(max((level for level, (_, most) in levels.items() if most > 1), default=-1) + 1, s.max_depth)
     # a row that has met its force goes on without a cell, so the walk is one chain of joins
     walk = at.select("n", "x", "y", "mass", "width", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
+    met_before = []
     for level in range(deepest + 1):
-        cells = F.broadcast(tree.where(F.col("level") == level).drop("level"))  # at most a row for each of MOST_POINTS
+        cells = tree.where(F.col("level") == level).drop("level")
+        if levels.get(level, (0, 0))[0] <= MOST_SENT:
+            cells = F.broadcast(cells)
+        else:  # rows without a cell would all meet in one task
+            walk = materialise(walk, "layout-walk")
+            met_before.append(walk.where("cx IS NULL"))
+            walk = walk.where("cx IS NOT NULL")
         ux, uy, far = _towards(F.col("x") - F.col("gx"), F.col("y") - F.col("gy"), F.col("n"))
         leaf = (F.col("points") == 1) | F.lit(level == s.max_depth)
         met = walk.join(cells, ["cx", "cy"], "left").select("*", ux.alias("ux"), uy.alias("uy"), far.alias("far"), leaf.alias("leaf"))
@@ -111,6 +120,8 @@ def repulsion(points: DataFrame, s: Settings = Settings()) -> DataFrame:
         children = F.array(*(F.struct((F.col("cx") * 2 + a).alias("cx"), (F.col("cy") * 2 + b).alias("cy")) for a in (0, 1) for b in (0, 1)))
         walk = met.select("n", "x", "y", "mass", "width", F.when(whole, F.col("ux") * force).otherwise(F.col("fx")).alias("fx"), F.when(whole, F.col("uy") * force).otherwise(F.col("fy")).alias("fy"),
                           F.explode(F.when(whole | F.col("cx").isNull(), F.array(none)).otherwise(children)).alias("c")).select("n", "x", "y", "mass", "width", "c.cx", "c.cy", "fx", "fy")
+    for met in met_before:
+        walk = walk.unionByName(met)
     return walk.groupBy("n").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
 
@@ -152,12 +163,13 @@ def step(points: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataF
 def layout(nodes: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(id, kind, x, y, z) of ``nodes`` (id, kind; ids are unique) under ``links`` (src, dst).
 
-    Each iteration is written to the shared folder, and the one before it is deleted. Fewer than two nodes and more than ``most_points`` keep their first places. Links that are listed twice pull twice.
+    Each iteration is written to the shared folder, and the one before it is deleted. Fewer than two nodes, and more than ``most_points`` where that is set, keep their first places. Links that are listed twice pull twice.
     """
-    if s.most_points > MOST_POINTS:
-        raise ValueError(f"at most {MOST_POINTS} nodes are moved")
+    if s.most_points is not None and s.most_points > MOST_POINTS:
+        raise ValueError(f"a bound is at most {MOST_POINTS} nodes")
     points = materialise(weighed(placed(nodes), links, s), "layout")
-    if 2 <= points.count() <= s.most_points:
+    n = points.count()
+    if n >= 2 and (s.most_points is None or n <= s.most_points):
         for _ in range(s.iterations):
             before, points = points, materialise(step(points, links, s), "layout")
             drop(nodes.sparkSession, before)

@@ -44,5 +44,5 @@ _STEP = f"""{_PLACES}, links AS (SELECT src, dst FROM {{edge}} WHERE src IN (SEL
 
 _rounded = lambda df: df.select("id", "kind", *(F.round(c, 3).alias(c) for c in "xyz"))
 query("g14_first_places", f"WITH {_PLACES} SELECT id, kind, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM p0")(lambda g: _rounded(Y.placed(g.node)))
-query("g14_iteration", f"WITH RECURSIVE {_STEP}")(lambda g: _rounded(Y.layout(g.node, g.edge, Y.Settings(iterations=1, most_points=50_000))))
-query("g14_layout", None)(lambda g: _rounded(Y.layout(g.node, g.edge, Y.Settings(most_points=50_000))))
+query("g14_iteration", f"WITH RECURSIVE {_STEP}")(lambda g: _rounded(Y.layout(g.node, g.edge, Y.Settings(iterations=1, most_points=None))))
+query("g14_layout", None)(lambda g: _rounded(Y.layout(g.node, g.edge, Y.Settings(most_points=None))))

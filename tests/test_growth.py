@@ -14,3 +14,26 @@ def test_accessible_pairs_are_not_shuffled(spark):
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert df._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
+
+
+def test_layout_moves_all_nodes(spark, monkeypatch):
+    import random
+
+    from cairn.operators import layout as Y
+    from cairn.plans import layout as plans  # noqa: F401  registers g14_iteration
+
+    rng = random.Random(5)
+    nodes = spark.createDataFrame([(f"id{i}", rng.choice(Y.KINDS)) for i in range(90)], "id string, kind string")
+    links = spark.createDataFrame([(f"id{rng.randrange(90)}", f"id{rng.randrange(90)}") for _ in range(120)], "src string, dst string")
+    rows = lambda s: {r["id"]: (round(r["x"], 6), round(r["y"], 6)) for r in Y.layout(nodes, links, s).collect()}
+    bounded = rows(Y.Settings(iterations=1, most_points=90))
+    assert rows(Y.Settings(iterations=1, most_points=None)) == bounded != rows(Y.Settings(iterations=1, most_points=89))
+    monkeypatch.setattr(Y, "MOST_SENT", 5)  # deeper levels are joined by shuffles
+    assert rows(Y.Settings(iterations=1, most_points=None)) == bounded
+    # neither registered query has a bound
+    seen = []
+    monkeypatch.setattr(Y, "layout", lambda node, edge, s: seen.append(s.most_points) or nodes.selectExpr("id", "kind", "0d AS x", "0d AS y", "0d AS z"))
+    from cairn.plans.registry import queries
+    for name in ("g14_iteration", "g14_layout"):
+        queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [None, None]
