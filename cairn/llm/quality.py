@@ -4,7 +4,8 @@ Each pair has a document of label 1 and one of label 0; weights minimise the log
 loss of the difference of their features, which are the shape of a text and the hashed frequencies
 of its words and runs of three characters. The score's threshold is the quantile of the
 learned scores that the share of label 0 names; scores are then mapped so that this
-quantile is THRESHOLD.
+quantile is THRESHOLD. Means, scales, weights and threshold come from all labelled rows that
+aren't held out; a bounded choice of them only gives the weights that Newton's method starts from.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 
 from . import vectext
 from .langid import held_out
-from .workers import releasing
+from .shared import drop, materialise
+from .workers import releasing, releasing_group
 
 THRESHOLD = 0.7
-#: Bounds of the sample that is learned from: labelled rows, and pairs for each row of the smaller class.
+#: Labelled rows that starting weights are learned from, and pairs for each row of the smaller class.
 ROWS, PAIRS = 8_000, 40
 #: Rows of a label that are expected at least in the sample, if it has so many.
 LEAST = 400
+#: Rows of a block of training rows, whose pairs are made inside it, and tasks that add up blocks.
+BLOCK, TASKS = 2_048, 16
 RIDGE = 1e-2
 #: Texts beyond this many code points are counted in pieces; the counts add up to those of the whole.
 LONG = 1 << 22
@@ -171,6 +175,15 @@ def fitted(z: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndar
     return w
 
 
+def paired(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of label 1 and of label 0 that make pairs: every row of either class in turn, the partners shifted at each turn."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    if not len(good) or not len(bad):
+        return good[:0], bad[:0]
+    pick = np.arange(max(PAIRS * min(len(good), len(bad)), len(good), len(bad)))
+    return good[pick % len(good)], bad[(pick + pick // max(len(good), len(bad)) * 7919) % len(bad)]
+
+
 class Model:
     """Weights, means and scales of the features, and the threshold; without both labels every text gets THRESHOLD.
 
@@ -185,11 +198,7 @@ class Model:
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         self.scale[len(SHAPE):] /= HASHED
         z = (x - self.mean) / self.scale
-        n = PAIRS * min(len(good), len(bad))
-        pick = np.arange(max(n, len(good), len(bad)))
-        # every row of either class in turn, the partners shifted at each turn
-        a, b = good[pick % len(good)], bad[(pick + pick // max(len(good), len(bad)) * 7919) % len(bad)]
-        w = fitted(z, a, b, RIDGE)
+        w = fitted(z, *paired(y), RIDGE)
         self.weights = w
         mass = np.ones(len(y)) if mass is None else mass
         raw = z @ w
@@ -206,15 +215,121 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw + math.log(THRESHOLD / (1 - THRESHOLD)), -500, 500)))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from rows of ``docs`` that aren't held out and have a label 0 or 1; about ROWS of them, chosen by a hash of doc_id.
+def _featured(rows: DataFrame, kept: str, types: str) -> DataFrame:
+    """Columns ``kept`` (named in ``types``, all of them int) of ``rows`` with the features of their text as x."""
+    import pyarrow as pa
+
+    names = kept.split()
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                for first, part in vectext.blocks(batch.column("text").to_pylist()):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(part)).cast(pa.int32()) for c in names), pa.array([r.tobytes() for r in features(part).astype("<f4")], pa.binary())], names=[*names, "x"])
+
+    return rows.select(*names, "text").mapInArrow(releasing(run), f"{types}, x binary")
 
-    Copies of a text are chosen one by one, so the bound holds for them too (rows of one doc_id go together);
-    a label of which fewer than LEAST rows would come has a higher rate of its own, and its rows weigh
-    less in the threshold. Ids are chosen before texts are read, so no text is shuffled.
+
+def _blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Training rows in blocks of about BLOCK: (y, own, x), bytes of their labels, of whether a row is at home there, and of their features.
+
+    A row's block follows from its id. Rows of a label too rare to give LEAST to each block are copied to as many as it takes; where they are not at home they make pairs only.
     """
     import pyarrow as pa
 
+    n = -(-sum(counts.values()) // BLOCK)
+    copies = {label: min(n, -(-min(LEAST, BLOCK // 2) * n // k)) for label, k in counts.items()}
+    times = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(copies.items()) for x in pair]), F.col("y"))
+    home = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    found = _featured(rows.select(F.col("quality").cast("int").alias("y"), home.alias("home"), "text"), "y home", "y int, home int")
+    dealt = found.select("y", "x", "home", F.explode(F.sequence(F.lit(0), times - 1)).alias("copy")).select("y", "x", (F.col("copy") == 0).cast("int").alias("own"), F.pmod(F.col("home") + F.col("copy"), F.lit(n)).alias("block"))
+
+    def one(table):
+        got = sorted(zip(table.column("y").to_pylist(), table.column("x").to_pylist(), table.column("own").to_pylist(), strict=True))
+        return pa.table({"y": [bytes(r[0] for r in got)], "own": [bytes(r[2] for r in got)], "x": [b"".join(r[1] for r in got)]})
+
+    return materialise(dealt.groupBy("block").applyInArrow(releasing_group(one), "y binary, own binary, x binary"), "quality-blocks")
+
+
+def _summed(blocks: DataFrame, of) -> list[np.ndarray]:
+    """Sums over all blocks of the arrays that ``of`` (y, own, x) gives, of symmetric matrices the upper half; TASKS sums come to the driver, however many blocks there are."""
+    def run(rows):
+        total = None
+        for r in rows:
+            got = of(np.frombuffer(bytes(r["y"]), np.uint8), np.frombuffer(bytes(r["own"]), np.uint8) > 0, np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH).astype(np.float64))
+            total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
+        # half of a symmetric matrix, in single precision, is enough for a step
+        return [] if total is None else [[np.asarray(a, np.float64) if np.ndim(a) < 2 else a[np.triu_indices(len(a))].astype("<f4") for a in total]]
+
+    return [sum(a) for a in zip(*blocks.rdd.coalesce(TASKS).mapPartitions(run).collect(), strict=True)]
+
+
+def _ranked(values: DataFrame, rank: int) -> float:
+    """The value of ``values`` (v) of that rank, from 0: its range is cut in 1,024 until one value is left."""
+    within = values
+    while True:
+        lo, hi = within.agg(F.min("v"), F.max("v")).first()
+        if lo == hi:
+            return lo
+        bins = within.groupBy(F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * 1024), F.lit(1023)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for b in sorted(bins.collect()):
+            if rank < b["n"]:
+                break
+            rank -= b["n"]
+        if b["lo"] == b["hi"]:
+            return b["lo"]
+        within = values.where((F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
+
+
+def refine(model: Model, blocks: DataFrame, counts: dict[int, int]) -> Model:
+    """``model`` with means, scales, weights and threshold of all rows of ``blocks``: Newton's method from its weights, each step from sums over all blocks."""
+    spark = blocks.sparkSession
+    n, sums, squares = _summed(blocks, lambda y, own, x: [own.sum(), x[own].sum(axis=0), (x[own] ** 2).sum(axis=0)])
+    raw = model.weights / model.scale
+    mean = sums / n
+    scale = np.maximum(np.sqrt(np.maximum(squares / n - mean ** 2, 0)), 1e-3)
+    scale[len(SHAPE):] /= HASHED
+    w = raw * scale
+    for _ in range(30):
+        def part(y, own, x, w=w):
+            z, (a, b) = (x - mean) / scale, paired(y)
+            m, k = z @ w, len(y)
+            p = 1 / (1 + np.exp(np.clip(m[a] - m[b], -50, 50)))
+            q = p * (1 - p)
+            good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+            ties = np.bincount(np.searchsorted(good, a) * len(bad) + np.searchsorted(bad, b), q, len(good) * len(bad)).reshape(len(good), len(bad))
+            cross = z[good].T @ (ties @ z[bad])
+            return [len(a), z.T @ (np.bincount(a, p, k) - np.bincount(b, p, k)), z.T @ (z * (np.bincount(a, q, k) + np.bincount(b, q, k))[:, None]) - cross - cross.T]
+
+        pairs, slope, half = _summed(blocks, part)
+        curve = np.zeros((WIDTH, WIDTH))
+        curve[np.triu_indices(WIDTH)] = half
+        curve += np.triu(curve, 1).T
+        step = np.linalg.solve(curve / pairs + RIDGE * np.eye(WIDTH), slope / pairs - RIDGE * w)
+        w = w + step
+        if np.abs(step).max() < 1e-7:
+            break
+
+    def scores(rows):
+        for r in rows:
+            x, own = np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH).astype(np.float64), np.frombuffer(bytes(r["own"]), np.uint8) > 0
+            yield from ((float(v),) for v in ((x - mean) / scale @ w)[own])
+
+    values = materialise(spark.createDataFrame(blocks.rdd.mapPartitions(scores), "v double"), "quality-scores")
+    cut = min(int(n) - 1, counts[0] - 1)
+    model.mean, model.scale, model.weights = mean, scale, w
+    model.cut = (_ranked(values, cut) + _ranked(values, min(int(n) - 1, cut + 1))) / 2
+    drop(spark, values)
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all rows of ``docs`` that aren't held out and have a label 0 or 1.
+
+    About ROWS of them, chosen by a hash of doc_id, give a first model; a label of which fewer than LEAST rows would come has a higher rate of its own.
+    If there are more, all of them are then learned from in blocks (refine). Rows of one doc_id go together.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), "quality")
     counts = {r["quality"]: r["n"] for r in docs.select("doc_id").join(known, F.col("doc_id") == F.col("labelled")).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
@@ -223,18 +338,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rates = {label: math.ceil((1 << 20) * min(1.0, max(ROWS / n, LEAST / k))) for label, k in counts.items()}
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair]), F.col("quality"))
     chosen = known.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 20)) < limit).join(docs.select("doc_id"), F.col("labelled") == F.col("doc_id"), "left_semi")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("quality", "text")
-
-    def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                for first, part in vectext.blocks(batch.column("text").to_pylist()):
-                    yield pa.RecordBatch.from_arrays([pa.array(batch.column("quality").to_pylist()[first: first + len(part)], pa.int32()),
-                                                      pa.array([r.tobytes() for r in features(part).astype("<f4")], pa.binary())], names=["y", "x"])
-
-    got = sorted(map(tuple, rows.mapInArrow(releasing(run), "y int, x binary").collect()))
-    return Model(np.frombuffer(b"".join(r[1] for r in got), "<f4").reshape(-1, WIDTH).astype(np.float64), np.array([r[0] for r in got]), np.array([(1 << 20) / rates[r[0]] for r in got]))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select(F.col("quality").alias("y"), "text")
+    got = sorted(map(tuple, _featured(rows, "y", "y int").collect()))
+    model = Model(np.frombuffer(b"".join(r[1] for r in got), "<f4").reshape(-1, WIDTH).astype(np.float64), np.array([r[0] for r in got]), np.array([(1 << 20) / rates[r[0]] for r in got]))
+    if all(r == 1 << 20 for r in rates.values()) or model.weights is None:
+        return model
+    # ids of any number of labels: never sent whole to each task, so this join costs alike at any size
+    blocks = _blocks(texts.where(~held_out(F.col("doc_id"))).join(known.hint("merge"), F.col("doc_id") == F.col("labelled")), counts)
+    model = refine(model, blocks, counts)
+    drop(docs.sparkSession, blocks)
+    return model
 
 
 def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:

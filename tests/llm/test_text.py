@@ -247,3 +247,27 @@ def test_very_long_texts_in_pieces(monkeypatch):
     assert e([text], 2)[0].tolist() == want_ids and ngramjoin.shingle_sets([text])[0].tolist() == want_set
     show = lambda b: [b.words[i] for i in np.concatenate(b.parts).tolist()]
     assert show(parts) == show(whole) and np.concatenate(parts.lens).tolist() == np.concatenate(whole.lens).tolist() and parts.keys == [1]
+
+
+def test_quality_learns_from_all_rows(spark, monkeypatch):
+    """Moments, weights and threshold of a table of several blocks, one label rare, against all rows at once."""
+    monkeypatch.setattr(quality, "ROWS", 60)
+    monkeypatch.setattr(quality, "LEAST", 20)
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["fine", "words", "here", "today", "and", "then"] if i % 12 else ["$$", "BUY", "and", "here"], k=rng.randint(3, 30))) for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 12 > 0) if i % 17 else 1 - int(i % 12 > 0)) for i in range(700)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    rows = [(r["quality"], texts[r["doc_id"]]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    x, y = quality.features([t for _, t in rows]).astype("<f4").astype(np.float64), np.array([q for q, _ in rows])
+    scale = np.maximum(x.std(axis=0), 1e-3)
+    scale[len(quality.SHAPE):] /= quality.HASHED
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx(scale, rel=1e-5)
+    raw = np.sort((x - model.mean) / model.scale @ model.weights)
+    k = int((y == 0).sum())
+    assert model.cut == pytest.approx((raw[k - 1] + raw[k]) / 2, abs=1e-9)
+    seen = []
+    monkeypatch.setattr(quality, "refine", lambda m, blocks, counts: seen.append([(len(r["y"]), sum(r["own"])) for r in blocks.collect()]) or m)
+    quality.learn(docs, labels)
+    assert sum(own for _, own in seen[0]) == len(rows) and len(seen[0]) > 3
