@@ -14,33 +14,40 @@ from pyspark.sql import functions as F
 from ..shared import drop, materialise
 from .joins import callees, callers
 
-#: Steps of a loop between two tables in the shared folder: of trimming, and of spreading.
-STEPS, SPREAD_STEPS = 3, 8
+#: Steps of a loop between two tables in the shared folder.
+SPREAD_STEPS = 6
 
 
 def spread(edges: DataFrame, start: DataFrame, best=F.max, grow: int = 0) -> DataFrame:
     """(node, value): the best of the values of ``start`` (node, value; one row a node) that reach a node along ``edges`` (src, dst), each edge adding ``grow``.
 
-    With every node linked to itself a step is one join and one aggregation, so a round of many steps is a short plan. Only what moved in a
-    round is sent on in the next; a round is written to the shared folder and the one before it deleted. Nodes that no value reaches have no row.
+    A step is a join with the edges, one aggregation, and a join with what nodes had before the round, partitioned alike; only values
+    that got better are sent on, each once. Nodes are linked to themselves, which keeps what a round found while its plan is one
+    chain. A round is written to the shared folder and the one before it deleted. Nodes that no value reaches have no row.
     """
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst", F.lit(grow).alias("w"))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
-    ways = materialise(pairs.union(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("w"))), "ways")
-    settled = active = materialise(start.select("node", "value"), "spread")
+    pairs = edges.select("src", "dst", F.lit(False).alias("own"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ways = materialise(pairs.union(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("own"))), "ways")
+    first = start.select("node", "value").union(nodes.select("node", F.lit(None).alias("value"))).groupBy("node").agg(best("value").alias("value"))
+    settled = materialise(first.select("node", "value", F.col("value").isNotNull().alias("moved")), "spread")
+    better = F.col("value") < F.col("had") if best is F.min else F.col("value") > F.col("had")
+    value = F.when(F.col("own"), F.col("value")).otherwise(F.col("value") + grow) if grow else F.col("value")
     while True:
-        sent = active.select("node", "value")
+        sent = settled.where("moved").select("node", "value", F.lit(True).alias("fresh"))
+        old = settled.select(F.col("node").alias("at"), F.col("value").alias("had"))
         for _ in range(SPREAD_STEPS):
-            sent = ways.join(sent, F.col("src") == F.col("node")).groupBy("dst").agg(best(F.col("value") + F.col("w") if grow else F.col("value")).alias("value")).select(F.col("dst").alias("node"), "value")
-        both = settled.select("node", "value", F.col("value").alias("was")).union(sent.select("node", "value", F.lit(None).alias("was")))
-        new = both.groupBy("node").agg(best("value").alias("value"), F.max("was").alias("was")).select("node", "value", (F.col("was").isNull() | (F.col("value") != F.col("was"))).alias("moved"))
+            came = ways.join(sent, F.col("src") == F.col("node")).where("own OR fresh").groupBy("dst").agg(best(value).alias("value"), best(F.when(F.col("own"), F.col("value"))).alias("was"))
+            sent = came.join(old, F.col("dst") == F.col("at")).where(F.col("was").isNotNull() | F.col("had").isNull() | better).select(
+                F.col("dst").alias("node"), "value", (F.col("was").isNull() | (F.col("value") != F.col("was"))).alias("fresh"))
+        new = old.join(sent, F.col("at") == F.col("node"), "left").select(F.col("at").alias("node"), F.coalesce("value", "had").alias("value"), F.coalesce("fresh", F.lit(False)).alias("moved"))
         before, settled = settled, materialise(new, "spread")
         drop(spark, before)
-        active = settled.where("moved")
-        if active.isEmpty():
+        if settled.where("moved").isEmpty():
             drop(spark, ways)
-            return settled.select("node", "value")
+            out = settled.where("value IS NOT NULL").select("node", "value")
+            out.made_at = settled.made_at
+            return out
 
 
 def call_graph(calls: DataFrame, symbols: DataFrame, name: str, limit: int = 50) -> DataFrame:
@@ -91,42 +98,41 @@ def flow_narrative(variables: DataFrame, flows: DataFrame, metrics: DataFrame) -
         "scope_qname", F.concat(F.col("scope_qname"), F.lit(" has "), "n", F.lit(" variables ("), "p", F.lit(" parameters) and "), "f", F.lit(" flows; "), "u", F.lit(" parameters are unused.")).alias("narrative"))
 
 
-def core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without a way in or out are taken away again and again, until a round of STEPS takes less than one edge of a hundred: all cycles are among them."""
-    now, n = edges.select("src", "dst").distinct(), None
-    while True:
-        for _ in range(STEPS):
-            now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        now = materialise(now, "core")
-        m = now.count()
-        if not m or n is not None and (n - m) * 100 < n:
-            return now
-        n = m
-
-
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(symbol, component) of every node on a cycle, a self-loop included; component is the greatest node of its strongly connected component.
 
-    After the core is cut out, the greatest label is sent forward; the nodes of a label that reach
-    its owner back are the owner's component. Components found leave, the rest is cut anew.
+    Nodes with ways in and out get numbers, greater ones for more ways. Each learns the greatest number that reaches it and the
+    greatest that it reaches, in the same steps, as two copies of the node with edges turned round between the second ones. Where both are
+    one number, the node lies in its component. All others of a component agree in both, so only edges between such nodes are sought anew.
     """
+    spark = edges.sparkSession
     edges = materialise(edges.select("src", "dst").distinct(), "edges")
-    loops = edges.where("src = dst").select(F.col("src").alias("symbol"), F.col("src").alias("component")).distinct()
-    now, found = core(edges.where("src <> dst")), None
+    loops = edges.where("src = dst").select(F.col("src").alias("symbol"), F.col("src").alias("component"))
+    pairs = edges.where("src <> dst")
+    end = lambda c, out: F.struct(F.col(c).alias("symbol"), F.lit(out).alias("out"))
+    ways = pairs.select(F.explode(F.array(end("src", 1), end("dst", 0))).alias("e")).groupBy("e.symbol").agg(F.sum("e.out").alias("outs"), F.sum(1 - F.col("e.out")).alias("ins"))
+    names = materialise(ways.where("outs > 0 AND ins > 0").orderBy(F.col("outs").cast("double") * F.col("ins")).select("symbol", F.monotonically_increasing_id().alias("id")), "names")
+    now = materialise(pairs.join(names.select(F.col("symbol").alias("src"), F.col("id").alias("a")), "src").join(names.select(F.col("symbol").alias("dst"), F.col("id").alias("b")), "dst").select(
+        F.col("a").alias("src"), F.col("b").alias("dst")), "numbered")
+    found = None
     while not now.isEmpty():
-        nodes = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        colour = spread(now, nodes.withColumn("value", F.col("node"))).withColumnRenamed("value", "label")
-        tagged = now.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        # back from each label's owner, among the nodes of the label
-        reached = spread(tagged.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = label").select("node", F.col("label").alias("value"))).withColumnRenamed("value", "label")
-        sizes = reached.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        part = materialise(reached.join(sizes, "label", "left_semi").select(F.col("node").alias("symbol"), F.col("label").alias("component")), "cycles")
+        both = now.select(F.explode(F.array(F.struct((2 * F.col("src")).alias("src"), (2 * F.col("dst")).alias("dst")), F.struct((2 * F.col("dst") + 1).alias("src"), (2 * F.col("src") + 1).alias("dst")))).alias("e")).select("e.*")
+        best = spread(both, both.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.shiftright("node", 1).alias("value")))
+        half = lambda bit: F.max(F.when(F.col("node") % 2 == bit, F.col("value")))
+        marks = materialise(best.groupBy(F.shiftright("node", 1).alias("id")).agg(half(0).alias("before"), half(1).alias("after")), "marks")
+        drop(spark, best)
+        others = marks.where("before = after AND id <> before").select("id", F.col("before").alias("top"))
+        part = materialise(others.union(others.select(F.col("top").alias("id"), "top").distinct()), "cycles")
         found = part if found is None else found.union(part)
-        gone = reached.select(F.col("node").alias("g"))
-        now = core(now.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"))
+        left = lambda c: marks.where("before <> after").select(F.col("id").alias(c), F.struct("before", "after").alias(f"{c}_marks"))
+        same = now.join(left("src"), "src").join(left("dst"), "dst").where("src_marks = dst_marks").select("src", "dst")
+        last, now = now, materialise(same.join(same.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(same.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "numbered")
+        drop(spark, last, marks)
     if found is None:
         return loops
-    return found.union(loops.join(found.select("symbol"), "symbol", "left_anti").select("symbol", "component"))
+    named = materialise(found.join(names, "id").select("symbol", "top"), "cycles")
+    tops = named.groupBy("top").agg(F.max("symbol").alias("component"))
+    return named.join(tops, "top").select("symbol", "component").union(loops.join(named.select("symbol"), "symbol", "left_anti").select("symbol", "component"))
 
 
 def depths(edges: DataFrame) -> DataFrame:

@@ -37,3 +37,46 @@ def test_layout_moves_all_nodes(spark, monkeypatch):
     for name in ("g14_iteration", "g14_layout"):
         queries()[name](spark, "/root/testdata/sf0.001")
     assert seen == [None, None]
+
+
+def test_cycles_take_one_spread_for_both_ways(spark, monkeypatch):
+    import random
+
+    from cairn.operators import graph as G
+
+    rng = random.Random(7)
+    made = sorted({(f"{copy}.{a}", f"{copy}.{b}") for copy in range(3) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(360))})
+    out, back = {}, {}
+    for a, b in made:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    want = {}
+    for start in sorted(out, reverse=True):  # the greatest node of a component names it
+        if start not in want:
+            sides = []
+            for ways in (out, back):
+                seen, todo = set(), [start]
+                while todo:
+                    new = set(ways.get(todo.pop(), ())) - seen
+                    seen |= new
+                    todo += new
+                sides.append(seen)
+            want |= dict.fromkeys(sides[0] & sides[1], start)
+    spreads, kept = [], G.spread
+    monkeypatch.setattr(G, "spread", lambda *a: spreads.append(a) or kept(*a))
+    got = G.on_cycles(spark.createDataFrame(made, "src string, dst string")).collect()
+    assert len(got) == len(want) and {r["symbol"]: r["component"] for r in got} == want and len(set(want.values())) >= 3
+    spreads.clear()
+    ring = G.on_cycles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string"))
+    assert {r["symbol"]: r["component"] for r in ring.collect()} == dict.fromkeys("abc", "c") and len(spreads) == 1
+
+
+def test_a_spread_that_settles_in_a_round_takes_no_more(spark, monkeypatch):
+    from cairn.operators import graph as G
+
+    made, kept = [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda df, label: made.append(label) or kept(df, label))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    got = G.spread(edges, spark.createDataFrame([("a", 1)], "node string, value int"), G.F.min, 1)
+    assert {r["node"]: r["value"] for r in got.collect()} == {"a": 1, "b": 2, "c": 3, "d": 4}
+    assert made.count("spread") == 2  # the start and one round
