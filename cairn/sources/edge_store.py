@@ -1,7 +1,7 @@
 """The graph's edges published for look-ups from either end.
 
 One table holds every edge twice, once under its source and once under its target, with what a one-hop query returns of the far
-end. Ends have 64-bit keys; rows are dealt out by ranges of (relation, direction, key, far key) and sorted by them in files
+end. The near end has a 64-bit key; rows are dealt out by ranges of (relation, direction, key, far end) and sorted by them in files
 with statistics and Bloom filters, so that the filter of a look-up is pushed to the scan and leaves few row groups, and the edges
 of a hub are spread over files. Names are compared after keys, so no answer rests on a hash.
 """
@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph_model import KEYS, RELATIONS
-from ..shared import fresh_dir
+from ..shared import drop, fresh_dir
 from . import generations
 
-ADJACENT = ("relation string, incoming boolean, key long, here string, far_key long, there string, known boolean, name string, path string, language string, line long, "
+ADJACENT = ("relation string, incoming boolean, key long, here string, there string, known boolean, name string, path string, language string, line long, "
             "scope_qname string, line_number long, flow_type string")
+#: Nodes of a step that are looked up by the filter of the scan; more are joined.
+FEW = 500
 NODE = "label string, key long, id string, name string, path string"
 
 
@@ -25,11 +27,11 @@ def key_of(identity: Column) -> Column:
 
 
 def _nodes(tables) -> DataFrame:
-    """All nodes as (label, key, id, name, path, language, line)."""
+    """All nodes as (label, id, name, path, language, line)."""
     def one(label: str) -> DataFrame:
         t = tables[label]
         has = lambda c, kind: F.col(c).cast(kind) if c in t.columns else F.lit(None).cast(kind)
-        return t.select(F.lit(label).alias("label"), key_of(F.col(KEYS[label])).alias("key"), F.col(KEYS[label]).alias("id"), has("name", "string").alias("name"),
+        return t.select(F.lit(label).alias("label"), F.col(KEYS[label]).alias("id"), has("name", "string").alias("name"),
                         F.coalesce(has("file_path", "string"), has("path", "string")).alias("path"), has("language", "string").alias("language"),
                         F.coalesce(has("line_start", "long"), has("line_number", "long")).alias("line"))
 
@@ -40,7 +42,7 @@ def _nodes(tables) -> DataFrame:
 
 
 def adjacency(tables) -> DataFrame:
-    """ADJACENT rows of all relations; ``known`` says whether the far end is a node."""
+    """ADJACENT rows of all relations but for their key, which shuffles need not carry; ``known`` says whether the far end is a node."""
     def one(name: str) -> DataFrame:
         t, r = tables[name], RELATIONS[name]
         has = lambda c, kind: F.col(c).cast(kind).alias(c) if c in t.columns else F.lit(None).cast(kind).alias(c)
@@ -51,19 +53,21 @@ def adjacency(tables) -> DataFrame:
     edges = one("contains")
     for name in list(RELATIONS)[1:]:
         edges = edges.unionByName(one(name))
-    rows = edges.select("relation", "e.*", key_of(F.col("e.here")).alias("key"), key_of(F.col("e.there")).alias("far_key"), "scope_qname", "line_number", "flow_type")
+    rows = edges.select("relation", "e.*", "scope_qname", "line_number", "flow_type")
     far = _nodes(tables).select(F.col("label").alias("l"), F.col("id").alias("i"), "name", "path", "language", "line")
     joined = rows.join(far, (F.col("label") == F.col("l")) & (F.col("there") == F.col("i")), "left")
-    return joined.select("relation", "incoming", "key", "here", "far_key", "there", F.col("i").isNotNull().alias("known"), "name", "path", "language", "line", "scope_qname", "line_number", "flow_type")
+    return joined.select("relation", "incoming", "here", "there", F.col("i").isNotNull().alias("known"), "name", "path", "language", "line", "scope_qname", "line_number", "flow_type")
 
 
 def publish(spark: SparkSession, root: str, tables, expected: str | None = None) -> str:
     """A new generation of the store below ``root`` from ``tables``, which maps node and relation names to DataFrames; as many files as the session has shuffle partitions."""
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order, by = ["relation", "incoming", "key", "far_key", "there"], ["label", "key", "id"]
-    made = {"adjacency": adjacency(tables).repartitionByRange(parts, *order).sortWithinPartitions(*order),
-            "nodes": _nodes(tables).select("label", "key", "id", "name", "path").repartitionByRange(parts, *by).sortWithinPartitions(*by)}
-    return generations.publish(spark, root, made, expected, {"parquet.bloom.filter.enabled#key": "true", "parquet.block.size": str(16 << 20)})
+    order, by = ("relation", "incoming", "here", "there"), ("label", "id")
+    dealt = lambda df, key, columns: df.repartitionByRange(parts, *(key_of(F.col(c)) if c == key else F.col(c) for c in columns)).withColumn("key", key_of(F.col(key))).sortWithinPartitions(
+        *("key" if c == key else c for c in columns))
+    made = {"adjacency": dealt(adjacency(tables), "here", order).select("relation", "incoming", "key", "here", "there", "known", "name", "path", "language", "line", "scope_qname", "line_number", "flow_type"),
+            "nodes": dealt(_nodes(tables).select("label", "id", "name", "path"), "id", by).select("label", "key", "id", "name", "path")}
+    return generations.publish(spark, root, made, expected, {"parquet.bloom.filter.enabled#key": "true", "parquet.block.size": str(16 << 20), "compression": "zstd"})
 
 
 class EdgeStore:
@@ -105,7 +109,9 @@ def of(g) -> EdgeStore:
     state = _state(spark, g.sf_dir, ("lineitem", "part", "supplier", "nation", "region", "events"))
     if where not in _opened or _opened[where][0] != state:
         root = fresh_dir(spark, "edge-store")
-        publish(spark, root, g)
+        tables = g.kept("calls", "variable")
+        publish(spark, root, tables)
+        drop(spark, tables.calls, tables.variable)
         _opened[where] = state, EdgeStore(spark, root)
     return _opened[where][1]
 
@@ -149,7 +155,7 @@ def relation(store: EdgeStore, name: str, identity: str, direction: str = "outgo
 
 def reach(store: EdgeStore, relation: str, start: Column, begin: DataFrame, hops: int) -> DataFrame:
     """(node, depth) of what is within ``hops`` of ``begin`` (node) by edges either way. The first step's keys are filters of the scan if
-    ``start`` is a constant; later steps join the few nodes found with the store.
+    ``start`` is a constant, and so are those of later steps that begin at FEW nodes at most; others join the nodes found with the store.
     """
     either = store.adjacency.where(F.col("relation") == relation)
     front = begin.select("node", F.lit(0).alias("depth"))
@@ -157,6 +163,10 @@ def reach(store: EdgeStore, relation: str, start: Column, begin: DataFrame, hops
     for d in range(1, hops + 1):
         if d == 1:
             step = either.where((F.col("key") == key_of(start)) & (F.col("here") == start)).select(F.col("there").alias("node"))
+        elif len(few := [tuple(r) for r in front.select("node", key_of(F.col("node"))).limit(FEW + 1).collect()]) <= FEW:
+            if not few:
+                return seen
+            step = either.where(F.col("key").isin([k for _, k in few]) & F.col("here").isin([n for n, _ in few])).select(F.col("there").alias("node"))
         else:
             step = either.join(front.select(F.col("node").alias("here"), key_of(F.col("node")).alias("key")), ["key", "here"]).select(F.col("there").alias("node"))
         front = step.distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
@@ -174,7 +184,7 @@ def neighbourhood(store: EdgeStore, start: str, hops: int = 2, flows: bool = Fal
         near = near.union(reach(store, "imports", F.lit(own[0]), one(own[0]), hops).withColumn("relation", F.lit("IMPORTS")))
     near = near.where("depth > 0")
     if flows:
-        used = store.near("uses_variable", start).select(F.col("there").alias("here"), F.col("far_key").alias("key"))
+        used = store.near("uses_variable", start).select(F.col("there").alias("here"), key_of(F.col("there")).alias("key"))
         into = store.edges("flows_to").where(F.col("scope_qname") == start).join(used, ["key", "here"], "left_semi")
         near = near.union(into.select(F.col("there").alias("node"), F.lit(1).alias("depth"), F.lit("FLOWS_TO").alias("relation")))
     return near.groupBy("relation", "node").agg(F.min("depth").alias("depth"))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import materialise
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 VIEWS = {
@@ -79,6 +81,13 @@ class Graph:
                 self._made[name] = self.spark.sql(text, **{n: self[n] for n in set(re.findall(r"\{([a-z]\w*)\}", text))})
         return self._made[name]
 
+    def kept(self, *names: str) -> Graph:
+        """The same data set with the named views as tables in the shared folder, for work that reads them more than once."""
+        out = Graph(self.spark, self.sf_dir)
+        for name in names:
+            out._made[name] = materialise(out[name], name)
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS and name not in TABLES:
             raise AttributeError(name)

@@ -223,6 +223,22 @@ def test_the_scan_of_a_look_up_has_its_filters(spark, store):
     assert "EqualTo(key," in plan and "EqualTo(relation,calls)" in plan and "EqualTo(here,s0)" in plan and "Join" not in plan and "Exchange" not in plan
 
 
+def test_keys_are_not_shuffled_and_later_steps_are_look_ups(spark, store):
+    from pyspark.sql import functions as F
+
+    from cairn.sources import edge_store as B
+
+    tables, made = store
+    assert not {"key", "far_key"} & set(B.adjacency(tables).columns)
+    rows = made.adjacency.select("key", B.key_of(F.col("here")).alias("want")).collect()
+    assert rows and all(r["key"] == r["want"] for r in rows)
+    begin = spark.createDataFrame([("s2",)], "node string")
+    near = B.reach(made, "calls", F.lit("s2"), begin, 2)
+    assert {(r["node"], r["depth"]) for r in near.collect()} == {("s2", 0), ("s0", 1), ("s1", 1), ("gone", 2), *((f"s{i}", 2) for i in range(3, 40))}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    assert "In(key," in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_store_follows_its_files(spark, tmp_path):
     import shutil
 
