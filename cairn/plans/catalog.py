@@ -16,6 +16,7 @@ from ..operators import readiness as D
 from ..operators import scoring as E
 from ..operators import sets as U
 from ..operators import windows as W
+from ..shared import materialise
 from ..sources import edge_store as B
 from ..views import Graph
 from .registry import oracle_sql, queries, query
@@ -479,7 +480,8 @@ _LEVELS = """n AS (SELECT src AS symbol FROM {calls} UNION SELECT dst FROM {call
 query("g07_call_depth", f"WITH RECURSIVE {_LEVELS} SELECT n.symbol, coalesce(min(d.depth), 0) AS depth FROM n LEFT JOIN d ON n.symbol = d.symbol GROUP BY 1")(lambda g: G.depths(g.calls))
 query("a10_metrics", f"""WITH RECURSIVE {_LEVELS}, m AS (SELECT symbol, min(depth) AS depth FROM d GROUP BY 1), {_REACH}, f AS ({_FAN})
     SELECT count(*) AS symbols, sum(fan_out)::BIGINT AS calls, round(avg(fan_in), 2) AS avg_fan_in, round(avg(fan_out), 2) AS avg_fan_out, max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out,
-    (SELECT count(*) FROM r WHERE a = b) AS in_cycles, (SELECT max(depth) FROM m) AS max_depth FROM f""")(lambda g: A.metrics(g.calls, G.on_cycles(g.calls), G.depths(g.calls)))
+    (SELECT count(*) FROM r WHERE a = b) AS in_cycles, (SELECT max(depth) FROM m) AS max_depth FROM f""")(
+    lambda g: (lambda calls: A.metrics(calls, G.on_cycles(calls), G.depths(calls)))(materialise(g.calls, "calls")))
 query("l06_severity_order", "SELECT id, CASE WHEN value > 300 THEN 'critical' WHEN value > 100 THEN 'medium' ELSE 'info' END AS worst FROM {activity}")(
     lambda g: (lambda r: W.by_severity(r, A.severity_rank(F.col("worst")), "id"))(g.activity.select("id", F.when(F.col("value") > 300, "critical").when(F.col("value") > 100, "medium").otherwise("info").alias("worst"))))
 query("l07_versions", "SELECT DISTINCT concat(p_size % 4, '.', p_size, '.', p_partkey % 12) AS v FROM {part}")(
