@@ -1,8 +1,8 @@
 """Force-directed layout of a graph: repulsion over a quadtree, attraction along links, collisions of near nodes.
 
-The tree is not built node by node. A cell of level d is the first d bits of both coordinates' numbers in the root square, so one aggregation
-for each level gives all its cells with mass and centre. Nodes then walk down level by level, all at once: a cell that is far for
-its width, or has no children, acts on the node as a whole, the others give way to their four children.
+A cell of level d is the first d bits of both coordinates' numbers in the root square. Points are dealt over tasks by blocks, cells of some thousand
+points; each block walks down the tree with its own points (``layout_blocks.py``): a cell that is far for its width, or has no children, acts on the node as a
+whole, the others give way to their four children. So neither steps of walks nor pairs of near nodes are rows that Spark shuffles.
 """
 
 from __future__ import annotations
@@ -10,19 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import pi
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a
 from ..shared import drop, materialise
+from . import layout_blocks as B
 
 #: Fixed values of the picture: kinds from the innermost ring outwards, the angle between neighbours, depth of the noise.
 KINDS = ("Repository", "File", "Symbol", "Variable", "Node")
-GOLDEN_ANGLE, DEPTH = 2.399963229728653, 900
+GOLDEN_ANGLE, DEPTH = B.GOLDEN_ANGLE, 900
 #: The greatest bound that a setting may name; without a bound all nodes are moved.
 MOST_POINTS = 50_000
-#: Cells of a level that are sent to all tasks; levels of more are joined by shuffles.
-MOST_SENT = 250_000
+#: Points of a block that are sent to one task, if the tree parts them; and the tasks that blocks are dealt to at least.
+MOST_SENT, LEAST_PARTS = 16_384, 32
 
 
 @dataclass(frozen=True)
@@ -63,13 +65,26 @@ def placed(nodes: DataFrame) -> DataFrame:
     return at.select("id", "kind", "n", (F.cos("angle") * F.col("radius")).alias("x"), (F.sin("angle") * F.col("radius")).alias("y"), "z")
 
 
+def linked(points: DataFrame, links: DataFrame) -> DataFrame:
+    """(s, t, s_first, t_first, same): ``links`` (src, dst) by the numbers of their ends, without links to nodes that aren't there. An id that several points bear
+    stands for each of them, and its first point is marked."""
+    first = F.row_number().over(Window.partitionBy("id").orderBy("n")) == 1
+    at = points.select("id", "n", first.alias("first"))
+    end = lambda a, name: at.select(F.col("id").alias(name), F.col("n").alias(a), F.col("first").alias(f"{a}_first"))
+    return links.select("src", "dst").join(end("s", "src"), "src").join(end("t", "dst"), "dst").select("s", "t", "s_first", "t_first", (F.col("src") == F.col("dst")).alias("same"))
+
+
 def weighed(points: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Adds degree, mass and radius; links to nodes that aren't there don't count."""
-    ids = points.select("id")
-    known = links.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    degrees = known.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return _weighed(points, linked(points, links), s)
+
+
+def _weighed(points: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
+    """A link counts once at each point of its ends, however many points bear the other end's id."""
+    counted = F.explode(F.array(F.when(F.col("t_first"), F.col("s")), F.when(F.col("s_first"), F.col("t"))))
+    degrees = ends.select(counted.alias("n")).where("n IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("degree"))
     degree = F.coalesce("degree", F.lit(0)).cast("double")
-    return points.join(degrees, "id", "left").withColumn("degree", degree).withColumns({
+    return points.join(degrees, "n", "left").withColumn("degree", degree).withColumns({
         "mass": 1 + F.log2(F.col("degree") + 1) * 1.7, "radius": 18 + F.log2(F.col("degree") + 1) * 8 + s.collision_padding})
 
 
@@ -88,76 +103,103 @@ def square(points: DataFrame) -> DataFrame:
     return box.select((F.col("x0") - margin).alias("left"), (F.col("y0") - margin).alias("bottom"), (F.col("x1") - F.col("x0") + 2 * margin).alias("width"), (F.col("y1") - F.col("y0") + 2 * margin).alias("height"))
 
 
-def repulsion(points: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(n, fx, fy): what cells do to each point of ``points`` (n, x, y, mass)."""
+def parted(cells: DataFrame, depth: int) -> list[tuple[int, int, int]]:
+    """(level, cx, cy) of the blocks of ``cells`` (cx, cy; a deepest cell for each point): the coarsest cells of at most MOST_SENT points. Six levels are counted first, then two
+    more within the cells that hold too many, so a count is asked for at most 16 times for each of these; a deepest cell is a block however many points it holds."""
+    blocks, top, crowded, level = [], 0, None, 0
+    while crowded is None or crowded:
+        level = min(level + (2 if level else 6), depth)
+        at = lambda to: [F.call_function("shiftright", c, F.lit(depth - to)).alias(c) for c in ("cx", "cy")]  # noqa: E731, B023
+        some = cells
+        if crowded:
+            few = cells.sparkSession.createDataFrame(crowded, "tx long, ty long")
+            some = cells.join(F.broadcast(few), (at(top)[0] == F.col("tx")) & (at(top)[1] == F.col("ty")), "left_semi")
+        counts = {level: {(r["cx"], r["cy"]): r["points"] for r in some.groupBy(*at(level)).agg(F.count(F.lit(1)).alias("points")).collect()}}
+        for upper in range(level - 1, top - 1, -1):
+            counts[upper] = {}
+            for (x, y), points in counts[upper + 1].items():
+                counts[upper][x >> 1, y >> 1] = counts[upper].get((x >> 1, y >> 1), 0) + points
+        crowded = sorted(counts[top])
+        for here in range(top, level + 1):
+            inside = set(crowded)
+            found = [c for c in sorted(counts[here]) if here == top or (c[0] >> 1, c[1] >> 1) in inside]
+            blocks += [(here, *c) for c in found if counts[here][c] <= MOST_SENT or here == depth]
+            crowded = [c for c in found if counts[here][c] > MOST_SENT and here < depth]
+        top = level
+    return blocks
+
+
+def among_points(points: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, list[DataFrame]]:
+    """(n, fx, fy): what cells of the tree and touching points do to each point of ``points`` (n, x, y, mass, radius), and the tables that this reads.
+
+    Points are dealt by blocks. A block shows the others the cells and points that they may need, then each block's forces are one group's work.
+    """
+    spark = points.sparkSession
+    root = square(points).first()
+    if root["left"] is None:
+        return spark.createDataFrame([], "n long, fx double, fy double"), []
+    q = B.Square(*root, s.max_depth)
     grid = 1 << s.max_depth
-    cell = lambda c, low, side: F.least(F.floor((F.col(c) - F.col(low)) / F.col(side) * grid), F.lit(grid - 1)).cast("long")
-    at = materialise(points.join(F.broadcast(square(points)), how="cross").select("n", "x", "y", "mass", "width", cell("x", "left", "width").alias("cx"), cell("y", "bottom", "height").alias("cy")), "layout-points")
-    up = F.expr(f"{s.max_depth} - level")
-    tree = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(s.max_depth))).alias("level")).groupBy("level", F.call_function("shiftright", "cx", up).alias("cx"), F.call_function("shiftright", "cy", up).alias("cy")).agg(
-        F.count(F.lit(1)).alias("points"), F.sum("mass").alias("cell_mass"), (F.sum(F.col("x") * F.col("mass")) / F.sum("mass")).alias("gx"), (F.sum(F.col("y") * F.col("mass")) / F.sum("mass")).alias("gy"), F.min("n").alias("first"))
-    tree = materialise(tree, "layout-cells")
-    levels = {r["level"]: (r["cells"], r["most"]) for r in tree.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("points").alias("most")).collect()}
-    deepest = min(max((level for level, (_, most) in levels.items() if most > 1), default=-1) + 1, s.max_depth)
-    # a row that has met its force goes on without a cell, so the walk is one chain of joins
-    walk = at.select("n", "x", "y", "mass", "width", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    met_before = []
-    for level in range(deepest + 1):
-        cells = tree.where(F.col("level") == level).drop("level")
-        if levels.get(level, (0, 0))[0] <= MOST_SENT:
-            cells = F.broadcast(cells)
-        else:  # rows without a cell would all meet in one task
-            walk = materialise(walk, "layout-walk")
-            met_before.append(walk.where("cx IS NULL"))
-            walk = walk.where("cx IS NOT NULL")
-        ux, uy, far = _towards(F.col("x") - F.col("gx"), F.col("y") - F.col("gy"), F.col("n"))
-        leaf = (F.col("points") == 1) | F.lit(level == s.max_depth)
-        met = walk.join(cells, ["cx", "cy"], "left").select("*", ux.alias("ux"), uy.alias("uy"), far.alias("far"), leaf.alias("leaf"))
-        met = met.where(F.col("cx").isNull() | F.col("points").isNotNull() & ~(F.col("leaf") & (F.col("first") == F.col("n"))))
-        whole = F.col("cx").isNotNull() & (F.col("leaf") | (F.col("width") / 2.0 ** level / F.greatest("far", F.lit(1.0)) < s.theta))
-        force = s.repulsion * F.col("mass") * F.col("cell_mass") / F.greatest(F.col("far") * F.col("far"), F.lit(64.0))
-        none = F.struct(F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy"))
-        children = F.array(*(F.struct((F.col("cx") * 2 + a).alias("cx"), (F.col("cy") * 2 + b).alias("cy")) for a in (0, 1) for b in (0, 1)))
-        walk = met.select("n", "x", "y", "mass", "width", F.when(whole, F.col("ux") * force).otherwise(F.col("fx")).alias("fx"), F.when(whole, F.col("uy") * force).otherwise(F.col("fy")).alias("fy"),
-                          F.explode(F.when(whole | F.col("cx").isNull(), F.array(none)).otherwise(children)).alias("c")).select("n", "x", "y", "mass", "width", "c.cx", "c.cy", "fx", "fy")
-    for met in met_before:
-        walk = walk.unionByName(met)
-    return walk.groupBy("n").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-
-
-def attraction(points: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(n, fx, fy) of the links between different points: springs, weaker at nodes of many links, whose heavier end moves less."""
-    end = lambda a: points.select(F.col("id").alias("src" if a == "s" else "dst"), *(F.col(c).alias(f"{a}_{c}") for c in ("n", "x", "y", "mass", "degree")))
-    both = links.select("src", "dst").where("src <> dst").join(end("s"), "src").join(end("t"), "dst")
-    ux, uy, far = _towards(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"), F.col("s_n") + F.col("t_n"))
+    cell = lambda c, low, side: F.least(F.floor((F.col(c) - low) / side * float(grid)), F.lit(grid - 1)).cast("long")
+    at = points.where("x IS NOT NULL AND y IS NOT NULL").select("n", "x", "y", *(F.col(c).cast("double").alias(c) for c in ("mass", "radius")), cell("x", q.left, q.width).alias("cx"), cell("y", q.bottom, q.height).alias("cy"))
+    cells = parted(at.select("cx", "cy"), s.max_depth)
+    up = lambda c, level: F.call_function("shiftright", c, F.lit(s.max_depth - level))
+    places = F.array(*(F.struct(F.lit(level).alias("level"), up("cx", level).alias("cx"), up("cy", level).alias("cy")) for level in sorted({c[0] for c in cells})))
+    names = spark.createDataFrame([(b, *c) for b, c in enumerate(cells)], "to long, level int, cx long, cy long")
+    dealt = at.select("n", "x", "y", "mass", "radius", F.explode(places).alias("p")).select("n", "x", "y", "mass", "radius", "p.*").join(F.broadcast(names), ["level", "cx", "cy"])
+    dealt = materialise(dealt.select("to", "n", "x", "y", "mass", "radius"), "layout-points")
+    sums = dealt.groupBy("to").agg(F.count(F.lit(1)), F.sum("mass"), F.sum(F.col("x") * F.col("mass")) / F.sum("mass"), F.sum(F.col("y") * F.col("mass")) / F.sum("mass"), F.min("n"),
+                                   F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.max("radius")).collect()
+    level, cx, cy = (np.array(c, np.int64) for c in zip(*cells))
+    blocks = B.Blocks(level, B.interleaved(cx, cy, s.max_depth), *(np.array(c) for c in list(zip(*sorted(tuple(r) for r in sums)))[1:]))
+    over = B.above(blocks, q)
+    theta, strength, collision_cell = s.theta, s.repulsion, s.collision_cell
+    arrays = lambda table: {c: table.column(c).to_numpy() for c in table.column_names}
+
+    def show(table):
+        import pyarrow as pa
+
+        rows = arrays(table)
+        return pa.table(B.shown(int(rows.pop("to")[0]), blocks, q, theta, **rows))
+
+    def push(table):
+        import pyarrow as pa
+
+        rows = arrays(table)
+        return pa.table(dict(zip(("n", "fx", "fy"), B.forces(int(rows["to"][0]), rows, blocks, over, q, theta, strength, collision_cell))))
+
+    parts = max(len(cells), LEAST_PARTS)
+    shape = "to long, kind int, level int, leaf boolean, code long, n long, x double, y double, mass double, radius double"
+    others = dealt.repartition(parts, "to").groupBy("to").applyInArrow(show, shape)
+    own = dealt.select("to", F.lit(B.OWN).alias("kind"), F.lit(0).alias("level"), F.lit(False).alias("leaf"), F.lit(0).cast("long").alias("code"), "n", "x", "y", "mass", "radius")
+    return own.unionByName(others).repartition(parts, "to").groupBy("to").applyInArrow(push, "n long, fx double, fy double"), [dealt]
+
+
+def attraction(points: DataFrame, ends: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(n, fx, fy) of the links between different points, a row for each end of a link of ``ends``: springs, weaker at nodes of many links, whose heavier end moves less."""
+    end = lambda a: points.select(F.col("n").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("x", "y", "mass", "degree")))
+    both = ends.where("NOT same").select("s", "t").join(end("t"), "t").join(end("s"), "s")
+    ux, uy, far = _towards(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"), F.col("s") + F.col("t"))
     least = F.greatest(F.lit(1.0), F.least("s_degree", "t_degree"))
     pull = (F.col("far") - (s.link_distance + F.log2(least + 1) * 18)) * (s.link_strength / least)
     pulled = both.select("*", ux.alias("ux"), uy.alias("uy"), far.alias("far")).select("*", pull.alias("pull"))
     total = F.col("s_mass") + F.col("t_mass")
-    ends = F.explode(F.array(*(F.struct(F.col(f"{a}_n").alias("n"), (sign * F.col("pull") * F.col(f"{b}_mass") / total).alias("f")) for a, b, sign in (("s", "t", 1.0), ("t", "s", -1.0)))))
-    return pulled.select("ux", "uy", ends.alias("e")).groupBy(F.col("e.n").alias("n")).agg(F.sum(F.col("ux") * F.col("e.f")).alias("fx"), F.sum(F.col("uy") * F.col("e.f")).alias("fy"))
+    far_ends = F.explode(F.array(*(F.struct(F.col(a).alias("n"), (sign * F.col("pull") * F.col(f"{b}_mass") / total).alias("f")) for a, b, sign in (("s", "t", 1.0), ("t", "s", -1.0)))))
+    return pulled.select("ux", "uy", far_ends.alias("e")).select("e.n", (F.col("ux") * F.col("e.f")).alias("fx"), (F.col("uy") * F.col("e.f")).alias("fy"))
 
 
-def collisions(points: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(n, fx, fy) of points nearer than their radii allow, which are found in neighbouring cells. Pairs that don't touch stay in the join."""
-    at = points.select("n", "x", "y", "radius", F.floor(F.col("x") / s.collision_cell).alias("cx"), F.floor(F.col("y") / s.collision_cell).alias("cy"))
-    around = F.explode(F.array(*(F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    other = at.select(F.col("n").alias("m"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("radius").alias("oradius"), around.alias("c")).select("m", "ox", "oy", "oradius", "c.cx", "c.cy")
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    near = at.join(other, ["cx", "cy"]).where((F.col("m") > F.col("n")) & (dx * dx + dy * dy < (F.col("radius") + F.col("oradius")) * (F.col("radius") + F.col("oradius"))))
-    ux, uy, _ = _towards(dx, dy, F.col("n") + F.col("m"))
-    push = (F.col("radius") + F.col("oradius") - F.sqrt(dx * dx + dy * dy)) * 0.58
-    ends = F.explode(F.array(F.struct("n", F.lit(1.0).alias("sign")), F.struct(F.col("m").alias("n"), F.lit(-1.0).alias("sign"))))
-    pushed = near.select((ux * push).alias("px"), (uy * push).alias("py"), ends.alias("e"))
-    return pushed.groupBy(F.col("e.n").alias("n")).agg(F.sum(F.col("px") * F.col("e.sign")).alias("fx"), F.sum(F.col("py") * F.col("e.sign")).alias("fy"))
+def _moved(points: DataFrame, ends: DataFrame, s: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """``points`` after one iteration, and the tables that this reads."""
+    among, made = among_points(points, s)
+    forces = among.unionByName(attraction(points, ends, s)).groupBy("n").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    moved = points.join(forces, "n", "left").fillna(0.0, ["fx", "fy"]).withColumn("far", F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")))
+    scale = F.when(F.col("far") > s.max_step, s.max_step / F.col("far")).otherwise(1.0)
+    return moved.select("id", "kind", "n", (F.col("x") + F.col("fx") * scale).alias("x"), (F.col("y") + F.col("fy") * scale).alias("y"), "z", "degree", "mass", "radius"), made
 
 
 def step(points: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``points`` after one iteration; no coordinate pair moves by more than ``max_step``."""
-    forces = repulsion(points, s).unionByName(attraction(points, links, s)).unionByName(collisions(points, s)).groupBy("n").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-    moved = points.join(forces, "n", "left").fillna(0.0, ["fx", "fy"]).withColumn("far", F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")))
-    scale = F.when(F.col("far") > s.max_step, s.max_step / F.col("far")).otherwise(1.0)
-    return moved.select("id", "kind", "n", (F.col("x") + F.col("fx") * scale).alias("x"), (F.col("y") + F.col("fy") * scale).alias("y"), "z", "degree", "mass", "radius")
+    return _moved(points, linked(points, links), s)[0]
 
 
 def layout(nodes: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -167,10 +209,15 @@ def layout(nodes: DataFrame, links: DataFrame, s: Settings = Settings()) -> Data
     """
     if s.most_points is not None and s.most_points > MOST_POINTS:
         raise ValueError(f"a bound is at most {MOST_POINTS} nodes")
-    points = materialise(weighed(placed(nodes), links, s), "layout")
+    first = materialise(placed(nodes), "layout-first")
+    ends = materialise(linked(first, links), "layout-links")
+    points = materialise(_weighed(first, ends, s), "layout")
+    drop(nodes.sparkSession, first)
     n = points.count()
     if n >= 2 and (s.most_points is None or n <= s.most_points):
         for _ in range(s.iterations):
-            before, points = points, materialise(step(points, links, s), "layout")
-            drop(nodes.sparkSession, before)
+            moved, made = _moved(points, ends, s)
+            before, points = points, materialise(moved, "layout")
+            drop(nodes.sparkSession, before, *made)
+    drop(nodes.sparkSession, ends)
     return points.select("id", "kind", "x", "y", "z")

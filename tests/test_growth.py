@@ -80,3 +80,60 @@ def test_a_spread_that_settles_in_a_round_takes_no_more(spark, monkeypatch):
     got = G.spread(edges, spark.createDataFrame([("a", 1)], "node string, value int"), G.F.min, 1)
     assert {r["node"]: r["value"] for r in got.collect()} == {"a": 1, "b": 2, "c": 3, "d": 4}
     assert made.count("spread") == 2  # the start and one round
+
+
+def _crowd(spark, n):
+    """Points as they come before an iteration, so dense that each touches hundreds, and no links."""
+    import random
+
+    rng = random.Random(3)
+    points = spark.createDataFrame([(i, f"p{i}", "Node", rng.random() * 500, rng.random() * 500, 0.0, 0.0, 1.0, 40.0) for i in range(n)],
+                                   "n long, id string, kind string, x double, y double, z double, degree double, mass double, radius double")
+    return points, spark.createDataFrame([], "src string, dst string")
+
+
+def test_an_iteration_shuffles_in_proportion_to_points(spark, monkeypatch):
+    from cairn.operators import layout as Y
+
+    monkeypatch.setattr(Y, "MOST_SENT", 600)
+    points, links = _crowd(spark, 3000)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {(s.stageId(), s.attemptId()) for s in stages()}
+    assert len(Y.step(points, links).collect()) == 3000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    # walks down the tree and pairs that touch are no rows (29.1 records a point where they were, 10.7 now)
+    assert sum(s.shuffleWriteRecords() for s in stages() if (s.stageId(), s.attemptId()) not in before) < 15 * 3000
+
+
+def test_blocks_change_no_place(spark, monkeypatch):
+    from cairn.operators import layout as Y
+
+    points, links = _crowd(spark, 300)
+    points = points.unionByName(points.selectExpr("n + 300 AS n", "concat(id, 'b') AS id", "kind", "CASE WHEN n < 20 THEN 7d ELSE x * 40 END AS x", "CASE WHEN n < 20 THEN 7d ELSE y END AS y", "z", "degree", "mass", "CASE n % 9 WHEN 0 THEN 200d ELSE 40d END AS radius"))
+    rows = lambda: {r["n"]: (round(r["x"], 6), round(r["y"], 6)) for r in Y.step(points, links).collect()}
+    whole = rows()
+    for most in (1, 30):
+        monkeypatch.setattr(Y, "MOST_SENT", most)
+        assert rows() == whole
+
+
+def test_layout_of_odd_graphs_equals_its_sql(spark):
+    import duckdb
+
+    from cairn.operators import layout as Y
+    from cairn.plans import layout as plans
+    from compare import same
+
+    nodes = [(f"n{i % 37}", Y.KINDS[i % 3]) for i in range(50)] + [("n1", "File"), ("n1", "File"), ("", None), (None, "Symbol")]  # ids of several nodes, and none
+    links = [(f"n{i * 7 % 40}", f"n{i * i % 37}") for i in range(90)] + [("n1", "n1"), ("n1", "n2"), ("n1", "n2"), (None, "n3"), ("n4", None)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE node (id VARCHAR, kind VARCHAR); CREATE TABLE edge (src VARCHAR, dst VARCHAR)")
+    c.executemany("INSERT INTO node VALUES (?, ?)", [x for x in nodes if x[0] is not None])
+    c.executemany("INSERT INTO edge VALUES (?, ?)", links)
+    sql = "WITH RECURSIVE " + plans._STEP.format(node="node", edge="edge")
+    got = plans._rounded(Y.layout(spark.createDataFrame(nodes, "id string, kind string").where("id IS NOT NULL"), spark.createDataFrame(links, "src string, dst string"), Y.Settings(iterations=1)))
+    same(got, c, sql)
+    more = Y.layout(spark.createDataFrame(nodes, "id string, kind string"), spark.createDataFrame(links, "src string, dst string"), Y.Settings(iterations=1))
+    assert more.count() == len(nodes) and more.where("id IS NULL AND x IS NULL").count() == 1
