@@ -42,27 +42,32 @@ class Settings:
     max_depth: int = 16
 
 
-def numbered(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (id, kind) with ``n``, 0 for the first, in order of id: parts are ranges of ids, and the window over parts has a row for each."""
+def numbered(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (id, kind) with ``n``, 0 for the first, in order of id, and the table that this reads: parts are ranges of ids, and the window over parts has a row for each."""
     spark = nodes.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parted = materialise(nodes.select("id", "kind").repartitionByRange(parts, "id", "kind").withColumn("part", F.spark_partition_id()), "layout-parts")
     before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parted.groupBy("part").agg(F.count(F.lit(1)).alias("m")).select("part", before.alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("id", "kind")) - 1
-    return parted.withColumn("own", own).join(F.broadcast(starts), "part").select("id", "kind", (F.col("start") + F.col("own")).alias("n"))
+    return parted.withColumn("own", own).join(F.broadcast(starts), "part").select("id", "kind", (F.col("start") + F.col("own")).alias("n")), parted
 
 
 def placed(nodes: DataFrame) -> DataFrame:
     """First places: a spiral by number, wider for outer kinds, with x, y and z."""
+    return _placed(nodes)[0]
+
+
+def _placed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    by_number, made = numbered(nodes)
     kind = F.coalesce(*(F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)), F.lit(len(KINDS) - 1))
     h = fnv1a(F.col("id"))
     angle = F.col("n") * GOLDEN_ANGLE + h.bitwiseAND(F.lit(0xFFFF)) / 65535.0 * (2 * pi)
     step = F.when(F.col("n") > 250_000, 2.9).when(F.col("n") > 100_000, 3.6).otherwise(5.4)
     radius = F.sqrt(F.col("n") + 1.0) * step + kind * 240.0
     noise = (F.shiftright(h, 16).bitwiseAND(F.lit(0xFFFF)) / 65535.0 - 0.5) * DEPTH
-    at = numbered(nodes).select("id", "kind", "n", angle.alias("angle"), radius.alias("radius"), ((kind - (len(KINDS) - 1) / 2) * 260.0 + noise).alias("z"))
-    return at.select("id", "kind", "n", (F.cos("angle") * F.col("radius")).alias("x"), (F.sin("angle") * F.col("radius")).alias("y"), "z")
+    at = by_number.select("id", "kind", "n", angle.alias("angle"), radius.alias("radius"), ((kind - (len(KINDS) - 1) / 2) * 260.0 + noise).alias("z"))
+    return at.select("id", "kind", "n", (F.cos("angle") * F.col("radius")).alias("x"), (F.sin("angle") * F.col("radius")).alias("y"), "z"), made
 
 
 def linked(points: DataFrame, links: DataFrame) -> DataFrame:
@@ -205,11 +210,13 @@ def step(points: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataF
 def layout(nodes: DataFrame, links: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(id, kind, x, y, z) of ``nodes`` (id, kind; ids are unique) under ``links`` (src, dst).
 
-    Each iteration is written to the shared folder, and the one before it is deleted. Fewer than two nodes, and more than ``most_points`` where that is set, keep their first places. Links that are listed twice pull twice.
+    Each iteration is written to the shared folder, and the one before it is deleted with all that it read; only the last one stays. Fewer than two nodes, and more than ``most_points`` where that is set, keep their first places. Links that are listed twice pull twice.
     """
     if s.most_points is not None and s.most_points > MOST_POINTS:
         raise ValueError(f"a bound is at most {MOST_POINTS} nodes")
-    first = materialise(placed(nodes), "layout-first")
+    at, made = _placed(nodes)
+    first = materialise(at, "layout-first")
+    drop(nodes.sparkSession, made)
     ends = materialise(linked(first, links), "layout-links")
     points = materialise(_weighed(first, ends, s), "layout")
     drop(nodes.sparkSession, first)

@@ -137,3 +137,13 @@ def test_layout_of_odd_graphs_equals_its_sql(spark):
     same(got, c, sql)
     more = Y.layout(spark.createDataFrame(nodes, "id string, kind string"), spark.createDataFrame(links, "src string, dst string"), Y.Settings(iterations=1))
     assert more.count() == len(nodes) and more.where("id IS NULL AND x IS NULL").count() == 1
+
+
+def test_layout_leaves_its_last_iteration_only(spark):
+    from cairn import shared
+    from cairn.operators import layout as Y
+
+    points, _ = _crowd(spark, 40)
+    before = set(shared._made)
+    got = Y.layout(points.select("id", "kind"), spark.createDataFrame([("p1", "p2"), ("p2", "p3")], "src string, dst string"))
+    assert len(set(shared._made) - before) == 1 and got.count() == 40
